@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from asofia.llm.classifier import quality_scores, train
 from asofia.llm.jaccard import jaccard_components
+from asofia.llm.packing import packed_sequences
 from asofia.llm.rules import quality_rules
 
 
@@ -23,14 +24,25 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_sequences(_read(spark, sf_dir, "documents"), word_tokenizer())
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return quality_scores(docs, train(docs, _read(spark, sf_dir, "labels")))
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
+    "op5_packing": op5_packing,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
