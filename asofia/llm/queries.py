@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from asofia.llm import oracle
+from asofia.llm.chat import collapse_and_render
 from asofia.llm.classifier import quality_scores, train
 from asofia.llm.jaccard import jaccard_components
 from asofia.llm.packing import packed_sequences
 from asofia.llm.rules import quality_rules
+from asofia.llm.urls import RULES, judge_urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,6 +31,15 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_sequences(_read(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return judge_urls(_read(spark, sf_dir, "pages"), rules)
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collapse_and_render(_read(spark, sf_dir, "conversations"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return quality_scores(docs, train(docs, _read(spark, sf_dir, "labels")))
@@ -43,7 +55,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
     "op5_packing": op5_packing,
+    "op6_url_filters": op6_url_filters,
+    "op8_chat_formatting": op8_chat_formatting,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_url_filters": oracle.URLS,
+    "op8_chat_formatting": oracle.CHATS,
+}
