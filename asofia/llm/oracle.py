@@ -30,3 +30,16 @@ select g.conv_id, g.n as n_turns, g.n_snapshots, g.rendered
 from groups g
 where not exists (select 1 from groups l where l.turns[1] = g.turns[1] and l.n > g.n and l.turns[1:g.n] = g.turns)
 """
+
+#: DuckDB's sha1 of a string is that of its UTF-8 bytes.
+WARC = r"""
+with p as (
+  select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages
+), g as (
+  select payload_digest, payload_bytes, max(page_id) as first from p where payload_bytes >= 1000 group by all
+)
+select p.page_id, cast(p.payload_bytes as bigint) as payload_bytes, p.payload_digest,
+  case when first is null or page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to
+from p left join g using (payload_digest, payload_bytes)
+"""

@@ -9,16 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from asofia.llm import oracle
 from asofia.llm.chat import collapse_and_render
 from asofia.llm.classifier import quality_scores, train
+from asofia.llm.decontam import contaminated
 from asofia.llm.jaccard import jaccard_components
 from asofia.llm.packing import packed_sequences
 from asofia.llm.rules import quality_rules
 from asofia.llm.urls import RULES, judge_urls
+from asofia.llm.warc import round_trip
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_read(spark, sf_dir, "pages"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"))
 
@@ -40,6 +46,10 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse_and_render(_read(spark, sf_dir, "conversations"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return quality_scores(docs, train(docs, _read(spark, sf_dir, "labels")))
@@ -52,15 +62,18 @@ def word_tokenizer() -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
     "op5_packing": op5_packing,
     "op6_url_filters": op6_url_filters,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": oracle.WARC,
     "op6_url_filters": oracle.URLS,
     "op8_chat_formatting": oracle.CHATS,
 }
