@@ -28,8 +28,9 @@ from asofia.llm.components import connected_components
 from asofia.llm.scratch import Scratch
 
 BAND_RATIO = 2.35
-SLACK = 1.2
+SLACK = 1.15
 BUCKET_BYTES = 1 << 20
+SKETCH_BITS = 1024
 
 
 def band_bounds(limit: int) -> np.ndarray:
@@ -92,7 +93,16 @@ def set_ids(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return (named >> tk.U64(1)).astype(np.int64)
 
 
+def sketches(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The parities of each set's shingles in 1024 slots, as 16 longs. Two sets differ in at least as many shingles as their parities do."""
+    rows = len(bounds) - 1
+    cell = np.repeat(np.arange(rows), np.diff(bounds)) * SKETCH_BITS + (tk.mix(values) % tk.U64(SKETCH_BITS)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=rows * SKETCH_BITS) & 1).astype(bool)
+    return np.packbits(odd.reshape(rows, SKETCH_BITS), axis=1).view(np.int64).reshape(rows, -1)
+
+
 _CELLS = "bucket long, uid long, cells binary"
+_ABOUT = 6 + SKETCH_BITS // 64
 _FOUND = "kind int, key long, ids array<long>"
 
 
@@ -100,7 +110,7 @@ def _emit(n: int, num: int, den: int, bits: int):
     def run(batches):
         uid = TaskContext.get().partitionId() << 24
         for batch in batches:
-            for piece in tk.pieces(batch, 1):
+            for piece in tk.pieces(batch, 1, max_rows=4096):
                 data, offs = tk.byte_column(piece.column(1))
                 values, bounds = tk.shingle_sets(data, offs, n)
                 sizes, names = np.diff(bounds), set_ids(values, bounds)
@@ -122,6 +132,7 @@ def _emit(n: int, num: int, den: int, bits: int):
                 edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
                 stop = np.concatenate([edge[1:], [len(bucket)]])
                 about = np.stack([ids, sizes, names, (uid << 16) + np.arange(len(ids)), *margins], axis=1).astype(np.int64)
+                about = np.concatenate([about, sketches(values, bounds)], axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([bucket[edge], [-1 - uid % 1021]]), pa.int64()),
@@ -147,8 +158,8 @@ def _meet(hot: int):
         blobs = [np.frombuffer(x, dtype=np.int64) for x in table.column("cells").to_pylist()]
         if bucket < 0:
             rows = np.concatenate(blobs)
-            n = len(rows) // 6
-            return pa.table({"kind": pa.array(np.zeros(n), pa.int32()), "key": pa.array(np.zeros(n), pa.int64()), "ids": _lists(rows, np.arange(n + 1) * 6)})
+            n = len(rows) // _ABOUT
+            return pa.table({"kind": pa.array(np.zeros(n), pa.int32()), "key": pa.array(np.zeros(n), pa.int64()), "ids": _lists(rows, np.arange(n + 1) * _ABOUT)})
         cell = np.concatenate(blobs).view(np.uint64)
         low = cell & tk.U64(0xFFFF)
         loc = (np.repeat(uid, [len(b) for b in blobs]) << 16) + (low >> tk.U64(1)).astype(np.int64)
@@ -241,10 +252,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = docs.mapInArrow(_emit(shingle, num, den, bits), _CELLS).groupBy("bucket").applyInArrow(_meet(hot), _FOUND)
     found = scratch.table(found, "found")
 
-    about = found.filter("kind = 0").select(*(F.col("ids")[i].alias(c) for i, c in enumerate(("id", "size", "node", "loc", "margin0", "margin1"))))
+    about = found.filter("kind = 0").select(*(F.col("ids")[i].alias(c) for i, c in enumerate(("id", "size", "node", "loc", "margin0", "margin1"))), F.slice("ids", 7, SKETCH_BITS // 64).alias("sketch"))
     rows = about.select("id", "size", "node")
     place = about.filter("size > 0").select("loc", "node")
-    nodes = scratch.table(rows.filter("size > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("size").alias("size")), "nodes")
+    nodes = scratch.table(about.filter("size > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "nodes")
 
     lists = found.filter("kind = 1").groupBy("key").agg(F.first("ids").alias("ids"))
     lists = lists.select("key", F.explode("ids").alias("loc")).join(place, "loc").groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("members"))
@@ -289,10 +300,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _comparable(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose sizes alone don't rule out a link."""
-    size = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"))
-    sized = pairs.join(size("a"), "a").join(size("b"), "b")
-    return sized.filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b")
+    """Pairs whose sizes and sketches don't rule out a link."""
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return sized.filter(apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b")
 
 
 def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:

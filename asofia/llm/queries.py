@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from asofia.llm import oracle
+from asofia.llm import lm, oracle
 from asofia.llm.chat import collapse_and_render
 from asofia.llm.classifier import quality_scores, train
 from asofia.llm.decontam import contaminated
 from asofia.llm.jaccard import jaccard_components
 from asofia.llm.packing import packed_sequences
 from asofia.llm.rules import quality_rules
+from asofia.llm.tokens import token_counts
 from asofia.llm.urls import RULES, judge_urls
 from asofia.llm.warc import round_trip
 
@@ -33,8 +34,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return lm.pseudo_likelihood(docs, lm.train(docs))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_sequences(_read(spark, sf_dir, "documents"), word_tokenizer())
+    return packed_sequences(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +48,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_read(spark, sf_dir, "pages"), rules)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse_and_render(_read(spark, sf_dir, "conversations"))
 
@@ -55,18 +65,20 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, train(docs, _read(spark, sf_dir, "labels")))
 
 
-def word_tokenizer() -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_packing": op5_packing,
     "op6_url_filters": op6_url_filters,
+    "op7_token_counts": op7_token_counts,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_quality_classifier": op10_quality_classifier,
