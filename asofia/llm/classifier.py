@@ -186,3 +186,15 @@ def quality_scores(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_c
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
     out = docs.mapInArrow(run, "id long, score double")
     return out.select(F.col("id").alias(id_col), F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
+
+
+def keep_accepted(docs: DataFrame, model: Trees, text_col: str = "text", accept: float = ACCEPT) -> DataFrame:
+    """The rows, with all their columns, that a fitted model accepts."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for piece in tk.pieces(batch, at):
+                yield piece.filter(pa.array(model.scores(features(piece.column(at))) >= accept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -69,14 +69,28 @@ def repetition(column: pa.Array) -> dict[str, np.ndarray]:
     return out
 
 
-_OUT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_chars", *(f"chars_{n}gram" for n in NGRAM_LIMITS)]
+_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+_COVERAGE = ["line_chars", *(f"chars_{n}gram" for n in NGRAM_LIMITS)]
+_OUT = ", ".join(["id long", *(f"{c} long" for c in _COUNTS), "base_failed boolean, kept boolean", *(f"{c} long" for c in _COVERAGE)])
+
+
+def judge(column: pa.Array) -> dict[str, np.ndarray]:
+    """The counts of ``repetition`` with the verdicts ``base_failed`` and ``kept``."""
+    found = repetition(column)
+    failed = (found["n_words"] < MIN_WORDS) | (100 * found["n_repeat_words"] > MAX_REPEAT_PERCENT * found["n_words"])
+    kept = ~failed & (found["line_chars"] <= LINE_LIMIT * found["word_chars"])
+    for n, limit in NGRAM_LIMITS.items():
+        kept &= found[f"chars_{n}gram"] <= limit * found["word_chars"]
+    return found | {"base_failed": failed, "kept": kept}
 
 
 def _measure(batches):
     for batch in batches:
         for piece in tk.pieces(batch, 1):
-            found = repetition(piece.column(1))
-            yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(found[c], pa.int64()) for c in _OUT)], names=["id", *_OUT])
+            found = judge(piece.column(1))
+            numbers = lambda names: [pa.array(found[c], pa.int64()) for c in names]
+            verdicts = [pa.array(found[c], pa.bool_()) for c in ("base_failed", "kept")]
+            yield pa.RecordBatch.from_arrays([piece.column(0), *numbers(_COUNTS), *verdicts, *numbers(_COVERAGE)], names=["id", *_COUNTS, "base_failed", "kept", *_COVERAGE])
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,11 +103,16 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     other columns are ignored; an empty table gives an empty table. Texts are measured whole, in one scan, with no shuffle.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
-    found = docs.mapInArrow(_measure, ", ".join(["id long", *(f"{c} long" for c in _OUT)]))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    clean = F.col("line_chars") <= LINE_LIMIT * F.col("word_chars")
-    for n, limit in NGRAM_LIMITS.items():
-        clean &= F.col(f"chars_{n}gram") <= limit * F.col("word_chars")
-    found = found.withColumn("base_failed", failed).withColumn("kept", ~failed & clean)
-    first = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return found.select(F.col("id").alias(id_col), *first, *(c for c in _OUT if c not in first))
+    return docs.mapInArrow(_measure, _OUT).withColumnRenamed("id", id_col)
+
+
+def keep_passing(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that ``quality_rules`` keeps."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for piece in tk.pieces(batch, at):
+                yield piece.filter(pa.array(judge(piece.column(at))["kept"], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
