@@ -141,7 +141,7 @@ ORACLE["page_marks"] = ORACLE["page_marks"].replace("list_distinct([(page_id * 3
 
 
 @query(
-    """with rows as (select l_orderkey as page, l_linenumber as pos, l_partkey as part from lineitem),
+    """with rows as (select l_orderkey as page, l_linenumber as pos, min(l_partkey) as part from lineitem group by all),
     h as (select *, case when pos = 1 then 'Section ' || part % 5 when pos % 3 = 2 then null end as named, case when pos % 3 = 2 then date '2024-01-01' + cast(part % 300 as integer) end as day from rows),
     s as (select *, last_value(named ignore nulls) over (partition by page order by pos) as section, count(named) over (partition by page order by pos) as p from h),
     c as (select *, last_value(day ignore nulls) over (partition by page, p order by pos) as listed_date from s)
@@ -153,7 +153,8 @@ def listing_carry_forward(spark: SparkSession, d: str) -> DataFrame:
     day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("l_partkey") % 300).cast("int")), "MMMM d, yyyy")
     header = F.when(F.col("l_linenumber") == 1, F.concat(F.lit("Section "), F.col("l_partkey") % 5)).when(F.col("l_linenumber") % 3 == 2, day)
     href = F.when(header.isNull(), F.concat(F.lit("NotificationUser.aspx?Id="), F.col("l_partkey") % 7))
-    rows = corpus.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").cast("long").alias("pos"), header.alias("header"), href.alias("href"), F.lit("t").alias("title"), F.lit(None).cast("string").alias("pdf_url"))
+    lines = corpus.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    rows = lines.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").cast("long").alias("pos"), header.alias("header"), href.alias("href"), F.lit("t").alias("title"), F.lit(None).cast("string").alias("pdf_url"))
     out = extract.listing(rows)
     return out.select("page", "pos", "doc_id", F.coalesce("listed_date", F.lit("1900-01-01").cast("date")).alias("listed_date"), F.coalesce("section", F.lit("-")).alias("section"))
 
