@@ -57,7 +57,7 @@ def planes(dims: int, tables: int, bits: int, seed: int = 11) -> np.ndarray:
     return np.random.default_rng(seed).normal(size=(tables, bits, dims))
 
 
-def hashed_nearest(queries: DataFrame, vectors: DataFrame, n: int = 10, dims: int = 64, tables: int = 24, bits: int = 6) -> DataFrame:
+def hashed_nearest(queries: DataFrame, vectors: DataFrame, n: int = 10, dims: int = 64, tables: int = 32, bits: int = 5) -> DataFrame:
     """Approximate search: vectors that share a sign pattern with the query in any of several tables of random planes are compared exactly."""
     cut = planes(dims, tables, bits)
 
