@@ -30,9 +30,13 @@ def stemmed(rows: DataFrame, stopwords: list[str] | None = None) -> DataFrame:
 
 def rarest_terms(questions: DataFrame, rows: DataFrame, n: int = 6) -> DataFrame:
     """``qid, term``: the n terms of each question found in the fewest documents. Terms found in none don't count, so a question may have none."""
-    words = questions.select("qid", F.explode(F.array_distinct(text.tokens(F.col("question")))).alias("term"))
+    return rarest(questions.select("qid", F.explode(F.array_distinct(text.tokens(F.col("question")))).alias("term")), rows, n)
+
+
+def rarest(words: DataFrame, rows: DataFrame, n: int = 6) -> DataFrame:
+    """Of distinct ``qid, term`` the n terms of each question that the fewest documents hold."""
     # only the questions' own terms are counted, and each document once per term
-    df = rows.join(F.broadcast(words.select("term").distinct()), "term", "left_semi").select("term", "id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = rows.join(words.select("term").distinct(), "term", "left_semi").select("term", "id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy("qid").orderBy("df", "term")
     return words.join(df, "term").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= n).select("qid", "term")
 

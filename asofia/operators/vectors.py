@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from asofia.operators.extract import detail_url
+
 RRF_K = 60
 LIST_WEIGHTS = {"keyword": 0.3, "vector": 1.0}
 CANDIDATES = 50
@@ -105,6 +107,12 @@ def fuse(lists: DataFrame, k: int = 10, weights: dict[str, float] = LIST_WEIGHTS
     return fused.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= max(1, k))
 
 
+def passage_results(lists: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
+    """Fused hits with title, issue date and url of their documents. ``k`` is brought into 1 to 20."""
+    hits = fuse(lists, min(max(k, 1), 20)).withColumnRenamed("id", "doc_id").join(docs.select("doc_id", "source_id", "title", "issued_date"), "doc_id")
+    return hits.select("qid", "doc_id", "title", "issued_date", detail_url(F.col("source_id")).alias("url"), "rank")
+
+
 def rank_documents(hits: DataFrame) -> DataFrame:
     """Documents in the order of their best passage; hits without a document are skipped."""
     best = hits.filter("source_id is not null").groupBy("qid", "source_id").agg(F.min("rank").alias("best"))

@@ -7,21 +7,11 @@ from pyspark.sql import functions as F
 
 from asofia.functions import text
 from asofia.operators import extract, ingest
+from asofia.plans.registry import registry
 from asofia.plans.views import sql
 from asofia.sources import corpus
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLE[f.__name__] = oracle
-        return f
-
-    return keep
+QUERIES, ORACLE, query = registry()
 
 
 def _pages(spark, d):

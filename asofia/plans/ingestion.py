@@ -6,22 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asofia.operators import ingest, questions, relations
+from asofia.plans.registry import registry
 from asofia.plans.views import sql
 from asofia.sources import corpus
 from asofia.sources.corpus import TODAY
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLE[f.__name__] = oracle
-        return f
-
-    return keep
+QUERIES, ORACLE, query = registry()
 
 
 # --- relations: every fifth document gets a paragraph that cites another one ---

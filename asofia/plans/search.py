@@ -5,26 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asofia.functions import temporal
+from asofia.functions import temporal, text
 from asofia.operators import keyword, vectors
+from asofia.plans.registry import registry
 from asofia.plans.views import sql
 from asofia.sources import corpus
 from asofia.sources.corpus import TODAY
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    """Register a query under its function's name."""
-
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLE[f.__name__] = oracle
-        return f
-
-    return keep
+QUERIES, ORACLE, query = registry()
 
 
 def _rows(spark, d):
@@ -206,3 +194,21 @@ def websearch_all(spark: SparkSession, d: str) -> DataFrame:
 def snippets(spark: SparkSession, d: str) -> DataFrame:
     docs, rows, questions, terms = _parts(spark, d)
     return keyword.snippets(keyword.search(questions, terms, rows, docs, TODAY), docs, terms)
+
+
+@query(sql("select qid, id as doc_id, title, issued_date, 'https://www.rbi.org.in/Scripts/NotificationUser.aspx?Id=' || source_id || '&Mode=0' as url, rank from top20 join docs on id = doc_id where rank <= 20", "scored", **_LISTS,
+    top20="select *, row_number() over (partition by qid order by score desc, keyword_rank nulls last, vector_rank nulls last, id) as rank from fused"))
+def passage_results(spark: SparkSession, d: str) -> DataFrame:
+    """Fused hits with their document's fields; 50 were asked for, 20 is the most that is shown."""
+    docs, lists = _lists(spark, d)
+    return vectors.passage_results(lists, docs, 50)
+
+
+@query()
+def keyword_search_stemmed(spark: SparkSession, d: str) -> DataFrame:
+    """The keyword search over stems."""
+    docs, rows = _rows(spark, d)
+    rows, questions = keyword.stemmed(rows), corpus.questions(spark, d)
+    words = questions.select("qid", F.explode(text.tokens(F.col("question"))).alias("term"))
+    terms = keyword.rarest(keyword.stemmed(words).distinct(), rows)
+    return keyword.search(questions, terms, rows, docs, TODAY)

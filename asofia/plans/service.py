@@ -6,21 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asofia.operators import alerts, answers, cache, graph
+from asofia.plans.registry import registry
 from asofia.plans.views import sql
 from asofia.sources import corpus
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLE[f.__name__] = oracle
-        return f
-
-    return keep
+QUERIES, ORACLE, query = registry()
 
 
 # --- answers: three documents per question stand for its passages, and a reply quotes them ---

@@ -7,22 +7,12 @@ from pyspark.sql import functions as F
 
 from asofia.operators import chunking, evaluation, graph, keyword, vectors
 from asofia.plans import search
+from asofia.plans.registry import registry
 from asofia.plans.views import sql
 from asofia.sources import corpus
 from asofia.sources.corpus import TODAY
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLE[f.__name__] = oracle
-        return f
-
-    return keep
+QUERIES, ORACLE, query = registry()
 
 
 _SECTIONS = """
@@ -305,3 +295,39 @@ def eval_runs_trend(spark: SparkSession, d: str) -> DataFrame:
     )
     runs = events.select(F.col("event_id").alias("run_id"), F.concat(F.lit("g"), "user_id").alias("git_sha"), config.alias("config"))
     return evaluation.runs(runs).select("run_id", "git_sha", "retriever", "apply_as_of", F.coalesce(F.col("summary")["mrr"], F.lit(0.0)).alias("mrr"), "headline")
+
+
+_ANSWERS = {"answers": """select doc_id as qid, doc_id % 7 > 0 as answered, doc_id % 4 as kept, doc_id % 3 as dropped, [doc_id % 10, doc_id % 6, doc_id % 10] as cited, [doc_id % 5] as relevant, [doc_id % 6] as live from documents""",
+    "rated": """select qid, coalesce(answered::int, 0) as answered, case when kept + dropped > 0 then kept / (kept + dropped) else 0 end::double as grounded,
+      len(list_intersect(cited, relevant)) > 0 as hit, len(list_intersect(list_distinct(cited), live)) / len(list_distinct(cited)) as cites_in_force from answers"""}
+
+
+def _answers(spark, d):
+    c = F.col("doc_id")
+    return corpus.table(spark, d, "documents").select(c.alias("qid"), (c % 7 > 0).alias("answered"), (c % 4).alias("kept"), (c % 3).alias("dropped"), F.array(c % 10, c % 6, c % 10).alias("cited"), F.array(c % 5).alias("relevant"), F.array(c % 6).alias("in_force"))
+
+
+@query(sql("select qid, answered, grounded, hit::int as cites_relevant, cites_in_force from rated", **_ANSWERS))
+def answer_scores(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.answer_scores(_answers(spark, d))
+
+
+@query(sql("select avg(answered) as answered, " + ", ".join(f"coalesce(avg(case when answered = 1 then {x} end), 0) as {n}" for n, x in (("grounded", "grounded"), ("cites_relevant", "hit::int"), ("cites_in_force", "cites_in_force"))) + " from rated", **_ANSWERS))
+def answer_summary(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.answer_summary(evaluation.answer_scores(_answers(spark, d)))
+
+
+@query()
+def eval_run_record(spark: SparkSession, d: str) -> DataFrame:
+    """The configuration and summary of a run, as JSON."""
+    _, _, relevant, ranked = _judged(spark, d)
+    return evaluation.run_record(evaluation.question_metrics(relevant, ranked), {"retriever": "keyword", "git_sha": "none"})
+
+
+@query()
+def index_build(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, passages and embedded passages of an index built from all texts."""
+    chunks = chunking.passages(_raw(spark, d))
+    terms = chunks.select((F.col("doc_id") * 100000 + F.col("ord")).alias("id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("term"))
+    embedded = vectors.hashed_embedding(terms).agg(F.count_distinct("id").alias("embedded"))
+    return chunks.agg(F.count_distinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("chunks")).join(embedded)
