@@ -31,6 +31,7 @@ BAND_RATIO = 2.35
 SLACK = 1.15
 BUCKET_BYTES = 1 << 20
 SKETCH_BITS = 1024
+SKETCH_SET = 1200
 
 
 def band_bounds(limit: int) -> np.ndarray:
@@ -93,16 +94,31 @@ def set_ids(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return (named >> tk.U64(1)).astype(np.int64)
 
 
-def sketches(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The parities of each set's shingles in 1024 slots, as 16 longs. Two sets differ in at least as many shingles as their parities do."""
-    rows = len(bounds) - 1
-    cell = np.repeat(np.arange(rows), np.diff(bounds)) * SKETCH_BITS + (tk.mix(values) % tk.U64(SKETCH_BITS)).astype(np.int64)
-    odd = (np.bincount(cell, minlength=rows * SKETCH_BITS) & 1).astype(bool)
-    return np.packbits(odd.reshape(rows, SKETCH_BITS), axis=1).view(np.int64).reshape(rows, -1)
+def sketch_level(sizes: np.ndarray) -> np.ndarray:
+    """Level 0 has 1024 bits, each further one eight times as many, so that the sketches of large sets don't fill up."""
+    return np.ceil(np.maximum(np.log2(np.maximum(sizes, 1) / SKETCH_SET), 0) / 3).astype(np.int64)
+
+
+def sketch(values: np.ndarray, level: int) -> np.ndarray:
+    """The parities of a set's shingles in 1024 * 8**level slots, as longs. Two sets differ in at least as many shingles as their parities do."""
+    bits = SKETCH_BITS << 3 * level
+    odd = np.bincount((tk.mix(values) % tk.U64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
+def about_rows(fixed: np.ndarray, values: np.ndarray, bounds: np.ndarray, num: int, den: int) -> bytes:
+    """Number of rows, their lengths, and the rows: six numbers, the length of the first sketch, a sketch for the set's own
+    size, and a second one if the largest partner's level differs."""
+    sizes = np.diff(bounds)
+    own, partner = sketch_level(sizes), sketch_level(sizes * den // num)
+    rows = []
+    for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        first = sketch(values[a:b], int(own[i]))
+        rows.append(np.concatenate([fixed[i], [len(first)], first, *([sketch(values[a:b], int(partner[i]))] if partner[i] > own[i] else [])]))
+    return np.concatenate([[len(rows)], [len(r) for r in rows], *rows]).astype(np.int64).tobytes()
 
 
 _CELLS = "bucket long, uid long, cells binary"
-_ABOUT = 6 + SKETCH_BITS // 64
 _FOUND = "kind int, key long, ids array<long>"
 
 
@@ -130,14 +146,13 @@ def _emit(n: int, num: int, den: int, bits: int):
                 order = np.argsort(bucket, kind="stable")
                 bucket, cell = bucket[order], cell[order]
                 edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-                stop = np.concatenate([edge[1:], [len(bucket)]])
+                stop = np.append(edge[1:], len(bucket))[: len(edge)]
                 about = np.stack([ids, sizes, names, (uid << 16) + np.arange(len(ids)), *margins], axis=1).astype(np.int64)
-                about = np.concatenate([about, sketches(values, bounds)], axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([bucket[edge], [-1 - uid % 1021]]), pa.int64()),
                         pa.array(np.full(len(edge) + 1, uid), pa.int64()),
-                        pa.array([cell[a:b].tobytes() for a, b in zip(edge, stop, strict=True)] + [about.tobytes()], pa.binary()),
+                        pa.array([cell[a:b].tobytes() for a, b in zip(edge, stop, strict=True)] + [about_rows(about, values, bounds, num, den)], pa.binary()),
                     ],
                     names=["bucket", "uid", "cells"],
                 )
@@ -157,9 +172,9 @@ def _meet(hot: int):
         bucket, uid = table.column("bucket")[0].as_py(), table.column("uid").to_numpy()
         blobs = [np.frombuffer(x, dtype=np.int64) for x in table.column("cells").to_pylist()]
         if bucket < 0:
-            rows = np.concatenate(blobs)
-            n = len(rows) // _ABOUT
-            return pa.table({"kind": pa.array(np.zeros(n), pa.int32()), "key": pa.array(np.zeros(n), pa.int64()), "ids": _lists(rows, np.arange(n + 1) * _ABOUT)})
+            length = np.concatenate([b[1 : 1 + b[0]] for b in blobs])
+            rows, n = np.concatenate([b[1 + b[0] :] for b in blobs]), len(length)
+            return pa.table({"kind": pa.array(np.zeros(n), pa.int32()), "key": pa.array(np.zeros(n), pa.int64()), "ids": _lists(rows, np.concatenate([[0], np.cumsum(length)]))})
         cell = np.concatenate(blobs).view(np.uint64)
         low = cell & tk.U64(0xFFFF)
         loc = (np.repeat(uid, [len(b) for b in blobs]) << 16) + (low >> tk.U64(1)).astype(np.int64)
@@ -252,20 +267,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = docs.mapInArrow(_emit(shingle, num, den, bits), _CELLS).groupBy("bucket").applyInArrow(_meet(hot), _FOUND)
     found = scratch.table(found, "found")
 
-    about = found.filter("kind = 0").select(*(F.col("ids")[i].alias(c) for i, c in enumerate(("id", "size", "node", "loc", "margin0", "margin1"))), F.slice("ids", 7, SKETCH_BITS // 64).alias("sketch"))
+    about = found.filter("kind = 0").select(*(F.col("ids")[i].alias(c) for i, c in enumerate(("id", "size", "node", "loc", "margin0", "margin1"))), F.expr("slice(ids, 8, int(ids[6]))").alias("sketch"), F.expr("slice(ids, 8 + int(ids[6]), size(ids))").alias("wider"))
     rows = about.select("id", "size", "node")
     place = about.filter("size > 0").select("loc", "node")
-    nodes = scratch.table(about.filter("size > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = scratch.table(about.filter("size > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("wider").alias("wider")), "nodes")
 
     lists = found.filter("kind = 1").groupBy("key").agg(F.first("ids").alias("ids"))
     lists = lists.select("key", F.explode("ids").alias("loc")).join(place, "loc").groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("members"))
     lists = scratch.table(lists.filter("size(members) > 1").select("members").distinct(), "lists")
     frequent = found.filter("kind = 2").select(F.col("key").alias("lead"), *(F.col("ids")[i].alias(c) for i, c in enumerate(("loc", "slot", "times"))))
     frequent = frequent.groupBy("lead", "loc", "slot").agg(F.sum("times").alias("times"))
-    frequent = scratch.table(frequent.join(place, "loc").join(place.select(F.col("loc").alias("lead"), F.col("node").alias("leader")), "lead"), "frequent")
+    frequent = frequent.join(place, "loc").join(nodes.select("node", "size"), "node")
+    frequent = scratch.table(frequent.join(place.select(F.col("loc").alias("lead"), F.col("node").alias("leader")), "lead"), "frequent")
+    # the member whose signatures are frequent for the greatest part is the least edited copy: it links to any member that has a link
+    middle = frequent.groupBy("loc").agg(F.first("node").alias("node"), (F.sum("times") / F.first("size")).alias("share"))
+    middle = frequent.select("lead", "loc").distinct().join(middle, "loc").groupBy("lead").agg(F.max_by("node", F.struct("share", "node")).alias("middle"))
+    stars = frequent.select(F.col("leader").alias("x"), "node").union(frequent.join(middle, "lead").select("middle", "node")).filter("x <> node")
 
     star = lists.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, hot)).alias("b"))
-    star = star.union(frequent.filter("node <> leader").select(F.least("node", "leader"), F.greatest("node", "leader"))).distinct()
+    star = star.union(stars.select(F.least("x", "node"), F.greatest("x", "node"))).distinct()
     check = lambda pairs, name: scratch.table(_verified(pairs, nodes, docs, scratch, shingle, num, den), name)
     star = scratch.table(_comparable(star, nodes, num, den), "star")
     links = check(star, "links")
@@ -301,10 +321,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _comparable(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs whose sizes and sketches don't rule out a link."""
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    return sized.filter(apart * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b")
+    side = lambda c: nodes.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("size", "sketch", "wider")))
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("size_a", "size_b") * den >= F.greatest("size_a", "size_b") * num)
+    # the smaller set has a second sketch where the larger one's is wider
+    level = lambda c, d: F.when(F.size(f"sketch_{c}") < F.size(f"sketch_{d}"), F.col(f"wider_{c}")).otherwise(F.col(f"sketch_{c}"))
+    apart = F.aggregate(F.zip_with(level("a", "b"), level("b", "a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return sized.filter(apart * (den + num) <= (F.col("size_a") + F.col("size_b")) * (den - num)).select("a", "b")
 
 
 def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -323,18 +345,32 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scra
 
 
 def _prefix_pairs(tight: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch, n: int, num: int, den: int) -> DataFrame:
-    """Pairs of ``tight`` sets in different components that share one of their rarest ``size - ceil(num/den * size) + 1`` shingles."""
+    """Pairs of ``tight`` sets in different components that share one of their rarest shingles.
+
+    ``common`` counts a set's shingles that other components have too; no partner can share more. A link needs
+    ``num/den * size`` of them at least, so it shows among the rarest ``common - ceil(num/den * size) + 1``. In a group of many
+    near copies the counts and the sketches rule out nearly all pairs with a copy that has been edited too much for a
+    link, before the join puts them out.
+    """
     grams = _texts(tight.select("node"), nodes, docs).mapInArrow(_explode_sets(n), "node long, size long, gram long").distinct()
     grams = scratch.table(grams.join(tight, "node"), "grams")
     df = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    order = Window.partitionBy("node").orderBy("df", "gram")
-    ranked = grams.join(df, "gram").withColumn("pos", F.row_number().over(order))
-    ranked = ranked.filter("lo < hi").filter(F.col("pos") <= F.col("size") - F.ceil(F.col("size") * num / den) + 1)
-    ranked = scratch.table(ranked.select("gram", "node", "comp", "size"), "prefixes")
+    mine = Window.partitionBy("node")
+    ranked = grams.join(df.filter("lo < hi"), "gram").withColumn("pos", F.row_number().over(mine.orderBy("df", "gram"))).withColumn("common", F.count(F.lit(1)).over(mine))
+    ranked = ranked.filter(F.col("pos") <= F.col("common") - F.ceil(F.col("size") * num / den) + 1)
+    ranked = scratch.table(ranked.select("gram", "node", "comp", "size", "common"), "prefixes")
     # the largest component of a shingle is compared with the others only
     main = ranked.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("gram").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("gram", "main")
     ranked = ranked.join(main, "gram")
-    rest = ranked.filter("comp <> main").select("gram", F.col("node").alias("x"), F.col("comp").alias("xc"), F.col("size").alias("xs"))
+    words = SKETCH_BITS // 64
+    fold = F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda i: F.aggregate(F.filter("sketch", lambda _, j: j % words == i), F.lit(0).cast("long"), lambda t, x: t.bitwiseXOR(x)))
+    folded = nodes.join(ranked.select("node").distinct(), "node").select("node", fold.alias("s"))
+    folded = folded.select("node", *(F.col("s")[i].alias(f"s{i}") for i in range(words)))
+    ranked = ranked.join(folded, "node")
+    rest = ranked.filter("comp <> main").select("gram", F.col("node").alias("x"), F.col("comp").alias("xc"), F.col("size").alias("xs"), F.col("common").alias("xm"), *(F.col(f"s{i}").alias(f"x{i}") for i in range(words)))
     apart = (F.col("xc") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("x") < F.col("node")))
     apart &= F.least("xs", "size") * den >= F.greatest("xs", "size") * num
+    apart &= F.least("xm", "common") * (num + den) >= (F.col("xs") + F.col("size")) * num
+    odd = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"x{i}"))) for i in range(words)), F.lit(0))
+    apart &= odd * (num + den) <= (F.col("xs") + F.col("size")) * (den - num)
     return rest.join(ranked, "gram").filter(apart).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
