@@ -250,7 +250,7 @@ def _explode_sets(n: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 75, den: int = 100, hot: int = 48) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 75, den: int = 100, hot: int = 24) -> DataFrame:
     """Classes of documents that are linked, directly or through others, by a shingle similarity of num/den or more.
 
     Returns one row per input row with a non-null id: the id, ``n_shingles`` and ``component_id``, the smallest id
@@ -269,34 +269,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     about = found.filter("kind = 0").select(*(F.col("ids")[i].alias(c) for i, c in enumerate(("id", "size", "node", "loc", "margin0", "margin1"))), F.expr("slice(ids, 8, int(ids[6]))").alias("sketch"), F.expr("slice(ids, 8 + int(ids[6]), size(ids))").alias("wider"))
     rows = about.select("id", "size", "node")
-    place = about.filter("size > 0").select("loc", "node")
+    place = about.filter("size > 0").select("loc", "node", "size")
     nodes = scratch.table(about.filter("size > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("wider").alias("wider")), "nodes")
 
     lists = found.filter("kind = 1").groupBy("key").agg(F.first("ids").alias("ids"))
-    lists = lists.select("key", F.explode("ids").alias("loc")).join(place, "loc").groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("members"))
+    lists = lists.select("key", F.explode("ids").alias("loc")).join(place, "loc").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("node", "size"))).alias("members"))
     lists = scratch.table(lists.filter("size(members) > 1").select("members").distinct(), "lists")
     frequent = found.filter("kind = 2").select(F.col("key").alias("lead"), *(F.col("ids")[i].alias(c) for i, c in enumerate(("loc", "slot", "times"))))
     frequent = frequent.groupBy("lead", "loc", "slot").agg(F.sum("times").alias("times"))
-    frequent = frequent.join(place, "loc").join(nodes.select("node", "size"), "node")
+    frequent = frequent.join(place, "loc")
     frequent = scratch.table(frequent.join(place.select(F.col("loc").alias("lead"), F.col("node").alias("leader")), "lead"), "frequent")
     # the member whose signatures are frequent for the greatest part is the least edited copy: it links to any member that has a link
     middle = frequent.groupBy("loc").agg(F.first("node").alias("node"), (F.sum("times") / F.first("size")).alias("share"))
     middle = frequent.select("lead", "loc").distinct().join(middle, "loc").groupBy("lead").agg(F.max_by("node", F.struct("share", "node")).alias("middle"))
     stars = frequent.select(F.col("leader").alias("x"), "node").union(frequent.join(middle, "lead").select("middle", "node")).filter("x <> node")
 
+    fits = lambda x, y: F.least(x["size"], y["size"]) * den >= F.greatest(x["size"], y["size"]) * num
     star = lists.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, hot)).alias("b"))
-    star = star.union(stars.select(F.least("x", "node"), F.greatest("x", "node"))).distinct()
+    star = star.filter(fits(F.col("a"), F.col("b"))).select("a.node", "b.node").union(stars.select(F.least("x", "node"), F.greatest("x", "node"))).toDF("a", "b").distinct()
     check = lambda pairs, name: scratch.table(_verified(pairs, nodes, docs, scratch, shingle, num, den), name)
     star = scratch.table(_comparable(star, nodes, num, den), "star")
     links = check(star, "links")
     comps = connected_components(links, scratch)
 
     # pairs of the remaining groups that lie in different components
-    known = comps.withColumnRenamed("node", "member")
-    labelled = lists.select(F.xxhash64("members").alias("key"), F.explode("members").alias("member")).join(known, "member", "left")
-    labelled = labelled.select("key", F.struct(F.coalesce("component", "member").alias("comp"), F.col("member").alias("node")).alias("m"))
+    labelled = lists.select(F.xxhash64("members").alias("key"), F.inline("members")).join(comps, "node", "left")
+    labelled = labelled.select("key", F.struct(F.coalesce("component", "node").alias("comp"), "node", "size").alias("m"))
     labelled = labelled.groupBy("key").agg(F.array_sort(F.collect_set("m")).alias("ms")).filter("ms[0].comp <> ms[size(ms) - 1].comp")
-    cross = labelled.select(F.explode("ms").alias("x"), "ms").select("x", F.explode(F.filter("ms", lambda y: y["comp"] > F.col("x.comp"))).alias("y"))
+    cross = labelled.select(F.explode("ms").alias("x"), "ms").select("x", F.explode(F.filter("ms", lambda y: (y["comp"] > F.col("x.comp")) & fits(F.col("x"), y))).alias("y"))
     cross = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
     # sets that could have met a partner only in frequent signatures
