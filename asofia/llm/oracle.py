@@ -43,3 +43,55 @@ select p.page_id, cast(p.payload_bytes as bigint) as payload_bytes, p.payload_di
   case when page_id <> first then first end as refers_to
 from p left join g using (payload_digest, payload_bytes)
 """
+
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+
+JACCARD = rf"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORDS}) as w from documents
+), s as (
+  select doc_id, list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from w
+), x as (
+  select doc_id, len(g) as n, unnest(g) as g from s
+), p as (
+  select a.doc_id as a, b.doc_id as b, any_value(a.n) as an, any_value(b.n) as bn, count(*) as c from x a join x b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2
+), links as (
+  select a, b from p where 100 * c >= 75 * (an + bn - c)
+), reach(a, b) as (
+  select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a
+)
+select doc_id, len(g)::bigint as n_shingles, least(doc_id, coalesce((select min(b) from reach where a = doc_id), doc_id)) as component_id from s
+"""
+
+
+def _covered(n: int) -> str:
+    """Words in n-word windows that the text holds twice or more."""
+    return f"""
+  c{n} as (
+    select doc_id, i, length(x) as size, max(again) over (partition by doc_id order by i rows between {n - 1} preceding and current row) as hit from (
+      select doc_id, i, x, g is not null and count(*) over (partition by doc_id, g) > 1 as again from (
+        select doc_id, i, w[i] as x, case when i + {n - 1} <= len(w) then array_to_string(w[i:i + {n - 1}], ' ') end as g from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d)))
+  ),
+  s{n} as (select doc_id, count(case when hit then 1 end) as words, coalesce(sum(case when hit then size end), 0) as chars from c{n} group by doc_id)"""
+
+
+def rules(limits: dict[int, float], line_limit: float) -> str:
+    grams = sorted({3, *limits})
+    return rf"""
+with d as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), {_WORDS}) as w from documents
+), l as (
+  select doc_id, x, row_number() over (partition by doc_id, x order by i) as k, length(array_to_string(regexp_extract_all(x, {_WORDS}), '')) as size
+  from (select doc_id, unnest(string_split(text, chr(10))) as x, unnest(range(len(string_split(text, chr(10))))) as i from d)
+), lines as (
+  select doc_id, count(*) as n, sum(size) as chars from l where size > 0 and k > 1 group by doc_id
+), {",".join(map(_covered, grams))}
+select *, not base_failed and line_chars <= {line_limit} * word_chars {" ".join(f"and chars_{n}gram <= {x} * word_chars" for n, x in limits.items())} as kept
+from (
+  select d.doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+    coalesce(lines.n, 0)::bigint as n_dup_lines, coalesce(s3.words, 0)::bigint as n_repeat_words, len(w) < 50 or 100 * coalesce(s3.words, 0) > 50 * len(w) as base_failed,
+    coalesce(lines.chars, 0)::bigint as line_chars, {", ".join(f"coalesce(s{n}.chars, 0)::bigint as chars_{n}gram" for n in limits)}
+  from d left join lines using (doc_id) {" ".join(f"left join s{n} using (doc_id)" for n in grams)}
+)
+"""

@@ -12,7 +12,7 @@ from asofia.llm.classifier import quality_scores, train
 from asofia.llm.decontam import contaminated
 from asofia.llm.jaccard import jaccard_components
 from asofia.llm.packing import packed_sequences
-from asofia.llm.rules import quality_rules
+from asofia.llm.rules import LINE_LIMIT, NGRAM_LIMITS, quality_rules
 from asofia.llm.tokens import token_counts
 from asofia.llm.urls import RULES, judge_urls
 from asofia.llm.warc import round_trip
@@ -86,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": oracle.WARC,
+    "op2_ngram_jaccard_join": oracle.JACCARD,
+    "op3_quality_rules": oracle.rules(NGRAM_LIMITS, LINE_LIMIT),
     "op6_url_filters": oracle.URLS,
     "op8_chat_formatting": oracle.CHATS,
 }

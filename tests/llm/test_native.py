@@ -8,7 +8,7 @@ from asofia.llm import chat, oracle, queries, urls
 from duck import rows, same
 
 
-@pytest.mark.parametrize("name", ["op6_url_filters", "op8_chat_formatting"])
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_matches_sql(spark, name):
     same(spark, queries.QUERIES[name], queries.ORACLE_SQL[name])
 
