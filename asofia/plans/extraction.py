@@ -108,7 +108,7 @@ def page_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """select page_id, page_id % 3 > 0 as is_withdrawn, coalesce(case when page_id % 3 > 0 and page_id % 5 > 0 then date '2021-03-01' + cast(page_id % 28 as integer) end, date '1900-01-01') as withdrawn_on,
-    list_distinct([(page_id * 3 % 50)::varchar, (page_id * 7 % 50)::varchar])::varchar as linked, case when page_id % 4 = 0 then 'docs/' || page_id || '.pdf' else '-' end as pdf
+    '[' || (page_id * 3 % 50) || ', ' || (page_id * 7 % 50) || ']' as linked, case when page_id % 4 = 0 then 'docs/' || page_id || '.pdf' else '-' end as pdf
     from pages where page_id <> page_id * 3 % 50 and page_id <> page_id * 7 % 50 and page_id * 3 % 50 <> page_id * 7 % 50"""
 )
 def page_marks(spark: SparkSession, d: str) -> DataFrame:
@@ -127,9 +127,6 @@ def page_marks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-ORACLE["page_marks"] = ORACLE["page_marks"].replace("list_distinct([(page_id * 3 % 50)::varchar, (page_id * 7 % 50)::varchar])::varchar", "'[' || (page_id * 3 % 50) || ', ' || (page_id * 7 % 50) || ']'")
-
-
 @query(
     """with rows as (select l_orderkey as page, l_linenumber as pos, min(l_partkey) as part from lineitem group by all),
     h as (select *, case when pos = 1 then 'Section ' || part % 5 when pos % 3 = 2 then null end as named, case when pos % 3 = 2 then date '2024-01-01' + cast(part % 300 as integer) end as day from rows),
