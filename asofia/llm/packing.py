@@ -20,7 +20,7 @@ END_ID = 2
 #: Lengths are planned in steps of this many tokens.
 STEP = 16
 #: Words that a Python worker remembers at most; the memory is emptied beyond that.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 SHARD_PIECES = 200_000
 
 _tokenizers: dict[str, tuple] = {}
@@ -72,7 +72,7 @@ def encode(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 def _pieces(path: str, capacity: int):
     def run(batches):
         for batch in batches:
-            for part in tk.pieces(batch, 1, max_bytes=4 << 20):
+            for part in tk.pieces(batch, 1, max_bytes=1 << 20):
                 ids, offs = encode(part.column(1), path)
                 tokens = np.diff(offs)
                 pieces = -(-tokens // capacity)

@@ -16,7 +16,7 @@ import pyarrow as pa
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C55  # odd, and _BASE - 1 has one factor of two
 _BASE_INV = pow(_BASE, -1, 1 << 64)
-_SPAN = 1 << 20
+_SPAN = 1 << 18
 
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -62,8 +62,11 @@ def byte_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
-def pieces(batch: pa.RecordBatch, text: int, max_bytes: int = 2 << 20, max_rows: int = 16384) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into slices of few bytes (a longer row is a slice of its own), which bounds the working memory."""
+def pieces(batch: pa.RecordBatch, text: int, max_bytes: int = 1 << 20, max_rows: int = 16384) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into slices of few bytes (a longer row is a slice of its own), which bounds the working memory.
+
+    What Arrow keeps for reuse is given back after each batch, since workers stay for later stages.
+    """
     _, offs = byte_column(batch.column(text))
     start, n = 0, batch.num_rows
     while start < n:
@@ -71,6 +74,7 @@ def pieces(batch: pa.RecordBatch, text: int, max_bytes: int = 2 << 20, max_rows:
         end = min(max(end, start + 1), start + max_rows, n)
         yield batch.slice(start, end - start)
         start = end
+    pa.default_memory_pool().release_unused()
 
 
 def spans(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ from asofia.llm import textkernel as tk
 SPACE = "▁"
 #: Longer words are segmented one by one, as they hardly share prefixes.
 LONG_WORD = 64
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 _BASE = np.uint64(0xD1342543DE82EF95)
 
 _loaded: dict[str, Unigram] = {}
@@ -128,7 +128,7 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     def run(batches):
         unigram = Unigram.load(model)
         for batch in batches:
-            for piece in tk.pieces(batch, 1, max_bytes=8 << 20):
+            for piece in tk.pieces(batch, 1, max_bytes=2 << 20):
                 split = pc.ascii_split_whitespace(piece.column(1).fill_null(""))
                 bounds = split.offsets.to_numpy().astype(np.int64)
                 coded = split.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
