@@ -1,8 +1,9 @@
 """LM scoring by masked pseudo-likelihood: a network over a window predicts every word from both of its sides.
 
 The words around a position, two on each side, each add an embedding of their own for that distance; a tanh layer follows,
-and two softmax layers give the masked word's class and its place in the class. Words are hashed to a fixed
-vocabulary, so the model has one size at any size of corpus. A text's score is the sum of log P(word | both sides).
+and two softmax layers give the masked word's class and its place in the class, together its slot. The most frequent
+words have a slot each; the others share slots, and a third level, by their counts in the whole corpus, tells the words of a
+slot apart. That table grows with the corpus. A text's score is the sum of log P(word | both sides).
 
 Training covers the whole corpus: every partition trains its own copy in one pass over all of its words, and the
 copies are averaged by their number of words, layer slice by layer slice, in a Spark aggregation.
@@ -10,7 +11,7 @@ copies are averaged by their number of words, layer slice by layer slice, in a S
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from asofia.llm import textkernel as tk
+from asofia.llm.scratch import Scratch
 
 CLASSES, PLACES = 32, 64  # vocabulary: CLASSES * PLACES words
 WIDTH = 16
@@ -25,8 +27,10 @@ OFFSETS = (-2, -1, 1, 2)
 BATCH, RATE = 2048, 0.5
 #: Parameters that one row of the averaging holds.
 SLICE = 8192
-#: Two more words, for what lies before a text's first and after its last word.
+#: Slots; one more for what lies before a text's first and after its last word.
 VOCABULARY = CLASSES * PLACES
+#: The most frequent words, with a slot each; a power of two, as is the number of shared slots.
+OWN = VOCABULARY // 2
 PAD = VOCABULARY
 
 _SHAPES = {
@@ -40,6 +44,29 @@ _SHAPES = {
 SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
 
 
+@dataclass
+class Words:
+    """Counts of the corpus: ``own`` are the words with a slot each, by rank; ``word`` and ``log_count`` those of the shared slots
+    found more than once, sorted; ``log_total`` is of each slot's words together."""
+
+    own: np.ndarray
+    word: np.ndarray
+    log_count: np.ndarray
+    log_total: np.ndarray
+
+    @classmethod
+    def none(cls) -> Words:
+        return cls(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros(VOCABULARY))
+
+    def log_share(self, hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """log P(word | its slot). A word found once, or in no text of the corpus, has one count of its slot's total plus one."""
+        out = -self.log_total[ids]
+        if len(self.word):
+            at = np.minimum(np.searchsorted(self.word, hashes), len(self.word) - 1)
+            out += np.where(self.word[at] == hashes, self.log_count[at], 0)
+        return out
+
+
 @dataclass
 class Network:
     context: np.ndarray
@@ -48,6 +75,7 @@ class Network:
     class_bias: np.ndarray
     place_out: np.ndarray
     place_bias: np.ndarray
+    words: Words = field(default_factory=Words.none)
 
     @classmethod
     def of(cls, flat: np.ndarray) -> Network:
@@ -73,17 +101,21 @@ class Network:
         return np.tanh(total)
 
 
-def word_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Vocabulary id of each word (A-Z lowered), its row, and the ids around it: one line per offset."""
+def word_ids(column: pa.Array, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Slot of each word (A-Z lowered), its row, the slots around it (one line per offset), and its hash."""
     data, offs = tk.byte_column(column)
     h, row, _, _ = tk.words(data, offs, tk.LOWER)
-    ids = (h % tk.U64(VOCABULARY)).astype(np.int32)
+    ids = (OWN + (h & tk.U64(VOCABULARY - OWN - 1))).astype(np.int32)
+    if len(own):
+        order = np.argsort(own)
+        at = np.minimum(np.searchsorted(own[order], h), len(own) - 1)
+        ids = np.where(own[order][at] == h, order[at], ids).astype(np.int32)
     around = np.full((len(OFFSETS), len(ids)), PAD, dtype=np.int32)
     for k, d in enumerate(OFFSETS):
         a, b = (slice(-d, None), slice(None, d)) if d < 0 else (slice(None, -d), slice(d, None))  # word, neighbour
         same = row[a] == row[b]
         around[k, a] = np.where(same, ids[b], PAD)
-    return ids, row, around
+    return ids, row, around, h
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -150,24 +182,27 @@ def train_step(net: Network, ids: np.ndarray, around: np.ndarray, rate: float) -
         net.context[k][key[first]] += np.add.reduceat(back[order], first, axis=0)
 
 
-def _train(batches):
-    net, seen = Network.start(), 0
-    for batch in batches:
-        for piece in tk.pieces(batch, 0):
-            ids, _, around = word_ids(piece.column(0))
-            # a batch takes words from all over the piece, which makes its gradient steadier
-            order = np.random.default_rng(len(ids)).permutation(len(ids))
-            for low in range(0, len(ids), BATCH):
-                at = order[low : low + BATCH]
-                train_step(net, ids[at], around[:, at], RATE)
-            seen += len(ids)
-    if seen:
-        flat = net.flat()
-        cuts = range(0, SIZE, SLICE)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(cuts), pa.int64()), pa.array([seen] * len(cuts), pa.int64()), pa.array([flat[c : c + SLICE].astype(np.float32).tobytes() for c in cuts], pa.binary())],
-            names=["cut", "words", "weights"],
-        )
+def _train(own: np.ndarray):
+    def run(batches):
+        net, seen = Network.start(), 0
+        for batch in batches:
+            for piece in tk.pieces(batch, 0):
+                ids, _, around, _ = word_ids(piece.column(0), own)
+                # a batch takes words from all over the piece, which makes its gradient steadier
+                order = np.random.default_rng(len(ids)).permutation(len(ids))
+                for low in range(0, len(ids), BATCH):
+                    at = order[low : low + BATCH]
+                    train_step(net, ids[at], around[:, at], RATE)
+                seen += len(ids)
+        if seen:
+            flat = net.flat()
+            cuts = range(0, SIZE, SLICE)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(cuts), pa.int64()), pa.array([seen] * len(cuts), pa.int64()), pa.array([flat[c : c + SLICE].astype(np.float32).tobytes() for c in cuts], pa.binary())],
+                names=["cut", "words", "weights"],
+            )
+
+    return run
 
 
 def _average(batches):
@@ -180,35 +215,67 @@ def _average(batches):
     yield pa.RecordBatch.from_arrays([pa.array([cut], pa.int64()), pa.array([words], pa.int64()), pa.array([(total / words).astype(np.float32).tobytes()], pa.binary())], names=["cut", "words", "weights"])
 
 
+def _count(batches):
+    for batch in batches:
+        for piece in tk.pieces(batch, 0):
+            data, offs = tk.byte_column(piece.column(0))
+            found, n = np.unique(tk.words(data, offs, tk.LOWER)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], names=["word", "n"])
+
+
+def count_words(docs: DataFrame, text_col: str = "text") -> Words:
+    """Counts over every text. The driver gets 12 bytes for each word found more than once, and a number for each slot."""
+    spark = docs.sparkSession
+    counts = docs.select(F.col(text_col).alias("body")).mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = Scratch(spark, "lm-words").table(counts, "counts")
+    own = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(OWN).select("word").collect()]
+    rest = counts.join(F.broadcast(spark.createDataFrame([(w,) for w in own], "word long")), "word", "left_anti")
+    total = np.zeros(VOCABULARY)
+    for r in rest.groupBy((OWN + F.col("word").bitwiseAND(VOCABULARY - OWN - 1)).alias("slot")).agg(F.sum("n").alias("n")).collect():
+        total[r.slot] = np.log(r.n + 1)
+    table = rest.filter("n > 1").select("word", F.log("n").cast("float").alias("n")).toArrow()
+    word = table["word"].to_numpy().view(np.uint64)
+    order = np.argsort(word)
+    return Words(np.array(own, np.int64).view(np.uint64), word[order], table["n"].to_numpy()[order], total)
+
+
 def train(docs: DataFrame, text_col: str = "text") -> Network:
-    """Train on every word of every text. What reaches the driver is one model, about 0.7 MB, whatever the corpus."""
-    copies = docs.select(F.col(text_col).alias("body")).mapInArrow(_train, "cut long, words long, weights binary")
+    """Count and train on every word of every text. What reaches the driver is the table of counts and one network of about 0.7 MB."""
+    words = count_words(docs, text_col)
+    copies = docs.select(F.col(text_col).alias("body")).mapInArrow(_train(words.own), "cut long, words long, weights binary")
     # copies meet in two steps, so that no task gets a slice of every partition
     schema = "cut long, words long, weights binary"
     fold = lambda df, *by: df.groupBy("cut", *by).applyInArrow(lambda t: pa.Table.from_batches(list(_average(t.to_batches()))), schema)
     copies = fold(copies.withColumn("part", F.spark_partition_id() % 64), "part")
     rows = fold(copies).toPandas().sort_values("cut")
-    if rows.empty:
-        return Network.start()
-    return Network.of(np.concatenate([np.frombuffer(x, np.float32) for x in rows["weights"]]))
+    net = Network.of(np.concatenate([np.frombuffer(x, np.float32) for x in rows["weights"]])) if len(rows) else Network.start()
+    net.words = words
+    return net
 
 
 def pseudo_likelihood(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score each text with a trained network; one row per input row, no shuffle.
 
-    Returns the id, ``n_words``, ``log_likelihood`` (the sum of the words' conditional log-probabilities, the higher
-    the likelier) and ``mean_log_likelihood``. A null, empty or wordless text has 0 words, sum 0 and a null mean. Ids may be null or
+    Returns the id, ``n_words``, ``word_log_likelihood`` (the sum of the words' conditional log-probabilities, the higher
+    the likelier), ``mean_word_log_likelihood``, and ``log_likelihood`` and ``mean_log_likelihood``, the same of the words' slots
+    only. A word that the training texts don't have counts as found once. A null, empty or wordless text has 0 words, sums 0 and null means. Ids may be null or
     repeat. Other columns are ignored; an empty table gives an empty table. Texts are scored over their whole length.
     """
 
+    model = docs.sparkSession.sparkContext.broadcast(net)
+
     def run(batches):
+        net = model.value
         for batch in batches:
             for piece in tk.pieces(batch, 1):
-                ids, row, around = word_ids(piece.column(1))
+                ids, row, around, hashes = word_ids(piece.column(1), net.words.own)
                 count = np.bincount(row, minlength=piece.num_rows)
                 total = np.bincount(row, log_probs(net, ids, around), piece.num_rows)
-                mean = pa.array(total / np.maximum(count, 1), mask=count == 0)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(count, pa.int64()), pa.array(total, pa.float64()), mean], names=["id", "n_words", "log_likelihood", "mean_log_likelihood"])
+                whole = total + np.bincount(row, net.words.log_share(hashes, ids), piece.num_rows)
+                mean, whole_mean = (pa.array(x / np.maximum(count, 1), mask=count == 0) for x in (total, whole))
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(count, pa.int64()), pa.array(total, pa.float64()), mean, pa.array(whole, pa.float64()), whole_mean], names=names)
 
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
-    return docs.mapInArrow(run, "id long, n_words long, log_likelihood double, mean_log_likelihood double").withColumnRenamed("id", id_col)
+    kinds = "id long, n_words long, log_likelihood double, mean_log_likelihood double, word_log_likelihood double, mean_word_log_likelihood double"
+    names = [x.split()[0] for x in kinds.split(", ")]
+    return docs.mapInArrow(run, kinds).withColumnRenamed("id", id_col)

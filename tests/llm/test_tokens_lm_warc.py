@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 
@@ -99,6 +100,31 @@ def test_trained_model_prefers_texts_to_their_words_in_disorder(spark):
     assert scored.mean_log_likelihood.mean() > other.mean_log_likelihood.mean() or abs(scored.mean_log_likelihood.mean() - other.mean_log_likelihood.mean()) < 0.05
 
 
+def test_words_of_one_slot_are_told_apart(spark):
+    """More words than slots: the counted words of a slot share it by their counts, and an unknown word has a part of its own."""
+    text = [" ".join(f"w{i}" for i in range(6000) for _ in range(1 + (i % 3 == 0))) for _ in range(2)] + ["often " * 50]
+    net = lm.train(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string"))
+    assert len(net.words.own) == lm.OWN and len(net.words.word) == 6001 - lm.OWN
+    ids, _, _, h = lm.word_ids(pa.array([" ".join(f"w{i}" for i in range(6000))]), net.words.own)
+    assert (np.bincount(ids)[: lm.OWN] <= 1).all()
+    ids, h = ids[ids >= lm.OWN], h[ids >= lm.OWN]
+    total, n = np.bincount(ids, np.exp(net.words.log_share(h, ids)), lm.VOCABULARY), np.exp(net.words.log_total)
+    assert np.allclose(total[ids], 1 - 1 / n[ids], atol=1e-5)
+    assert np.allclose(np.exp(net.words.log_share(np.arange(5, dtype=np.uint64), ids[:5])), 1 / n[ids[:5]])
+
+
+def test_one_slot_two_scores(spark):
+    slot = {}
+    for i in range(9000):
+        slot.setdefault(int(lm.tk.words(*lm.tk.byte_column(pa.array([f"w{i}"])), lm.tk.LOWER)[0][0]) % (lm.VOCABULARY - lm.OWN), []).append(f"w{i}")
+    often, rare, unknown = next(x for x in slot.values() if len(x) > 2)[:3]
+    top = " ".join(f"top{i} " * 9 for i in range(lm.OWN))
+    net = lm.train(spark.createDataFrame([(1, top), (2, f"{often} " * 7 + f"{rare} " * 2)], "doc_id long, text string"))
+    scored = lm.pseudo_likelihood(spark.createDataFrame([(1, often), (2, rare), (3, unknown)], "doc_id long, text string"), net)
+    found = {r.doc_id: r.word_log_likelihood for r in scored.collect()}
+    assert np.isclose(found[1] - found[2], np.log(7 / 2)) and np.isclose(found[2] - found[3], np.log(2))
+
+
 def test_lm_odd_rows(spark):
     df, rows = odd_documents(spark)
     net = lm.train(df)
