@@ -5,8 +5,9 @@ and two softmax layers give the masked word's class and its place in the class,
 words have a slot each; the others share slots, and a third level, by their counts in the whole corpus, tells the words of a
 slot apart. That table grows with the corpus. A text's score is the sum of log P(word | both sides).
 
-Training covers the whole corpus: every partition trains its own copy in one pass over all of its words, and the
-copies are averaged by their number of words, layer slice by layer slice, in a Spark aggregation.
+Training covers the whole corpus in synchronous rounds. In each, every task trains its own copy of the current network on a
+share of its texts, and the copies are averaged by their number of words, layer slice by layer slice, in a Spark
+aggregation. Once every text has been used, rounds go on until the log-probability of held-out texts stops rising; last come those.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ CLASSES, PLACES = 32, 64  # vocabulary: CLASSES * PLACES words
 WIDTH = 16
 OFFSETS = (-2, -1, 1, 2)
 BATCH, RATE = 2048, 0.5
+#: A round takes one of so many shares of a large table's texts; one of HELD_OUT texts measures the rounds; GAIN is what a round must add, in nat a word.
+ROUNDS, HELD_OUT, GAIN = 4, 64, 0.01
+#: Small files are read together, so that a copy of the network sees so many words in one pass over all texts.
+COPY_WORDS = 1_000_000
 #: Parameters that one row of the averaging holds.
 SLICE = 8192
 #: Slots; one more for what lies before a text's first and after its last word.
@@ -47,12 +52,14 @@ SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
 @dataclass
 class Words:
     """Counts of the corpus: ``own`` are the words with a slot each, by rank; ``word`` and ``log_count`` those of the shared slots
-    found more than once, sorted; ``log_total`` is of each slot's words together."""
+    found more than once, sorted; ``log_total`` is of each slot's words together, ``seen`` the
+    number of all words."""
 
     own: np.ndarray
     word: np.ndarray
     log_count: np.ndarray
     log_total: np.ndarray
+    seen: int = 0
 
     @classmethod
     def none(cls) -> Words:
@@ -182,9 +189,11 @@ def train_step(net: Network, ids: np.ndarray, around: np.ndarray, rate: float) -
         net.context[k][key[first]] += np.add.reduceat(back[order], first, axis=0)
 
 
-def _train(own: np.ndarray):
+def _train(start: Network, own: np.ndarray):
+    flat = start.flat()
+
     def run(batches):
-        net, seen = Network.start(), 0
+        net, seen = Network.of(flat), 0
         for batch in batches:
             for piece in tk.pieces(batch, 0):
                 ids, _, around, _ = word_ids(piece.column(0), own)
@@ -195,10 +204,10 @@ def _train(own: np.ndarray):
                     train_step(net, ids[at], around[:, at], RATE)
                 seen += len(ids)
         if seen:
-            flat = net.flat()
+            out = net.flat()
             cuts = range(0, SIZE, SLICE)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(cuts), pa.int64()), pa.array([seen] * len(cuts), pa.int64()), pa.array([flat[c : c + SLICE].astype(np.float32).tobytes() for c in cuts], pa.binary())],
+                [pa.array(list(cuts), pa.int64()), pa.array([seen] * len(cuts), pa.int64()), pa.array([out[c : c + SLICE].astype(np.float32).tobytes() for c in cuts], pa.binary())],
                 names=["cut", "words", "weights"],
             )
 
@@ -236,19 +245,58 @@ def count_words(docs: DataFrame, text_col: str = "text") -> Words:
     table = rest.filter("n > 1").select("word", F.log("n").cast("float").alias("n")).toArrow()
     word = table["word"].to_numpy().view(np.uint64)
     order = np.argsort(word)
-    return Words(np.array(own, np.int64).view(np.uint64), word[order], table["n"].to_numpy()[order], total)
+    seen = counts.agg(F.sum("n")).first()[0] or 0
+    return Words(np.array(own, np.int64).view(np.uint64), word[order], table["n"].to_numpy()[order], total, seen)
 
 
-def train(docs: DataFrame, text_col: str = "text") -> Network:
-    """Count and train on every word of every text. What reaches the driver is the table of counts and one network of about 0.7 MB."""
-    words = count_words(docs, text_col)
-    copies = docs.select(F.col(text_col).alias("body")).mapInArrow(_train(words.own), "cut long, words long, weights binary")
+def _round(net: Network, own: np.ndarray, docs: DataFrame) -> tuple[Network, int]:
+    """Copies of the network trained on the texts and averaged, and the number of words they saw."""
+    copies = docs.mapInArrow(_train(net, own), "cut long, words long, weights binary")
     # copies meet in two steps, so that no task gets a slice of every partition
     schema = "cut long, words long, weights binary"
     fold = lambda df, *by: df.groupBy("cut", *by).applyInArrow(lambda t: pa.Table.from_batches(list(_average(t.to_batches()))), schema)
     copies = fold(copies.withColumn("part", F.spark_partition_id() % 64), "part")
     rows = fold(copies).toPandas().sort_values("cut")
-    net = Network.of(np.concatenate([np.frombuffer(x, np.float32) for x in rows["weights"]])) if len(rows) else Network.start()
+    if rows.empty:
+        return net, 0
+    return Network.of(np.concatenate([np.frombuffer(x, np.float32) for x in rows["weights"]])), int(rows["words"].iloc[0])
+
+
+def _measured(net: Network, own: np.ndarray, docs: DataFrame) -> float:
+    """Mean log-probability of a word's slot."""
+
+    def run(batches):
+        for batch in batches:
+            for piece in tk.pieces(batch, 0):
+                ids, _, around, _ = word_ids(piece.column(0), own)
+                yield pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int64()), pa.array([float(log_probs(net, ids, around).sum())])], names=["n", "total"])
+
+    n, total = docs.mapInArrow(run, "n long, total double").agg(F.sum("n"), F.sum("total")).first()
+    return total / n if n else -np.inf
+
+
+def train(docs: DataFrame, text_col: str = "text") -> Network:
+    """Count and train on every word of every text. What reaches the driver is the table of counts and, each round, one network
+    of about 0.7 MB. A corpus so small that no text is held out gets one pass."""
+    words = count_words(docs, text_col)
+    copies = max(1, words.seen // COPY_WORDS)
+    docs = docs.select(F.col(text_col).alias("body")).coalesce(copies)
+    key, shares = F.xxhash64("body"), min(max(1, copies), ROUNDS)
+    held = F.pmod(F.shiftright(key, 32), F.lit(HELD_OUT)) == 0
+    rest, apart = docs.filter(~held), docs.filter(held)
+    net, seen, best, n = Network.start(), 0, -np.inf, 0
+    while True:
+        new, used = _round(net, words.own, rest.filter(F.pmod(key, F.lit(shares)) == n % shares))
+        n, seen = n + 1, seen + used
+        found = _measured(new, words.own, apart)
+        if n > shares and not found > best:
+            break
+        net, last, best = new, best, found
+        if n >= shares and not best >= last + GAIN:
+            break
+    closing, used = _round(net, words.own, apart)
+    share = used / max(seen + used, 1)
+    net = Network.of((1 - share) * net.flat() + share * closing.flat())
     net.words = words
     return net
 

@@ -125,6 +125,23 @@ def test_one_slot_two_scores(spark):
     assert np.isclose(found[1] - found[2], np.log(7 / 2)) and np.isclose(found[2] - found[3], np.log(2))
 
 
+def test_real_order_beats_disorder_whatever_the_layout(spark):
+    """Texts in which every word leaves four choices for the next of 300."""
+    rng, rows = random.Random(3), []
+    for i in range(8000):
+        w = [rng.randrange(300)]
+        while len(w) < 40:
+            w.append((3 * w[-1] + rng.randrange(4)) % 300)
+        rows.append((i, " ".join(f"w{x}" for x in w)))
+    real = spark.createDataFrame(rows, "doc_id long, text string")
+    mixed = spark.createDataFrame([(i, " ".join(rng.sample(t.split(), 40))) for i, t in rows], "doc_id long, text string")
+    mean = lambda x, net: lm.pseudo_likelihood(x, net).agg({"mean_log_likelihood": "avg"}).first()[0]
+    nets = [lm.train(real.repartition(n)) for n in (1, 40)]
+    found = [mean(real, net) for net in nets]
+    assert all(x > mean(mixed, net) + 0.5 for x, net in zip(found, nets, strict=True))
+    assert abs(found[0] - found[1]) < 0.2
+
+
 def test_lm_odd_rows(spark):
     df, rows = odd_documents(spark)
     net = lm.train(df)
