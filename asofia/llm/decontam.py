@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -11,8 +11,6 @@ from asofia.llm import textkernel as tk
 from asofia.llm.scratch import Scratch
 
 GRAM = 3
-#: A seed found in at most this share of the documents makes a candidate alone; more frequent ones need a second seed nearby.
-RARE_SHARE = 1e-4
 ACCEPT = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Seeds whose offsets between document and item differ by up to half of this belong to one passage.
@@ -51,11 +49,8 @@ def _find(bitmap: np.ndarray):
                 hit = np.flatnonzero((bitmap[slot >> 3] >> (slot & 7)) & 1)
                 grams, first = grams[hit], first[hit]
                 start = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=piece.num_rows))])[row[first]]
-                key = grams ^ tk.mix(row[first].astype(np.uint64))
-                new = np.zeros(len(key), dtype=bool)
-                new[np.unique(key, return_index=True)[1]] = True
-                columns = [piece.column(0).take(pa.array(row[first])), pa.array(grams.view(np.int64)), pa.array(first - start), pa.array(new.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "gram", "pos", "once"])
+                columns = [piece.column(0).take(pa.array(row[first])), pa.array(grams.view(np.int64)), pa.array(first - start)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "gram", "pos"])
 
     return run
 
@@ -97,7 +92,8 @@ def _score(accept: float):
                     m, n = item_at[r + 1] - item_at[r], doc_at[r + 1] - doc_at[r]
                     for s in starts:
                         a, b = max(0, s - SPAN), min(n, s + 2 * SPAN + m)
-                        if b > a and m:
+                        # the score can't pass the share of the item's words that the passage has at all
+                        if b > a and m and np.isin(item[item_at[r] : item_at[r + 1]], doc[doc_at[r] + a : doc_at[r] + b]).sum() >= accept * m:
                             owner.append(r)
                             cuts.append((a, b))
                 for low in range(0, len(owner), 256):
@@ -126,8 +122,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Returns the id, ``item_id``, ``score`` and ``end_word`` (the passage's last word, counted from 1) of the best passage. The score
     is the Smith-Waterman score over words (match 2, mismatch and gap -1) as a share of the item's score with itself; pairs
     from ``accept`` on are returned. Documents without such a passage have no row. Every three-word gram of an item is a
-    seed. A gram in at most 0.01 % of the documents makes a candidate alone, two different ones about the same place make one
-    however frequent they are. Items and texts that are null, empty or have fewer than three words match nothing, as do rows with
+    seed, and one makes a candidate, however frequent it is. Items and texts that are null, empty or have fewer than three words match nothing, as do rows with
     a null id. For an id that repeats the best of its texts counts. Other columns are ignored; empty tables give an empty one.
     """
     spark = docs.sparkSession
@@ -141,14 +136,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = octets.toPandas()  # of a fixed number of octets
     bitmap[found["octet"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.uint8)
 
-    hits = docs.mapInArrow(_find(bitmap), "id long, gram long, pos long, once long")
+    hits = docs.mapInArrow(_find(bitmap), "id long, gram long, pos long")
     hits = scratch.table(hits.join(grams.select("gram").distinct(), "gram", "left_semi"), "hits")
-    rare = RARE_SHARE * docs.count()
-    seeds = grams.join(hits.groupBy("gram").agg(F.sum("once").alias("df")), "gram").withColumn("rare", F.col("df") <= rare)
-    near = hits.join(seeds, "gram").select("id", "item", "at", "rare", (F.col("pos") - F.col("at")).alias("shift"))
+    near = hits.join(grams, "gram").select("id", "item", (F.col("pos") - F.col("at")).alias("shift"))
     near = near.withColumn("start", F.explode(F.array(*(F.floor((F.col("shift") + k) / SPAN) * SPAN - k for k in (0, SPAN // 2)))))
-    near = near.groupBy("id", "item", "start").agg(F.max("rare").alias("rare"), F.min("at").alias("lo"), F.max("at").alias("hi"))
-    pairs = near.filter("rare or lo < hi").groupBy("id", "item").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    pairs = near.groupBy("id", "item").agg(F.array_sort(F.collect_set("start")).alias("starts"))
     pairs = scratch.table(pairs, "pairs")
     wanted = pairs.select("id").distinct()
     if wanted.count() <= 500_000:  # beyond that the documents are shuffled

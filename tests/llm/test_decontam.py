@@ -50,6 +50,15 @@ def test_edited_copies(spark):
     assert set(found) == {1, 2, 3, *range(10, 60)} and found[1] == found[3] == 1 and 0.7 < found[2] < 1
 
 
+def test_one_frequent_seed_is_enough(spark):
+    """Edited copies with a single common trigram left, and items of three and four words, in half of all documents."""
+    long, edited = "m1 m2 m3 m4 m5 m6 m7 m8 m9 m10 m11 m12 m13 m14 m15", "m1 m2 m3 x m5 m6 x m8 m9 x m11 m12 x m14 m15"
+    docs = [(i, f"p{i} {edited} q{i}") for i in range(20)] + [(20 + i, f"p{i} one two three q{i}") for i in range(20)] + [(40 + i, f"p{i} four five six q{i}") for i in range(20)] + [(60 + i, f"m1 m2 m3 u{i}") for i in range(20)]
+    items = spark.createDataFrame([(1, long), (2, "one two three"), (3, "four five six seven")], "item_id long, text string")
+    rows = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in rows} == {(i, 1 + i // 20): (0.6, 1.0, 0.75)[i // 20] for i in range(60)}
+
+
 def test_odd_rows(spark):
     df, _ = odd_documents(spark)
     items = df.selectExpr("doc_id as item_id", "text")
