@@ -53,7 +53,7 @@ _DATES = [("on March 5, 2024 all", "2024-03-05"), ("Sept. 30, 2021", "2021-09-30
 
 @query(f"select doc_id, coalesce({_pick([x for _, x in _DATES])}::date, date '1900-01-01') as day from documents")
 def date_parse(spark: SparkSession, d: str) -> DataFrame:
-    return _docs_with(spark, d, day=F.coalesce(text.first_date(F.concat(_cycle([x for x, _ in _DATES]), F.lit("\n"), F.substring("text", 1, 0))), F.lit("1900-01-01").cast("date")))
+    return _docs_with(spark, d, day=F.coalesce(text.first_date(F.concat(_cycle([x for x, _ in _DATES]), F.lit("\n"), "text")), F.lit("1900-01-01").cast("date")))
 
 
 _REFS = [
@@ -64,7 +64,7 @@ _REFS = [
 
 @query(f"select doc_id, {_pick([x for _, x in _REFS])} as department from documents")
 def dept_from_ref(spark: SparkSession, d: str) -> DataFrame:
-    return _docs_with(spark, d, department=extract.department(_cycle([x for x, _ in _REFS]), F.concat(F.lit("to the urban banks department\n"), F.substring("text", 1, 20))))
+    return _docs_with(spark, d, department=extract.department(_cycle([x for x, _ in _REFS]), F.concat(F.lit("to the urban banks department\n"), "text")))
 
 
 _TITLES = ["Master Direction on Loans", "Reserve Bank (Loans) Directions, 2025", "Reserve Bank (Loans) Amendment Directions, 2025", "Loans", "master directions"]

@@ -215,3 +215,13 @@ def test_hashed_search_finds_most_neighbours(spark):
     from asofia.plans.search import ann_recall
 
     assert ann_recall(spark, "/root/testdata/sf0.001").agg(F.avg("recall")).first()[0] >= 0.9
+
+
+def test_date_parse_and_dept_from_ref_read_whole_texts(spark, tmp_path):
+    from asofia.plans import extraction
+
+    rows = [(3, "word " * 500 + "issued on May 7, 2022"), (4, "word " * 500 + "Department of Regulation")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    days = {r.doc_id: str(r.day) for r in extraction.date_parse(spark, str(tmp_path)).collect()}
+    assert days[3] == "2022-05-07"
+    assert extraction.dept_from_ref(spark, str(tmp_path)).filter("doc_id = 4").first().department == "Department of Regulation"
