@@ -4,76 +4,182 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from asofia.llm import textkernel as tk
 from asofia.llm.scratch import Scratch
+from asofia.llm.wordtable import WordTable, gather
 
 CAPACITY = 4096
 END_ID = 2
 #: Lengths are planned in steps of this many tokens.
 STEP = 16
-#: Words that a Python worker remembers at most; the memory is emptied beyond that.
-CACHE_WORDS = 400_000
+#: A Python worker remembers words in 2**TABLE_BITS slots and POOL_IDS ids at most; both together hold 32 MB.
+TABLE_BITS, POOL_IDS = 20, 4_000_000
 SHARD_PIECES = 200_000
 
-_tokenizers: dict[str, tuple] = {}
+_LETTER, _DIGIT, _OTHER = 1, 2, 3
+_KIND = np.full(256, _OTHER, dtype=np.uint8)
+_KIND[tk.SEPARATOR] = 0
+_KIND[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = _LETTER
+_KIND[128:] = _LETTER  # U+00C0 to U+00FF without the signs U+00D7 and U+00F7; other characters don't come here
+_KIND[list(b"0123456789")] = _DIGIT
 
+#: Stands between words that go to the tokenizer together.
+MARK = b" \x01 "
 
-def _loaded(path: str):
-    if path not in _tokenizers:
+_encoders: dict[str, Encoder] = {}
+
+
+def _pretokens(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the tokenizer's own pre-tokens in words of ASCII and Latin-1 letters: letter runs, digits, runs of other characters,
+    and the endings 's 't 're 've 'm 'll 'd. Words marked ``whole`` stay in one part."""
+    n = len(low)
+    kind = _KIND[low]
+    word_start = np.zeros(n + 3, dtype=bool)
+    word_start[starts] = True
+    word_start[n:] = True
+    begin = word_start.copy()
+    begin[:n] |= kind == _DIGIT
+    begin[1:n] |= kind[1:] != kind[:-1]
+    # an apostrophe that begins a run and an ending behind it make one part
+    at = np.flatnonzero(low == 39)
+    at = at[begin[at] & ~word_start[at + 1]]
+    one, two = (np.append(low, [0, 0])[at + k] for k in (1, 2))
+    short = np.isin(one, list(b"stmd"))
+    pair = np.isin(one.astype(np.int64) << 8 | two, [ord(x) << 8 | ord(y) for x, y in ("re", "ve", "ll")]) & ~word_start[at + 2]
+    begin[at[short | pair] + 1] = False
+    begin[at[short] + 2] = True
+    begin[at[pair] + 3] = True
+    inside = np.zeros(n + 1, dtype=np.int8)
+    inside[starts[~whole]] += 1
+    inside[ends[~whole]] -= 1
+    begin[:n] &= np.cumsum(inside[:n], dtype=np.int8).astype(bool)
+    begin[starts] = True
+    first = np.flatnonzero(begin[:n])
+    word = np.searchsorted(starts, first, "right") - 1
+    return first, np.minimum(np.append(first[1:], n), ends[word])
+
+
+class Encoder:
+    """A tokenizer with a memory of words. It drops white space and never joins what it separates, so a text's ids are those of its parts."""
+
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    return _tokenizers[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.is_last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        (self.mark,) = self._ids(MARK.decode())
+        self.table = WordTable(TABLE_BITS, start=np.int32, size=np.int32)
+        self.pool, self.used = np.zeros(POOL_IDS, dtype=np.uint32), 0
 
+    @classmethod
+    def load(cls, path: str) -> Encoder:
+        if path not in _encoders:
+            _encoders[path] = cls(path)
+        return _encoders[path]
 
-def encode(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts end to end, each with END_ID after it, and their offsets.
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    The tokenizer drops white space and never joins what it separates, so a text's ids are those of its words, and
-    each distinct word is encoded once. ASCII capitals are lowered first, as the tokenizer does itself.
-    """
-    tokenizer, known = _loaded(path)
-    column = column.fill_null("")
-    split = pc.ascii_split_whitespace(pc.ascii_lower(column))
-    bounds = split.offsets.to_numpy().astype(np.int64)
-    coded = split.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
-    bounds = bounds - bounds[0]
-    distinct = coded.dictionary.to_pylist()
-    new = [w for w in distinct if w not in known]
-    if len(known) + len(new) > CACHE_WORDS:
-        known.clear()
-        new = distinct
-    for at in range(0, len(new), 10_000):
-        part = new[at : at + 10_000]
-        for word, got in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-            known[word] = np.array(got.ids, dtype=np.uint32).tobytes()
-    found = [known[w] for w in distinct] + [np.uint32(END_ID).tobytes()]
-    pool = np.frombuffer(b"".join(found), dtype=np.uint32)
-    size = np.array([len(x) for x in found], dtype=np.int64) // 4
-    start = np.concatenate([[0], np.cumsum(size)])[:-1]
-    rows = len(bounds) - 1
-    order = np.full(len(coded) + rows, len(distinct), dtype=np.int64)  # each row's words, then the end
-    order[np.arange(len(coded)) + np.repeat(np.arange(rows), np.diff(bounds))] = coded.indices.to_numpy()
-    length = size[order]
-    total = np.concatenate([[0], np.cumsum(length)])
-    ids = pool[np.arange(total[-1]) + np.repeat(start[order] - total[:-1], length)]
-    return ids, total[bounds + np.arange(rows + 1)]
+    def _new(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of parts end to end, and where each part's begin and how many it has.
+
+        Pre-tokens, each of which ends with its only word-end id, go to the tokenizer many at a time with spaces between; those
+        that are ``whole`` words with a control character between, and those that may hold that one or a special token ``alone``.
+        """
+        ids, size = [np.zeros(0, np.uint32)], np.zeros(len(starts), dtype=np.int64)
+        plain, joined, single = (np.flatnonzero(x) for x in (~whole, whole & ~alone, whole & alone))
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            got = self._ids(gather(low, starts[part], ends[part], after=b" ").tobytes().decode())
+            size[part] = np.diff(np.flatnonzero(self.is_last[got]), prepend=-1)
+            ids.append(got)
+        for at in range(0, len(joined), 4096):
+            part = joined[at : at + 4096]
+            got = self._ids(gather(low, starts[part], ends[part], after=MARK).tobytes().decode())
+            mark = got == self.mark
+            size[part] = np.diff(np.flatnonzero(mark), prepend=-1) - 1
+            ids.append(got[~mark])
+        for i in single.tolist():
+            ids.append(self._ids(low[starts[i] : ends[i]].tobytes().decode()))
+            size[i] = len(ids[-1])
+        order = np.concatenate([plain, joined, single])
+        begin = np.empty(len(order), dtype=np.int64)
+        begin[order] = np.cumsum(size[order]) - size[order]
+        return np.concatenate(ids), begin, size
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, each with END_ID after it, and their offsets.
+
+        ASCII capitals are lowered first, as the tokenizer does itself, but not in words with '<|', which may spell a special token.
+        Words with characters beyond Latin-1's letters are not cut into pre-tokens here.
+        """
+        data, offs = tk.byte_column(column)
+        starts, ends = tk.spans(~tk.SEPARATOR[data], offs)
+        count = lambda flags: np.concatenate([[0], np.cumsum(flags, dtype=np.int32)])
+        wide = data >= 128
+        latin = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7))
+        wide[latin] = wide[latin + 1] = False
+        wide = count(wide)
+        whole = wide[ends] > wide[starts]
+        alone = np.zeros(len(starts), dtype=bool)
+        low = tk.LOWER[data]
+        pipes = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+        marks = np.flatnonzero(data == MARK[1])
+        if len(pipes) or len(marks):
+            alone[np.searchsorted(starts, np.concatenate([pipes, marks]), "right") - 1] = True
+            for a, b in zip(starts[alone], ends[alone], strict=True):
+                low[a:b] = data[a:b]
+            whole |= alone
+        first, last = _pretokens(low, starts, ends, whole)
+        hashes = tk.hash_spans(low, first, last)
+        slot = self.table.find(hashes)
+        missing = np.flatnonzero(slot < 0)
+        keys, at, which = np.unique(hashes[missing], return_index=True, return_inverse=True)
+        at = missing[at]
+        word = np.searchsorted(starts, first[at], "right") - 1
+        new, begin, size = self._new(low, first[at], last[at], whole[word], alone[word])
+        pool = np.concatenate([self.pool[: self.used], new, np.array([END_ID], dtype=np.uint32)])
+        start, length = self.table.values["start"][slot].astype(np.int64), self.table.values["size"][slot].astype(np.int64)
+        start[missing], length[missing] = self.used + begin[which], size[which]
+        self._remember(keys, begin, size, new)
+        rows = len(offs) - 1
+        row = tk.row_of(first, offs)
+        end = np.cumsum(np.bincount(row, minlength=rows)) + np.arange(rows)  # each row's parts, then the end
+        order = np.arange(len(first)) + row
+        begins, sizes = np.full(len(first) + rows, len(pool) - 1), np.ones(len(first) + rows, dtype=np.int64)
+        begins[order], sizes[order] = start, length
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        ids = pool[np.arange(total[-1]) + np.repeat(begins - total[:-1], sizes)]
+        return ids, np.concatenate([[0], total[end + 1]])
+
+    def _remember(self, keys: np.ndarray, begin: np.ndarray, size: np.ndarray, new: np.ndarray) -> None:
+        if len(new) > POOL_IDS // 4:
+            return
+        if self.used + len(new) > POOL_IDS:
+            self.table.clear()
+            self.used = 0
+        self.table.put(keys, start=self.used + begin, size=size)
+        self.pool[self.used : self.used + len(new)] = new
+        self.used += len(new)
 
 
 def _pieces(path: str, capacity: int):
     def run(batches):
+        encoder = Encoder.load(path)
         for batch in batches:
             for part in tk.pieces(batch, 1, max_bytes=1 << 20):
-                ids, offs = encode(part.column(1), path)
+                ids, offs = encoder.encode(part.column(1))
                 tokens = np.diff(offs)
                 pieces = -(-tokens // capacity)
                 row = np.repeat(np.arange(len(tokens)), pieces)
