@@ -225,7 +225,8 @@ def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int, gap: float = 1e-3
     """Patterns (how many pieces of each size) and how often to use each, so that all pieces are placed.
 
     The linear program over patterns starts with one pattern per size; the knapsack prices further ones until none
-    improves the bound by more than ``gap``. Whole uses are kept; what rounding leaves over is placed largest first.
+    improves the bound by more than ``gap``, or ends after ``rounds`` patterns; all pieces are placed however early it ends. Whole
+    uses are kept; what rounding leaves over is placed largest first.
     """
     order = np.argsort(sizes)
     sizes, counts = sizes[order], counts[order].astype(float)

@@ -1,6 +1,8 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -36,6 +38,29 @@ def test_odd_rows(spark):
     assert packing.packed_sequences(df.limit(0), PATH).count() == 0
 
 
+def test_ids_of_odd_strings():
+    """Capitals of special tokens, endings behind apostrophes, accents composed or not, signs, control characters and other white space."""
+    rng, tokenizer, encoder = random.Random(11), Tokenizer.from_file(PATH), packing.Encoder(PATH)
+    parts = [*"abcdefgXYZstmdrevl01239\"!.,<<||>_- \t\n\r\x0b\x0c\x00\x01\x1c\x1f\x7f'''éÉ×÷ÿÀñüßİΣσ中文😀ﬁⅧ٣", "é", "ñ", " ", " ", "\u0085", "　", "'s", "'re", "'LL", "'M", "</w>"]
+    parts += ["<|startoftext|>", "<|STARTOFTEXT|>", "<|EndOfText|>", "<|endoftext|>"]
+    texts = ["<|STARTOFTEXT|> hi", "<|EndOfText|>x", "", None, "'", "''s", "it's", "a'll'd'", *("".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(4000))]
+    want = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, packing.END_ID] for t in texts]
+    for _ in range(2):  # the second time from memory
+        ids, offs = encoder.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(offs[:-1], offs[1:], strict=True)] == want
+    assert encoder.encode(pa.array([], pa.string()))[1].tolist() == [0]
+
+
+def test_memory_of_words_may_overflow(monkeypatch):
+    monkeypatch.setattr(packing, "POOL_IDS", 5000)
+    monkeypatch.setattr(packing, "TABLE_BITS", 8)
+    tokenizer, encoder = Tokenizer.from_file(PATH), packing.Encoder(PATH)
+    for low in range(0, 3000, 300):
+        texts = [f"w{i} odd{i * i}é {i % 7}" for i in range(low, low + 400)]
+        ids, offs = encoder.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(offs[:-1], offs[1:], strict=True)] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
 def test_plan_places_every_piece():
     rng = np.random.default_rng(2)
     for _ in range(20):
