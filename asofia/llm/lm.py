@@ -5,31 +5,35 @@ and two softmax layers give the masked word's class and its place in the class,
 words have a slot each; the others share slots, and a third level, by their counts in the whole corpus, tells the words of a
 slot apart. That table grows with the corpus. A text's score is the sum of log P(word | both sides).
 
-Training covers the whole corpus in synchronous rounds. In each, every task trains its own copy of the current network on a
-share of its texts, and the copies are averaged by their number of words, layer slice by layer slice, in a Spark
-aggregation. Once every text has been used, rounds go on until the log-probability of held-out texts stops rising; last come those.
+Training covers the whole corpus in synchronous rounds. The first one starts from the words' own frequencies, so whatever the sides add
+comes on top of these. In each round every task trains a copy of the current network on a share of its texts, and the copies
+are averaged by their number of words, layer slice by layer slice, in a Spark aggregation.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from asofia.llm import textkernel as tk
 from asofia.llm.scratch import Scratch
 
-CLASSES, PLACES = 32, 64  # vocabulary: CLASSES * PLACES words
+CLASSES, PLACES = 16, 128  # vocabulary: CLASSES * PLACES words
 WIDTH = 16
 OFFSETS = (-2, -1, 1, 2)
-BATCH, RATE = 2048, 0.5
-#: A round takes one of so many shares of a large table's texts; one of HELD_OUT texts measures the rounds; GAIN is what a round must add, in nat a word.
-ROUNDS, HELD_OUT, GAIN = 4, 64, 0.01
-#: Small files are read together, so that a copy of the network sees so many words in one pass over all texts.
-COPY_WORDS = 1_000_000
+#: Positions of a step, and the first round's pace; the pace falls evenly to a ROUNDSth part.
+BATCH, RATE = 4096, 0.04
+#: A table is trained on in so many rounds, each on another share of its texts.
+ROUNDS = 4
+#: Small files are read together, so that a copy of the network sees so many words; a smaller table is gone over again, PASSES times at most.
+COPY_WORDS, PASSES = 1_000_000, 8
+#: Counts of words that are broadcast at most (12 bytes each); beyond that, texts' words and their counts meet in a join.
+BROADCAST_WORDS = 4_000_000
 #: Parameters that one row of the averaging holds.
 SLICE = 8192
 #: Slots; one more for what lies before a text's first and after its last word.
@@ -52,18 +56,20 @@ SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
 @dataclass
 class Words:
     """Counts of the corpus: ``own`` are the words with a slot each, by rank; ``word`` and ``log_count`` those of the shared slots
-    found more than once, sorted; ``log_total`` is of each slot's words together, ``seen`` the
-    number of all words."""
+    found more than once, sorted; ``log_total`` is of each shared slot's words together, ``slot_n`` counts the words of each
+    slot, ``seen`` all words. Beyond BROADCAST_WORDS ``word`` stays empty and ``table`` has the counts."""
 
     own: np.ndarray
     word: np.ndarray
     log_count: np.ndarray
     log_total: np.ndarray
+    slot_n: np.ndarray
     seen: int = 0
+    table: DataFrame | None = None
 
     @classmethod
     def none(cls) -> Words:
-        return cls(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros(VOCABULARY))
+        return cls(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros(VOCABULARY), np.zeros(VOCABULARY))
 
     def log_share(self, hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """log P(word | its slot). A word found once, or in no text of the corpus, has one count of its slot's total plus one."""
@@ -94,9 +100,14 @@ class Network:
         return cls(**parts)
 
     @classmethod
-    def start(cls) -> Network:
-        """The same small random weights wherever training begins."""
-        return cls.of(np.random.default_rng(7).normal(0, 0.1, SIZE))
+    def start(cls, slot_n: np.ndarray | None = None) -> Network:
+        """The same small random weights wherever training begins, with biases by which each slot has the share of its count plus one."""
+        net = cls.of(np.random.default_rng(7).normal(0, 0.1, SIZE))
+        count = (np.zeros(VOCABULARY) if slot_n is None else slot_n).reshape(CLASSES, PLACES) + 1
+        net.bias[:] = 0
+        net.class_bias[:] = np.log(count.sum(axis=1) / count.sum())
+        net.place_bias[:] = np.log(count / count.sum(axis=1, keepdims=True))
+        return net
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, name).ravel() for name in _SHAPES])
@@ -155,56 +166,75 @@ def log_probs(net: Network, ids: np.ndarray, around: np.ndarray) -> np.ndarray:
     return out
 
 
-def train_step(net: Network, ids: np.ndarray, around: np.ndarray, rate: float) -> None:
-    """One step of gradient ascent on the mean log-probability of a batch."""
-    n = len(ids)
-    h = net.hidden(around)
-    kind, place = np.divmod(ids, PLACES)
-    rows = np.arange(n)
-    push = -_softmax(h @ net.class_out + net.class_bias)
-    push[rows, kind] += 1
-    back = push @ net.class_out.T
-    step = np.float32(rate / n)
-    order = np.argsort(kind, kind="stable")
-    bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        at = order[bounds[c] : bounds[c + 1]]
-        if len(at):
-            inner = -_softmax(h[at] @ net.place_out[c] + net.place_bias[c])
-            inner[np.arange(len(at)), place[at]] += 1
-            back[at] += inner @ net.place_out[c].T
-            # a class has few words of a batch, so its own mean would be noisy and the batch's mean slow
-            pace = np.float32(rate / np.sqrt(n * len(at)))
-            net.place_out[c] += pace * (h[at].T @ inner)
-            net.place_bias[c] += pace * inner.sum(axis=0)
-    net.class_out += step * (h.T @ push)
-    net.class_bias += step * push.sum(axis=0)
-    back *= 1 - h * h
-    net.bias += step * back.sum(axis=0)
-    back *= np.float32(rate / np.sqrt(n * 16))
-    for k in range(len(OFFSETS)):
-        order = np.argsort(around[k], kind="stable")
-        key = around[k][order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        net.context[k][key[first]] += np.add.reduceat(back[order], first, axis=0)
-
-
-def _train(start: Network, own: np.ndarray):
+class Trainer:
+    """Steps of gradient ascent on the log-probability, each parameter's pace set by its own past gradients (Adam)."""
+
+    def __init__(self, net: Network):
+        self.net, self.steps = net, 0
+        self.mean, self.square = ({name: np.zeros_like(getattr(net, name)) for name in _SHAPES} for _ in range(2))
+
+    def gradient(self, ids: np.ndarray, around: np.ndarray) -> dict[str, np.ndarray]:
+        net = self.net
+        order = np.argsort(ids // PLACES, kind="stable")
+        ids, around = ids[order], around[:, order]
+        kind, place = np.divmod(ids, PLACES)
+        rows = np.arange(len(ids))
+        h = net.hidden(around)
+        grad = {name: np.zeros(shape, dtype=np.float32) for name, shape in _SHAPES.items()}
+        push = -_softmax(h @ net.class_out + net.class_bias)
+        push[rows, kind] += 1
+        back = push @ net.class_out.T
+        grad["class_out"], grad["class_bias"] = h.T @ push, push.sum(axis=0)
+        bounds = np.searchsorted(kind, np.arange(CLASSES + 1))
+        for c in range(CLASSES):
+            a, b = bounds[c], bounds[c + 1]
+            if b > a:
+                inner = -_softmax(h[a:b] @ net.place_out[c] + net.place_bias[c])
+                inner[rows[: b - a], place[a:b]] += 1
+                back[a:b] += inner @ net.place_out[c].T
+                grad["place_out"][c], grad["place_bias"][c] = h[a:b].T @ inner, inner.sum(axis=0)
+        back *= 1 - h * h
+        grad["bias"] = back.sum(axis=0)
+        for k in range(len(OFFSETS)):
+            order = np.argsort(around[k], kind="stable")
+            key = around[k][order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            grad["context"][k][key[first]] = np.add.reduceat(back[order], first, axis=0)
+        return grad
+
+    def step(self, ids: np.ndarray, around: np.ndarray, rate: float) -> None:
+        self.steps += 1
+        pace = np.float32(rate * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps))
+        for name, g in self.gradient(ids, around).items():
+            g /= np.float32(BATCH)
+            mean, square = self.mean[name], self.square[name]
+            mean *= np.float32(0.9)
+            mean += np.float32(0.1) * g
+            square *= np.float32(0.99)
+            square += np.float32(0.01) * (g * g)
+            value = getattr(self.net, name)
+            value += pace * mean / (np.sqrt(square) + np.float32(1e-6))
+
+    def text(self, ids: np.ndarray, around: np.ndarray, rate: float) -> None:
+        """Steps over all words of a stretch, each with words from all over it, which makes its gradient steadier."""
+        order = np.random.default_rng(len(ids)).permutation(len(ids))
+        for low in range(0, len(ids), BATCH):
+            at = order[low : low + BATCH]
+            self.step(ids[at], around[:, at], rate)
+
+
+def _train(start: Network, own: np.ndarray, rate: float):
     flat = start.flat()
 
     def run(batches):
-        net, seen = Network.of(flat), 0
+        trainer, seen = Trainer(Network.of(flat)), 0
         for batch in batches:
             for piece in tk.pieces(batch, 0):
                 ids, _, around, _ = word_ids(piece.column(0), own)
-                # a batch takes words from all over the piece, which makes its gradient steadier
-                order = np.random.default_rng(len(ids)).permutation(len(ids))
-                for low in range(0, len(ids), BATCH):
-                    at = order[low : low + BATCH]
-                    train_step(net, ids[at], around[:, at], RATE)
+                trainer.text(ids, around, rate)
                 seen += len(ids)
         if seen:
-            out = net.flat()
+            out = trainer.net.flat()
             cuts = range(0, SIZE, SLICE)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(cuts), pa.int64()), pa.array([seen] * len(cuts), pa.int64()), pa.array([out[c : c + SLICE].astype(np.float32).tobytes() for c in cuts], pa.binary())],
@@ -233,70 +263,57 @@ def _count(batches):
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> Words:
-    """Counts over every text. The driver gets 12 bytes for each word found more than once, and a number for each slot."""
+    """Counts over every text. The driver gets a number for each slot and, if they are BROADCAST_WORDS at most, 12 bytes for each word found more than once."""
     spark = docs.sparkSession
     counts = docs.select(F.col(text_col).alias("body")).mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = Scratch(spark, "lm-words").table(counts, "counts")
-    own = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(OWN).select("word").collect()]
-    rest = counts.join(F.broadcast(spark.createDataFrame([(w,) for w in own], "word long")), "word", "left_anti")
-    total = np.zeros(VOCABULARY)
-    for r in rest.groupBy((OWN + F.col("word").bitwiseAND(VOCABULARY - OWN - 1)).alias("slot")).agg(F.sum("n").alias("n")).collect():
-        total[r.slot] = np.log(r.n + 1)
-    table = rest.filter("n > 1").select("word", F.log("n").cast("float").alias("n")).toArrow()
-    word = table["word"].to_numpy().view(np.uint64)
-    order = np.argsort(word)
-    seen = counts.agg(F.sum("n")).first()[0] or 0
-    return Words(np.array(own, np.int64).view(np.uint64), word[order], table["n"].to_numpy()[order], total, seen)
-
-
-def _round(net: Network, own: np.ndarray, docs: DataFrame) -> tuple[Network, int]:
-    """Copies of the network trained on the texts and averaged, and the number of words they saw."""
-    copies = docs.mapInArrow(_train(net, own), "cut long, words long, weights binary")
+    top = counts.orderBy(F.desc("n"), "word").limit(OWN).collect()
+    own = np.array([r.word for r in top], np.int64)
+    rest = counts.join(F.broadcast(spark.createDataFrame([(r.word,) for r in top], "word long")), "word", "left_anti")
+    slot_n = np.zeros(VOCABULARY)
+    slot_n[: len(top)] = [r.n for r in top]
+    several = 0
+    for r in rest.groupBy((OWN + F.col("word").bitwiseAND(VOCABULARY - OWN - 1)).alias("slot")).agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 1).alias("several")).collect():
+        slot_n[r.slot] = r.n
+        several += r.several
+    total = np.where(np.arange(VOCABULARY) < OWN, 0, np.log(slot_n + 1))
+    table = rest.filter("n > 1").select("word", F.log("n").cast("float").alias("log_n"))
+    words = Words(own.view(np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.float32), total, slot_n, int(slot_n.sum()))
+    if several > BROADCAST_WORDS:
+        words.table = table
+    else:
+        found = table.toArrow()
+        word = found["word"].to_numpy().view(np.uint64)
+        order = np.argsort(word)
+        words.word, words.log_count = word[order], found["log_n"].to_numpy()[order]
+    return words
+
+
+def _round(net: Network, own: np.ndarray, docs: DataFrame, rate: float) -> Network:
+    """Copies of the network trained on the texts, and averaged."""
+    copies = docs.mapInArrow(_train(net, own, rate), "cut long, words long, weights binary")
     # copies meet in two steps, so that no task gets a slice of every partition
     schema = "cut long, words long, weights binary"
     fold = lambda df, *by: df.groupBy("cut", *by).applyInArrow(lambda t: pa.Table.from_batches(list(_average(t.to_batches()))), schema)
     copies = fold(copies.withColumn("part", F.spark_partition_id() % 64), "part")
     rows = fold(copies).toPandas().sort_values("cut")
-    if rows.empty:
-        return net, 0
-    return Network.of(np.concatenate([np.frombuffer(x, np.float32) for x in rows["weights"]])), int(rows["words"].iloc[0])
-
-
-def _measured(net: Network, own: np.ndarray, docs: DataFrame) -> float:
-    """Mean log-probability of a word's slot."""
-
-    def run(batches):
-        for batch in batches:
-            for piece in tk.pieces(batch, 0):
-                ids, _, around, _ = word_ids(piece.column(0), own)
-                yield pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int64()), pa.array([float(log_probs(net, ids, around).sum())])], names=["n", "total"])
-
-    n, total = docs.mapInArrow(run, "n long, total double").agg(F.sum("n"), F.sum("total")).first()
-    return total / n if n else -np.inf
+    return net if rows.empty else Network.of(np.concatenate([np.frombuffer(x, np.float32) for x in rows["weights"]]))
 
 
 def train(docs: DataFrame, text_col: str = "text") -> Network:
-    """Count and train on every word of every text. What reaches the driver is the table of counts and, each round, one network
-    of about 0.7 MB. A corpus so small that no text is held out gets one pass."""
+    """Count and train on every word of every text, in a fixed number of rounds, the same for all tables of COPY_WORDS words or more.
+
+    What reaches the driver is the counts and, each round, one network of about 0.7 MB. Equal tables in equal partitions give equal networks;
+    other partitions give slightly different ones, as a copy sees other texts.
+    """
     words = count_words(docs, text_col)
     copies = max(1, words.seen // COPY_WORDS)
     docs = docs.select(F.col(text_col).alias("body")).coalesce(copies)
-    key, shares = F.xxhash64("body"), min(max(1, copies), ROUNDS)
-    held = F.pmod(F.shiftright(key, 32), F.lit(HELD_OUT)) == 0
-    rest, apart = docs.filter(~held), docs.filter(held)
-    net, seen, best, n = Network.start(), 0, -np.inf, 0
-    while True:
-        new, used = _round(net, words.own, rest.filter(F.pmod(key, F.lit(shares)) == n % shares))
-        n, seen = n + 1, seen + used
-        found = _measured(new, words.own, apart)
-        if n > shares and not found > best:
-            break
-        net, last, best = new, best, found
-        if n >= shares and not best >= last + GAIN:
-            break
-    closing, used = _round(net, words.own, apart)
-    share = used / max(seen + used, 1)
-    net = Network.of((1 - share) * net.flat() + share * closing.flat())
+    rounds = ROUNDS * min(PASSES, max(1, COPY_WORDS // max(words.seen, 1)))
+    share = F.pmod(F.xxhash64("body"), F.lit(ROUNDS))
+    net = Network.start(words.slot_n)
+    for n in range(rounds if words.seen else 0):
+        net = _round(net, words.own, docs.filter(share == n % ROUNDS), RATE * (1 - n / rounds))
     net.words = words
     return net
 
@@ -307,23 +324,36 @@ def pseudo_likelihood(docs: DataFrame, net: Network, id_col: str = "doc_id", tex
     Returns the id, ``n_words``, ``word_log_likelihood`` (the sum of the words' conditional log-probabilities, the higher
     the likelier), ``mean_word_log_likelihood``, and ``log_likelihood`` and ``mean_log_likelihood``, the same of the words' slots
     only. A word that the training texts don't have counts as found once. A null, empty or wordless text has 0 words, sums 0 and null means. Ids may be null or
-    repeat. Other columns are ignored; an empty table gives an empty table. Texts are scored over their whole length.
+    repeat, and rows may; equal texts get equal scores. Other columns are ignored; an empty table gives an empty table. Texts are scored over their whole length.
+    With more counts than may be broadcast, the words of each text are shuffled to their counts and the sums back to the texts.
     """
-
-    model = docs.sparkSession.sparkContext.broadcast(net)
+    table = net.words.table
+    model = docs.sparkSession.sparkContext.broadcast(replace(net, words=replace(net.words, table=None)))
 
     def run(batches):
-        net = model.value
+        net, number = model.value, TaskContext.get().partitionId() << 33
         for batch in batches:
             for piece in tk.pieces(batch, 1):
                 ids, row, around, hashes = word_ids(piece.column(1), net.words.own)
                 count = np.bincount(row, minlength=piece.num_rows)
                 total = np.bincount(row, log_probs(net, ids, around), piece.num_rows)
                 whole = total + np.bincount(row, net.words.log_share(hashes, ids), piece.num_rows)
-                mean, whole_mean = (pa.array(x / np.maximum(count, 1), mask=count == 0) for x in (total, whole))
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(count, pa.int64()), pa.array(total, pa.float64()), mean, pa.array(whole, pa.float64()), whole_mean], names=names)
+                columns = [piece.column(0), pa.array(count, pa.int64()), pa.array(total, pa.float64()), pa.array(whole, pa.float64())]
+                if table is not None:
+                    shared = ids >= OWN
+                    bounds = np.concatenate([[0], np.cumsum(np.bincount(row[shared], minlength=piece.num_rows))])
+                    columns += [pa.array(number + np.arange(piece.num_rows)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes[shared].view(np.int64)))]
+                    number += piece.num_rows
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
-    kinds = "id long, n_words long, log_likelihood double, mean_log_likelihood double, word_log_likelihood double, mean_word_log_likelihood double"
+    kinds = "id long, n_words long, log_likelihood double, word_log_likelihood double" + (", row long, words array<long>" if table is not None else "")
     names = [x.split()[0] for x in kinds.split(", ")]
-    return docs.mapInArrow(run, kinds).withColumnRenamed("id", id_col)
+    scored = docs.mapInArrow(run, kinds)
+    if table is not None:
+        scored = Scratch(docs.sparkSession, "lm-scores").table(scored, "scored")
+        more = scored.select("row", F.explode("words").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("times"))
+        more = more.join(table, "word").groupBy("row").agg(F.sum(F.col("times") * F.col("log_n")).alias("more"))
+        scored = scored.drop("words").join(more, "row", "left").withColumn("word_log_likelihood", F.col("word_log_likelihood") + F.coalesce("more", F.lit(0.0)))
+    mean = lambda c: F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words")).alias(f"mean_{c}")
+    return scored.select(F.col("id").alias(id_col), "n_words", "log_likelihood", mean("log_likelihood"), "word_log_likelihood", mean("word_log_likelihood"))

@@ -79,25 +79,64 @@ def test_log_probs_match_a_plain_network():
         assert np.isclose(lm.log_probs(net, ids, around)[i], np.log(p), atol=1e-4)
 
 
-def test_step_follows_the_gradient():
+def test_gradient_matches_differences():
     rng = np.random.default_rng(5)
-    net, ids = lm.Network.start(), rng.integers(0, 40, 4000).astype(np.int32)
-    around = rng.integers(0, 40, (4, 4000)).astype(np.int32)
-    before = lm.log_probs(net, ids, around).mean()
+    net = lm.Network.start(rng.integers(0, 50, lm.VOCABULARY))
+    ids, around = rng.integers(0, 400, 300).astype(np.int32), rng.integers(0, 40, (4, 300)).astype(np.int32)
+    grad = lm.Trainer(net).gradient(ids, around)
+    for name, at in (("context", (1, 7, 3)), ("context", (3, 39, 0)), ("bias", (2,)), ("class_out", (4, 1)), ("class_bias", (2,)), ("place_out", (1, 5, 20)), ("place_bias", (3, 9))):
+        value, sums = getattr(net, name), []
+        for d in (0.02, -0.02):
+            value[at] += d
+            sums.append(lm.log_probs(net, ids, around).sum())
+            value[at] -= d
+        assert np.isclose((sums[0] - sums[1]) / 0.04, grad[name][at], rtol=0.02, atol=0.02), name
+
+
+def test_steps_raise_the_log_probability():
+    rng = np.random.default_rng(5)
+    ids, around = rng.integers(0, 40, 4000).astype(np.int32), rng.integers(0, 40, (4, 4000)).astype(np.int32)
+    trainer = lm.Trainer(lm.Network.start())
+    before = lm.log_probs(trainer.net, ids, around).mean()
     for _ in range(30):
-        lm.train_step(net, ids, around, lm.RATE)
-    assert lm.log_probs(net, ids, around).mean() > before + 0.5
+        trainer.step(ids, around, lm.RATE)
+    assert lm.log_probs(trainer.net, ids, around).mean() > before + 0.5
 
 
-def test_trained_model_prefers_texts_to_their_words_in_disorder(spark):
-    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang = 'en'")
-    net = lm.train(df)
-    scored = lm.pseudo_likelihood(df, net).toPandas()
-    assert np.isfinite(scored.log_likelihood).all() and scored.mean_log_likelihood.mean() > -np.log(lm.VOCABULARY) + 0.2
-    rows = df.select("doc_id", "text").toPandas()
+def test_beats_word_counts_on_held_out_texts_whatever_the_split(spark, monkeypatch):
+    """Texts of four languages: the network must do better than the slots' frequencies, in order better than in disorder, and alike for any layout."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").filter("text <> ''")
+    held, rest = df.filter("doc_id % 8 = 0"), df.filter("doc_id % 8 <> 0").cache()
+    rows = held.toPandas()
     rows["text"] = [" ".join(random.Random(i).sample(w, len(w))) for i, w in enumerate(rows.text.str.split())]
-    other = lm.pseudo_likelihood(spark.createDataFrame(rows), net).toPandas()
-    assert scored.mean_log_likelihood.mean() > other.mean_log_likelihood.mean() or abs(scored.mean_log_likelihood.mean() - other.mean_log_likelihood.mean()) < 0.05
+    mixed, scored = spark.createDataFrame(rows), []
+    for copy_words, layouts in ((lm.COPY_WORDS, (1, 16, 64)), (100_000, (16,))):
+        monkeypatch.setattr(lm, "COPY_WORDS", copy_words)
+        for n in layouts:
+            net = lm.train(rest.repartition(n))
+            score = lambda x, net=net: lm.pseudo_likelihood(x, net).filter("n_words > 0").toPandas().set_index("doc_id").sort_index()
+            got, other = score(held), score(mixed)
+            plain = lm.Network.start(net.words.slot_n)
+            plain.context[:] = 0  # all that is left is the slots' frequencies
+            plain.words = net.words
+            base = score(held, plain)
+            total = lambda x: x.log_likelihood.sum() / x.n_words.sum()
+            assert total(got) > total(base) + 0.3 and total(got) > total(other) + 0.01, (copy_words, n)
+            scored.append(got.mean_word_log_likelihood)
+    for other in scored[1:]:
+        assert scored[0].rank().corr(other.rank()) > 0.98
+
+
+def test_counts_beyond_the_broadcast_give_equal_scores(spark, monkeypatch):
+    df, _ = odd_documents(spark)
+    df = df.select("doc_id", "text").union(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text"))
+    nets = [lm.train(df)]
+    monkeypatch.setattr(lm, "BROADCAST_WORDS", 10)
+    nets.append(lm.train(df))
+    assert nets[0].words.table is None and len(nets[0].words.word) > 10 and nets[1].words.table is not None
+    clean = lambda rows: sorted(tuple(-1 if x is None else round(x, 6) for x in r) for r in rows)
+    assert clean(lm.pseudo_likelihood(df, nets[0]).collect()) == clean(lm.pseudo_likelihood(df, nets[1]).collect())
+    assert lm.pseudo_likelihood(df.limit(0), nets[1]).count() == 0
 
 
 def test_words_of_one_slot_are_told_apart(spark):
