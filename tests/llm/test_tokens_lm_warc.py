@@ -123,8 +123,8 @@ def test_beats_word_counts_on_held_out_texts_whatever_the_split(spark, monkeypat
             total = lambda x: x.log_likelihood.sum() / x.n_words.sum()
             assert total(got) > total(base) + 0.3 and total(got) > total(other) + 0.01, (copy_words, n)
             scored.append(got.mean_word_log_likelihood)
-    for other in scored[1:]:
-        assert scored[0].rank().corr(other.rank()) > 0.98
+    ranks = [scored[0].rank().corr(x.rank()) for x in scored]
+    assert min(ranks[1:3]) > 0.99 and ranks[3] > 0.9  # the last ones have copies of a tenth of the words
 
 
 def test_counts_beyond_the_broadcast_give_equal_scores(spark, monkeypatch):
