@@ -328,6 +328,7 @@ def pseudo_likelihood(docs: DataFrame, net: Network, id_col: str = "doc_id", tex
     With more counts than may be broadcast, the words of each text are shuffled to their counts and the sums back to the texts.
     """
     table = net.words.table
+    joined = table is not None
     model = docs.sparkSession.sparkContext.broadcast(replace(net, words=replace(net.words, table=None)))
 
     def run(batches):
@@ -339,7 +340,7 @@ def pseudo_likelihood(docs: DataFrame, net: Network, id_col: str = "doc_id", tex
                 total = np.bincount(row, log_probs(net, ids, around), piece.num_rows)
                 whole = total + np.bincount(row, net.words.log_share(hashes, ids), piece.num_rows)
                 columns = [piece.column(0), pa.array(count, pa.int64()), pa.array(total, pa.float64()), pa.array(whole, pa.float64())]
-                if table is not None:
+                if joined:
                     shared = ids >= OWN
                     bounds = np.concatenate([[0], np.cumsum(np.bincount(row[shared], minlength=piece.num_rows))])
                     columns += [pa.array(number + np.arange(piece.num_rows)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes[shared].view(np.int64)))]
@@ -347,10 +348,10 @@ def pseudo_likelihood(docs: DataFrame, net: Network, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
-    kinds = "id long, n_words long, log_likelihood double, word_log_likelihood double" + (", row long, words array<long>" if table is not None else "")
+    kinds = "id long, n_words long, log_likelihood double, word_log_likelihood double" + (", row long, words array<long>" if joined else "")
     names = [x.split()[0] for x in kinds.split(", ")]
     scored = docs.mapInArrow(run, kinds)
-    if table is not None:
+    if joined:
         scored = Scratch(docs.sparkSession, "lm-scores").table(scored, "scored")
         more = scored.select("row", F.explode("words").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("times"))
         more = more.join(table, "word").groupBy("row").agg(F.sum(F.col("times") * F.col("log_n")).alias("more"))
