@@ -23,15 +23,17 @@ from pyspark.sql import functions as F
 from asofia.llm import textkernel as tk
 from asofia.llm.scratch import Scratch
 
-CLASSES, PLACES = 16, 128  # vocabulary: CLASSES * PLACES words
+CLASSES, PLACES = 32, 64  # vocabulary: CLASSES * PLACES words
 WIDTH = 16
 OFFSETS = (-2, -1, 1, 2)
 #: Positions of a step, and the first round's pace; the pace falls evenly to a ROUNDSth part.
-BATCH, RATE = 4096, 0.04
+BATCH, RATE = 8192, 0.05
 #: A table is trained on in so many rounds, each on another share of its texts.
 ROUNDS = 4
 #: Small files are read together, so that a copy of the network sees so many words; a smaller table is gone over again, PASSES times at most.
 COPY_WORDS, PASSES = 1_000_000, 8
+#: Entries that a counting task brings together before it sends them (16 bytes each).
+COUNT_ROWS = 2_000_000
 #: Counts of words that are broadcast at most (12 bytes each); beyond that, texts' words and their counts meet in a join.
 BROADCAST_WORDS = 4_000_000
 #: Parameters that one row of the averaging holds.
@@ -75,8 +77,10 @@ class Words:
         """log P(word | its slot). A word found once, or in no text of the corpus, has one count of its slot's total plus one."""
         out = -self.log_total[ids]
         if len(self.word):
+            shared = np.flatnonzero(ids >= OWN)
+            hashes = hashes[shared]
             at = np.minimum(np.searchsorted(self.word, hashes), len(self.word) - 1)
-            out += np.where(self.word[at] == hashes, self.log_count[at], 0)
+            out[shared] += np.where(self.word[at] == hashes, self.log_count[at], 0)
         return out
 
 
@@ -136,33 +140,32 @@ def word_ids(column: pa.Array, own: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return ids, row, around, h
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
+def _exp(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials in place and their sums by row. Logits stay near log-probabilities; the bound only keeps float32 from overflowing."""
+    np.minimum(logits, 60, out=logits)
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    return logits
+    return logits, logits @ np.ones(logits.shape[1], dtype=np.float32)
 
 
 def log_probs(net: Network, ids: np.ndarray, around: np.ndarray) -> np.ndarray:
     """log P(word | the words around it) of each position."""
     out = np.empty(len(ids))
-    for low in range(0, len(ids), 65536):
-        part = slice(low, low + 65536)
-        h = net.hidden(around[:, part])
-        kind, place = np.divmod(ids[part], PLACES)
-        rows = np.arange(len(kind))
+    for low in range(0, len(ids), 32768):
+        order = low + np.argsort(ids[low : low + 32768] // PLACES, kind="stable")
+        kind, place = np.divmod(ids[order], PLACES)
+        h = net.hidden(around[:, order])
+        rows = np.arange(len(order))
         logits = h @ net.class_out + net.class_bias
-        logits -= logits.max(axis=1, keepdims=True)
-        found = logits[rows, kind] - np.log(np.exp(logits).sum(axis=1))
-        order = np.argsort(kind, kind="stable")
-        bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        found = np.minimum(logits[rows, kind], 60)
+        found -= np.log(_exp(logits)[1])
+        bounds = np.searchsorted(kind, np.arange(CLASSES + 1))
         for c in range(CLASSES):
-            at = order[bounds[c] : bounds[c + 1]]
-            if len(at):
-                inner = h[at] @ net.place_out[c] + net.place_bias[c]
-                inner -= inner.max(axis=1, keepdims=True)
-                found[at] += inner[np.arange(len(at)), place[at]] - np.log(np.exp(inner).sum(axis=1))
-        out[part] = found
+            a, b = bounds[c], bounds[c + 1]
+            if b > a:
+                inner = h[a:b] @ net.place_out[c] + net.place_bias[c]
+                found[a:b] += np.minimum(inner[rows[: b - a], place[a:b]], 60)
+                found[a:b] -= np.log(_exp(inner)[1])
+        out[order] = found
     return out
 
 
@@ -173,33 +176,38 @@ class Trainer:
         self.net, self.steps = net, 0
         self.mean, self.square = ({name: np.zeros_like(getattr(net, name)) for name in _SHAPES} for _ in range(2))
 
+    @staticmethod
+    def _push(logits: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Gradient of the target's log-probability by the logits."""
+        push, total = _exp(logits)
+        push *= (-1 / total)[:, None]
+        push[rows, target] += 1
+        return push
+
     def gradient(self, ids: np.ndarray, around: np.ndarray) -> dict[str, np.ndarray]:
         net = self.net
         order = np.argsort(ids // PLACES, kind="stable")
         ids, around = ids[order], around[:, order]
         kind, place = np.divmod(ids, PLACES)
-        rows = np.arange(len(ids))
+        rows, ones = np.arange(len(ids)), np.ones(len(ids), dtype=np.float32)
         h = net.hidden(around)
         grad = {name: np.zeros(shape, dtype=np.float32) for name, shape in _SHAPES.items()}
-        push = -_softmax(h @ net.class_out + net.class_bias)
-        push[rows, kind] += 1
+        push = self._push(h @ net.class_out + net.class_bias, rows, kind)
         back = push @ net.class_out.T
-        grad["class_out"], grad["class_bias"] = h.T @ push, push.sum(axis=0)
+        grad["class_out"], grad["class_bias"] = h.T @ push, ones @ push
         bounds = np.searchsorted(kind, np.arange(CLASSES + 1))
         for c in range(CLASSES):
             a, b = bounds[c], bounds[c + 1]
             if b > a:
-                inner = -_softmax(h[a:b] @ net.place_out[c] + net.place_bias[c])
-                inner[rows[: b - a], place[a:b]] += 1
+                inner = self._push(h[a:b] @ net.place_out[c] + net.place_bias[c], rows[: b - a], place[a:b])
                 back[a:b] += inner @ net.place_out[c].T
-                grad["place_out"][c], grad["place_bias"][c] = h[a:b].T @ inner, inner.sum(axis=0)
+                grad["place_out"][c], grad["place_bias"][c] = h[a:b].T @ inner, ones[a:b] @ inner
         back *= 1 - h * h
-        grad["bias"] = back.sum(axis=0)
-        for k in range(len(OFFSETS)):
-            order = np.argsort(around[k], kind="stable")
-            key = around[k][order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            grad["context"][k][key[first]] = np.add.reduceat(back[order], first, axis=0)
+        grad["bias"] = ones @ back
+        columns = np.ascontiguousarray(back.T, dtype=np.float64)
+        for k, near in enumerate(around.astype(np.int64)):
+            for j in range(WIDTH):
+                grad["context"][k, :, j] = np.bincount(near, columns[j], VOCABULARY + 1)
         return grad
 
     def step(self, ids: np.ndarray, around: np.ndarray, rate: float) -> None:
@@ -220,7 +228,7 @@ class Trainer:
         order = np.random.default_rng(len(ids)).permutation(len(ids))
         for low in range(0, len(ids), BATCH):
             at = order[low : low + BATCH]
-            self.step(ids[at], around[:, at], rate)
+            self.step(ids[at], around.take(at, axis=1), rate)
 
 
 def _train(start: Network, own: np.ndarray, rate: float):
@@ -254,12 +262,28 @@ def _average(batches):
     yield pa.RecordBatch.from_arrays([pa.array([cut], pa.int64()), pa.array([words], pa.int64()), pa.array([(total / words).astype(np.float32).tobytes()], pa.binary())], names=["cut", "words", "weights"])
 
 
+def _summed(words: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    word, which = np.unique(np.concatenate(words), return_inverse=True)
+    return word, np.bincount(which, np.concatenate(counts), len(word)).astype(np.int64)
+
+
 def _count(batches):
+    """Words and their counts; a task sends those of some COUNT_ROWS entries together."""
+    words, counts, size = [], [], 0
     for batch in batches:
         for piece in tk.pieces(batch, 0):
             data, offs = tk.byte_column(piece.column(0))
             found, n = np.unique(tk.words(data, offs, tk.LOWER)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], names=["word", "n"])
+            words.append(found)
+            counts.append(n)
+            size += len(n)
+            if size > COUNT_ROWS:
+                found, n = _summed(words, counts)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["word", "n"])
+                words, counts, size = [], [], 0
+    if words:
+        found, n = _summed(words, counts)
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["word", "n"])
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> Words:

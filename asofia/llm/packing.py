@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from asofia.llm import textkernel as tk
 from asofia.llm.scratch import Scratch
-from asofia.llm.wordtable import WordTable, gather
+from asofia.llm.wordtable import Sequences, gather
 
 CAPACITY = 4096
 END_ID = 2
@@ -79,8 +79,7 @@ class Encoder:
         self.is_last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.is_last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         (self.mark,) = self._ids(MARK.decode())
-        self.table = WordTable(TABLE_BITS, start=np.int32, size=np.int32)
-        self.pool, self.used = np.zeros(POOL_IDS, dtype=np.uint32), 0
+        self.known = Sequences(TABLE_BITS, POOL_IDS)
 
     @classmethod
     def load(cls, path: str) -> Encoder:
@@ -91,7 +90,7 @@ class Encoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def _new(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _new(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """Ids of parts end to end, and where each part's begin and how many it has.
 
         Pre-tokens, each of which ends with its only word-end id, go to the tokenizer many at a time with spaces between; those
@@ -101,22 +100,22 @@ class Encoder:
         plain, joined, single = (np.flatnonzero(x) for x in (~whole, whole & ~alone, whole & alone))
         for at in range(0, len(plain), 4096):
             part = plain[at : at + 4096]
-            got = self._ids(gather(low, starts[part], ends[part], after=b" ").tobytes().decode())
+            got = self._ids(gather(low, starts[part], ends[part], after=b" ").tobytes().decode(errors="replace"))
             size[part] = np.diff(np.flatnonzero(self.is_last[got]), prepend=-1)
             ids.append(got)
         for at in range(0, len(joined), 4096):
             part = joined[at : at + 4096]
-            got = self._ids(gather(low, starts[part], ends[part], after=MARK).tobytes().decode())
+            got = self._ids(gather(low, starts[part], ends[part], after=MARK).tobytes().decode(errors="replace"))
             mark = got == self.mark
             size[part] = np.diff(np.flatnonzero(mark), prepend=-1) - 1
             ids.append(got[~mark])
         for i in single.tolist():
-            ids.append(self._ids(low[starts[i] : ends[i]].tobytes().decode()))
+            ids.append(self._ids(low[starts[i] : ends[i]].tobytes().decode(errors="replace")))
             size[i] = len(ids[-1])
         order = np.concatenate([plain, joined, single])
         begin = np.empty(len(order), dtype=np.int64)
         begin[order] = np.cumsum(size[order]) - size[order]
-        return np.concatenate(ids), begin, size
+        return np.concatenate(ids), {"start": begin, "size": size}
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each with END_ID after it, and their offsets.
@@ -143,36 +142,23 @@ class Encoder:
             whole |= alone
         first, last = _pretokens(low, starts, ends, whole)
         hashes = tk.hash_spans(low, first, last)
-        slot = self.table.find(hashes)
-        missing = np.flatnonzero(slot < 0)
-        keys, at, which = np.unique(hashes[missing], return_index=True, return_inverse=True)
-        at = missing[at]
-        word = np.searchsorted(starts, first[at], "right") - 1
-        new, begin, size = self._new(low, first[at], last[at], whole[word], alone[word])
-        pool = np.concatenate([self.pool[: self.used], new, np.array([END_ID], dtype=np.uint32)])
-        start, length = self.table.values["start"][slot].astype(np.int64), self.table.values["size"][slot].astype(np.int64)
-        start[missing], length[missing] = self.used + begin[which], size[which]
-        self._remember(keys, begin, size, new)
+
+        def work(at):
+            word = np.searchsorted(starts, first[at], "right") - 1
+            return self._new(low, first[at], last[at], whole[word], alone[word])
+
+        pool, found = self.known.get(hashes, work)
+        pool = np.append(pool, np.uint32(END_ID))
         rows = len(offs) - 1
         row = tk.row_of(first, offs)
         end = np.cumsum(np.bincount(row, minlength=rows)) + np.arange(rows)  # each row's parts, then the end
         order = np.arange(len(first)) + row
         begins, sizes = np.full(len(first) + rows, len(pool) - 1), np.ones(len(first) + rows, dtype=np.int64)
-        begins[order], sizes[order] = start, length
+        begins[order], sizes[order] = found["start"], found["size"]
         total = np.concatenate([[0], np.cumsum(sizes)])
         ids = pool[np.arange(total[-1]) + np.repeat(begins - total[:-1], sizes)]
         return ids, np.concatenate([[0], total[end + 1]])
 
-    def _remember(self, keys: np.ndarray, begin: np.ndarray, size: np.ndarray, new: np.ndarray) -> None:
-        if len(new) > POOL_IDS // 4:
-            return
-        if self.used + len(new) > POOL_IDS:
-            self.table.clear()
-            self.used = 0
-        self.table.put(keys, start=self.used + begin, size=size)
-        self.pool[self.used : self.used + len(new)] = new
-        self.used += len(new)
-
 
 def _pieces(path: str, capacity: int):
     def run(batches):

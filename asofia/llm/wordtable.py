@@ -37,6 +37,40 @@ class WordTable:
             self.values[name][slot[won]] = column[won]
 
 
+class Sequences:
+    """The ids that each word stands for, in one pool of ``most`` numbers, and further ``columns`` of a word."""
+
+    def __init__(self, bits: int, most: int, **columns: type):
+        self.table = WordTable(bits, start=np.int32, size=np.int32, **columns)
+        self.pool, self.used = np.zeros(most, dtype=np.uint32), 0
+
+    def get(self, keys: np.ndarray, work) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Ids of words, and of each key where its own start, their ``size`` and the further columns.
+
+        ``work`` takes the places of distinct unknown keys and returns their ids end to end and the columns, ``size`` first.
+        """
+        slot = self.table.find(keys)
+        missing = np.flatnonzero(slot < 0)
+        found = {name: column[slot] for name, column in self.table.values.items()}
+        if not len(missing):
+            return self.pool[: self.used], found
+        new, at, which = np.unique(keys[missing], return_index=True, return_inverse=True)
+        ids, columns = work(missing[at])
+        columns = {"start": np.cumsum(columns["size"]) - columns["size"]} | columns if "start" not in columns else columns
+        pool = np.concatenate([self.pool[: self.used], ids])
+        for name, column in columns.items():
+            found[name] = found[name].astype(column.dtype)
+            found[name][missing] = column[which] + (self.used if name == "start" else 0)
+        if len(ids) <= len(self.pool) // 4:
+            if self.used + len(ids) > len(self.pool):
+                self.table.clear()
+                self.used = 0
+            self.table.put(new, **columns | {"start": columns["start"] + self.used})
+            self.pool[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+        return pool, found
+
+
 def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, after: bytes = b"") -> np.ndarray:
     """The bytes of all spans end to end, with the bytes ``after`` behind each, if any."""
     size = ends - starts
