@@ -6,14 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from asofia.llm import lm, oracle
+from asofia.llm import lm, oracle, tokens
 from asofia.llm.chat import collapse_and_render
 from asofia.llm.classifier import quality_scores, train
 from asofia.llm.decontam import contaminated
 from asofia.llm.jaccard import jaccard_components
 from asofia.llm.packing import packed_sequences
 from asofia.llm.rules import LINE_LIMIT, NGRAM_LIMITS, quality_rules
-from asofia.llm.tokens import token_counts
 from asofia.llm.urls import RULES, judge_urls
 from asofia.llm.warc import round_trip
 
@@ -49,7 +48,8 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    docs = _read(spark, sf_dir, "documents")
+    return tokens.token_counts(docs, tokens.train(docs, tokenizer_path("piece_bpe_32k.model")))
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -18,42 +19,87 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def brute_tokens(unigram, text):
-    n, s = zip(*(unigram.segment("▁" + w) for w in words(text)), strict=True) if words(text) else ((), ())
-    return len(n), sum(n), sum(s)
+    found = [unigram.walk("▁" + w) for w in words(text)]
+    return len(found), sum(len(ids) for ids, _ in found), sum(s for _, s in found)
 
 
-def check_tokens(df, rows):
-    unigram = tokens.Unigram.load(MODEL)
-    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_tokens, round(r.score, 6)) for r in tokens.token_counts(df, MODEL).collect())
+def check_tokens(df, rows, unigram):
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_tokens, round(r.score, 6)) for r in tokens.token_counts(df, unigram).collect())
     want = sorted((-1 if i is None else i, n, t, round(s, 6)) for i, (n, t, s) in ((i, brute_tokens(unigram, x)) for i, x in rows))
     assert [g[:3] for g in got] == [w[:3] for w in want]
     assert np.allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-9)
 
 
+def brute_counts(unigram, texts):
+    """One round of counting, word by word."""
+    count = np.ones(len(unigram.pieces))
+    for text in texts:
+        for w in words(text):
+            for i in unigram.walk("▁" + w)[0]:
+                if i < len(count):
+                    count[i] += 1
+    return np.log(count / count.sum())
+
+
 def test_tokens_brute_force(spark):
     df = spark.read.parquet(f"{DATA}/documents.parquet")
-    check_tokens(df, [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()])
+    rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+    unigram = tokens.train(df, MODEL, rounds=1)
+    start = tokens.Unigram(unigram.pieces, tokens.rank_scores(len(unigram.pieces)))
+    assert np.allclose(unigram.scores, brute_counts(start, [t for _, t in rows]))
+    check_tokens(df, rows, unigram)
 
 
-def test_tokens_odd_rows(spark):
-    df, rows = odd_documents(spark)
-    check_tokens(df, rows)
-    assert tokens.token_counts(df.limit(0), MODEL).count() == 0
+def test_counting_raises_the_likelihood(spark):
+    df = spark.read.parquet(f"{DATA}/documents.parquet")
+    total = [tokens.token_counts(df, tokens.train(df, MODEL, rounds=n)).agg({"score": "sum"}).first()[0] for n in (0, 1, 2)]
+    assert total[0] < total[1] < total[2]
 
 
-def test_trie_equals_every_segmentation():
+def test_tokens_odd_rows(spark):
+    df, rows = odd_documents(spark)
+    unigram = tokens.train(df, MODEL)
+    check_tokens(df, rows, unigram)
+    assert tokens.token_counts(df.limit(0), unigram).count() == 0
+    assert np.ptp(tokens.train(df.limit(0), MODEL).scores) == 0  # no text, no preference
+
+
+def test_texts_without_spaces():
+    """A megabyte of Chinese, Base64 and repeated letters as single words, counted as if walked one character at a time."""
+    rng = random.Random(5)
+    pieces = tokens.vocabulary(MODEL)
+    unigram = tokens.Unigram(pieces, tokens.rank_scores(len(pieces)))
+    chinese = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(350_000))
+    coded = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=20_000))
+    texts = [chinese[:20_000], coded, "x" * 3000, "ab" * 2000 + chinese[:300] + "the" * 900, "🙂é" * 500]
+    _, pool, found = unigram.encode(pa.array(texts))
+    for i, text in enumerate(texts):
+        ids, score = unigram.walk("▁" + text)
+        assert found["size"][i] == len(ids) and np.isclose(found["score"][i], score)
+    start = time.process_time()
+    _, _, found = unigram.encode(pa.array([chinese]))
+    assert found["size"][0] >= 350_000 and time.process_time() - start < 20
+
+
+def test_trie_equals_every_segmentation(monkeypatch):
     rng = random.Random(1)
-    unigram = tokens.Unigram({p: -rng.random() * 5 for p in {"".join(rng.choices("ab▁", k=rng.randint(1, 4))) for _ in range(30)}})
+    pieces = list({"".join(rng.choices("ab▁", k=rng.randint(1, 4))) for _ in range(30)})
+    unigram = tokens.Unigram(pieces, [-rng.random() * 5 for _ in pieces])
 
     def best(w):
         if not w:
             return 0.0
-        options = [unigram.scores[w[:k]] + best(w[k:]) for k in range(1, min(5, len(w) + 1)) if w[:k] in unigram.scores]
+        options = [unigram.scores[unigram.number[w[:k]]] + best(w[k:]) for k in range(1, min(5, len(w) + 1)) if w[:k] in unigram.number]
         return max([*options, unigram.byte_score * len(w[0].encode()) + best(w[1:])])
 
-    some = list({"".join(rng.choices("abé", k=rng.randint(1, 8))) for _ in range(60)})
-    n, s = unigram.lookup(some)
-    assert np.allclose(s, [best("▁" + w) for w in some]) and (n > 0).all()
+    some = list({"".join(rng.choices("abé", k=rng.randint(1, 9))) for _ in range(80)})
+    for long_word in (64, 3):  # the second time nearly all words are cut
+        monkeypatch.setattr(tokens, "LONG_WORD", long_word)
+        row, pool, found = tokens.Unigram(pieces, unigram.scores).encode(pa.array(some))
+        assert row.tolist() == list(range(len(some))) and np.allclose(found["score"], [best("▁" + w) for w in some])
+        for i, w in enumerate(some):
+            ids = pool[found["start"][i] : found["start"][i] + found["size"][i]].tolist()
+            assert len(pieces) in ids or "".join(pieces[x] for x in ids) == "▁" + w
 
 
 # --- LM scoring ---
