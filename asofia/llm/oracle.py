@@ -19,16 +19,21 @@ from parts left join fits on parts.r = fits.r and k = 1
 """
 
 CHATS = r"""
-with convs as (
-  select conv_id, list(row(turn, role, text) order by turn, role, text) as turns, count(*) as n,
-    string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' order by turn, role, text) as rendered
-  from conversations group by conv_id
+with placed as (
+  select *, row_number() over (partition by conv_id order by turn, role, text) as place from conversations
+), convs as (
+  select conv_id, list(row(turn, role, text) order by place) as turns, count(*) as n from placed group by conv_id
 ), groups as (
-  select min(conv_id) as conv_id, turns, n, count(*) as n_snapshots, any_value(rendered) as rendered from convs group by turns, n
+  select min(conv_id) as conv_id, turns, n, count(*) as copies from convs group by turns, n
+), kept as (
+  select g.conv_id, g.turns, g.n from groups g
+  where not exists (select 1 from groups l where l.turns[1] = g.turns[1] and l.n > g.n and l.turns[1:g.n] = g.turns)
+), stood as (
+  select k.conv_id, k.n, sum(g.copies)::bigint as n_snapshots from kept k join groups g on g.turns[1] = k.turns[1] and g.n <= k.n and k.turns[1:g.n] = g.turns group by k.conv_id, k.n
 )
-select g.conv_id, g.n as n_turns, g.n_snapshots, g.rendered
-from groups g
-where not exists (select 1 from groups l where l.turns[1] = g.turns[1] and l.n > g.n and l.turns[1:g.n] = g.turns)
+select conv_id, (place - 1) // 1024 as part, s.n as n_turns, n_snapshots,
+  string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' order by place) as rendered
+from placed join stood s using (conv_id) group by conv_id, (place - 1) // 1024, s.n, n_snapshots
 """
 
 #: DuckDB's sha1 of a string is that of its UTF-8 bytes.

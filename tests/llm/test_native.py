@@ -55,7 +55,16 @@ def test_snapshots(spark):
     turns += [(20, i, "user", str(i)) for i in range(150)] + [(21, i, "user", str(i)) for i in range(100)]
     df = spark.createDataFrame([(*t, 1, "b") for t in turns], "conv_id long, turn long, role string, text string, block int, h1 string")
     got = {r.conv_id: r for r in chat.collapse_and_render(df).collect()}
-    assert set(got) == {3, 4, 6, 7, None, 8, 9, 20} and got[4].n_snapshots == 2 and got[20].n_turns == 150
+    assert set(got) == {3, 4, 6, 7, None, 8, 9, 20} and got[20].n_turns == 150
+    assert {i: got[i].n_snapshots for i in got} == {3: 3, 4: 3, 6: 1, 7: 1, None: 1, 8: 1, 9: 2, 20: 2}  # 2 is a prefix of 3, 4 and 9
     assert got[3].rendered == "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for _, _, r, t in turns[3:6])
     assert got[20].rendered.count("<|im_start|>") == 150 and got[8].rendered.index("n<") < got[8].rendered.index("m<")
     assert chat.collapse_and_render(df.limit(0)).count() == 0
+
+
+def test_long_conversations_come_in_parts(spark):
+    """One conversation with most of all rows, turn numbers that are null or all alike, and a snapshot that ends inside a part."""
+    turns = [(1, i, "user", f"t{i}") for i in range(2500)] + [(2, i, "user", f"t{i}") for i in range(1500)] + [(3, None, "user", "n")] * 1100 + [(4, 7, "user", "same")] * 1025
+    got = sorted((r.conv_id, r.part, r.n_turns, r.n_snapshots, r.rendered) for r in chat.collapse_and_render(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect())
+    assert [(r[:4], r[4].count("<|im_start|>")) for r in got] == [((1, 0, 2500, 2), 1024), ((1, 1, 2500, 2), 1024), ((1, 2, 2500, 2), 452), ((3, 0, 1100, 1), 1024), ((3, 1, 1100, 1), 76), ((4, 0, 1025, 1), 1024), ((4, 1, 1025, 1), 1)]
+    assert "".join(r[4] for r in got if r[0] == 1) == "".join(f"<|im_start|>user\nt{i}<|im_end|>\n" for i in range(2500))
