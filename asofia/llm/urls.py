@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from asofia.llm.scratch import Scratch
+
 #: Host, path and verdict of each rule.
 RULES = [
     ("com", "/", "allow"),
@@ -22,7 +24,10 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_SWEEP_URLS = 20_000
+#: A sweep takes so many URLs, and so many for each boundary that it has to sort in, so boundaries are never repeated more often than an eighth of the URLs.
+_SWEEP_URLS, _URLS_PER_EDGE = 256, 8
+#: Labels with rules that are broadcast at most, some 30 bytes each.
+_BROADCAST_LABELS = 100_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -49,8 +54,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     or has no ``://`` has an empty host and path and fits no rule of a host; a URL no rule fits gets ``default``. Ids may
     be null or repeat. Other columns are ignored; no pages give no rows, no rules leave the default to all.
 
-    URLs are dealt to sweeps by their first label and a salt, and each sweep has all boundaries of that label: a hot
-    host is spread evenly, and only the rules, not the URLs, are repeated.
+    URLs are dealt to sweeps by their top label and a salt, and each sweep has all boundaries of that label. A label has as many salts as its
+    own URLs and boundaries ask for: a hot host is spread evenly, and a label with many rules has few, long sweeps. Labels without rules need none.
     """
     rules = rules.select("host", "path", "verdict").filter("host <> '' and path is not null and verdict is not null")
     rules = rules.withColumn("host", F.translate("host", _UPPER, _LOWER)).groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
@@ -71,17 +76,23 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     widths = [r["width"] for r in rules.select("width").distinct().collect()]  # lengths of rule paths, not rows of pages
     host, path = host_and_path(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
-    salts = max(64, pages.count() // _SWEEP_URLS)
     if not widths:
         return urls.select(F.col("id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     fits = F.filter(F.array(*(F.lit(w) for w in sorted(widths))), lambda w: w <= F.length("path"))
-    keyed = urls.withColumn("row", F.monotonically_increasing_id()).withColumn("salt", F.pmod(F.xxhash64("id", "host", "path"), F.lit(salts)).cast("int"))
+    urls = urls.withColumn("label", F.element_at(F.split("host", r"\.", -1), -1))
+    labels = edges.groupBy("label").agg(F.count(F.lit(1)).alias("edges"))
+    few = labels.count() <= _BROADCAST_LABELS
+    counted = urls.select("label").join(F.broadcast(labels.select("label")) if few else labels.select("label"), "label", "left_semi").groupBy("label").agg(F.count(F.lit(1)).alias("urls"))
+    sweeps = labels.join(counted, "label").select("label", (1 + F.floor(F.col("urls") / F.greatest(F.lit(_SWEEP_URLS), F.col("edges") * _URLS_PER_EDGE))).alias("salts"))
+    sweeps = Scratch(pages.sparkSession, "urls").table(sweeps, "sweeps")
+    keyed = urls.withColumn("row", F.monotonically_increasing_id()).join(F.broadcast(sweeps) if few else sweeps, "label", "left")
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("id", "host", "path", "row"), F.coalesce("salts", F.lit(1 << 31))))
     probes = keyed.withColumn("width", F.explode_outer(fits)).select(
-        F.element_at(F.split("host", r"\.", -1), -1).alias("label"), "salt",
+        "label", "salt",
         _key(F.expr("left(path, coalesce(width, 0))"), F.col("host")).alias("key"), F.lit(1).alias("turn"), empty.alias("top"),
         F.struct("row", "id", "host", "path").alias("url"),
     )
-    spread = edges.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = edges.join(sweeps, "label").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
     spread = spread.select("label", "salt", "key", "turn", "top", F.lit(None).cast(probes.schema["url"].dataType).alias("url"))
     sweep = Window.partitionBy("label", "salt").orderBy("key", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = probes.union(spread).withColumn("edge", F.last(F.when(F.col("turn") < 1, F.struct("top")), ignorenulls=True).over(sweep))
