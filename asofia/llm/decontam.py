@@ -17,6 +17,10 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 SPAN = 32
 #: Bits of the filter that spares the join most n-grams: 2 MB, whatever the size of the benchmark.
 FILTER_BITS = 1 << 24
+#: Item grams that are broadcast at most (24 bytes each); beyond that they meet the hits in a shuffle.
+BROADCAST_GRAMS = 1_000_000
+#: Words of texts that are aligned at once, padding included. A longer pair is aligned alone.
+CELLS = 1 << 20
 
 _PLAIN = tk.LOWER.copy()
 _PLAIN[list(rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~""")] = 32
@@ -31,12 +35,12 @@ def plain_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _item_grams(batches):
     for batch in batches:
-        h, row = plain_words(batch.column(1))
-        grams, first = tk.windows(h, row, GRAM)
-        count = np.bincount(row, minlength=batch.num_rows)
-        start = np.concatenate([[0], np.cumsum(count)])[row[first]]
-        columns = [batch.column(0).take(pa.array(row[first])), pa.array(grams.view(np.int64)), pa.array(first - start), pa.array(count[row[first]])]
-        yield pa.RecordBatch.from_arrays(columns, names=["item", "gram", "at", "words"])
+        for piece in tk.pieces(batch, 1):
+            h, row = plain_words(piece.column(1))
+            grams, first = tk.windows(h, row, GRAM)
+            start = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=piece.num_rows))])[row[first]]
+            columns = [piece.column(0).take(pa.array(row[first])), pa.array(grams.view(np.int64)), pa.array(first - start)]
+            yield pa.RecordBatch.from_arrays(columns, names=["item", "gram", "at"])
 
 
 def _find(bitmap: np.ndarray):
@@ -78,6 +82,17 @@ def align(items: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return best, end
 
 
+def _batches(size: np.ndarray):
+    """Indices of pairs of similar size, so many that the longest times their number stays within CELLS."""
+    order, low = np.argsort(size, kind="stable"), 0
+    while low < len(order):
+        high = low + 1
+        while high < len(order) and (high + 1 - low) * size[order[high]] <= CELLS and high - low < 1024:
+            high += 1
+        yield order[low:high].tolist()
+        low = high
+
+
 def _score(accept: float):
     schema = pa.schema([("id", pa.int64()), ("item", pa.int64()), ("score", pa.float64()), ("end_word", pa.int64())])
 
@@ -96,9 +111,8 @@ def _score(accept: float):
                         if b > a and m and np.isin(item[item_at[r] : item_at[r + 1]], doc[doc_at[r] + a : doc_at[r] + b]).sum() >= accept * m:
                             owner.append(r)
                             cuts.append((a, b))
-                for low in range(0, len(owner), 256):
-                    rows = owner[low : low + 256]
-                    part = cuts[low : low + 256]
+                for some in _batches(np.array([max(item_at[r + 1] - item_at[r], b - a) for r, (a, b) in zip(owner, cuts, strict=True)], dtype=np.int64)):
+                    rows, part = [owner[i] for i in some], [cuts[i] for i in some]
                     words = [int(item_at[r + 1] - item_at[r]) for r in rows]
                     left = np.zeros((len(rows), max(words)), dtype=np.uint64)
                     right = np.ones((len(rows), max(b - a for a, b in part)), dtype=np.uint64)
@@ -121,15 +135,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Returns the id, ``item_id``, ``score`` and ``end_word`` (the passage's last word, counted from 1) of the best passage. The score
     is the Smith-Waterman score over words (match 2, mismatch and gap -1) as a share of the item's score with itself; pairs
-    from ``accept`` on are returned. Documents without such a passage have no row. Every three-word gram of an item is a
-    seed, and one makes a candidate, however frequent it is. Items and texts that are null, empty or have fewer than three words match nothing, as do rows with
+    from ``accept`` on are returned. A pair's verdict does not depend on the other rows. Documents without such a passage have no row. Every three-word gram of an item is a
+    seed, and one makes a candidate, however frequent it is; of a candidate only passages that have enough of the item's words are aligned. Items and texts that are null, empty or have fewer than three words match nothing, as do rows with
     a null id. For an id that repeats the best of its texts counts. Other columns are ignored; empty tables give an empty one.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontamination")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body")).filter("id is not null and body is not null")
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("item_body")).filter("item is not null and item_body is not null")
-    grams = scratch.table(items.mapInArrow(_item_grams, "item long, gram long, at long, words long"), "grams")
+    grams = scratch.table(items.mapInArrow(_item_grams, "item long, gram long, at long"), "grams")
     slot = F.expr(f"mod(mod(gram, {FILTER_BITS}) + {FILTER_BITS}, {FILTER_BITS})")
     octets = grams.select(slot.alias("slot")).groupBy((F.col("slot") / 8).cast("int").alias("octet")).agg(F.bit_or(F.expr("shiftleft(1, cast(slot % 8 as int))")).alias("bits"))
     bitmap = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
@@ -137,8 +151,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     bitmap[found["octet"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.uint8)
 
     hits = docs.mapInArrow(_find(bitmap), "id long, gram long, pos long")
-    hits = scratch.table(hits.join(grams.select("gram").distinct(), "gram", "left_semi"), "hits")
-    near = hits.join(grams, "gram").select("id", "item", (F.col("pos") - F.col("at")).alias("shift"))
+    # a broadcast leaves hits where they are, however many of them one frequent gram has; else Spark splits a skewed join
+    small = grams.count() <= BROADCAST_GRAMS
+    near = hits.join(F.broadcast(grams) if small else grams, "gram").select("id", "item", (F.col("pos") - F.col("at")).alias("shift"))
     near = near.withColumn("start", F.explode(F.array(*(F.floor((F.col("shift") + k) / SPAN) * SPAN - k for k in (0, SPAN // 2)))))
     pairs = near.groupBy("id", "item").agg(F.array_sort(F.collect_set("start")).alias("starts"))
     pairs = scratch.table(pairs, "pairs")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from asofia.llm import decontam
 from helpers import DATA, odd_documents
@@ -59,6 +60,27 @@ def test_one_frequent_seed_is_enough(spark):
     assert {(r.doc_id, r.item_id): r.score for r in rows} == {(i, 1 + i // 20): (0.6, 1.0, 0.75)[i // 20] for i in range(60)}
 
 
+@pytest.mark.parametrize("others", [0, 30_000])
+@pytest.mark.parametrize("bound", [decontam.BROADCAST_GRAMS, 0])
+def test_a_pair_does_not_depend_on_other_documents(spark, monkeypatch, others, bound):
+    """The same copies among few and many documents, with the grams broadcast and shuffled."""
+    monkeypatch.setattr(decontam, "BROADCAST_GRAMS", bound)
+    long = "m1 m2 m3 m4 m5 m6 m7 m8 m9 m10 m11 m12 m13 m14 m15"
+    docs = [(1, "a one two three b"), (2, "p m1 m2 m3 x m5 m6 x m8 m9 x m11 m12 x m14 m15 q"), (3, "p m1 m2 m3 q"), (4, "one two four")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").union(spark.range(100, 100 + others).selectExpr("id", "concat('one two ', id, ' m1 m2 other ', id)"))
+    rows = decontam.contaminated(df, spark.createDataFrame([(1, "one two three"), (2, long)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in rows} == {(1, 1): 1.0, (2, 2): 0.6}
+
+
+def test_long_items(spark):
+    """An item of thousands of words beside short ones; its copy, with every tenth word changed, is found."""
+    body = [f"w{i * i % 7919}" for i in range(6000)]
+    edited = " ".join("new" if i % 10 == 4 else w for i, w in enumerate(body))
+    docs = spark.createDataFrame([(1, f"before {edited} after"), (2, " ".join(body[:2000])), (3, "w0 w1 w4 and more")], "doc_id long, text string")
+    rows = decontam.contaminated(docs, spark.createDataFrame([(1, " ".join(body)), (2, "w0 w1 w4 and")], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): round(r.score, 2) for r in rows} == {(1, 1): 0.85, (3, 2): 1.0, (1, 2): 0.75, (2, 2): 0.75}
+
+
 def test_odd_rows(spark):
     df, _ = odd_documents(spark)
     items = df.selectExpr("doc_id as item_id", "text")
