@@ -2,13 +2,15 @@
 
 A document's set holds its distinct word shingles. Sets are dealt to size bands. For two sets of one band (or on
 the two sides of one band boundary) with a Jaccard similarity of num/den or more, the symmetric difference is at
-most ``k = (den-num)/(den+num) * (|s|+|t|)``. The shingle domain is hashed into ``m > k`` partitions; the
-difference touches at most k of them, so on the others both sets agree. Each set emits one signature for each
-partition in which it has shingles (the enumeration of partition subsets with one partition each). Two linked
-sets therefore share a signature, unless every partition they agree on is empty.
+most ``k = (den-num)/(den+num) * (|s|+|t|)``. The shingle domain is hashed into more than k/2 first-level partitions and each of
+these into SECOND second-level ones. The difference can't touch two second-level partitions in every first-level one, so in one at
+least both sets agree on all second-level partitions but one. Each set emits a signature for every
+subset of SECOND - 1 second-level partitions of every first-level one, unless the subset holds no shingle. Two linked
+sets therefore share a signature, unless every subset they agree on is empty.
 
 Exactness for frequent signatures. A signature held by more than ``hot`` documents is only compared with one leader.
-A set with ``filled - k`` hot signatures or more (``filled``: its partitions with shingles) could lose a link to
+From the number of second-level partitions with shingles follows how many signatures a set shares with any linked one at least. A set with
+as many hot signatures or more could lose a link to
 another such set; these sets, few in ordinary data, are joined once more by an exact prefix filter on their own
 shingles, rarest first. Every other linked pair shares a signature of at most ``hot`` documents, whose pairs are
 compared unless they already are in one component. Nothing is capped, sampled or dropped.
@@ -27,9 +29,13 @@ from asofia.llm import textkernel as tk
 from asofia.llm.components import connected_components
 from asofia.llm.scratch import Scratch
 
+#: Second-level partitions of each first-level one; signatures leave out one of them.
+SECOND = 3
 BAND_RATIO = 2.35
 SLACK = 1.15
 BUCKET_BYTES = 1 << 20
+#: Groups of frequent signatures whose leaders are broadcast at most (16 bytes each).
+BROADCAST_LEADERS = 500_000
 SKETCH_BITS = 1024
 SKETCH_SET = 1200
 
@@ -43,14 +49,14 @@ def band_bounds(limit: int) -> np.ndarray:
 
 
 def schemes(sizes: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each set: scheme number, partitions (0: not in a scheme) and the largest difference to a partner.
+    """For each set: scheme number, first-level partitions (0: not in a scheme) and the largest difference to a partner.
 
     The first scheme joins sets of one band, the second those on the two sides of the nearest boundary.
     """
     bounds = band_bounds(int(sizes.max(initial=1)) * 2)
     size = np.maximum(sizes, 1)
     share = lambda total: total * (den - num) // (den + num)
-    parts = lambda k: np.ceil(SLACK * (k + 1)).astype(np.int64) + 4
+    parts = lambda k: np.ceil(SLACK * (k + 1) / 2).astype(np.int64) + 2
     partner = size * den // num
     band = np.searchsorted(bounds, size, "left")
     high = bounds[band]
@@ -67,24 +73,37 @@ def schemes(sizes: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, np.
     return [own, zone]
 
 
-def signatures(values: np.ndarray, bounds: np.ndarray, scheme: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signature and row of every partition with shingles, and the number of these per row."""
+def signatures(values: np.ndarray, bounds: np.ndarray, scheme: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signature and row of every subset with shingles; and for each row, how many of its first-level partitions have shingles in just one second-level one, and in several."""
     rows = len(parts)
     row = np.repeat(np.arange(rows), np.diff(bounds))
     chosen = parts[row] > 0
     row, values = row[chosen], values[chosen]
     start = np.concatenate([[0], np.cumsum(parts)])
     spread = tk.mix(values + tk.U64(0x632BE59BD9B4E019)) >> tk.U64(32)
-    part = ((spread * parts[row].astype(np.uint64)) >> tk.U64(32)).astype(np.int64)
-    cell = start[row] + part
-    total = np.zeros(start[-1], dtype=np.uint64)
-    np.add.at(total, cell, values)
-    used = np.zeros(start[-1], dtype=bool)
-    used[cell] = True
-    cells = np.flatnonzero(used)
-    owner = np.searchsorted(start, cells, "right") - 1
-    sig = total[cells] + tk.mix(((cells - start[owner]).astype(np.uint64) << tk.U64(16)) + scheme[owner].astype(np.uint64))
-    return tk.mix(sig), owner, np.bincount(owner, minlength=rows)
+    cell = start[row] * SECOND + ((spread * (parts[row] * SECOND).astype(np.uint64)) >> tk.U64(32)).astype(np.int64)
+    total = np.zeros((start[-1], SECOND), dtype=np.uint64)
+    np.add.at(total.reshape(-1), cell, values)
+    used = np.zeros((start[-1], SECOND), dtype=bool)
+    used.reshape(-1)[cell] = True
+    filled = used.sum(axis=1)
+    owner = np.repeat(np.arange(rows), parts)
+    group, out = np.nonzero(filled[:, None] > used)  # the subset without ``out`` has a shingle
+    rest = total.sum(axis=1, dtype=np.uint64)[group] - total[group, out]
+    place = (group - start[owner[group]]) * SECOND + out
+    sig = rest + tk.mix((place.astype(np.uint64) << tk.U64(16)) + scheme[owner[group]].astype(np.uint64))
+    return tk.mix(sig), owner[group], np.bincount(owner[filled == 1], minlength=rows), np.bincount(owner[filled > 1], minlength=rows)
+
+
+def shared_at_least(single: np.ndarray, several: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Signatures that a set has in common with any other whose difference touches ``most`` second-level partitions.
+
+    One touch takes SECOND - 1 signatures from a first-level partition, either all it has (``single``) or all but one (``several``); a second
+    touch takes that one.
+    """
+    both = single + several
+    whole = (SECOND - 1) * single + SECOND * several
+    return whole - (SECOND - 1) * np.minimum(most, both) - np.clip(most - both, 0, several)
 
 
 def set_ids(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -136,8 +155,8 @@ def _emit(n: int, num: int, den: int, bits: int):
                 alone[first] = True  # copies inside the piece emit once
                 keys, owners, margins = [], [], []
                 for slot, (scheme, parts, most) in enumerate(schemes(np.where(alone, sizes, 0), num, den)):
-                    sig, owner, filled = signatures(values, bounds, scheme, parts)
-                    margins.append(np.where(parts > 0, filled - most, 1 << 40))
+                    sig, owner, single, several = signatures(values, bounds, scheme, parts)
+                    margins.append(np.where(parts > 0, shared_at_least(single, several, most), 1 << 40))
                     keys.append(sig)
                     owners.append((owner << 1 | slot).astype(np.uint64))
                 sig, owner = np.concatenate(keys), np.concatenate(owners)
@@ -150,7 +169,7 @@ def _emit(n: int, num: int, den: int, bits: int):
                 about = np.stack([ids, sizes, names, (uid << 16) + np.arange(len(ids)), *margins], axis=1).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([bucket[edge], [-1 - uid % 1021]]), pa.int64()),
+                        pa.array(np.concatenate([bucket[edge], [-1 - uid % (1 << bits)]]), pa.int64()),
                         pa.array(np.full(len(edge) + 1, uid), pa.int64()),
                         pa.array([cell[a:b].tobytes() for a, b in zip(edge, stop, strict=True)] + [about_rows(about, values, bounds, num, den)], pa.binary()),
                     ],
@@ -277,12 +296,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lists = scratch.table(lists.filter("size(members) > 1").select("members").distinct(), "lists")
     frequent = found.filter("kind = 2").select(F.col("key").alias("lead"), *(F.col("ids")[i].alias(c) for i, c in enumerate(("loc", "slot", "times"))))
     frequent = frequent.groupBy("lead", "loc", "slot").agg(F.sum("times").alias("times"))
-    frequent = frequent.join(place, "loc")
-    frequent = scratch.table(frequent.join(place.select(F.col("loc").alias("lead"), F.col("node").alias("leader")), "lead"), "frequent")
+    frequent = scratch.table(frequent.join(place, "loc"), "frequent")
+    # leaders are few beside the members that meet them, so those stay where they are
+    few = lambda df, name: (lambda t: F.broadcast(t) if t.count() <= BROADCAST_LEADERS else t)(scratch.table(df, name))
+    leaders = few(frequent.select(F.col("lead").alias("loc")).distinct().join(place, "loc").select(F.col("loc").alias("lead"), F.col("node").alias("leader")), "leaders")
     # the member whose signatures are frequent for the greatest part is the least edited copy: it links to any member that has a link
-    middle = frequent.groupBy("loc").agg(F.first("node").alias("node"), (F.sum("times") / F.first("size")).alias("share"))
-    middle = frequent.select("lead", "loc").distinct().join(middle, "loc").groupBy("lead").agg(F.max_by("node", F.struct("share", "node")).alias("middle"))
-    stars = frequent.select(F.col("leader").alias("x"), "node").union(frequent.join(middle, "lead").select("middle", "node")).filter("x <> node")
+    share = F.sum("times").over(Window.partitionBy("loc")) / F.col("size")
+    middle = few(frequent.withColumn("share", share).groupBy("lead").agg(F.max_by("node", F.struct("share", "node")).alias("middle")), "middle")
+    stars = frequent.join(leaders, "lead").select(F.col("leader").alias("x"), "node").union(frequent.join(middle, "lead").select("middle", "node")).filter("x <> node")
 
     fits = lambda x, y: F.least(x["size"], y["size"]) * den >= F.greatest(x["size"], y["size"]) * num
     star = lists.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, hot)).alias("b"))

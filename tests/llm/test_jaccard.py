@@ -76,7 +76,7 @@ def test_odd_rows(spark):
 
 
 def test_schemes_cover_every_linkable_pair():
-    """Two sets that may be linked have a scheme in common, and its partitions outnumber their largest difference."""
+    """Two sets that may be linked have a scheme in common, and the difference can't touch two second-level partitions in each of its first-level ones."""
     sizes = np.arange(1, 700)
     parts = jaccard.schemes(sizes, 75, 100)
     table = {(slot, i): (s[i], p[i], k[i]) for slot, (s, p, k) in enumerate(parts) for i in range(len(sizes)) if p[i]}
@@ -87,7 +87,22 @@ def test_schemes_cover_every_linkable_pair():
                 break
             largest = (a + b) * 25 // 175
             shared = [(table[x, i], table[y, j]) for x in (0, 1) for y in (0, 1) if (x, i) in table and (y, j) in table and table[x, i][0] == table[y, j][0]]
-            assert any(u[1] == v[1] and u[1] > largest and u[2] >= largest and v[2] >= largest for u, v in shared), (a, b)
+            assert any(u[1] == v[1] and 2 * u[1] > largest and u[2] >= largest and v[2] >= largest for u, v in shared), (a, b)
+
+
+def test_shared_signatures_are_as_many_as_stated():
+    """Random sets and edits of them: never fewer signatures in common than ``shared_at_least`` says."""
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        n, k, parts = int(rng.integers(1, 60)), int(rng.integers(0, 12)), int(rng.integers(2, 9))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        gone = min(int(rng.integers(0, k + 1)), len(a))
+        b = np.unique(np.concatenate([a[gone:], rng.integers(0, 2**63, k - gone).astype(np.uint64)]))
+        side = lambda x: jaccard.signatures(x, np.array([0, len(x)]), np.array([4]), np.array([parts]))  # noqa: E731, B023
+        (u, _, *fill), (v, _, *other) = side(a), side(b)
+        both = len(np.intersect1d(u, v))
+        for single, several in (fill, other):
+            assert both >= jaccard.shared_at_least(single, several, np.array([k]))[0]
 
 
 def test_sketches_never_overstate():
