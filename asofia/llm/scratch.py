@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,12 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 class Scratch:
     """Writes tables below ``spark.checkpoint.dir`` and reads them back, which cuts their lineage.
 
-    A written table survives the loss of any executor. The folder is the cluster's to clear. Only where the
-    setting is missing, as in local tests, a temporary folder takes its place.
+    A written table survives the loss of any executor. The folder is the cluster's to clear. Only where Spark runs in one
+    process, as in local tests, a temporary folder may take the place of a missing setting; a cluster must have it.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="asofia-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            base = tempfile.mkdtemp(prefix="asofia-")
         self.spark = spark
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self._count = 0
