@@ -10,8 +10,20 @@ TOKEN = "[a-z0-9]+"
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 MONTH_NAMES = (
     "January|February|March|April|May|June|July|August|September|October|November|December"
-    "|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec"
+    "|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec"
 )
+# English function words that a text index leaves out.
+STOPWORDS = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself "
+    "they them their theirs themselves what which who whom this that these those am is are was were be been being have has had having "
+    "do does did doing a an the and but if or because as until while of at by for with about against between into through during before "
+    "after above below to from up down in out on off over under again further then once here there when where why how all any both each "
+    "few more most other some such no nor not only own same so than too very s t can will just don should now"
+).split()
+#: What the light stemmer replaces, in this order: plurals, -ed, -ing and a final e. Short stems stay whole.
+ENDINGS = [
+    ("(ss|x|ch|sh)es$", 1, ""), ("([a-z]{2})ies$", 1, "y"), ("([a-z]{2}[^su])s$", 1, ""), ("([a-z]*[aeiouy][a-z]*[^aeiou])(?:ing|ed)$", 1, ""), ("([a-z]{3})e$", 1, ""),
+]
 
 
 def tokens(text: Column) -> Column:
@@ -32,12 +44,10 @@ def word_count(text: Column) -> Column:
 
 
 def stem(word: Column) -> Column:
-    """A light English stemmer for distinct vocabulary: plurals, -ed, -ing and a final e. Short stems stay whole."""
-    w = F.regexp_replace(word, "(ss|x|ch|sh)es$", "$1")
-    w = F.regexp_replace(w, "([a-z]{2})ies$", "$1y")
-    w = F.regexp_replace(w, "([a-z]{2}[^su])s$", "$1")
-    w = F.regexp_replace(w, "([a-z]*[aeiouy][a-z]*[^aeiou])(?:ing|ed)$", "$1")
-    return F.regexp_replace(w, "([a-z]{3})e$", "$1")
+    """A light English stemmer, meant for the distinct vocabulary."""
+    for pattern, group, tail in ENDINGS:
+        word = F.regexp_replace(word, pattern, f"${group}{tail}")
+    return word
 
 
 def date_of(month: Column, day: Column, year: Column) -> Column:

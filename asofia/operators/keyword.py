@@ -20,39 +20,81 @@ def postings(docs: DataFrame, id_col: str = "doc_id", title: str = "title", body
     return rows.select("id", "token.term", "token.weight", (F.col("at") + 1).alias("pos"), "length")
 
 
-def stemmed(rows: DataFrame, stopwords: list[str] | None = None) -> DataFrame:
-    """Replace terms by their stems. The stemmer runs on the distinct vocabulary only."""
-    vocabulary = rows.select("term").distinct()
-    if stopwords:
-        vocabulary = vocabulary.filter(~F.col("term").isin(stopwords))
-    return rows.join(vocabulary.select("term", text.stem(F.col("term")).alias("stem")), "term").drop("term").withColumnRenamed("stem", "term")
+def question_words(questions: DataFrame) -> DataFrame:
+    """``qid, term``: the distinct words of each question but function words."""
+    words = questions.select("qid", F.explode(F.array_distinct(text.tokens(F.col("question")))).alias("term"))
+    return words.filter(~F.col("term").isin(text.STOPWORDS))
 
 
-def rarest_terms(questions: DataFrame, rows: DataFrame, n: int = 6) -> DataFrame:
-    """``qid, term``: the n terms of each question found in the fewest documents. Terms found in none don't count, so a question may have none."""
-    return rarest(questions.select("qid", F.explode(F.array_distinct(text.tokens(F.col("question")))).alias("term")), rows, n)
+def matching_terms(words: DataFrame, rows: DataFrame) -> DataFrame:
+    """``qid, stem, term``: every term of the index that has the stem of one of a question's words.
+
+    Stems are taken of the distinct vocabulary only, so postings are searched as they are. Function words have no stem here.
+    """
+    stem = text.stem(F.col("term"))
+    vocabulary = rows.select("term").distinct().filter(~F.col("term").isin(text.STOPWORDS)).select(stem.alias("stem"), "term")
+    return words.select("qid", stem.alias("stem")).distinct().join(vocabulary, "stem").select("qid", "stem", "term")
 
 
-def rarest(words: DataFrame, rows: DataFrame, n: int = 6) -> DataFrame:
-    """Of distinct ``qid, term`` the n terms of each question that the fewest documents hold."""
+def rarest(terms: DataFrame, rows: DataFrame, n: int = 1) -> DataFrame:
+    """Of ``qid, term`` the n terms of each question that the fewest documents hold."""
     # only the questions' own terms are counted, and each document once per term
-    df = rows.join(words.select("term").distinct(), "term", "left_semi").select("term", "id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = rows.join(terms.select("term").distinct(), "term", "left_semi").select("term", "id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy("qid").orderBy("df", "term")
-    return words.join(df, "term").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= n).select("qid", "term")
+    return terms.select("qid", "term").distinct().join(df, "term").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= n).select("qid", "term")
 
 
 def scores(terms: DataFrame, rows: DataFrame) -> DataFrame:
     """Cover-density score of every document with any of a question's terms.
 
-    Each matching position is a cover of its own: the sum of weights, over 1 + log of the length, times the mean closeness of consecutive matches.
+    A query for any term is covered by each single match, so every match is an extent of its own: the sum of weights, over the log of the length
+    plus one, over the harmonic mean of the distances between consecutive extents.
     """
-    hits = terms.join(rows, "term")
+    hits = terms.select("qid", "term").join(rows, "term")
     gap = F.col("pos") - F.lag("pos").over(Window.partitionBy("qid", "id").orderBy("pos"))
     hits = hits.withColumn("gap", gap)
     close = F.when(F.count(F.lit(1)) > 1, F.sum(1 / F.col("gap")) / F.count(F.lit(1))).otherwise(1.0)
     return hits.groupBy("qid", "id").agg(F.round(F.sum("weight") / F.log(1 + F.first("length")) * close, 9).alias("score"), F.count(F.lit(1)).alias("matches"))
 
 
+def all_scores(stems: DataFrame, terms: DataFrame, rows: DataFrame) -> DataFrame:
+    """Cover-density score of every document that holds all of a question's ``stems`` (``qid, stem``); ``terms`` (``qid, stem, term``) are theirs in the index.
+
+    An extent is a shortest stretch with every stem. It adds the harmonic mean of its matches' weights, over one plus the words in it that don't match;
+    the sum is divided as in ``scores``, by distances between the extents' middles. The matches of a document are folded in order, in the JVM.
+    """
+    numbered = stems.select("qid", "stem").distinct().withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy("stem")))
+    numbered = numbered.withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("qid")))
+    hits = terms.join(numbered, ["qid", "stem"]).select("qid", "term", "k", "of").join(rows, "term")
+    lists = hits.groupBy("qid", "id").agg(F.count_distinct("k").alias("found"), F.first("of").alias("of"), F.first("length").alias("length"), F.array_sort(F.collect_list(F.struct("pos", "k", (1 / F.col("weight")).alias("cost")))).alias("m"))
+    lists = lists.filter("found = of")
+    none = "cast(0 as double)"
+    # last place of each stem as index in m; begin of the last extent; sum of extents, of closeness, their number and the last middle
+    start = F.expr(f"struct(array_repeat(-1, int(of)) as last, -1 as begin, {none} as total, {none} as near, 0 as n, {none} as middle, 0 as i)")
+
+    def step(state: Column, match: Column) -> Column:
+        last = F.transform(state["last"], lambda x, j: F.when(j == match["k"] - 1, state["i"]).otherwise(x))
+        moved = F.struct(last.alias("last"), F.array_min(last).alias("first"))
+        return F.element_at(F.transform(F.array(moved), lambda s: _extent(state, s["last"], s["first"], match)), 1)
+
+    def _extent(state: Column, last: Column, first: Column, match: Column) -> Column:
+        new = (first > state["begin"]) & (first >= 0)
+        inside = F.slice(F.col("m"), first + 1, state["i"] - first + 1)
+        entries, words = state["i"] - first + 1, match["pos"] - F.element_at(F.col("m"), F.greatest(first, F.lit(0)) + 1)["pos"]
+        worth = entries / F.aggregate(inside, F.lit(0.0), lambda t, x: t + x["cost"]) / (1 + words - (entries - 1))
+        middle = (match["pos"] + F.element_at(F.col("m"), F.greatest(first, F.lit(0)) + 1)["pos"]) / 2.0
+        near = F.when((state["n"] > 0) & (middle > state["middle"]), 1 / (middle - state["middle"])).otherwise(0.0)
+        pick = lambda yes, no: F.when(new, yes).otherwise(no)
+        return F.struct(
+            last.alias("last"), pick(first, state["begin"]).alias("begin"), pick(state["total"] + worth, state["total"]).alias("total"), pick(state["near"] + near, state["near"]).alias("near"),
+            pick(state["n"] + 1, state["n"]).alias("n"), pick(middle, state["middle"]).alias("middle"), (state["i"] + 1).alias("i"),
+        )
+
+    folded = lists.withColumn("s", F.aggregate("m", start, step))
+    close = F.when(F.col("s.near") > 0, F.col("s.near") / F.col("s.n")).otherwise(1.0)
+    return folded.select("qid", "id", F.round(F.col("s.total") / F.log(1 + F.col("length")) * close, 9).alias("score"), F.col("s.n").cast("long").alias("extents"))
+
+
 def top(ranked: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first k rows of each question, with their rank."""
     return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order)).cast("long")).filter(F.col("rank") <= k)
@@ -69,18 +111,27 @@ def search(questions: DataFrame, terms: DataFrame, rows: DataFrame, docs: DataFr
 def parse_web_query(queries: DataFrame) -> DataFrame:
     """``qid, kind, part, term, at``: words and "phrases" that must occur, and -words that must not.
 
-    ``part`` numbers the parts of a query; a phrase's terms are numbered by ``at``. A query without terms gives no rows, so it finds nothing.
+    Function words don't count. ``part`` numbers the parts of a query; parts joined by ``or`` have one number and differ in ``choice``. A phrase's
+    terms are numbered by ``at``. A query without terms gives no rows, so it finds nothing.
     """
-    parts = queries.select("qid", F.posexplode(F.regexp_extract_all("query", F.lit(r'-?"[^"]*"|\S+'), F.lit(0))).alias("part", "raw"))
+    parts = queries.select("qid", F.posexplode(F.regexp_extract_all("query", F.lit(r'-?"[^"]*"|\S+'), F.lit(0))).alias("choice", "raw"))
+    is_or = F.lower("raw") == "or"
+    order = Window.partitionBy("qid").orderBy("choice")
+    joined = F.coalesce(F.lag(is_or).over(order), F.lit(False))
+    parts = parts.withColumn("is_or", is_or).withColumn("new", F.when(is_or | joined, 0).otherwise(1)).withColumn("part", F.sum("new").over(order).cast("int")).filter("not is_or")
     kind = F.when(F.col("raw").startswith("-"), "not").otherwise("must")
-    return parts.select("qid", kind.alias("kind"), "part", F.posexplode(text.tokens(F.col("raw"))).alias("at", "term"))
+    terms = parts.select("qid", kind.alias("kind"), "part", "choice", F.posexplode(text.tokens(F.col("raw"))).alias("at", "term"))
+    return terms.filter(~F.col("term").isin(text.STOPWORDS))
 
 
 def match_all(parsed: DataFrame, rows: DataFrame) -> DataFrame:
-    """``qid, id`` of the documents that hold every required word and phrase, and none of the excluded ones."""
-    hits = parsed.join(rows.select("id", "term", "pos"), "term").withColumn("start", F.col("pos") - F.col("at"))
-    size = parsed.groupBy("qid", "part").agg(F.count(F.lit(1)).alias("terms"))
-    whole = hits.groupBy("qid", "kind", "part", "id", "start").agg(F.count_distinct("at").alias("n")).join(size, ["qid", "part"]).filter("n = terms")
+    """``qid, id`` of the documents that hold every required word and phrase (of parts joined by ``or`` one), by stems, and none of the excluded ones."""
+    stem = text.stem(F.col("term"))
+    vocabulary = rows.select("term").distinct().select(stem.alias("stem"), "term")
+    asked = parsed.withColumn("stem", stem).drop("term").join(vocabulary, "stem")
+    hits = asked.join(rows.select("id", "term", "pos"), "term").withColumn("start", F.col("pos") - F.col("at"))
+    size = parsed.groupBy("qid", "choice").agg(F.count(F.lit(1)).alias("terms"))
+    whole = hits.groupBy("qid", "kind", "part", "choice", "id", "start").agg(F.count_distinct("at").alias("n")).join(size, ["qid", "choice"]).filter("n = terms")
     whole = whole.select("qid", "kind", "part", "id").distinct()
     wanted = parsed.filter("kind = 'must'").groupBy("qid").agg(F.count_distinct("part").alias("parts"))
     found = whole.filter("kind = 'must'").groupBy("qid", "id").agg(F.count(F.lit(1)).alias("n")).join(wanted, "qid").filter("n = parts")

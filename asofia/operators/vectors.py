@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +18,8 @@ RRF_K = 60
 LIST_WEIGHTS = {"keyword": 0.3, "vector": 1.0}
 CANDIDATES = 50
 BUCKETS = 384
+#: Vectors of a block, and queries that are broadcast as blocks at most (3 kB each at 384 dimensions).
+BLOCK, BROADCAST_QUERIES = 2048, 20_000
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -23,58 +27,130 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda t, x: t + x)
 
 
-def exact_nearest(queries: DataFrame, vectors: DataFrame, n: int = CANDIDATES, block: int = 8192) -> DataFrame:
+def blocks(rows: DataFrame, id_col: str, *keys: str, vector: str = "embedding", size: int = BLOCK) -> DataFrame:
+    """Rows as blocks of up to ``size`` vectors: ``key``s, ``ids`` and ``matrix`` (doubles, row by row). Rows with a null id or vector are left out.
+
+    A block has rows of one task with equal keys, so nothing is shuffled.
+    """
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), *keys).filter("id is not null and v is not null")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            groups = table.select(keys).group_by(list(keys)).aggregate([]).to_pylist() if keys else [{}]
+            for group in groups:
+                some = table
+                for name, value in group.items():
+                    some = some.filter(pc.is_null(some[name]) if value is None else pc.equal(some[name], pa.scalar(value, some.schema.field(name).type)))
+                for low in range(0, len(some), size):
+                    part = some.slice(low, size)
+                    ids, flat = part["id"].to_numpy(), part["v"].combine_chunks()
+                    flat = flat if isinstance(flat, pa.Array) else flat.chunk(0)
+                    matrix = flat.flatten().to_numpy(zero_copy_only=False)
+                    columns = [part[name].slice(0, 1).combine_chunks() for name in keys]
+                    columns = [c if isinstance(c, pa.Array) else c.chunk(0) for c in columns]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([ids.astype(np.int64).tobytes()]), pa.array([matrix.astype(np.float64).tobytes()])], names=[*keys, "ids", "matrix"])
+
+    return rows.mapInArrow(run, (kinds + ", " if kinds else "") + "ids binary, matrix binary")
+
+
+def _read(ids: bytes, matrix: bytes) -> tuple[np.ndarray, np.ndarray]:
+    names = np.frombuffer(ids, dtype=np.int64)
+    return names, np.frombuffer(matrix, dtype=np.float64).reshape(len(names), -1)
+
+
+def _leading(score: np.ndarray, names: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each row's n greatest scores, equal ones by name."""
+    if score.shape[1] > n:
+        least = np.partition(score, score.shape[1] - n, axis=1)[:, -n][:, None]
+        row, column = np.nonzero(score >= least)
+    else:
+        row, column = np.nonzero(np.ones(score.shape, dtype=bool))
+    order = np.lexsort((names[column], -score[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = (place < n) & np.isfinite(score[row, column])
+    return row[keep], column[keep]
+
+
+def exact_nearest(queries: DataFrame, vectors: DataFrame, n: int = CANDIDATES) -> DataFrame:
     """``qid, vec_id, cosine, rank``: the n nearest vectors of each query, itself left out.
 
-    Queries are taken in blocks of some 8192 (a few MB as a matrix); each batch of vectors meets a block in one matrix product
-    and keeps n per query, which is all that is shuffled.
+    Blocks of queries meet blocks of vectors in one matrix product each, and only n per query of a block go on. The query blocks are
+    broadcast while they are few; beyond that, block rows are paired by the cluster. Nothing passes the driver.
     """
-    queries = queries.select(F.col("qid").cast("long"), "embedding").filter("qid is not null and embedding is not null")
-    vectors = vectors.select(F.col("vec_id").cast("long"), "embedding").filter("vec_id is not null and embedding is not null")
-    blocks = 1 + queries.count() // block
-    found = None
-    for b in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).toPandas()
-        near = vectors.mapInPandas(_nearest_in(part["qid"].to_numpy(), np.array(part["embedding"].tolist(), dtype=float), n), "qid long, vec_id long, cosine double")
-        found = near if found is None else found.union(near)
+    left = blocks(queries, "qid").select(F.col("ids").alias("qids"), F.col("matrix").alias("q"))
+    if queries.count() <= BROADCAST_QUERIES:
+        left = F.broadcast(left)
+    near = blocks(vectors, "vec_id").crossJoin(left).mapInPandas(_nearest(n), "qid long, vec_id long, cosine double")
     order = Window.partitionBy("qid").orderBy(F.desc("cosine"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= n)
+    return near.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= n)
 
 
-def _nearest_in(ids: np.ndarray, left: np.ndarray, n: int):
+def _nearest(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(ids) and len(batch):
-                keys = batch["vec_id"].to_numpy()
-                score = np.round(left @ np.array(batch["embedding"].tolist(), dtype=float).T, 6)
-                score[ids[:, None] == keys[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(keys, score.shape), -score), axis=1)[:, :n]
-                out = pd.DataFrame({"qid": np.repeat(ids, order.shape[1]), "vec_id": keys[order].ravel(), "cosine": np.take_along_axis(score, order, 1).ravel()})
-                yield out[np.isfinite(out["cosine"])]
+            for ids, matrix, qids, q in zip(batch["ids"], batch["matrix"], batch["qids"], batch["q"], strict=True):
+                (names, right), (asked, left) = _read(ids, matrix), _read(qids, q)
+                score = np.round(left @ right.T, 6)
+                score[asked[:, None] == names[None, :]] = -np.inf
+                row, column = _leading(score, names, n)
+                yield pd.DataFrame({"qid": asked[row], "vec_id": names[column], "cosine": score[row, column]})
 
     return run
 
 
-def planes(dims: int, tables: int, bits: int, seed: int = 11) -> np.ndarray:
-    return np.random.default_rng(seed).normal(size=(tables, bits, dims))
+def near_pairs(most: float):
+    """Pairs of two blocks within a cosine distance."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for ids, matrix, qids, q in zip(batch["ids"], batch["matrix"], batch["qids"], batch["q"], strict=True):
+                (names, right), (asked, left) = _read(ids, matrix), _read(qids, q)
+                distance = np.round(1 - left @ right.T, 6)
+                row, column = np.nonzero(distance <= most)
+                yield pd.DataFrame({"qid": asked[row], "kept_id": names[column], "distance": distance[row, column]})
+
+    return run
 
 
-def hashed_nearest(queries: DataFrame, vectors: DataFrame, n: int = 10, dims: int = 64, tables: int = 32, bits: int = 5) -> DataFrame:
-    """Approximate search: vectors that share a sign pattern with the query in any of several tables of random planes are compared exactly."""
-    cut = planes(dims, tables, bits)
+def centres(vectors: DataFrame, lists: int, sample: int = 20_000, rounds: int = 8, seed: int = 11) -> np.ndarray:
+    """Unit centres of ``lists`` clusters, by k-means on at most ``sample`` vectors, those with the smallest hashes of their ids."""
+    rows = vectors.filter("embedding is not null").orderBy(F.xxhash64("vec_id")).limit(sample).select("embedding").toPandas()
+    x = np.array(rows["embedding"].tolist(), dtype=float)
+    c = x[np.random.default_rng(seed).permutation(len(x))[:lists]]
+    for _ in range(rounds):
+        near = (x @ c.T).argmax(axis=1)
+        total = np.zeros_like(c)
+        np.add.at(total, near, x)
+        size = np.linalg.norm(total, axis=1, keepdims=True)
+        c = np.where(size > 0, total / np.maximum(size, 1e-12), c)
+    return c
+
+
+def clustered_nearest(queries: DataFrame, vectors: DataFrame, n: int = 10, lists: int = 128, probes: int = 72, sample: int = 20_000) -> DataFrame:
+    """Approximate search: every vector is in the list of its nearest centre, and a query is compared with the ``probes`` nearest lists exactly.
+
+    The centres are fitted on a bounded sample (``sample`` vectors), every vector is indexed. A list is kept as blocks, so a long one is many
+    rows. Returns ``qid, vec_id, cosine, rank``, and ``compared``, the number of vectors that the query was compared with.
+    """
+    c = centres(vectors, lists, sample)
 
     @F.pandas_udf("array<int>")
-    def keys(column: pd.Series) -> pd.Series:
-        x = np.array(column.tolist(), dtype=float).reshape(len(column), dims)
-        signs = np.einsum("tbd,nd->ntb", cut, x) > 0
-        return pd.Series(list((signs * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)))
-
-    coded = lambda df, name: df.select(F.col(name).alias("id"), "embedding", F.posexplode(keys("embedding")).alias("t", "key"))
-    left = coded(queries.filter("embedding is not null"), "qid").select(F.col("id").alias("qid"), F.col("embedding").alias("q"), "t", "key")
-    pairs = left.join(coded(vectors.filter("embedding is not null"), "vec_id"), ["t", "key"]).filter("qid <> id").groupBy("qid", "id").agg(F.first("q").alias("q"), F.first("embedding").alias("v"))
-    scored = pairs.select("qid", F.col("id").alias("vec_id"), F.round(cosine(F.col("q"), F.col("v")), 6).alias("cosine"))
+    def nearest_lists(column: pd.Series) -> pd.Series:
+        near = np.argsort(-(np.array(column.tolist(), dtype=float).reshape(len(column), -1) @ c.T), axis=1, kind="stable")
+        return pd.Series(list(near.astype(np.int32)))
+
+    named = lambda df: df.filter("embedding is not null").withColumn("near", nearest_lists("embedding"))
+    index = blocks(named(vectors).withColumn("list", F.col("near")[0]).repartition("list"), "vec_id", "list")
+    asked = named(queries).withColumn("list", F.explode(F.slice("near", 1, probes)))
+    left = blocks(asked.repartition("list"), "qid", "list").select("list", F.col("ids").alias("qids"), F.col("matrix").alias("q"))
+    sizes = index.select("list", F.octet_length("ids").alias("bytes")).groupBy("list").agg((F.sum("bytes") / 8).cast("long").alias("size"))
+    compared = asked.select("qid", "list").join(sizes, "list").groupBy("qid").agg(F.sum("size").alias("compared"))
+    near = index.join(left, "list").select("ids", "matrix", "qids", "q").mapInPandas(_nearest(n), "qid long, vec_id long, cosine double")
     order = Window.partitionBy("qid").orderBy(F.desc("cosine"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= n)
+    return near.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= n).join(compared, "qid")
 
 
 def hashed_embedding(rows: DataFrame, id_col: str = "id", term_col: str = "term") -> DataFrame:
@@ -89,10 +165,28 @@ def hashed_embedding(rows: DataFrame, id_col: str = "id", term_col: str = "term"
 
 
 def sparse_nearest(queries: DataFrame, vectors: DataFrame, n: int = CANDIDATES) -> DataFrame:
-    """``qid, id, cosine, rank`` from two sparse tables, joined by bucket; the query's few buckets are what is broadcast or shuffled."""
-    pairs = queries.select(F.col("id").alias("qid"), "bucket", F.col("value").alias("x")).join(vectors, "bucket")
-    scored = pairs.groupBy("qid", "id").agg(F.round(F.sum(F.col("x") * F.col("value")), 6).alias("cosine"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("cosine"), "id")).cast("long")).filter(F.col("rank") <= n)
+    """``qid, id, cosine, rank`` from two sparse tables (``id, bucket, value``), made dense row by row and compared in blocks. Pairs without a common bucket don't count."""
+    dense = lambda df, name: df.groupBy(F.col("id").alias(name)).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("m")).select(
+        name, F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.coalesce(F.try_element_at("m", b.cast("long")), F.lit(0.0))).alias("embedding")
+    )
+    left = blocks(dense(queries, "qid"), "qid").select(F.col("ids").alias("qids"), F.col("matrix").alias("q"))
+    if queries.select("id").distinct().count() <= BROADCAST_QUERIES:
+        left = F.broadcast(left)
+    near = blocks(dense(vectors, "vec_id"), "vec_id").crossJoin(left).mapInPandas(_nearest_documents(n), "qid long, id long, cosine double")
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("cosine"), "id")).cast("long")).filter(F.col("rank") <= n)
+
+
+def _nearest_documents(n: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for ids, matrix, qids, q in zip(batch["ids"], batch["matrix"], batch["qids"], batch["q"], strict=True):
+                (names, right), (asked, left) = _read(ids, matrix), _read(qids, q)
+                score = np.round(left @ right.T, 6)
+                score[score == 0] = -np.inf
+                row, column = _leading(score, names, n)
+                yield pd.DataFrame({"qid": asked[row], "id": names[column], "cosine": score[row, column]})
+
+    return run
 
 
 def fuse(lists: DataFrame, k: int = 10, weights: dict[str, float] = LIST_WEIGHTS) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from asofia.functions import temporal, text
 from asofia.operators import keyword, vectors
 from asofia.plans.registry import registry
-from asofia.plans.views import sql
-from asofia.sources import corpus
+from asofia.plans.views import STOP, sql, stem
+from asofia.sources import corpus, folders
 from asofia.sources.corpus import TODAY
 
 QUERIES, ORACLE, query = registry()
@@ -17,13 +18,13 @@ QUERIES, ORACLE, query = registry()
 
 def _rows(spark, d):
     docs = corpus.documents(spark, d)
-    return docs, keyword.postings(docs)
+    return docs, folders.written(keyword.postings(docs), "postings")
 
 
 def _parts(spark, d):
     docs, rows = _rows(spark, d)
     questions = corpus.questions(spark, d)
-    return docs, rows, questions, keyword.rarest_terms(questions, rows)
+    return docs, rows, questions, folders.written(keyword.matching_terms(keyword.question_words(questions), rows), "terms")
 
 
 _IN_FORCE = "valid_from <= as_of and (valid_to is null or valid_to > as_of) and (as_of < date '2026-10-04' or not is_withdrawn)"
@@ -49,6 +50,38 @@ def keyword_search_docs(spark: SparkSession, d: str) -> DataFrame:
     return keyword.search(questions, terms, rows, docs, TODAY)
 
 
+_ALL = {
+    "a0": "select qid, unnest(t) as term, unnest(range(1, len(t) + 1)) as spot from (select qid, regexp_extract_all(lower(question), '[a-z0-9]+') as t from questions)",
+    "a1": f"select qid, {stem('term')} as stem, min(spot) as spot from a0 where term not in {STOP} group by all",
+    "a2": "select qid, stem, row_number() over (partition by qid order by stem) as k, count(*) over (partition by qid) as parts from (select * from a1 qualify row_number() over (partition by qid order by spot) <= 3)",
+    "ah": "select qid, doc_id, k, parts, pos, 1 / weight as cost from a2 join vocab using (stem) join postings using (term)",
+    "aw": "select *, row_number() over w as i, sum(cost) over w as costs, " + ", ".join(f"max(case when k = {k} then pos end) over w as l{k}" for k in (1, 2, 3)) + " from ah window w as (partition by qid, doc_id order by pos)",
+    "ab": "select *, case when l1 is not null and (parts < 2 or l2 is not null) and (parts < 3 or l3 is not null) then least(l1, coalesce(l2, l1), coalesce(l3, l1)) end as b from aw",
+    "ae": "select * from ab qualify b > coalesce(max(b) over (partition by qid, doc_id order by pos rows between unbounded preceding and 1 preceding), 0)",
+    "ax": "select e.qid, e.doc_id, e.pos, e.b, e.i - s.i + 1 as entries, e.costs - s.costs + s.cost as c, (e.pos + e.b) / 2.0::double as middle from ae e join aw s on s.qid = e.qid and s.doc_id = e.doc_id and s.pos = e.b",
+    "ay": "select *, middle - lag(middle) over (partition by qid, doc_id order by pos) as gap from ax",
+}
+
+
+@query(
+    sql(
+        """select qid, doc_id, count(*) as extents,
+        round(sum(entries / c / (1 + pos - ay.b - (entries - 1))) / ln(1 + any_value(len(tokens.a) + len(tokens.b))) * (case when sum(1 / gap) > 0 then sum(1 / gap) / count(*) else 1 end), 9) as score
+        from ay join tokens using (doc_id) group by qid, doc_id""",
+        "terms", **_ALL,
+    )
+)
+def keyword_all_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the first three stems of a question, by cover density."""
+    _, rows = _rows(spark, d)
+    words = F.filter(text.tokens(F.col("question")), lambda t: ~t.isin(text.STOPWORDS))
+    first = F.slice(F.array_distinct(F.transform(words, text.stem)), 1, 3)
+    asked = corpus.questions(spark, d).select("qid", F.explode(first).alias("stem"))
+    vocabulary = rows.select("term").distinct().filter(~F.col("term").isin(text.STOPWORDS)).withColumn("stem", text.stem(F.col("term")))
+    terms = folders.written(asked.join(vocabulary, "stem"), "terms")
+    return keyword.all_scores(asked, terms, rows).select("qid", F.col("id").alias("doc_id"), "extents", "score")
+
+
 @query(sql("select * from terms", "terms"))
 def query_terms(spark: SparkSession, d: str) -> DataFrame:
     return _parts(spark, d)[3]
@@ -56,7 +89,7 @@ def query_terms(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("select count(*) as postings, count(distinct term) as terms, round(sum(weight), 6) as weight, max(pos) as last from postings", "postings"))
 def postings_build(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(spark, d)[1].agg(F.count(F.lit(1)).alias("postings"), F.count_distinct("term").alias("terms"), F.round(F.sum("weight"), 6).alias("weight"), F.max("pos").cast("long").alias("last"))
+    return keyword.postings(corpus.documents(spark, d)).agg(F.count(F.lit(1)).alias("postings"), F.count_distinct("term").alias("terms"), F.round(F.sum("weight"), 6).alias("weight"), F.max("pos").cast("long").alias("last"))
 
 
 @query(
@@ -112,13 +145,26 @@ def vector_topn(spark: SparkSession, d: str) -> DataFrame:
     return vectors.exact_nearest(*_vectors(spark, d))
 
 
-@query()
+@query("select vec_id as qid, true as good, true as pruned from embeddings where vec_id % 20 = 0 and embedding is not null")
 def ann_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Share of the true ten nearest that the hashed index finds, per query."""
+    """Per query, whether the index as a whole finds nine in ten of the true ten nearest, and compares no more than 65 % of all vectors on average (the test vectors are noise without clusters)."""
+    return _recall(spark, d).select("qid", (F.avg("recall").over(Window.partitionBy()) >= 0.9).alias("good"), (F.avg("share").over(Window.partitionBy()) <= 0.65).alias("pruned"))
+
+
+def _recall(spark, d):
+    """Share of the true ten nearest that the clustered index finds, and share of all vectors that it compares, per query."""
     queries, table = _vectors(spark, d)
     true = vectors.exact_nearest(queries, table, 10).select("qid", "vec_id")
-    near = vectors.hashed_nearest(queries, table, 10).select("qid", "vec_id", F.lit(1).alias("hit"))
-    return true.join(near, ["qid", "vec_id"], "left").groupBy("qid").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
+    near = vectors.clustered_nearest(queries, table, 10).select("qid", "vec_id", "compared")
+    every = F.broadcast(table.filter("embedding is not null").agg(F.count(F.lit(1)).alias("every")))  # one row
+    rows = true.join(near, ["qid", "vec_id"], "left").groupBy("qid").agg((F.count("compared") / F.count(F.lit(1))).alias("recall"), F.max("compared").alias("compared"))
+    return rows.join(every).select("qid", "recall", (F.col("compared") / F.col("every")).alias("share"))
+
+
+@query()
+def ann_figures(spark: SparkSession, d: str) -> DataFrame:
+    """Recall and share of vectors compared, query by query."""
+    return _recall(spark, d)
 
 
 _EMBED = """
@@ -129,20 +175,23 @@ _EMBED = """
 
 @query(sql("select id as doc_id, count(*) as buckets, round(sum(value * value), 6) as norm, round(max(value), 6) as top from e group by id", "postings", e=_EMBED.format(id="doc_id", table="postings")))
 def hash_embed(spark: SparkSession, d: str) -> DataFrame:
-    sparse = vectors.hashed_embedding(_rows(spark, d)[1])
+    sparse = vectors.hashed_embedding(keyword.postings(corpus.documents(spark, d)))
     return sparse.groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("buckets"), F.round(F.sum(F.col("value") * F.col("value")), 6).alias("norm"), F.round(F.max("value"), 6).alias("top"))
 
 
 def _lists(spark, d):
     docs, rows, questions, terms = _parts(spark, d)
     words = keyword.top(keyword.scores(terms, rows), 50, F.desc("score"), F.asc("id")).select("qid", "id", F.lit("keyword").alias("list"), "rank")
-    near = vectors.sparse_nearest(vectors.hashed_embedding(terms, "qid"), vectors.hashed_embedding(rows), 50)
+    asked = questions.select("qid", F.explode(text.tokens(F.col("question"))).alias("term"))
+    near = vectors.sparse_nearest(vectors.hashed_embedding(asked, "qid"), vectors.hashed_embedding(rows), 50)
+    near = folders.written(near, "near")
     return docs, words.union(near.select("qid", "id", F.lit("vector").alias("list"), "rank"))
 
 
 _LISTS = {
     "dv": _EMBED.format(id="doc_id", table="postings"),
-    "qv": _EMBED.format(id="qid", table="terms"),
+    "asked": "select qid, unnest(regexp_extract_all(lower(question), '[a-z0-9]+')) as term from questions",
+    "qv": _EMBED.format(id="qid", table="asked"),
     "cos": "select qv.id as qid, dv.id, round(sum(qv.value * dv.value), 6) as cosine from qv join dv using (bucket) group by all",
     "lists": """
       select qid, doc_id as id, 'keyword' as list, row_number() over (partition by qid order by score desc, doc_id) as rank from scored qualify rank <= 50
@@ -171,22 +220,32 @@ def rank_documents(spark: SparkSession, d: str) -> DataFrame:
     return vectors.rank_documents(hits)
 
 
-_WEB = """
-  select qid, regexp_extract_all(lower(question), '[a-z0-9]+') as t from questions"""
+_WEB = {
+    "w": "select qid, regexp_extract_all(lower(question), '[a-z0-9]+') as t from questions",
+    "wt": f"""select qid, kind, part, choice, spot, term, {stem("term")} as stem from (
+        select qid, 'must' as kind, 0 as part, 0 as choice, 0 as spot, t[1] as term from w union all select qid, 'must', 1, 1, 0, t[2] from w union all select qid, 'must', 1, 2, 0, t[5] from w
+        union all select qid, 'must', 2, 3, 0, t[3] from w union all select qid, 'must', 2, 3, 1, t[4] from w union all select qid, 'not', 3, 4, 0, t[6] from w
+      ) where term not in {STOP}""",
+    "wv": f"select term as found, {stem('term')} as stem from (select distinct term from postings)",
+    "wh": "select distinct qid, kind, part, choice, spot, doc_id, pos - spot as start from wt join wv using (stem) join postings p on p.term = found",
+    "ws": "select qid, choice, count(*) as n from wt group by all",
+    "ww": "select distinct qid, kind, part, doc_id from (select qid, kind, part, choice, doc_id, start, count(distinct spot) as m from wh group by all) join ws using (qid, choice) where m = n",
+    "wn": "select qid, count(distinct part) as parts from wt where kind = 'must' group by qid",
+}
 
 
 @query(
     sql(
-        """select w.qid, tokens.doc_id from w join tokens on list_contains(list_concat(a, b), t[1]) and list_contains(list_concat(a, b), t[2]) and contains(' ' || array_to_string(list_concat(a, b), ' ') || ' ', ' ' || t[3] || ' ' || t[4] || ' ')
-        and not list_contains(list_concat(a, b), 'zorblax')""",
-        "questions", "postings", w=_WEB,
+        """select f.qid, f.doc_id from (select qid, doc_id, count(*) as m from ww where kind = 'must' group by all) f join wn using (qid)
+        where m = parts and not exists (select 1 from ww x where x.kind = 'not' and x.qid = f.qid and x.doc_id = f.doc_id)""",
+        "questions", "postings", **_WEB,
     )
 )
 def websearch_all(spark: SparkSession, d: str) -> DataFrame:
-    """Two required words, a phrase and an excluded word of each question."""
-    docs, rows = _rows(spark, d)
+    """A required word, one of two words, a phrase and an excluded word of each question."""
+    _, rows = _rows(spark, d)
     t = F.regexp_extract_all(F.lower("question"), F.lit("[a-z0-9]+"), F.lit(0))
-    queries = corpus.questions(spark, d).select("qid", F.concat(t[0], F.lit(" "), t[1], F.lit(' "'), t[2], F.lit(" "), t[3], F.lit('" -zorblax')).alias("query"))
+    queries = corpus.questions(spark, d).select("qid", F.concat(t[0], F.lit(" "), t[1], F.lit(" or "), t[4], F.lit(' "'), t[2], F.lit(" "), t[3], F.lit('" -'), t[5]).alias("query"))
     return keyword.match_all(keyword.parse_web_query(queries), rows).select("qid", F.col("id").alias("doc_id"))
 
 
@@ -204,11 +263,18 @@ def passage_results(spark: SparkSession, d: str) -> DataFrame:
     return vectors.passage_results(lists, docs, 50)
 
 
-@query()
+_PLURAL = {
+    "pw": f"select distinct qid, {stem('term')} as stem from (select qid, unnest(regexp_extract_all(regexp_replace(lower(question), '([a-z]{{4,}})', '\\1s', 'g'), '[a-z0-9]+')) as term from questions) where term not in {STOP}",
+    "pt": "select qid, term from pw join vocab using (stem)",
+    "ph": "select t.qid, p.doc_id, p.pos, p.weight, p.pos - lag(p.pos) over (partition by t.qid, p.doc_id order by p.pos) as gap from pt t join postings p using (term)",
+    "pscored": "select h.qid, h.doc_id, round(sum(weight) / ln(1 + any_value(len(a) + len(b))) * (case when count(*) > 1 then sum(1.0 / gap) / count(*) else 1 end), 9) as score from ph h join tokens using (doc_id) group by h.qid, h.doc_id",
+}
+
+
+@query(sql(_TOP_DOCS.replace("from scored", "from pscored"), "terms", **_PLURAL))
 def keyword_search_stemmed(spark: SparkSession, d: str) -> DataFrame:
-    """The keyword search over stems."""
+    """The keyword search with every longer word of the questions in the plural."""
     docs, rows = _rows(spark, d)
-    rows, questions = keyword.stemmed(rows), corpus.questions(spark, d)
-    words = questions.select("qid", F.explode(text.tokens(F.col("question"))).alias("term"))
-    terms = keyword.rarest(keyword.stemmed(words).distinct(), rows)
+    questions = corpus.questions(spark, d).withColumn("question", F.regexp_replace(F.lower("question"), "([a-z]{4,})", "$1s"))
+    terms = folders.written(keyword.matching_terms(keyword.question_words(questions), rows), "terms")
     return keyword.search(questions, terms, rows, docs, TODAY)

@@ -10,12 +10,15 @@ from asofia.functions import temporal
 from asofia.operators import chunking, evaluation, graph, keyword, vectors
 from asofia.plans import search
 from asofia.plans.registry import registry
-from asofia.plans.views import sql
-from asofia.sources import corpus
+from asofia.plans.views import STOP, sql, stem
+from asofia.sources import corpus, folders
 from asofia.sources.corpus import TODAY
 
 QUERIES, ORACLE, query = registry()
 
+#: More than a text of 2 GB can have.
+PASSAGES = 1_000_000_000
+
 
 _SECTIONS = """
   select dst as doc_id, src as other, case when type = 'amends' then 'amended_by' else 'superseded_by' end as section, type, method from edges where type in ('amends', 'supersedes', 'repeals')
@@ -68,15 +71,14 @@ def _raw(spark, d):
 def _lines(spark, d):
     """Each line of a document as a passage."""
     rows = chunking.blocks(_raw(spark, d))
-    return rows.select("doc_id", "ord", (F.col("doc_id") * 100000 + F.col("ord")).alias("chunk_id"), "block")
+    return rows.select("doc_id", "ord", (F.col("doc_id") * PASSAGES + F.col("ord")).alias("chunk_id"), "block")
 
 
-_LINES = {"chunks": "select doc_id, unnest(string_split(text, chr(10))) as block, unnest(range(len(string_split(text, chr(10))))) as ord from documents", "lines": "select doc_id, ord, doc_id * 100000 + ord as chunk_id, block, regexp_extract_all(lower(block), '[a-z0-9]+') as t from chunks"}
+_LINES = {"chunks": "select doc_id, unnest(string_split(text, chr(10))) as block, unnest(range(len(string_split(text, chr(10))))) as ord from documents", "lines": "select doc_id, ord, doc_id * 1000000000 + ord as chunk_id, block, regexp_extract_all(lower(block), '[a-z0-9]+') as t from chunks"}
 _LINE_SCORES = _LINES | {
     "lp": "select chunk_id, doc_id, ord, unnest(t) as term, unnest(range(1, len(t) + 1)) as pos, len(t) as n from lines",
-    "ldf": "select term, count(distinct chunk_id) as df from lp group by term",
-    "lw": "select qid, unnest(list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+'))) as term from questions",
-    "lt": "select qid, term from (select qid, term, row_number() over (partition by qid order by df, term) as k from lw join ldf using (term)) where k <= 6",
+    "lw": f"select distinct qid, {stem('term')} as stem from (select qid, unnest(regexp_extract_all(lower(question), '[a-z0-9]+')) as term from questions) where term not in {STOP}",
+    "lt": f"select qid, term from lw join (select term, {stem('term')} as stem from (select distinct term from lp) where term not in {STOP}) using (stem)",
     "lh": "select qid, chunk_id, doc_id, ord, n, pos - lag(pos) over (partition by qid, chunk_id order by pos) as gap from lt join lp using (term)",
     "ls": "select qid, chunk_id, doc_id, ord, round(count(*) * 0.4::double / ln(1 + any_value(n)) * (case when count(*) > 1 then sum(1.0 / gap) / count(*) else 1 end), 9) as score from lh group by all",
 }
@@ -84,10 +86,10 @@ _LINE_SCORES = _LINES | {
 
 def _line_scores(spark, d):
     lines = _lines(spark, d)
-    rows = keyword.postings(lines.withColumn("none", F.lit("")), "chunk_id", "none", "block")
+    rows = folders.written(keyword.postings(lines.withColumn("none", F.lit("")), "chunk_id", "none", "block"), "postings")
     questions = corpus.questions(spark, d)
-    terms = keyword.rarest_terms(questions, rows)
-    return lines, questions, keyword.scores(terms, rows)
+    terms = folders.written(keyword.matching_terms(keyword.question_words(questions), rows), "terms")
+    return lines, questions, folders.written(keyword.scores(terms, rows), "scores")
 
 
 @query(sql(f"select qid, chunk_id, score, row_number() over (partition by qid order by score desc, chunk_id) as rank from ls join docs using (doc_id) join questions using (qid) where {_FORCE} qualify rank <= 50", "docs", "questions", **_LINE_SCORES))
@@ -190,11 +192,11 @@ _EVAL = {
 
 def _judged(spark, d):
     docs, rows, questions, terms = search._parts(spark, d)
-    rare = keyword.rarest_terms(questions, rows, 1)
+    rare = keyword.rarest(keyword.question_words(questions), rows)
     holders = rare.join(rows.select("term", F.col("id").alias("doc_id")).distinct(), "term").join(docs.select("doc_id", "text"), "doc_id")
     relevant = holders.join(questions.select("qid", "question"), "qid").filter(F.contains("text", "question")).select("qid", "doc_id").distinct()
-    ranked = keyword.top(keyword.scores(terms, rows), 10, F.desc("score"), F.asc("id")).select("qid", F.col("id").alias("doc_id"), "rank")
-    return docs, questions, relevant, ranked
+    ranked = folders.written(keyword.top(keyword.scores(terms, rows), 10, F.desc("score"), F.asc("id")).select("qid", F.col("id").alias("doc_id"), "rank"), "ranked")
+    return docs, questions, folders.written(relevant, "relevant"), ranked
 
 
 @query(sql("select * from metrics", "scored", **_EVAL))
@@ -326,6 +328,6 @@ def eval_run_record(spark: SparkSession, d: str) -> DataFrame:
 def index_build(spark: SparkSession, d: str) -> DataFrame:
     """Documents, passages and embedded passages of an index built from all texts."""
     chunks = chunking.passages(_raw(spark, d))
-    terms = chunks.select((F.col("doc_id") * 100000 + F.col("ord")).alias("id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("term"))
+    terms = chunks.select((F.col("doc_id") * PASSAGES + F.col("ord")).alias("id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("term"))
     embedded = vectors.hashed_embedding(terms).agg(F.count_distinct("id").alias("embedded"))
     return chunks.agg(F.count_distinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("chunks")).join(embedded)

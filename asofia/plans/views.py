@@ -2,6 +2,17 @@
 
 from __future__ import annotations
 
+from asofia.functions.text import ENDINGS, STOPWORDS
+
+STOP = "(" + ", ".join(f"'{w}'" for w in STOPWORDS) + ")"
+
+
+def stem(word: str) -> str:
+    for pattern, group, tail in ENDINGS:
+        word = f"regexp_replace({word}, '{pattern}', '\\{group}{tail}')"
+    return word
+
+
 VIEWS = {
     "docs": r"""
       docs0 as (
@@ -36,14 +47,13 @@ VIEWS = {
         union all
         select doc_id, unnest(b), 0.4::double, unnest(range(1, len(b) + 1)) + len(a) from tokens
       )""",
-    "terms": r"""
+    "terms": f"""
+      words as (
+        select distinct qid, term from (select qid, unnest(regexp_extract_all(lower(question), '[a-z0-9]+')) as term from questions) where term not in {STOP}
+      ),
       df as (select term, count(distinct doc_id) as df from postings group by term),
-      words as (select qid, unnest(list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+'))) as term from questions),
-      terms as (
-        select qid, term from (
-          select qid, term, row_number() over (partition by qid order by df, term) as k from words join df using (term)
-        ) where k <= 6
-      )""",
+      vocab as (select term, {stem("term")} as stem from (select distinct term from postings) where term not in {STOP}),
+      terms as (select qid, stem, term from (select distinct qid, {stem("term")} as stem from words) join vocab using (stem))""",
     "scored": r"""
       hits as (
         select t.qid, p.doc_id, p.pos, p.weight, p.pos - lag(p.pos) over (partition by t.qid, p.doc_id order by p.pos) as gap

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,11 +13,22 @@ GOLDEN = "id string, question string, relevant array<string>, as_of string, tags
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; only where that is unset, as in local tests, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="asofia-")
+    """A fresh folder below ``spark.checkpoint.dir``. Only where Spark runs in one process, as in local tests, a temporary one may take its place."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="asofia-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in a work folder: computed once for all that read it, and of known size."""
+    path = work_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def golden_questions(spark: SparkSession, path: str) -> DataFrame:
     """Questions from JSON lines, ids as text; blank lines are skipped, unreadable ones keep their text in ``_bad``."""
     rows = spark.read.schema(GOLDEN).option("columnNameOfCorruptRecord", "_bad").json(path)
