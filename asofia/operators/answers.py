@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,8 +30,9 @@ def label_passages(hits: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def prompts(passages: DataFrame, questions: DataFrame, cut: int | None = None) -> DataFrame:
-    """``qid, prompt``: labelled passages, the question and the day. ``cut`` shortens the passages, as for the grader."""
-    meta = F.concat_ws(" | ", "title", F.concat(F.lit("issued "), F.col("issued_date").cast("string")), F.when(F.col("in_force"), "in force").when(~F.col("in_force"), "not in force on the date asked"))
+    """``qid, prompt``: labelled passages with title, heading (if they have that column), issue date and in-force note, the question and the day. ``cut`` shortens the passages, as for the grader."""
+    heading = [F.col("heading")] if "heading" in passages.columns else []
+    meta = F.concat_ws(" | ", "title", *heading, F.concat(F.lit("issued "), F.col("issued_date").cast("string")), F.when(F.col("in_force"), "in force").when(~F.col("in_force"), "not in force on the date asked"))
     body = F.substring("text", 1, cut) if cut else F.col("text")
     block = F.concat(F.lit("["), "label", F.lit("] "), meta, F.lit("\n"), body)
     lists = passages.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", block.alias("block")))), lambda x: x["block"]), "\n\n").alias("blocks"))
@@ -87,32 +90,35 @@ def _normalised(quote: Column) -> Column:
 
 
 def best_window(quote: str, passage: str, least: float = VERIFIED) -> tuple[float, int]:
-    """The stretch of the quote's length that is most like it: similarity 0 to 100 (twice the longest common subsequence over both lengths) and start.
+    """The stretch of the quote's length, or a shorter one at either end of the passage, that is most like the quote: similarity 0 to 100
+    (twice the longest common subsequence over both lengths) and start; of equal ones the first. Without one of ``least`` the score is 0.
 
-    Stretches whose letters alone can't reach ``least`` are skipped; with none left the score is 0.
+    A stretch of ``least`` or more differs in few characters, so of that many parts of the quote and one more, one is in it unchanged and
+    near its own place. Only stretches around such parts are compared.
     """
-    a = np.array([ord(c) for c in quote])
-    b = np.array([ord(c) for c in passage])
-    if len(b) < len(a):
-        b = np.concatenate([b, np.full(len(a) - len(b), -1)])
-    m, count = len(a), len(b) - len(a) + 1
-    shared = np.zeros(count, dtype=np.int64)
-    for letter, times in zip(*np.unique(a, return_counts=True), strict=True):
-        seen = np.concatenate([[0], np.cumsum(b == letter)])
-        shared += np.minimum(seen[m:] - seen[:-m], times)
-    starts = np.flatnonzero(100 * shared >= least * m)
+    m = len(quote)
+    breaks = int(2 * m * (1 - least / 100) + 1e-9)
+    edges = [m * k // (breaks + 1) for k in range(breaks + 2)]
+    starts: set[int] = set()
+    for a, b in pairwise(edges):
+        at = passage.find(quote[a:b]) if b > a else -1
+        while at >= 0:
+            starts.update(range(at - a - breaks, at - a + breaks + 1))
+            at = passage.find(quote[a:b], at + 1)
+    first = np.array(sorted(s for s in starts if -m < s < len(passage)), dtype=np.int64)
+    left, right = np.array([ord(c) for c in quote]), np.array([ord(c) for c in passage])
     best = (0.0, 0)
-    for low in range(0, len(starts), 4096):
-        at = starts[low : low + 4096]
-        windows = b[at[:, None] + np.arange(m)]
+    for low in range(0, len(first), 4096):
+        at = first[low : low + 4096]
+        place = at[:, None] + np.arange(m)
+        windows = np.where((place >= 0) & (place < len(right)), right[np.clip(place, 0, len(right) - 1)], -1)
         row = np.zeros((len(at), m + 1), dtype=np.int32)
-        for letter in a:
-            grown = np.maximum(row[:, 1:], row[:, :-1] + (windows == letter))
-            row[:, 1:] = np.maximum.accumulate(grown, axis=1)
-        top = int(row[:, -1].argmax())
-        score = 100.0 * int(row[top, -1]) / m
-        if score > best[0]:
-            best = (score, int(at[top]))
+        for letter in left:
+            row[:, 1:] = np.maximum.accumulate(np.maximum(row[:, 1:], row[:, :-1] + (windows == letter)), axis=1)
+        score = 200.0 * row[:, -1] / (m + (windows >= 0).sum(axis=1))
+        top = int(score.argmax())
+        if score[top] > best[0] and score[top] >= least:
+            best = (float(score[top]), max(int(at[top]), 0))
     return best
 
 
@@ -122,11 +128,11 @@ def _fuzzy(quote: pd.Series, passage: pd.Series) -> pd.DataFrame:
 
 
 def locate(rows: DataFrame, quote: str = "quote", passage: str = "text") -> DataFrame:
-    """Adds ``score, start, stop`` (0-based, end open) of a quote in its passage. Only quotes that aren't found literally are aligned in Python."""
+    """Adds ``score, start, stop`` (0-based, end open) of a quote in its passage. Only quotes that aren't found literally, as they are or normalised, are aligned in Python."""
     q = _normalised(F.col(quote))
-    exact = F.instr(passage, F.col(quote))
-    rows = rows.withColumn("_q", q).withColumn("_at", F.when((F.length("_q") >= MIN_QUOTE) & (exact > 0), exact - 1))
-    literal = rows.filter("_at is not null").withColumn("score", F.lit(100.0)).withColumn("start", F.col("_at").cast("long")).withColumn("stop", F.col("start") + F.length(quote))
+    exact = F.coalesce(F.nullif(F.instr(passage, F.col(quote)), F.lit(0)), F.nullif(F.instr(F.col(passage), q), F.lit(0)))
+    rows = rows.withColumn("_q", q).withColumn("_at", F.when(F.length("_q") >= MIN_QUOTE, exact - 1))
+    literal = rows.filter("_at is not null").withColumn("score", F.lit(100.0)).withColumn("start", F.col("_at").cast("long")).withColumn("stop", F.col("start") + F.when(F.contains(passage, F.col(quote)), F.length(quote)).otherwise(F.length("_q")))
     short = (F.coalesce(F.length("_q"), F.lit(0)) < MIN_QUOTE) | F.col(passage).isNull()
     rest = rows.filter("_at is null").withColumn("_f", F.when(~short, _fuzzy("_q", passage)))
     rest = rest.withColumn("score", F.coalesce("_f.score", F.lit(0.0))).withColumn("start", F.when(F.col("score") > 0, F.col("_f.start"))).withColumn("stop", F.col("start") + F.length("_q"))
@@ -192,3 +198,29 @@ def source_cards(verified: DataFrame, docs: DataFrame, lines: DataFrame) -> Data
     cited = verified.filter("verified").select("qid", "doc_id").distinct()
     amended = lines.filter("section = 'amended_by'").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "other"))), lambda x: x["other"]).alias("amended_by"))
     return cited.join(docs.select("doc_id", "title", "issued_date"), "doc_id").join(amended, "doc_id", "left")
+
+
+def containing(texts: DataFrame, quotes: DataFrame, id_col: str, text_col: str = "text", quote_id: str = "item_id", quote: str = "quote") -> DataFrame:
+    """Pairs ``id, quote_id, start`` of texts that hold a quote literally. Null and empty quotes are in no text.
+
+    A quote meets the texts by the rarest word that it surely holds whole, a quote without one by the rarest three letters within its words; then the
+    text is checked. A quote without three letters or digits in a row can't be searched and is in no text.
+    """
+    q = quotes.select(F.col(quote_id).alias("q"), F.col(quote).alias("body")).filter("q is not null and body <> ''")
+    t = texts.select(F.col(id_col).alias("t"), F.col(text_col).alias("text")).filter("t is not null and text is not null")
+    words = text.tokens(F.col("body"))
+    q = q.withColumn("inner", F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
+    parts = lambda ws: F.array_distinct(F.flatten(F.transform(ws, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.substring(w, i, F.lit(3))))))
+    by_word = q.filter(F.size("inner") > 0).select("q", "body", F.explode(F.array_distinct("inner")).alias("key"))
+    by_part = q.filter(F.size("inner") == 0).select("q", "body", F.explode(parts(words)).alias("key")).filter(F.length("key") == 3)
+    found = None
+    for asked, keys in ((by_word, F.array_distinct(text.tokens(F.col("text")))), (by_part, parts(F.array_distinct(text.tokens(F.col("text")))))):
+        if asked is by_part and asked.isEmpty():
+            continue
+        held = t.select("t", F.explode(keys).alias("key")).join(asked.select("key").distinct(), "key", "left_semi")
+        df = held.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+        rarest = asked.join(df, "key", "left").groupBy("q").agg(F.min_by("key", F.struct(F.coalesce("df", F.lit(0)), "key")).alias("key"), F.first("body").alias("body"))
+        pairs = held.join(rarest, "key").select("t", "q", "body")
+        found = pairs if found is None else found.union(pairs)
+    rows = found.join(t, "t").withColumn("start", F.instr("text", F.col("body")) - 1).filter("start >= 0")
+    return rows.select(F.col("t").alias(id_col), F.col("q").alias(quote_id), F.col("start").cast("long").alias("start")).distinct()

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -51,20 +53,16 @@ def headings(rows: DataFrame) -> DataFrame:
 
 def _cut(block: str, start: int, most: int) -> list[tuple[int, int]]:
     """Offsets of a long block's parts, each closed by the sentence end at which it reaches the limit."""
-    edges, words = [0], 0
-    for m in SENTENCE.finditer(block):
-        words += len(m.group().split())
-        if words >= most:
-            edges.append(m.end())
-            words = 0
-    if edges[-1] < len(block):
-        edges.append(len(block))
-    out = []
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        part = block[a:b]
-        if part.strip():
-            out.append((start + a + len(part) - len(part.lstrip()), start + a + len(part.rstrip())))
-    return out
+    sentences = list(SENTENCE.finditer(block))
+    ends = [m.end() for m in sentences]
+    upto = list(accumulate(len(m.group().split()) for m in sentences))  # words up to each sentence end
+    bounds = [0]
+    closing = bisect_left(upto, most)
+    while closing < len(ends):
+        bounds.append(ends[closing])
+        closing = bisect_left(upto, upto[closing] + most)
+    inner = [(a, b) for a, b in pairwise(dict.fromkeys([*bounds, len(block)])) if not block[a:b].isspace()]
+    return [(start + b - len(block[a:b].lstrip()), start + a + len(block[a:b].rstrip())) for a, b in inner]
 
 
 def pack(rows: list[tuple[str, int, int, str | None, int, str | None]], most: int = MAX_WORDS, least: int = MIN_WORDS) -> list[tuple[int, int, str | None]]:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from asofia.functions import text
@@ -18,7 +19,9 @@ HEAD, NUMBER_HEAD, LETTERHEAD, COMMENCE_HEAD = 8, 5, 3, 150
 BASE_URL = "https://www.rbi.org.in/Scripts/"
 
 # Tags that end a paragraph.
-BLOCK_TAGS = set("p div li tr table tbody thead tfoot ol ul dl dt dd h1 h2 h3 h4 h5 h6 hr blockquote center pre section".split())
+BLOCK_TAGS = {
+    "p", "div", "li", "tr", "table", "tbody", "thead", "tfoot", "ol", "ul", "dl", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "blockquote", "center", "pre", "section",
+}
 # Reference prefixes and the departments they stand for.
 DEPARTMENTS = {
     "DOR": "Department of Regulation",
@@ -112,14 +115,28 @@ def html_blocks(html: str | None) -> list[str]:
     return parser.blocks
 
 
-def page_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """``id, blocks``: the paragraphs of each page."""
+def _with_blocks(pages: DataFrame, html_col: str) -> DataFrame:
+    """Adds ``blocks``, the paragraphs of each page, and ``error``, what went wrong with a page that can't be parsed; such a page has no paragraphs."""
+
+    def parsed(html: str | None) -> tuple[list[str], str | None]:
+        try:
+            return html_blocks(html), None
+        except Exception as error:  # one bad page must not end the run
+            return [], f"{type(error).__name__}: {error}"[:200]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "blocks": [html_blocks(h) for h in batch["html"]]})
+            found = [parsed(h) for h in batch.column(html_col).to_pylist()]
+            columns = [pa.array([b for b, _ in found], pa.list_(pa.string())), pa.array([e for _, e in found], pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "blocks", "error"])
+
+    schema = StructType([*pages.schema.fields, StructField("blocks", ArrayType(StringType())), StructField("error", StringType())])
+    return pages.mapInArrow(run, schema)
 
-    return pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).alias("html")).mapInPandas(run, "id long, blocks array<string>")
+
+def page_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """``id, blocks, error``: the paragraphs of each page."""
+    return _with_blocks(pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).alias("html")), "html").drop("html")
 
 
 def clean_title(title: Column) -> Column:
@@ -222,17 +239,17 @@ def detail_url(doc: Column) -> Column:
 
 
 def details(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", title: str = "title") -> DataFrame:
-    """All fields of each page (``title`` is a column of it); a page with too little text has status ``missing``."""
-    plain = pages.withColumn("_html", without_version_links(F.col(html_col)))
-    blocks = page_blocks(plain, id_col, "_html")
-    rows = plain.join(blocks, F.col(id_col) == F.col("id")).withColumn("n", numbers(F.col("blocks"))).withColumn("issued_date", issue_date(F.col("blocks")))
+    """All fields of each page (``title`` is a column of it), one row per row; a page with too little text has status ``missing``, one that can't be parsed ``failed``."""
+    plain = pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).alias("html"), F.col(title).alias("title"), without_version_links(F.col(html_col)).alias("_html"))
+    html_col, title = "html", "title"
+    rows = _with_blocks(plain, "_html").withColumn("n", numbers(F.col("blocks"))).withColumn("issued_date", issue_date(F.col("blocks")))
     head = F.array_join(F.slice("blocks", 1, HEAD), "\n")
     rows = rows.withColumn("w", withdrawal(F.col(html_col), F.col("issued_date"))).withColumn("raw_text", F.array_join("blocks", "\n\n"))
     return rows.select(
         "id", clean_title(F.col(title)).alias("title"), F.col("n.number").alias("rbi_no"), F.col("n.reference").alias("ref_no"), department(F.col("n.reference"), head).alias("department"), "issued_date",
         latest_stamp(F.concat_ws("\n", F.col(title), head)).alias("updated_on"), commencement(F.col("blocks")).alias("effective_from"), "w.is_withdrawn", "w.withdrawn_on", pdf_link(F.col(html_col)).alias("pdf_url"),
         linked_ids(F.col(html_col), F.col("id").cast("string")).alias("linked_ids"), F.col(html_col).rlike(VERSION_LINK).alias("has_previous_versions"), "raw_text",
-        F.when(F.length("raw_text") >= MIN_TEXT, "ok").otherwise("missing").alias("status"),
+        F.when(F.col("error").isNotNull(), "failed").when(F.length("raw_text") >= MIN_TEXT, "ok").otherwise("missing").alias("status"), "error",
     )
 
 

@@ -44,6 +44,12 @@ def sticky_type(old: Column, new: Column, from_index: Column) -> Column:
     return F.when((old == "master_direction") | from_index, "master_direction").otherwise(new)
 
 
+def retyped(docs: DataFrame, listed: DataFrame, doc_type: str = "master_direction") -> DataFrame:
+    """Documents with the type that an index page gives to those it lists; of the others nothing changes."""
+    rows = docs.join(listed.select("source_id").distinct().withColumn("_listed", F.lit(True)), "source_id", "left")
+    return rows.withColumn("doc_type", F.when(F.col("_listed"), doc_type).otherwise(F.col("doc_type"))).select(docs.columns)
+
+
 def outcomes(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """What each incoming row does, one outcome per row.
 
@@ -139,6 +145,22 @@ def recent_months(spark: SparkSession, today: str) -> DataFrame:
     return month_range(spark, f"{today[:8]}01", today).unionByName(spark.sql(f"select year(d) as year, month(d) as month from (select add_months(date'{today}', -1) as d)"))
 
 
+def run_recent(listings: DataFrame, pages: DataFrame, stored: DataFrame, today: str) -> tuple[DataFrame, DataFrame]:
+    """An incremental run: what each due row does, and the next snapshot.
+
+    ``listings`` (``source_id, title, listed_date, updated_on, from_index``) of this month and the last one say which pages are due; ``pages`` has
+    the parsed fields of pages. Titles fall back to the listing's, types stick, and a page that could not be parsed fails without ending the run.
+    """
+    months = F.broadcast(recent_months(listings.sparkSession, today))  # two rows
+    due = listings.withColumn("year", F.year("listed_date")).withColumn("month", F.month("listed_date")).join(months, ["year", "month"], "left_semi")
+    due = refresh_actions(due, stored).filter("action <> 'unchanged'")
+    due = due.select("source_id", F.col("title").alias("listed_title"), F.col("listed_date").alias("_listed"), F.col("from_index").alias("_index"))
+    rows = pages.drop("listed_date").join(due, "source_id").join(stored.select("source_id", F.col("doc_type").alias("_old")), "source_id", "left")
+    rows = rows.withColumn("title", title_or_listed(F.col("title"), F.col("listed_title"))).withColumn("doc_type", sticky_type(F.coalesce("_old", F.lit("")), F.col("doc_type"), F.col("_index")))
+    judged = outcomes(validity(rows.withColumnRenamed("_listed", "listed_date").drop("listed_title", "_index", "_old")), stored)
+    return judged, merged(stored, judged)
+
+
 def unblocked(pages: DataFrame, markers: list[str]) -> DataFrame:
     """Fetched pages that aren't a refusal: no refusing status, and no challenge marker near the start of a good page."""
     marked = F.lit(False)

@@ -29,14 +29,23 @@ def dictionary(docs: DataFrame) -> DataFrame:
     return rows.select("reference", "target", F.regexp_extract("reference", YEAR, 0).alias("year"))
 
 
+def _reference_key(reference: Column, year: Column) -> Column:
+    """Ten characters of a reference around its year: the three before it, or the three after it where it comes first."""
+    at = F.instr(reference, year)
+    return F.substring(reference, F.when(at > 3, at - 3).otherwise(at), F.lit(10))
+
+
 def citations(paragraphs: DataFrame, references: DataFrame) -> DataFrame:
-    """``source_id, ord, target, instrument``: paragraphs and dictionary meet on the year, and by containment within it.
+    """``source_id, ord, target, instrument``: paragraphs and dictionary meet on ten characters around a year, and by containment then.
 
     ``instrument``: the number is preceded by words such as "vide", so it is the means and not the object of a statement. A document doesn't cite itself.
     """
-    rows = paragraphs.withColumn("year", F.explode(F.array_distinct(F.regexp_extract_all("paragraph", F.lit(YEAR), F.lit(0)))))
+    rows = paragraphs.withColumn("years", F.array_distinct(F.regexp_extract_all("paragraph", F.lit(YEAR), F.lit(0)))).filter(F.size("years") > 0)
     rows = rows.withColumn("norm", text.normalised_reference(F.col("paragraph")))
-    found = rows.join(references, "year").filter(F.contains("norm", "reference") & (F.col("target") != F.col("source_id")))
+    around = lambda pattern: F.regexp_extract_all("norm", F.lit(f"(?s)(?=({pattern}))"), F.lit(1))
+    rows = rows.withColumn("key", F.explode(F.array_distinct(F.concat(around(r".{3}\d{4}-\d{2}"), around(r"\d{4}-\d{2}.{3}")))))
+    keyed = references.filter("year <> ''").withColumn("key", _reference_key(F.col("reference"), F.col("year")))
+    found = rows.join(keyed, "key").filter(F.array_contains("years", F.col("year")) & F.contains("norm", "reference") & (F.col("target") != F.col("source_id")))
     at = F.instr("norm", F.col("reference"))
     head = F.substring(F.col("norm"), F.greatest(at - BEFORE, F.lit(1)), F.least(at - 1, F.lit(BEFORE)))
     return found.groupBy("source_id", "ord", "target").agg(F.max(head.rlike(INSTRUMENT)).alias("instrument"))

@@ -18,7 +18,17 @@ def _pages(spark, d):
     return corpus.table(spark, d, "pages")
 
 
-@query()
+_TAGS = "|".join(sorted(extract.BLOCK_TAGS))
+_BLOCKS = {
+    "m0": r"""select page_id, html, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script[^>]*>|<style\b.*?</style[^>]*>|<!--.*?-->|<!doctype[^>]*>', '', 'g'), '(?i)<br\b[^>]*>', chr(10), 'g') as h from pages""",
+    "m1": rf"""select page_id, html, regexp_replace(regexp_replace(regexp_replace(h, '(?i)</t[dh]\b[^>]*>', ' | ', 'g'), '(?i)</?({_TAGS})\b[^>]*>', chr(1), 'g'), '</?[a-zA-Z][^>]*>', '', 'g') as h from m0""",
+    "m2": r"""select page_id, html, replace(replace(replace(replace(replace(replace(replace(h, '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as h from m1""",
+    "m3": r"""select page_id, html, list_filter(list_transform(string_split(h, chr(1)), lambda b: array_to_string(list_filter(list_transform(string_split(b, chr(10)),
+      lambda l: trim(regexp_replace(l, '[\s\x{00a0}]+', ' ', 'g'), ' |')), lambda l: l <> ''), chr(10))), lambda b: b <> '') as blocks from m2""",
+}
+
+
+@query(sql("select page_id as id, len(blocks) as n, sha256(array_to_string(blocks, chr(10) || chr(10))) as text_hash from m3", **_BLOCKS))
 def page_blocks(spark: SparkSession, d: str) -> DataFrame:
     """The paragraphs of every page."""
     return extract.page_blocks(_pages(spark, d)).select("id", F.size("blocks").cast("long").alias("n"), F.sha2(F.array_join("blocks", "\n\n"), 256).alias("text_hash"))
@@ -88,8 +98,8 @@ _CLAUSES = [
 
 @query(f"select doc_id, coalesce({_pick([x for _, x in _CLAUSES])}::date, date '1900-01-01') as day from documents")
 def effective_from(spark: SparkSession, d: str) -> DataFrame:
-    """Commencement clauses after each document's own lines."""
-    blocks = F.concat(F.slice(F.split("text", "\n"), 1, 20), F.array(_cycle([x for x, _ in _CLAUSES])))
+    """Commencement clauses before each document's own lines."""
+    blocks = F.concat(F.array(_cycle([x for x, _ in _CLAUSES])), F.split(F.coalesce("text", F.lit("")), "\n"))
     return _docs_with(spark, d, day=F.coalesce(extract.commencement(blocks), F.lit("1900-01-01").cast("date")))
 
 
@@ -101,24 +111,23 @@ _HEADS = [
 
 @query(f"select doc_id, coalesce({_pick([h[1] for h in _HEADS])}, '-') as number, coalesce({_pick([h[2] for h in _HEADS])}, '-') as reference, coalesce({_pick([h[3] for h in _HEADS])}::date, date '1900-01-01') as issued from documents")
 def page_numbers(spark: SparkSession, d: str) -> DataFrame:
-    blocks = F.concat(F.element_at(F.array(*(F.array(*map(F.lit, h[0])) for h in _HEADS)), (F.col("doc_id") % len(_HEADS)).cast("int") + 1), F.slice(F.split("text", "\n"), 1, 2))
+    blocks = F.concat(F.element_at(F.array(*(F.array(*map(F.lit, h[0])) for h in _HEADS)), (F.col("doc_id") % len(_HEADS)).cast("int") + 1), F.split(F.coalesce("text", F.lit("")), "\n"))
     n = extract.numbers(blocks)
     return _docs_with(spark, d, number=F.coalesce(n["number"], F.lit("-")), reference=F.coalesce(n["reference"], F.lit("-")), issued=F.coalesce(extract.issue_date(blocks), F.lit("1900-01-01").cast("date")))
 
 
 @query(
     """select page_id, page_id % 3 > 0 as is_withdrawn, coalesce(case when page_id % 3 > 0 and page_id % 5 > 0 then date '2021-03-01' + cast(page_id % 28 as integer) end, date '1900-01-01') as withdrawn_on,
-    '[' || (page_id * 3 % 50) || ', ' || (page_id * 7 % 50) || ']' as linked, case when page_id % 4 = 0 then 'docs/' || page_id || '.pdf' else '-' end as pdf
-    from pages where page_id <> page_id * 3 % 50 and page_id <> page_id * 7 % 50 and page_id * 3 % 50 <> page_id * 7 % 50"""
+    '[' || array_to_string(list_filter([a, case when b <> a then b end], lambda x: x is not null and x <> page_id), ', ') || ']' as linked, case when page_id % 4 = 0 then 'docs/' || page_id || '.pdf' else '-' end as pdf
+    from (select *, page_id * 3 % 50 as a, page_id * 7 % 50 as b from pages)"""
 )
 def page_marks(spark: SparkSession, d: str) -> DataFrame:
-    """Watermark, links and file link, seeded into each page."""
+    """Watermark, links (some to the page itself, some repeated) and file link, seeded into each page."""
     day = F.date_format(F.date_add(F.lit("2021-03-01").cast("date"), (F.col("page_id") % 28).cast("int")), "ddMMyyyy")
     mark = F.when(F.col("page_id") % 3 > 0, F.concat(F.lit('<img src="Withdrawn'), day, F.lit('.jpg">'))).otherwise("")
     link = lambda k: F.concat(F.lit('<a href="NotificationUser.aspx?Id='), (F.col("page_id") * k) % 50, F.lit('&Mode=0">x</a>'))
     pdf = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit('<a href="docs/'), "page_id", F.lit('.pdf">pdf</a>'))).otherwise("")
-    rows = _pages(spark, d).filter("page_id <> page_id * 3 % 50 and page_id <> page_id * 7 % 50 and page_id * 3 % 50 <> page_id * 7 % 50")
-    rows = rows.select("page_id", F.concat("html", mark, link(3), link(7), link(3), pdf).alias("html"))
+    rows = _pages(spark, d).select("page_id", F.concat("html", mark, link(3), link(7), link(3), pdf).alias("html"))
     w = extract.withdrawal(F.col("html"), F.when(F.col("page_id") % 5 == 0, F.lit("2022-01-01").cast("date")))
     linked = extract.linked_ids(F.col("html"), F.col("page_id").cast("string"))
     return rows.select(
@@ -127,6 +136,25 @@ def page_marks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_STAMPS = [("Loans (Updated as on May 5, 2024)", "2024-05-05"), ("(Updated as on Jan 1, 2020) and (updated as on Sept. 30, 2021)", "2021-09-30"), ("Updated as on May 5, 2024", None), ("(Updated as on February 30, 2024)", None)]
+
+
+@query(f"select doc_id, coalesce({_pick([x for _, x in _STAMPS])}::date, date '1900-01-01') as day from documents")
+def updated_on(spark: SparkSession, d: str) -> DataFrame:
+    """The latest stamp of a title and the whole text."""
+    head = F.concat(_cycle([x for x, _ in _STAMPS]), F.lit("\n"), F.coalesce("text", F.lit("")))
+    return _docs_with(spark, d, day=F.coalesce(extract.latest_stamp(head), F.lit("1900-01-01").cast("date")))
+
+
+@query("select page_id, page_id % 3 = 0 as has_previous_versions, sha256(html) as html_hash from pages")
+def version_links_removed(spark: SparkSession, d: str) -> DataFrame:
+    """Links to earlier versions, seeded into every third page, are taken out again, which leaves the page as it was."""
+    link = F.concat(F.lit('<a class="x" href="NotificationPreVersion.aspx?id='), "page_id", F.lit('&Histid=4">March 1,\n<b>2024</b></a>'))
+    html = F.concat(F.when(F.col("page_id") % 3 == 0, link).otherwise(""), "html")
+    rows = _pages(spark, d).select("page_id", html.alias("html"))
+    return rows.select("page_id", F.col("html").rlike(extract.VERSION_LINK).alias("has_previous_versions"), F.sha2(extract.without_version_links(F.col("html")), 256).alias("html_hash"))
+
+
 @query(
     """with rows as (select l_orderkey as page, l_linenumber as pos, min(l_partkey) as part from lineitem group by all),
     h as (select *, case when pos = 1 then 'Section ' || part % 5 when pos % 3 = 2 then null end as named, case when pos % 3 = 2 then date '2024-01-01' + cast(part % 300 as integer) end as day from rows),
@@ -153,17 +181,21 @@ def page_versions(spark: SparkSession, d: str) -> DataFrame:
     return extract.versions(_pages(spark, d).select("page_id", F.concat("html", *links).alias("html"))).select("id", "hist_id", "as_of", "place")
 
 
-@query()
+_DETAILS = r"""select page_id as id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[\s\x{00a0}]+', ' ', 'g')) as title, case when length(t) >= 200 then 'ok' else 'missing' end as status, 0 as links, length(t) as chars
+  from (select *, array_to_string(blocks, chr(10) || chr(10)) as t from m3)"""
+
+
+@query(sql(_DETAILS, **_BLOCKS))
 def page_details(spark: SparkSession, d: str) -> DataFrame:
     """Every field of every page in one pass."""
     rows = extract.details(_pages(spark, d).withColumn("title", F.regexp_extract("html", "<title>([^<]*)</title>", 1)))
-    return rows.select("id", "title", "status", F.size("linked_ids").alias("links"), F.length("raw_text").alias("chars"))
+    return rows.select("id", "title", "status", F.size("linked_ids").cast("long").alias("links"), F.length("raw_text").cast("long").alias("chars"))
 
 
-@query("select doc_id, 'https://www.rbi.org.in/Scripts/NotificationUser.aspx?Id=' || doc_id || '&Mode=0' as url, length(substr(text, 1, 3000)) as shown from documents where doc_id % 50 = 7")
+@query("select doc_id, 'https://www.rbi.org.in/Scripts/NotificationUser.aspx?Id=' || doc_id || '&Mode=0' as url, length(substr(documents.text, 1, 3000)) as shown from documents join benchmark on item_id * 7 = doc_id")
 def single_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of a list of keys, their text cut to 3000 characters."""
-    keys = _docs_with(spark, d).filter("doc_id % 50 = 7")
+    """Documents of a table of keys, their text cut to the 3000 characters that are shown."""
+    keys = corpus.table(spark, d, "benchmark").select((F.col("item_id") * 7).alias("doc_id"))
     rows = corpus.table(spark, d, "documents").join(keys, "doc_id", "left_semi")
     return rows.select("doc_id", extract.detail_url(F.col("doc_id")).alias("url"), F.length(F.substring("text", 1, 3000)).cast("long").alias("shown"))
 

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asofia.operators import ingest, questions, relations
+from asofia.operators import evaluation, ingest, questions, relations
 from asofia.plans.registry import registry
 from asofia.plans.views import sql
-from asofia.sources import corpus
+from asofia.sources import corpus, folders
 from asofia.sources.corpus import TODAY
 
 QUERIES, ORACLE, query = registry()
 
 
-# --- relations: every fifth document gets a paragraph that cites another one ---
+# --- relations: every fifth document's text ends with a paragraph that cites another one ---
 
 _TEMPLATES = [
     "In supersession of circular No. {}, banks shall",
@@ -35,10 +35,10 @@ def _citing(spark, d):
 
 def _citing_rows(docs: DataFrame) -> DataFrame:
     last = docs.agg(F.max("doc_id").alias("last"))
-    rows = docs.select("doc_id").join(F.broadcast(last)).withColumn("target", (F.col("doc_id") * 7 + 3) % (F.col("last") + 1))
+    rows = docs.select("doc_id", "text").join(F.broadcast(last)).withColumn("target", (F.col("doc_id") * 7 + 3) % (F.col("last") + 1))
     template = F.element_at(F.array(*map(F.lit, _TEMPLATES)), (F.floor(F.col("doc_id") / 5) % len(_TEMPLATES)).cast("int") + 1)
     cited = F.replace(template, F.lit("{}"), F.expr(_REF.format("target")))
-    body = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("First paragraph.\n\n"), cited)).otherwise("None.")
+    body = F.concat_ws("\n\n", F.replace("text", F.lit("\n"), F.lit("\n\n")), F.when(F.col("doc_id") % 5 == 0, cited))
     return rows.select(F.col("doc_id").cast("string").alias("source_id"), F.expr(_REF.format("doc_id")).alias("circular_no"), F.expr(_TITLE.format("doc_id")).alias("title"), body.alias("raw_text"))
 
 
@@ -63,7 +63,7 @@ _CITES = {
       case when footnote then 'amends' when instrument or (stated = 'amends' and apart) then 'refers' else stated end as type, 'regex' as method,
       case when footnote then 0.9 when (instrument or (stated = 'amends' and apart)) and stated <> 'refers' then 0.5
         when stated in ('supersedes', 'repeals') then 0.9 when stated = 'amends' then 0.7 else 0.5 end::double as confidence, paragraph as evidence from facts""",
-    "links": f"select doc_id::varchar as source_id, unnest([(doc_id * 7 + 3) % {_N}, (doc_id * 3 + 1) % ({_N} + 5), doc_id]) as target from documents where doc_id % 2 = 0",
+    "links": f"select doc_id::varchar as source_id, unnest([(doc_id * 7 + 3) % {_N}, (doc_id * 3 + 1) % ({_N} + 5), doc_id]) as target from documents",
     "linked": """select l.source_id as src, l.target::varchar as dst, case when a.title ilike '%amendment%' and a.doc_id % 4 = l.target % 4 then 'amends' else 'refers' end as type, 'link' as method,
       case when a.title ilike '%amendment%' and a.doc_id % 4 = l.target % 4 then 0.9 else 0.5 end::double as confidence, 'link in ' || a.title as evidence
       from (select distinct * from links where source_id <> target::varchar) l join cd a on a.doc_id::varchar = l.source_id join documents b on b.doc_id = l.target""",
@@ -75,7 +75,7 @@ _CITES = {
 
 def _links(spark, d):
     docs = corpus.table(spark, d, "documents")
-    rows = docs.select("doc_id").join(F.broadcast(docs.agg((F.max("doc_id") + 1).alias("n")))).filter("doc_id % 2 = 0")
+    rows = docs.select("doc_id").join(F.broadcast(docs.agg((F.max("doc_id") + 1).alias("n"))))
     targets = F.array((F.col("doc_id") * 7 + 3) % F.col("n"), (F.col("doc_id") * 3 + 1) % (F.col("n") + 5), "doc_id")
     return rows.select(F.col("doc_id").cast("string").alias("source_id"), F.explode(targets.cast("array<string>")).alias("target"))
 
@@ -262,3 +262,129 @@ def listing_filter(spark: SparkSession, d: str) -> DataFrame:
 def unblocked_pages(spark: SparkSession, d: str) -> DataFrame:
     status = F.when(F.col("page_id") % 11 == 1, 403).when(F.col("page_id") % 11 == 2, 418).when(F.col("page_id") % 11 == 3, 200).otherwise(201)
     return ingest.unblocked(corpus.table(spark, d, "pages").withColumn("status", status), ["ad 0"]).select("page_id")
+
+
+@query("select doc_id, case when doc_id % 5 = 0 or doc_id % 3 = 1 then 'master_direction' else 'circular' end as doc_type from documents")
+def sticky_types(spark: SparkSession, d: str) -> DataFrame:
+    """Types of fetched documents: every third was a master direction before, every fifth comes from the index of these."""
+    c = F.col("doc_id")
+    old = F.when(c % 3 == 1, "master_direction").otherwise("notification")
+    return corpus.table(spark, d, "documents").select(c, ingest.sticky_type(old, F.lit("circular"), c % 5 == 0).alias("doc_type"))
+
+
+@query(sql("select doc_id, case when exists (select 1 from pages where page_id * 2 = doc_id) then 'master_direction' else doc_type end as doc_type from docs", "docs"))
+def listed_types(spark: SparkSession, d: str) -> DataFrame:
+    """Pages stand for the entries of an index of master directions."""
+    listed = corpus.table(spark, d, "pages").select((F.col("page_id") * 2).cast("string").alias("source_id"))
+    return ingest.retyped(corpus.documents(spark, d), listed).select("doc_id", "doc_type")
+
+
+@query(sql("select doc_id, case when doc_id % 4 < 2 or trim(title) = '' then 'listed ' || doc_id else trim(title) end as title from docs", "docs"))
+def listed_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Pages without a title, or with a blank one, take the listing's."""
+    c = F.col("doc_id")
+    title = F.when(c % 4 == 0, None).when(c % 4 == 1, "  ").otherwise(F.trim("title"))
+    return corpus.documents(spark, d).select(c, ingest.title_or_listed(title, F.concat(F.lit("listed "), c)).alias("title"))
+
+
+_FULL = """select doc_id, case when doc_id % 7 > 0 then issued_date when doc_id % 14 > 0 then issued_date + 5 end as issued, case when doc_id % 2 = 1 then issued_date + 10 end as eff,
+  case when doc_id % 3 = 1 then issued_date + 20 end as upd, case when doc_id % 5 = 1 then issued_date + 30 end as ver, valid_to from docs"""
+
+
+@query(sql("""select doc_id, case when doc_id % 11 = 0 then 'missing' when issued is null then 'failed' else 'ok' end as status, coalesce(issued, date '1900-01-01') as issued_date,
+    coalesce(eff, issued, date '1900-01-01') as valid_from, coalesce(valid_to, date '1900-01-01') as valid_to, coalesce(ver, upd, issued, date '1900-01-01') as text_as_of from f""", "docs", f=_FULL))
+def validity_full(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of documents of which some have a commencement, a stamp, an earlier version's text, or no date on the page or anywhere."""
+    c, day = F.col("doc_id"), F.col("issued_date")
+    rows = corpus.documents(spark, d).select(
+        "doc_id", F.col("text").alias("raw_text"), F.when(c % 7 > 0, day).alias("issued_date"), F.when(c % 14 > 0, F.date_add(day, 5)).alias("listed_date"), F.when(c % 2 == 1, F.date_add(day, 10)).alias("effective_from"),
+        F.when(c % 3 == 1, F.date_add(day, 20)).alias("updated_on"), F.when(c % 5 == 1, F.date_add(day, 30)).alias("version_of"), F.col("valid_to").alias("withdrawn_on"), F.when(c % 11 == 0, "missing").otherwise("ok").alias("status"),
+    )
+    none = F.lit("1900-01-01").cast("date")
+    return ingest.validity(rows).select("doc_id", "status", *(F.coalesce(x, none).alias(x) for x in ("issued_date", "valid_from", "valid_to", "text_as_of")))
+
+
+RUN_DAY = "2024-06-15"
+_RUN = {
+    "st": "select source_id, sha256(case when doc_id % 9 = 0 then text || ' old' else text end) as h from docs where doc_id % 10 <> 0",
+    "own": "select h, min(source_id) as owner from st group by h",
+    "due": f"""select doc_id, source_id, sha256(text) as h, case when doc_id % 97 = 1 then 'missing' else 'ok' end as status, case when doc_id % 6 = 0 then 'listed ' || doc_id else trim(title) end as title,
+      case when doc_id % 5 = 0 or (doc_id % 10 > 0 and doc_type = 'master_direction') then 'master_direction' else 'circular' end as doc_type
+      from docs where issued_date >= date '2024-05-01' and issued_date < date '2024-07-01' and (doc_id % 10 = 0 or doc_id % 3 > 0)""",
+    "cmp": "select due.*, st.h as old_h, owner, st.h is null or st.h <> due.h as changed from due left join st using (source_id) left join own on own.h = due.h",
+    "fst": "select h, min(doc_id) as first from cmp where status = 'ok' and changed group by h",
+    "ran": """select source_id, title, doc_type, cmp.h, case when status <> 'ok' then status when changed and (case when owner is not null then owner <> source_id else doc_id > first end) then 'duplicate'
+      when old_h is null then 'new' else 'updated' end as outcome from cmp left join fst on fst.h = cmp.h""",
+}
+
+
+def _recent(spark, d):
+    c, docs, none = F.col("doc_id"), corpus.documents(spark, d), F.lit(None).cast("date")
+    base = docs.select("doc_id", "source_id", F.trim("title").alias("title"), "department", "doc_type", "issued_date", none.alias("effective_from"), F.lit("2024-05-20").cast("date").alias("updated_on"), "is_withdrawn", F.col("valid_to").alias("withdrawn_on"), F.lit(None).cast("string").alias("pdf_url"), "text", none.alias("listed_date"), none.alias("version_of"))
+    stored = ingest.validity(base.filter("doc_id % 10 <> 0").withColumn("raw_text", F.when(c % 9 == 0, F.concat("text", F.lit(" old"))).otherwise(F.col("text"))).withColumn("status", F.lit("ok")))
+    pages = base.withColumn("raw_text", F.col("text")).withColumn("status", F.when(c % 97 == 1, "missing").otherwise("ok")).withColumn("title", F.when(c % 6 == 0, "").otherwise(F.col("title")))
+    pages = pages.withColumn("doc_type", F.lit("circular")).withColumn("updated_on", F.lit("2024-06-01").cast("date")).withColumn("seq", c)
+    listings = docs.select("source_id", F.concat(F.lit("listed "), c).alias("title"), F.col("issued_date").alias("listed_date"), F.when(c % 3 > 0, F.lit("2024-06-01").cast("date")).alias("updated_on"), (c % 5 == 0).alias("from_index"))
+    return stored, *ingest.run_recent(listings, pages, stored, RUN_DAY)
+
+
+@query(sql("select source_id, outcome, title, doc_type from ran", "docs", **_RUN))
+def run_recent(spark: SparkSession, d: str) -> DataFrame:
+    """An incremental run over the listings of two months: rows that are due, with fallback titles and types that stick."""
+    return _recent(spark, d)[1].select("source_id", "outcome", "title", "doc_type")
+
+
+@query(sql("select source_id, h as content_hash from st where not exists (select 1 from ran where ran.source_id = st.source_id and outcome in ('new', 'updated')) union all select source_id, h from ran where outcome in ('new', 'updated')", "docs", **_RUN))
+def run_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """The documents after that run."""
+    return _recent(spark, d)[2].select("source_id", "content_hash")
+
+
+@query("with r as (select unnest(range(lo - 2, hi + 3)) as id from (select min(page_id) as lo, max(page_id) as hi from pages)) select id, row_number() over (order by id desc) as place, exists (select 1 from pages where page_id = id) as known from r")
+def id_range(spark: SparkSession, d: str) -> DataFrame:
+    """Every id from two below the first page's to two above the last one's, newest first, and whether there is such a page."""
+    pages = corpus.table(spark, d, "pages")
+    low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
+    low, high = (0, -5) if low is None else (low, high)
+    ids = ingest.id_range(spark, low - 2, high + 2)
+    rows = ids.join(pages.select(F.col("page_id").alias("id"), F.lit(True).alias("known")).distinct(), "id", "left")
+    return rows.select("id", (F.lit(high + 3) - F.col("id")).alias("place"), F.coalesce("known", F.lit(False)).alias("known"))
+
+
+@query(sql("""select year(m) as year, month(m) as month, (select count(*) from docs where date_trunc('month', issued_date) = m) as documents
+    from (select unnest(generate_series(date_trunc('month', lo), date_trunc('month', hi), interval 1 month))::date as m from (select min(issued_date) as lo, max(issued_date) as hi from docs))""", "docs"))
+def month_range(spark: SparkSession, d: str) -> DataFrame:
+    """The months between the first document and the last, with the documents of each."""
+    docs = corpus.documents(spark, d)
+    low, high = docs.agg(F.min("issued_date").cast("string"), F.max("issued_date").cast("string")).first()
+    months = ingest.month_range(spark, low, high) if low else spark.createDataFrame([], "year int, month int")
+    found = docs.groupBy(F.year("issued_date").alias("year"), F.month("issued_date").alias("month")).agg(F.count(F.lit(1)).alias("documents"))
+    rows = months.join(found, ["year", "month"], "left")
+    return rows.select(F.col("year").cast("long").alias("year"), F.col("month").cast("long").alias("month"), F.coalesce("documents", F.lit(0)).alias("documents"))
+
+
+@query("select doc_id, doc_id % 2 as part from documents")
+def appended(spark: SparkSession, d: str) -> DataFrame:
+    """Rows added to a table in two runs."""
+    path = folders.work_folder(spark, "appended")
+    for part in (0, 1):
+        folders.append(corpus.table(spark, d, "documents").filter(F.col("doc_id") % 2 == part).select("doc_id", (F.col("doc_id") % 2).alias("part")), path)
+    return spark.read.schema("doc_id long, part long").parquet(path)
+
+
+@query("""select item_id::varchar as id, case when item_id % 7 = 1 then 'missing field' when item_id % 7 = 2 then 'bad date' when item_id % 7 = 3 then 'no relevant ids' when item_id % 7 = 4 then 'duplicate id' else 'good' end as reason,
+    case when item_id % 7 = 4 then 2 else 1 end as n from benchmark""")
+def golden_file(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items written as a file of golden questions, some of them faulty, and read again."""
+    c = F.col("item_id")
+    line = F.to_json(
+        F.struct(
+            c.alias("id"), F.when(c % 7 != 1, F.col("text")).alias("question"), F.when(c % 7 == 3, F.array().cast("array<string>")).otherwise(F.array(c.cast("string"))).alias("relevant"),
+            F.when(c % 7 == 2, "2024-02-30").when(c % 2 == 0, "2024-02-29").alias("as_of"),
+        )
+    )
+    rows = corpus.table(spark, d, "benchmark").select(F.explode(F.when(c % 7 == 4, F.array(line, line, F.lit(""))).otherwise(F.array(line))).alias("value"))
+    path = folders.work_folder(spark, "golden")
+    rows.write.text(path)
+    good, bad = evaluation.checked_golden(folders.golden_questions(spark, path))
+    return good.select("id", F.lit("good").alias("reason")).union(bad.select("id", "reason")).groupBy("id", "reason").agg(F.count(F.lit(1)).alias("n"))

@@ -249,7 +249,18 @@ def websearch_all(spark: SparkSession, d: str) -> DataFrame:
     return keyword.match_all(keyword.parse_web_query(queries), rows).select("qid", F.col("id").alias("doc_id"))
 
 
-@query()
+_SNIPPETS = {
+    "top": _TOP_DOCS,
+    "sw": r"select qid, doc_id, rank, unnest(w) as word, unnest(range(len(w))) as i from (select *, string_split(trim(regexp_replace(text, '[\s\x{00a0}\x0b]+', ' ', 'g')), ' ') as w from top join documents using (doc_id))",
+    "st": "select qid, list(distinct term) as ts from terms group by qid",
+    "sh": "select *, list_has_any(regexp_extract_all(lower(word), '[a-z0-9]+'), ts) as hit, i // 30 as part from sw join st using (qid)",
+    "sp": "select qid, doc_id, rank, part, count(case when hit then 1 end) as n, string_agg(case when hit then '«' || word || '»' else word end, ' ' order by i) as shown from sh group by all",
+    "sb": "select *, row_number() over (partition by qid, doc_id order by n desc, part) as k from sp",
+    "sf": "select qid, doc_id, string_agg(shown, ' … ' order by k) as snippet from sb where k <= 2 and n > 0 group by qid, doc_id",
+}
+
+
+@query(sql("select qid, doc_id, rank, coalesce(snippet, '') as snippet from top left join sf using (qid, doc_id)", "scored", **_SNIPPETS))
 def snippets(spark: SparkSession, d: str) -> DataFrame:
     docs, rows, questions, terms = _parts(spark, d)
     return keyword.snippets(keyword.search(questions, terms, rows, docs, TODAY), docs, terms)

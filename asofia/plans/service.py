@@ -50,6 +50,20 @@ def prompt_build(spark: SparkSession, d: str) -> DataFrame:
     return answers.prompts(passages, questions, answers.GRADE_TEXT)
 
 
+@query(
+    sql(
+        """select qid, 'Passages:' || chr(10) || chr(10) || string_agg('[' || label || '] ' || title || ' | Part ' || place || ' | issued ' || issued_date || ' | ' || case when in_force then 'in force' else 'not in force on the date asked' end || chr(10) || text, chr(10) || chr(10) order by place)
+        || chr(10) || chr(10) || 'Question: ' || any_value(question) || chr(10) || 'The question is about the rules in force on ' || any_value(q.as_of) || '.' as prompt
+        from labelled l join questions q using (qid) group by qid""",
+        "docs", "questions", **_LABELLED,
+    )
+)
+def prompt_full(spark: SparkSession, d: str) -> DataFrame:
+    """The answering prompt: whole passages with their headings."""
+    questions, passages = _passages(spark, d)
+    return answers.prompts(passages.withColumn("heading", F.concat(F.lit("Part "), "place")), questions)
+
+
 def _replies(spark, d):
     """Replies of four kinds: quoting (in prose around the JSON), abstaining, unreadable, citing what wasn't shown."""
     questions, passages = _passages(spark, d)
@@ -157,20 +171,30 @@ def rewrite_round(spark: SparkSession, d: str) -> DataFrame:
     return answers.rewrite(answers.route(state)).select("qid", "question", "rewrites", F.array_join("trace", ";").alias("trace"))
 
 
-@query("select doc_id, item_id, instr(d.text, substr(b.text, 5, 40)) - 1 as start from documents d join benchmark b on contains(d.text, substr(b.text, 5, 40))")
+@query("select doc_id, item_id, instr(d.text, b.text) - 1 as start from documents d join benchmark b on b.text <> '' and contains(d.text, b.text)")
 def quote_exact(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold a stretch of a benchmark item, and where."""
-    items = corpus.table(spark, d, "benchmark").select("item_id", F.substring("text", 5, 40).alias("quote"))
-    rows = corpus.table(spark, d, "documents").join(F.broadcast(items), F.contains("text", "quote"))
-    return rows.select("doc_id", "item_id", (F.instr("text", F.col("quote")) - 1).cast("long").alias("start"))
+    """Documents that hold a whole benchmark item, and where."""
+    items = corpus.table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return answers.containing(corpus.table(spark, d, "documents"), items, "doc_id")
+
+
+def _quotes(spark, d):
+    """Every text with a quote of its own in which a letter is changed; texts too short for one have a short quote."""
+    quote = F.concat(F.substring("text", 21, 30), F.lit("x"), F.substring("text", 52, 40))
+    return corpus.table(spark, d, "documents").select("doc_id", quote.alias("quote"), "text")
 
 
 @query()
 def quote_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     """Quotes with letters changed, found again in their documents."""
-    docs = corpus.table(spark, d, "documents").filter("length(text) > 120")
-    quote = F.concat(F.substring("text", 21, 30), F.lit("x"), F.substring("text", 52, 40))
-    return answers.locate(docs.select("doc_id", quote.alias("quote"), "text")).select("doc_id", "score", "start")
+    return answers.locate(_quotes(spark, d)).select("doc_id", "score", "start")
+
+
+@query("select doc_id, case when length(text) >= 92 then true end as found from documents")
+def quote_fuzzy_found(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each such quote is found well enough; null for texts too short to have all of it."""
+    rows = answers.locate(_quotes(spark, d))
+    return rows.select("doc_id", F.when(F.length("text") >= 92, F.col("score") >= answers.VERIFIED).alias("found"))
 
 
 @query(sql("select qid, sentence, count(*) as n, min(source_id) as source_id from checked join labelled using (qid, label) where verified group by qid, sentence", "docs", "questions", **_LABELLED, **_CITED))
@@ -192,14 +216,14 @@ def source_cards(spark: SparkSession, d: str) -> DataFrame:
 def _asked(spark, d):
     version = cache.corpus_version(corpus.documents(spark, d))
     rows = corpus.table(spark, d, "conversations").filter("role = 'user'").join(F.broadcast(version))
-    rows = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.substring("text", 1, 60).alias("question"), F.date_add(F.lit("2026-01-01").cast("date"), (F.col("conv_id") % 2).cast("int")).alias("as_of"), "version", "conv_id")
+    rows = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("question"), F.date_add(F.lit("2026-01-01").cast("date"), (F.col("conv_id") % 2).cast("int")).alias("as_of"), "version", "conv_id")
     return rows.withColumn("key_hash", cache.key(F.col("question"), F.col("as_of"), F.col("version")))
 
 
 _ASKED = {
     "v": "select count(*) || ':' || strftime(max(created_at), '%Y-%m-%d %H:%M:%S') as version from docs",
-    "asked": """select conv_id, conv_id * 1000 + turn as qid, substr(text, 1, 60) as question, date '2026-01-01' + cast(conv_id % 2 as integer) as as_of, version,
-      sha256(trim(regexp_replace(lower(substr(text, 1, 60)), '\\s+', ' ', 'g'), ' ?.!') || '|' || (date '2026-01-01' + cast(conv_id % 2 as integer)) || '|' || version) as key_hash from conversations, v where role = 'user'""",
+    "asked": """select conv_id, conv_id * 1000 + turn as qid, text as question, date '2026-01-01' + cast(conv_id % 2 as integer) as as_of, version,
+      sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' ?.!') || '|' || (date '2026-01-01' + cast(conv_id % 2 as integer)) || '|' || version) as key_hash from conversations, v where role = 'user'""",
     "kept": "select key_hash, min(qid) as first from asked where conv_id % 2 = 0 group by key_hash",
 }
 
@@ -281,6 +305,21 @@ def follow_rejected(spark: SparkSession, d: str) -> DataFrame:
     return alerts.follow(_follows(spark, d), stored, corpus.documents(spark, d))[1].select("chat_id", "kind", "target")
 
 
+@query(sql("select chat_id, kind, target, row_number() over (partition by chat_id order by chat_id) as place from good where chat_id % 3 = 0 and not (kind = 'doc' and chat_id % 4 = 0)", "docs", "edges", **_FOLLOWS))
+def follow_list(spark: SparkSession, d: str) -> DataFrame:
+    """What every third customer follows after those with a number divisible by four have left their documents."""
+    stored = _good(spark, d)[1]
+    stays, _ = alerts.unfollow(stored, stored.filter("kind = 'doc' and chat_id % 4 = 0"))
+    return alerts.following(stays, stored.filter("chat_id % 3 = 0")).select("chat_id", "kind", "target", "place")
+
+
+@query(sql("select kind, count(*) as removed from good where chat_id % 4 = 0 group by kind", "docs", "edges", **_FOLLOWS))
+def unfollow(spark: SparkSession, d: str) -> DataFrame:
+    """Follows that were removed, counted by kind."""
+    stored = _good(spark, d)[1]
+    return alerts.unfollow(stored, stored.filter("chat_id % 4 = 0"))[1].groupBy("kind").agg(F.count(F.lit(1)).alias("removed"))
+
+
 @query(sql("select * from da", "docs", "edges", **_FOLLOWS))
 def alerts_doc(spark: SparkSession, d: str) -> DataFrame:
     docs, follows = _good(spark, d)

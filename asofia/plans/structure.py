@@ -262,15 +262,20 @@ def eval_in_force(spark: SparkSession, d: str) -> DataFrame:
     "select '{0}' as retriever, ".format(name) + ", ".join(f"(in{k} > 0)::int::double as hit_{k}, in{k} / wanted as recall_{k}" for k in (1, 5, 10))
     + f", coalesce(1.0::double / first, 0) as mrr from (select r.qid, count(*) as wanted, " + ", ".join(f"count(case when rank <= {k} then 1 end) as in{k}" for k in (1, 5, 10))
     + f", min(rank) as first from relevant r left join {table} k on k.qid = r.qid and k.doc_id = r.doc_id group by r.qid)"
-    for name, table in (("keyword", "ranked"), ("vector", "vranked"), ("hybrid", "hranked"))
+    for name, table in (("keyword", "ranked"), ("passages", "pranked"), ("vector", "vranked"), ("hybrid", "hranked"))
 ) + ") group by retriever", "scored", **_EVAL, **search._LISTS,
-    vranked="select qid, id as doc_id, rank from lists where list = 'vector' and rank <= 10", hranked="select qid, id as doc_id, rank from top10"))
+    vranked="select qid, id as doc_id, rank from lists where list = 'vector' and rank <= 10", hranked="select qid, id as doc_id, rank from top10", **{k: v for k, v in _LINE_SCORES.items()},
+    ptop="select qid, doc_id, row_number() over (partition by qid order by score desc, chunk_id) as place from ls qualify place <= 50",
+    pranked="select qid, doc_id, row_number() over (partition by qid order by best, doc_id) as rank from (select qid, doc_id, min(place) as best from ptop group by all) qualify rank <= 10"))
 def eval_retrievers(spark: SparkSession, d: str) -> DataFrame:
     """All retrievers on the same questions, in one job."""
     _, _, relevant, ranked = _judged(spark, d)
     _, lists = search._lists(spark, d)
     near = lists.filter("list = 'vector' and rank <= 10")
-    parts = {"keyword": ranked, "vector": near.withColumnRenamed("id", "doc_id"), "hybrid": vectors.fuse(lists).withColumnRenamed("id", "doc_id")}
+    lines, _, line_scores = _line_scores(spark, d)
+    hits = keyword.top(line_scores, vectors.CANDIDATES, F.desc("score"), F.asc("id")).join(lines.select(F.col("chunk_id").alias("id"), F.col("doc_id").alias("source_id")), "id")
+    rolled = vectors.rank_documents(hits).filter("rank <= 10").withColumnRenamed("source_id", "doc_id")
+    parts = {"keyword": ranked, "passages": rolled, "vector": near.withColumnRenamed("id", "doc_id"), "hybrid": vectors.fuse(lists).withColumnRenamed("id", "doc_id")}
     out = None
     for name, part in parts.items():
         one = evaluation.question_metrics(relevant, part.select("qid", "doc_id", "rank")).withColumn("retriever", F.lit(name))
@@ -317,11 +322,24 @@ def answer_summary(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.answer_summary(evaluation.answer_scores(_answers(spark, d)))
 
 
-@query()
+@query(sql(f"select 'keyword' as retriever, 'none' as git_sha, {_MEANS} from metrics", "scored", **_EVAL))
 def eval_run_record(spark: SparkSession, d: str) -> DataFrame:
-    """The configuration and summary of a run, as JSON."""
+    """The configuration and summary of a run, as JSON, read again."""
     _, _, relevant, ranked = _judged(spark, d)
-    return evaluation.run_record(evaluation.question_metrics(relevant, ranked), {"retriever": "keyword", "git_sha": "none"})
+    record = evaluation.run_record(evaluation.question_metrics(relevant, ranked), {"retriever": "keyword", "git_sha": "none"})
+    kinds = ", ".join(f"{m}: double" for m in evaluation.METRICS)
+    return record.select(F.from_json("config", f"retriever string, git_sha string, summary struct<{kinds}>").alias("r")).select("r.retriever", "r.git_sha", "r.summary.*")
+
+
+@query(sql("select (select count(*) from documents where text <> '') as documents, count(*) as chunks, count(case when len(regexp_extract_all(lower(block), '[a-z0-9]+')) > 0 then 1 end) as embedded from b0 join documents using (doc_id) where text <> ''", **_BLOCKS))
+def index_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, passages and embedded passages of an index of lines."""
+    pending = chunking.pending_documents(_raw(spark, d), _lines(spark, d).limit(0))
+    chunks = chunking.blocks(pending).select("doc_id", "ord", "block").withColumn("embedding", F.lit(None).cast("array<double>"))
+    waiting = chunking.pending_embeddings(chunks, corpus.documents(spark, d))
+    terms = waiting.select((F.col("doc_id") * PASSAGES + F.col("ord")).alias("id"), F.explode(F.regexp_extract_all(F.lower("block"), F.lit("[a-z0-9]+"), F.lit(0))).alias("term"))
+    done = vectors.hashed_embedding(terms).select("id").distinct().agg(F.count(F.lit(1)).alias("embedded"))
+    return chunks.agg(F.count_distinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("chunks")).join(F.broadcast(done))  # one row each
 
 
 @query()
