@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from asofia.functions import temporal, text
 
 WEIGHTS = {"title": 1.0, "body": 0.4}
+#: Rows of questions' terms that are broadcast at most, some 40 bytes each.
+BROADCAST_TERMS = 1_000_000
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", title: str = "title", body: str = "text") -> DataFrame:
@@ -50,7 +52,12 @@ def scores(terms: DataFrame, rows: DataFrame) -> DataFrame:
     A query for any term is covered by each single match, so every match is an extent of its own: the sum of weights, over the log of the length
     plus one, over the harmonic mean of the distances between consecutive extents.
     """
-    hits = terms.select("qid", "term").join(rows, "term")
+    terms = terms.select("qid", "term")
+    if terms.count() <= BROADCAST_TERMS:
+        # postings are dealt by document once; their matches, which are many more, then stay where they are
+        hits = rows.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").repartition("id").join(F.broadcast(terms), "term")
+    else:
+        hits = terms.join(rows, "term")
     gap = F.col("pos") - F.lag("pos").over(Window.partitionBy("qid", "id").orderBy("pos"))
     hits = hits.withColumn("gap", gap)
     close = F.when(F.count(F.lit(1)) > 1, F.sum(1 / F.col("gap")) / F.count(F.lit(1))).otherwise(1.0)

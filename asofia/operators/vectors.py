@@ -164,15 +164,29 @@ def hashed_embedding(rows: DataFrame, id_col: str = "id", term_col: str = "term"
     return counts.join(norm, "id").select("id", "bucket", (F.col("n") / F.col("norm")).alias("value"))
 
 
+def _sparse_blocks(rows: DataFrame) -> DataFrame:
+    """Sparse vectors (``id, bucket, value``) as dense blocks ``ids, matrix``."""
+    lists = rows.filter("id is not null").groupBy(F.col("id").cast("long").alias("id")).agg(F.collect_list(F.struct("bucket", "value")).alias("m")).select("id", F.col("m.bucket").alias("b"), F.col("m.value").alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(low, BLOCK)
+                bucket, value = part.column(1), part.column(2)
+                matrix = np.zeros((part.num_rows, BUCKETS))
+                row = np.repeat(np.arange(part.num_rows), np.diff(bucket.offsets.to_numpy()))
+                matrix[row, bucket.flatten().to_numpy(zero_copy_only=False)] = value.flatten().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()]), pa.array([matrix.tobytes()])], names=["ids", "matrix"])
+
+    return lists.mapInArrow(run, "ids binary, matrix binary")
+
+
 def sparse_nearest(queries: DataFrame, vectors: DataFrame, n: int = CANDIDATES) -> DataFrame:
-    """``qid, id, cosine, rank`` from two sparse tables (``id, bucket, value``), made dense row by row and compared in blocks. Pairs without a common bucket don't count."""
-    dense = lambda df, name: df.groupBy(F.col("id").alias(name)).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("m")).select(
-        name, F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.coalesce(F.try_element_at("m", b.cast("long")), F.lit(0.0))).alias("embedding")
-    )
-    left = blocks(dense(queries, "qid"), "qid").select(F.col("ids").alias("qids"), F.col("matrix").alias("q"))
+    """``qid, id, cosine, rank`` from two sparse tables (``id, bucket, value``), made dense and compared in blocks. Pairs without a common bucket don't count."""
+    left = _sparse_blocks(queries).select(F.col("ids").alias("qids"), F.col("matrix").alias("q"))
     if queries.select("id").distinct().count() <= BROADCAST_QUERIES:
         left = F.broadcast(left)
-    near = blocks(dense(vectors, "vec_id"), "vec_id").crossJoin(left).mapInPandas(_nearest_documents(n), "qid long, id long, cosine double")
+    near = _sparse_blocks(vectors).crossJoin(left).mapInPandas(_nearest_documents(n), "qid long, id long, cosine double")
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("cosine"), "id")).cast("long")).filter(F.col("rank") <= n)
 
 

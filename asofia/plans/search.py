@@ -179,8 +179,8 @@ def hash_embed(spark: SparkSession, d: str) -> DataFrame:
     return sparse.groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("buckets"), F.round(F.sum(F.col("value") * F.col("value")), 6).alias("norm"), F.round(F.max("value"), 6).alias("top"))
 
 
-def _lists(spark, d):
-    docs, rows, questions, terms = _parts(spark, d)
+def _lists(spark, d, parts=None):
+    docs, rows, questions, terms = parts or _parts(spark, d)
     words = keyword.top(keyword.scores(terms, rows), 50, F.desc("score"), F.asc("id")).select("qid", "id", F.lit("keyword").alias("list"), "rank")
     asked = questions.select("qid", F.explode(text.tokens(F.col("question"))).alias("term"))
     near = vectors.sparse_nearest(vectors.hashed_embedding(asked, "qid"), vectors.hashed_embedding(rows), 50)

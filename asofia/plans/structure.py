@@ -190,8 +190,8 @@ _EVAL = {
 }
 
 
-def _judged(spark, d):
-    docs, rows, questions, terms = search._parts(spark, d)
+def _judged(spark, d, parts=None):
+    docs, rows, questions, terms = parts or search._parts(spark, d)
     rare = keyword.rarest(keyword.question_words(questions), rows)
     holders = rare.join(rows.select("term", F.col("id").alias("doc_id")).distinct(), "term").join(docs.select("doc_id", "text"), "doc_id")
     relevant = holders.join(questions.select("qid", "question"), "qid").filter(F.contains("text", "question")).select("qid", "doc_id").distinct()
@@ -269,8 +269,9 @@ def eval_in_force(spark: SparkSession, d: str) -> DataFrame:
     pranked="select qid, doc_id, row_number() over (partition by qid order by best, doc_id) as rank from (select qid, doc_id, min(place) as best from ptop group by all) qualify rank <= 10"))
 def eval_retrievers(spark: SparkSession, d: str) -> DataFrame:
     """All retrievers on the same questions, in one job."""
-    _, _, relevant, ranked = _judged(spark, d)
-    _, lists = search._lists(spark, d)
+    shared = search._parts(spark, d)
+    _, _, relevant, ranked = _judged(spark, d, shared)
+    lists = folders.written(search._lists(spark, d, shared)[1], "lists")
     near = lists.filter("list = 'vector' and rank <= 10")
     lines, _, line_scores = _line_scores(spark, d)
     hits = keyword.top(line_scores, vectors.CANDIDATES, F.desc("score"), F.asc("id")).join(lines.select(F.col("chunk_id").alias("id"), F.col("doc_id").alias("source_id")), "id")
