@@ -19,8 +19,10 @@ SPAN = 32
 FILTER_BITS = 1 << 24
 #: Item grams that are broadcast at most (24 bytes each); beyond that they meet the hits in a shuffle.
 BROADCAST_GRAMS = 1_000_000
+#: Pairs of document and item that are broadcast at most (some 60 bytes each).
+BROADCAST_PAIRS = 500_000
 #: Words of texts that are aligned at once, padding included. A longer pair is aligned alone.
-CELLS = 1 << 20
+CELLS = 1 << 16
 
 _PLAIN = tk.LOWER.copy()
 _PLAIN[list(rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~""")] = 32
@@ -87,7 +89,7 @@ def _batches(size: np.ndarray):
     order, low = np.argsort(size, kind="stable"), 0
     while low < len(order):
         high = low + 1
-        while high < len(order) and (high + 1 - low) * size[order[high]] <= CELLS and high - low < 1024:
+        while high < len(order) and (high + 1 - low) * size[order[high]] <= CELLS and high - low < 256:
             high += 1
         yield order[low:high].tolist()
         low = high
@@ -157,10 +159,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     near = near.withColumn("start", F.explode(F.array(*(F.floor((F.col("shift") + k) / SPAN) * SPAN - k for k in (0, SPAN // 2)))))
     pairs = near.groupBy("id", "item").agg(F.array_sort(F.collect_set("start")).alias("starts"))
     pairs = scratch.table(pairs, "pairs")
-    wanted = pairs.select("id").distinct()
-    if wanted.count() <= 500_000:  # beyond that the documents are shuffled
-        wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, "id", "left_semi")
-    scored = pairs.join(texts, "id").join(items, "item").select("id", "item", "starts", "body", "item_body").mapInArrow(_score(accept), "id long, item long, score double, end_word long")
+    # candidates go to the texts while they are few; beyond that both are shuffled by document
+    small = pairs.count() <= BROADCAST_PAIRS
+    texts = docs.join(F.broadcast(pairs) if small else pairs, "id")
+    scored = texts.join(items, "item").select("id", "item", "starts", "body", "item_body").mapInArrow(_score(accept), "id long, item long, score double, end_word long")
     best = scored.groupBy("id", "item").agg(F.max(F.struct("score", (-F.col("end_word")).alias("e"))).alias("best"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias("item_id"), "best.score", (-F.col("best.e")).alias("end_word"))
