@@ -382,12 +382,13 @@ def _prefix_pairs(tight: DataFrame, nodes: DataFrame, docs: DataFrame, scratch:
     ranked = scratch.table(ranked.select("gram", "node", "comp", "size", "common"), "prefixes")
     # the largest component of a shingle is compared with the others only
     main = ranked.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("gram").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("gram", "main")
-    ranked = ranked.join(main, "gram")
+    ranked = ranked.join(scratch.table(main, "main"), "gram")
     words = SKETCH_BITS // 64
     fold = F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda i: F.aggregate(F.filter("sketch", lambda _, j: j % words == i), F.lit(0).cast("long"), lambda t, x: t.bitwiseXOR(x)))
     folded = nodes.join(ranked.select("node").distinct(), "node").select("node", fold.alias("s"))
     folded = folded.select("node", *(F.col("s")[i].alias(f"s{i}") for i in range(words)))
-    ranked = ranked.join(folded, "node")
+    # both sides of the join below are read from a table, so Spark can split a frequent shingle's rows
+    ranked = scratch.table(ranked.join(folded, "node"), "sides")
     rest = ranked.filter("comp <> main").select("gram", F.col("node").alias("x"), F.col("comp").alias("xc"), F.col("size").alias("xs"), F.col("common").alias("xm"), *(F.col(f"s{i}").alias(f"x{i}") for i in range(words)))
     apart = (F.col("xc") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("x") < F.col("node")))
     apart &= F.least("xs", "size") * den >= F.greatest("xs", "size") * num
