@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences: stages that each read what the one before has written."""
+"""From raw documents to packed training sequences: stages that each read what the one before has written.
+
+All stages but the last return rows of their input unchanged, with all columns it has, whatever their names. Null, empty and wordless texts are
+judged like others; the quality rules reject them. Rows with a null id are judged by the first two stages and kept by the next two, which compare
+documents by id; rows that repeat an id are one document to those. An empty table gives an empty table. Texts are read whole, however long.
+"""
 
 from __future__ import annotations
 
@@ -25,17 +30,18 @@ def _without(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier, fitted on the labels of those that aren't held out, rejects go. Without labels it scores 0.5, so all go."""
     return keep_accepted(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go, each row by its own text."""
     return keep_passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of copies stays. Rows with one id count as one document."""
+    """The document with the smallest id of each group of copies stays. Rows with one id count as one document: if any of its texts is a copy of an
+    earlier document's, all go, else all stay."""
     return _without(docs, jaccard_components(docs).filter("doc_id <> component_id"), Scratch(spark, "near-duplicates"))
 
 
@@ -45,6 +51,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of at most 4096 ids, as one row per piece of a document; rows are packed each on its own, also those that repeat an id."""
     return packed_sequences(docs, tokenizer_path("word_bpe_49k.json"))
 
 
