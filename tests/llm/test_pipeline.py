@@ -3,7 +3,7 @@
 import corpus_pipeline as pipeline
 from asofia.llm import classifier, decontam, jaccard, queries, rules
 from asofia.llm.scratch import Scratch
-from helpers import DATA
+from helpers import DATA, WORDS, odd_documents
 
 
 def ids(df):
@@ -34,6 +34,25 @@ def test_stage_order_and_queries():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
 
 
+def test_odd_rows(spark, monkeypatch):
+    """Nulls, repeated rows and ids, long texts and columns with the operators' own names pass through the stages."""
+    df, rows = odd_documents(spark)
+    good = [f"{w}{i * 7919 % 997}" for i, w in enumerate(WORDS * 12)]
+    more = [(30, " ".join(good)), (31, " ".join(good)), (31, " ".join(f"x{w}" for w in good)), (32, " ".join(f"y{w}" for w in good)), (32, " ".join(f"y{w}" for w in good)), (None, " ".join(good))]
+    df = df.union(spark.createDataFrame([(i, t, 1, "x", "y", 2, 3, "z", 4.0) for i, t in more], df.schema))
+    accepted = classifier.keep_accepted(df, classifier.train(df, spark.createDataFrame([], "doc_id long, quality int")), accept=0.5)
+    assert accepted.count() == df.count()  # without labels all score 0.5
+    docs = df
+    for name, stage in pipeline.STAGES[1:-1]:
+        docs = Scratch(spark, "odd").table(stage(spark, docs, DATA), name)
+        assert docs.columns == df.columns
+        found = sorted((-1 if r.doc_id is None else r.doc_id) for r in docs.filter("doc_id >= 30 or doc_id is null").select("doc_id").collect())
+        assert found == ([-1, -1, 30, 31, 31, 32, 32] if name == "quality_rules" else [-1, -1, 30, 32, 32])
+        assert docs.filter("text is null or trim(text) = ''").count() == 0
+    packed = pipeline.STAGES[-1][1](spark, docs, DATA)
+    assert packed.filter("start = 0").count() == docs.count()
+
+
 def test_empty_input(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
