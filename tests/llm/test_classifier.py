@@ -1,4 +1,11 @@
+import math
+import re
+from collections import Counter
+from itertools import pairwise
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from asofia.llm import classifier
@@ -48,3 +55,30 @@ def test_odd_rows(spark):
         assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
         assert classifier.keep_accepted(docs, model).count() == sum(r.predicted for r in got)
     assert classifier.quality_scores(docs.limit(0), model).count() == 0
+
+
+def plain_features(text):
+    """The statistics, one text at a time."""
+    data = (text or "").encode()
+    parts = [w for w in re.split(rb"[\x20\x09-\x0D]+", data) if w]
+    size = max(sum(map(len, parts)), 1)
+    out = [sum(b in set(members) for b in data) / size for members in classifier._CLASSES.values()]
+    n = max(len(parts), 1)
+    length = [len(w) for w in parts] or [0]
+    lines = [x for x in data.split(b"\n") if x]
+
+    def repeated(k):
+        windows = [tuple(parts[i : i + k]) for i in range(len(parts) - k + 1)]
+        twice = Counter(windows)
+        return len({i + j for i, w in enumerate(windows) if twice[w] > 1 for j in range(k)}) / n
+
+    mean = sum(length) / n
+    out += [math.log1p(len(parts)), mean, math.sqrt(max(sum(x * x for x in length) / n - mean**2, 0)), math.log1p(max(length)), sum(len(w) == 1 for w in parts) / n]
+    out += [sum(not re.search(rb"[A-Za-z0-9\x80-\xff]", w) for w in parts) / n, len(set(parts)) / n, sum(a == b for a, b in pairwise(parts)) / n, repeated(3), repeated(5)]
+    return [*out, math.log1p(len(lines)), len(parts) / max(len(lines), 1), (len(lines) - len(set(lines))) / max(len(lines), 1)]
+
+
+def test_features_match_plain_counting():
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()
+    texts += [None, "", " \n\t ", "a", "a a a a\n\na a a a\n", "é ü || ##\nx\x0by", "one two three one two three", "#" * 5000]
+    assert np.allclose(classifier.features(pa.array(texts)), [plain_features(t) for t in texts], atol=1e-6)
