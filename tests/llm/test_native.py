@@ -1,5 +1,7 @@
 """URL rules and chats: against their SQL, and odd rows."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -68,3 +70,16 @@ def test_long_conversations_come_in_parts(spark):
     got = sorted((r.conv_id, r.part, r.n_turns, r.n_snapshots, r.rendered) for r in chat.collapse_and_render(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect())
     assert [(r[:4], r[4].count("<|im_start|>")) for r in got] == [((1, 0, 2500, 2), 1024), ((1, 1, 2500, 2), 1024), ((1, 2, 2500, 2), 452), ((3, 0, 1100, 1), 1024), ((3, 1, 1100, 1), 76), ((4, 0, 1025, 1), 1024), ((4, 1, 1025, 1), 1)]
     assert "".join(r[4] for r in got if r[0] == 1) == "".join(f"<|im_start|>user\nt{i}<|im_end|>\n" for i in range(2500))
+
+
+def test_many_rules_and_hot_labels(spark):
+    """Random rules and URLs against every rule in turn: a label with more boundaries than a sweep has URLs, one with few, one without rules."""
+    rng = random.Random(6)
+    host = lambda top: ".".join([*(rng.choice("abc") for _ in range(rng.randrange(4))), top])
+    rules = [(host(rng.choice(["com", "com", "net"])), rng.choice(["/", "", "/x/", "/x/y"]), rng.choice(["allow", "block"])) for _ in range(120)]
+    pages = [(i, f"http://{host(rng.choice(['com', 'com', 'com', 'net', 'org']))}{rng.choice(['', '/', '/x/', '/x/y/z?q', '/w'])}") for i in range(1500)]
+    found = urls.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
+    assert len(found) == 1500
+    for r in found:
+        fits = [(len(h + p), len(h), h + p, v) for h, p, v in rules if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        assert (r.rule, r.verdict) == (max(fits)[2:] if fits else (None, "allow"))
