@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +20,10 @@ SPAN = 32
 FILTER_BITS = 1 << 24
 #: Item grams that are broadcast at most (24 bytes each); beyond that they meet the hits in a shuffle.
 BROADCAST_GRAMS = 1_000_000
-#: Pairs of document and item that are broadcast at most (some 60 bytes each).
-BROADCAST_PAIRS = 500_000
+#: Ids of documents with candidates that are broadcast at most.
+BROADCAST_IDS = 500_000
+#: Lists that a document's candidates are dealt to.
+LISTS = 8
 #: Words of texts that are aligned at once, padding included. A longer pair is aligned alone.
 CELLS = 1 << 16
 
@@ -100,17 +103,20 @@ def _score(accept: float):
 
     def run(batches):
         for batch in batches:
-            for piece in tk.pieces(batch, 3, max_rows=512):
-                doc, doc_row = plain_words(piece.column(3))
-                item, item_row = plain_words(piece.column(4))
-                doc_at, item_at = (np.searchsorted(r, np.arange(piece.num_rows + 1)) for r in (doc_row, item_row))
+            for piece in tk.pieces(batch, 1, max_rows=512):
+                doc, doc_row = plain_words(piece.column(1))
+                found = piece.column(2).flatten()
+                owner_row = np.repeat(np.arange(piece.num_rows), pc.list_value_length(piece.column(2)).to_numpy())
+                item, item_row = plain_words(found.field("item_body"))
+                doc_at, item_at = np.searchsorted(doc_row, np.arange(piece.num_rows + 1)), np.searchsorted(item_row, np.arange(len(found) + 1))
                 owner, cuts = [], []
-                for r, starts in enumerate(piece.column(2).to_pylist()):
-                    m, n = item_at[r + 1] - item_at[r], doc_at[r + 1] - doc_at[r]
+                for r, starts in enumerate(found.field("starts").to_pylist()):
+                    base = doc_at[owner_row[r]]
+                    m, n = item_at[r + 1] - item_at[r], doc_at[owner_row[r] + 1] - base
                     for s in starts:
                         a, b = max(0, s - SPAN), min(n, s + 2 * SPAN + m)
                         # the score can't pass the share of the item's words that the passage has at all
-                        if b > a and m and np.isin(item[item_at[r] : item_at[r + 1]], doc[doc_at[r] + a : doc_at[r] + b]).sum() >= accept * m:
+                        if b > a and m and np.isin(item[item_at[r] : item_at[r + 1]], doc[base + a : base + b]).sum() >= accept * m:
                             owner.append(r)
                             cuts.append((a, b))
                 for some in _batches(np.array([max(item_at[r + 1] - item_at[r], b - a) for r, (a, b) in zip(owner, cuts, strict=True)], dtype=np.int64)):
@@ -120,13 +126,13 @@ def _score(accept: float):
                     right = np.ones((len(rows), max(b - a for a, b in part)), dtype=np.uint64)
                     for k, (r, (a, b)) in enumerate(zip(rows, part, strict=True)):
                         left[k, : words[k]] = item[item_at[r] : item_at[r + 1]]
-                        right[k, : b - a] = doc[doc_at[r] + a : doc_at[r] + b]
+                        right[k, : b - a] = doc[doc_at[owner_row[r]] + a : doc_at[owner_row[r]] + b]
                     best, end = align(left, right)
                     score = best / (MATCH * np.array(words))
                     good = np.flatnonzero(score >= accept)
-                    pick = pa.array(np.array(rows)[good])
+                    pick = np.array(rows)[good]
                     ends = np.array([a for a, _ in part])[good] + end[good] + 1
-                    columns = [piece.column(0).take(pick), piece.column(1).take(pick), pa.array(score[good]), pa.array(ends)]
+                    columns = [piece.column(0).take(pa.array(owner_row[pick])), found.field("item").take(pa.array(pick)), pa.array(score[good]), pa.array(ends)]
                     yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
@@ -159,9 +165,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     near = near.withColumn("start", F.explode(F.array(*(F.floor((F.col("shift") + k) / SPAN) * SPAN - k for k in (0, SPAN // 2)))))
     pairs = near.groupBy("id", "item").agg(F.array_sort(F.collect_set("start")).alias("starts"))
     pairs = scratch.table(pairs, "pairs")
-    # candidates go to the texts while they are few; beyond that both are shuffled by document
-    small = pairs.count() <= BROADCAST_PAIRS
-    texts = docs.join(F.broadcast(pairs) if small else pairs, "id")
-    scored = texts.join(items, "item").select("id", "item", "starts", "body", "item_body").mapInArrow(_score(accept), "id long, item long, score double, end_word long")
+    # a document's candidates are a few lists beside one copy of its text; both are shuffled by document, texts without candidates are left out before while ids are few
+    lists = pairs.join(items, "item").groupBy("id", F.pmod(F.xxhash64("item"), F.lit(LISTS)).alias("part")).agg(F.collect_list(F.struct("item", "starts", "item_body")).alias("found"))
+    wanted = pairs.select("id").distinct()
+    if wanted.count() <= BROADCAST_IDS:
+        docs = docs.join(F.broadcast(wanted), "id", "left_semi")
+    texts = docs.join(lists.hint("merge"), "id")
+    scored = texts.select("id", "body", "found").mapInArrow(_score(accept), "id long, item long, score double, end_word long")
     best = scored.groupBy("id", "item").agg(F.max(F.struct("score", (-F.col("end_word")).alias("e"))).alias("best"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias("item_id"), "best.score", (-F.col("best.e")).alias("end_word"))

@@ -65,7 +65,7 @@ def test_one_frequent_seed_is_enough(spark):
 def test_a_pair_does_not_depend_on_other_documents(spark, monkeypatch, others, bound):
     """The same copies among few and many documents, with the grams broadcast and shuffled."""
     monkeypatch.setattr(decontam, "BROADCAST_GRAMS", bound)
-    monkeypatch.setattr(decontam, "BROADCAST_PAIRS", bound)
+    monkeypatch.setattr(decontam, "BROADCAST_IDS", bound)
     long = "m1 m2 m3 m4 m5 m6 m7 m8 m9 m10 m11 m12 m13 m14 m15"
     docs = [(1, "a one two three b"), (2, "p m1 m2 m3 x m5 m6 x m8 m9 x m11 m12 x m14 m15 q"), (3, "p m1 m2 m3 q"), (4, "one two four")]
     df = spark.createDataFrame(docs, "doc_id long, text string").union(spark.range(100, 100 + others).selectExpr("id", "concat('one two ', id, ' m1 m2 other ', id)"))
