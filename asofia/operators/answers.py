@@ -105,21 +105,31 @@ def best_window(quote: str, passage: str, least: float = VERIFIED) -> tuple[floa
         while at >= 0:
             starts.update(range(at - a - breaks, at - a + breaks + 1))
             at = passage.find(quote[a:b], at + 1)
-    first = np.array(sorted(s for s in starts if -m < s < len(passage)), dtype=np.int64)
+    at = np.array(sorted(s for s in starts if -m < s < len(passage)), dtype=np.int64)
     left, right = np.array([ord(c) for c in quote]), np.array([ord(c) for c in passage])
-    best = (0.0, 0)
-    for low in range(0, len(first), 4096):
-        at = first[low : low + 4096]
-        place = at[:, None] + np.arange(m)
+    low, high = np.maximum(at, 0), np.minimum(at + m, len(right))
+    # the letters that a stretch shares with the quote bound its score; the most promising go first, and the rest is left when it can't win
+    shared = np.zeros(len(at), dtype=np.int64)
+    for letter, times in zip(*np.unique(left, return_counts=True), strict=True):
+        seen = np.concatenate([[0], np.cumsum(right == letter)])
+        shared += np.minimum(seen[high] - seen[low], times)
+    bound = 200.0 * shared / (m + high - low)
+    order = np.lexsort((at, -bound))
+    best, start = least, None
+    for k in range(0, len(order), 256):
+        some = order[k : k + 256]
+        if bound[some[0]] < best:
+            break
+        place = at[some][:, None] + np.arange(m)
         windows = np.where((place >= 0) & (place < len(right)), right[np.clip(place, 0, len(right) - 1)], -1)
-        row = np.zeros((len(at), m + 1), dtype=np.int32)
+        row = np.zeros((len(some), m + 1), dtype=np.int32)
         for letter in left:
             row[:, 1:] = np.maximum.accumulate(np.maximum(row[:, 1:], row[:, :-1] + (windows == letter)), axis=1)
-        score = 200.0 * row[:, -1] / (m + (windows >= 0).sum(axis=1))
-        top = int(score.argmax())
-        if score[top] > best[0] and score[top] >= least:
-            best = (float(score[top]), max(int(at[top]), 0))
-    return best
+        score = 200.0 * row[:, -1] / (m + high[some] - low[some])
+        top = score.max()
+        if top > best or (top == best and (start is None or low[some[score == top]].min() < start)):
+            best, start = top, int(low[some[score == top]].min())
+    return (0.0, 0) if start is None else (float(best), start)
 
 
 @F.pandas_udf(StructType([StructField("score", DoubleType()), StructField("start", LongType())]))
