@@ -25,7 +25,7 @@ RULES = [
 ]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A sweep takes so many URLs, and so many for each boundary that it has to sort in, so boundaries are never repeated more often than an eighth of the URLs.
-_SWEEP_URLS, _URLS_PER_EDGE = 256, 8
+_SWEEP_URLS, _URLS_PER_EDGE = 64, 8
 #: Labels with rules that are broadcast at most, some 30 bytes each.
 _BROADCAST_LABELS = 100_000
 
