@@ -2,8 +2,9 @@
 
 All functions work on the UTF-8 bytes of a whole Arrow column at once. Word separators are the
 ASCII characters space and 0x09-0x0D, so a byte-level scan finds exactly the words
-``[^\\x20\\x09-\\x0D]+`` of the decoded text. Hashes are 64-bit; two different words, lines or
-shingles share one with a probability of about 2**-64.
+``[^\\x20\\x09-\\x0D]+`` of the decoded text. Words and lines are hashed by XXH64 and windows of a
+few words by a polynomial of such hashes: two that differ share one with a probability of about 2**-64,
+unless somebody has searched for such a pair, as neither is cryptographic.
 """
 
 from __future__ import annotations
@@ -12,11 +13,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C55  # odd, and _BASE - 1 has one factor of two
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_SPAN = 1 << 18
+# The primes of XXH64.
+_P1 = U64(0x9E3779B185EBCA87)
+_P2 = U64(0xC2B2AE3D27D4EB4F)
+_P3 = U64(0x165667B19E3779F9)
+_P4 = U64(0x85EBCA77C2B2AE63)
+_P5 = U64(0x27D4EB2F165667C5)
+_MASK = (1 << 64) - 1
+_SPAN, _LONG = 1 << 16, 1024
 
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -24,18 +31,6 @@ IDENTITY = np.arange(256, dtype=np.uint8)
 LOWER = IDENTITY.copy()
 LOWER[65:91] += 32
 
-_powers = [np.ones(1, dtype=U64), np.ones(1, dtype=U64)]
-
-
-def _grow_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, _BASE_INV)):
-            steps = np.full(max(n, _SPAN + 1), base, dtype=U64)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit values so that every output bit depends on every input bit."""
     h = h ^ (h >> U64(33))
@@ -90,26 +85,77 @@ def spans(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = IDENTITY) -> np.ndarray:
-    """One 64-bit hash per span of bytes, after mapping each byte through ``table``. Spans are in order and don't overlap."""
-    out = np.empty(len(starts), dtype=U64)
-    i = 0
-    while i < len(starts):
-        base = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, base + _SPAN, "right")))
-        size = int(ends[j - 1] - base)
-        power, inverse = _grow_powers(size + 1)
-        values = table[data[base : base + size]].astype(U64)
-        values += U64(1)
-        values *= power[:size]
-        total = np.zeros(size + 1, dtype=U64)
-        np.cumsum(values, out=total[1:])
-        a, b = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = mix((total[b] - total[a]) * inverse[a] + (b - a).astype(U64) * U64(0xD6E8FEB86659FD93))
-        i = j
+def _rotated(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << U64(bits)) | (x >> U64(64 - bits))
+
+
+def _round(state: np.ndarray, lane: np.ndarray) -> np.ndarray:
+    return _rotated(state + lane * _P2, 31) * _P1
+
+
+def _xxh64_short(data: np.ndarray, at: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of spans side by side. ``data`` has eight bytes more than the spans need, so that lanes can be read anywhere."""
+    lanes = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
+    halves = np.ndarray((len(data) - 7,), "<u4", data, 0, (1,))
+    at, left = at.copy(), size.copy()
+    h = np.full(len(at), (seed + int(_P5)) & _MASK, dtype=U64)
+    big = np.flatnonzero(size >= 32)
+    if len(big):
+        state = [np.full(len(big), (seed + x) & _MASK, dtype=U64) for x in (int(_P1) + int(_P2), int(_P2), 0, -int(_P1))]
+        place, rest, live = at[big], left[big], np.arange(len(big))
+        while len(live):
+            for k in range(4):
+                state[k][live] = _round(state[k][live], lanes[place[live] + 8 * k])
+            place[live] += 32
+            rest[live] -= 32
+            live = live[rest[live] >= 32]
+        joined = _rotated(state[0], 1) + _rotated(state[1], 7) + _rotated(state[2], 12) + _rotated(state[3], 18)
+        for part in state:
+            joined = (joined ^ _round(np.zeros_like(part), part)) * _P1 + _P4
+        h[big], at[big], left[big] = joined, place, rest
+    h += size.astype(U64)
+    live = np.flatnonzero(left >= 8)
+    while len(live):
+        h[live] = _rotated(h[live] ^ _round(U64(0), lanes[at[live]]), 27) * _P1 + _P4
+        at[live] += 8
+        left[live] -= 8
+        live = live[left[live] >= 8]
+    live = np.flatnonzero(left >= 4)
+    h[live] = _rotated(h[live] ^ (halves[at[live]].astype(U64) * _P1), 23) * _P2 + _P3
+    at[live] += 4
+    left[live] -= 4
+    live = np.flatnonzero(left)
+    while len(live):
+        h[live] = _rotated(h[live] ^ (data[at[live]].astype(U64) * _P5), 11) * _P1
+        at[live] += 1
+        left[live] -= 1
+        live = live[left[live] > 0]
+    h ^= h >> U64(33)
+    h *= _P2
+    h ^= h >> U64(29)
+    h *= _P3
+    h ^= h >> U64(32)
+    return h
+
+
+def xxh64(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """XXH64 of each span of bytes, many at a time; spans of over ``_LONG`` bytes, which are few, one by one. Spans may overlap."""
+    out, size = np.empty(len(starts), dtype=U64), ends - starts
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = xxhash.xxh64_intdigest(np.ascontiguousarray(data[starts[i] : ends[i]]), seed)
+    rest = np.flatnonzero(size <= _LONG)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    for low in range(0, len(rest), _SPAN):
+        some = rest[low : low + _SPAN]
+        out[some] = _xxh64_short(padded, starts[some], size[some], seed)
     return out
 
 
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = IDENTITY) -> np.ndarray:
+    """One 64-bit hash (XXH64) per span of bytes, after mapping each byte through ``table``."""
+    return xxh64(data if table is IDENTITY else table[data], starts, ends)
+
+
 def row_of(positions: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.searchsorted(offs, positions, "right") - 1
 
