@@ -100,3 +100,81 @@ from (
   from d left join lines using (doc_id) {" ".join(f"left join s{n} using (doc_id)" for n in grams)}
 )
 """
+
+
+def _assigned(k: int) -> str:
+    return f"""
+  a{k} as (
+    select r, vec_id, x, c, d from (
+      select v.r, v.vec_id, v.x, c.c, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d from v, c{k} c
+    ) qualify row_number() over (partition by r order by d, c) = 1
+  )"""
+
+
+def _moved(k: int) -> str:
+    """Componentwise floor of the mean; a centroid without vectors stays."""
+    return f"""
+  m{k} as (
+    select c, list(((s - ((s % n) + n) % n) // n)::bigint order by i) as x from (
+      select c, i, sum(y) as s, count(*) as n from (select c, unnest(x) as y, unnest(range(64)) as i from a{k}) group by c, i
+    ) group by c
+  ), c{k + 1} as (select c.c, coalesce(m.x, c.x) as x from c{k} c left join m{k} m on m.c = c.c)"""
+
+
+def centroids(clusters: int, rounds: int) -> str:
+    steps = ",".join(f"{_assigned(k)},{_moved(k)}" for k in range(rounds))
+    return f"""
+with v as (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as x from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64
+), c0 as (
+  select (row_number() over (order by sha256('1:' || vec_id)) - 1)::integer as c, x from v qualify c < {clusters}
+), {steps}, {_assigned(rounds)}
+select vec_id, c as cluster, d as distance, (sum(d) over (partition by c))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia,
+  sha256(array_to_string(k.x, ',')) as centroid_sha256
+from a{rounds} join c{rounds} k using (c)
+"""
+
+
+_CODED = "coalesce(strlen({0}::varchar) || ':' || {0}::varchar, '-')"
+#: CRC-32 of decimal digits, bit by bit: a byte comes in, then the register is shifted eight times.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, x: case when x >= 0 then xor(a, x) when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end), 4294967295)"""
+
+
+def _levels(name: str, base: str, tree: str) -> str:
+    """All nodes of a forest, level by level, and what stands beside each of its leaves on the way up."""
+    return f"""
+  {name}_nodes as (
+    select {tree} as tree, 0 as level, pos, n, h from {base}
+    union all
+    select tree, level + 1, pos // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' order by pos)) from {name}_nodes where n > 1 group by tree, level, pos // 3
+  ), {name}_steps as (
+    select b.r, s.level, coalesce(string_agg(s.h, '' order by s.pos) filter (where s.pos < b.pos // pow(3, s.level)::bigint), '') as lft,
+      coalesce(string_agg(s.h, '' order by s.pos) filter (where s.pos > b.pos // pow(3, s.level)::bigint), '') as rgt
+    from {base} b join {name}_nodes s on s.tree is not distinct from b.{tree} and s.n > 1 and s.pos // 3 = b.pos // pow(3, s.level + 1)::bigint group by b.r, s.level
+  )"""
+
+
+MANIFEST = f"""
+with recursive d as (
+  select row_number() over () as r, doc_id, source, sha256({" || ".join(_CODED.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) as h,
+    case when {_CRC32} % 2 = 0 then sha256({" || ".join(_CODED.format(c) for c in ("doc_id", "source", "lang", "n_chars", "replace(text, chr(10), '')"))}) end as other
+  from documents
+), leaves as (
+  select *, row_number() over (partition by source order by doc_id nulls first, h) - 1 as pos, count(*) over (partition by source) as n from d
+), {_levels("low", "leaves", "source")}, subroots as (
+  select row_number() over (order by tree nulls first) as r, tree as source, h, row_number() over (order by tree nulls first) - 1 as pos, count(*) over () as n, 0 as every from low_nodes where n = 1
+), {_levels("top", "subroots", "every")}, steps as (
+  select r, level, lft, rgt from low_steps
+  union all
+  select l.r, 1000 + t.level, lft, rgt from leaves l join subroots s on l.source is not distinct from s.source join top_steps t on t.r = s.r
+), paths as (
+  select r, string_agg(lft || rgt, '' order by level) as beside, list(lft || '|' || rgt order by level) as path from steps group by r
+), found as (
+  select doc_id, l.h as leaf, s.h as subroot, t.h as root, sha256(coalesce(beside, '')) as proof_sha256,
+    list_reduce(list_prepend(coalesce(other, l.h), coalesce(path, [])), lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2))) as folded_root
+  from leaves l join subroots s on l.source is not distinct from s.source join top_nodes t on t.n = 1 left join paths p on p.r = l.r
+)
+select *, folded_root = root as verified from found
+"""

@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from asofia.llm import lm, oracle, tokens
+from asofia.llm import centroids, lm, oracle, tokens
 from asofia.llm.chat import collapse_and_render
 from asofia.llm.classifier import quality_scores, train
 from asofia.llm.decontam import contaminated
 from asofia.llm.jaccard import jaccard_components
+from asofia.llm.manifest import manifest
 from asofia.llm.packing import packed_sequences
 from asofia.llm.rules import LINE_LIMIT, NGRAM_LIMITS, quality_rules
+from asofia.llm.simhash import simhash_components
 from asofia.llm.urls import RULES, judge_urls
 from asofia.llm.warc import round_trip
 
@@ -65,6 +68,21 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, train(docs, _read(spark, sf_dir, "labels")))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(_read(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id has an even CRC-32 is tampered with: its text's line breaks are deleted."""
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.when(hit, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return manifest(_read(spark, sf_dir, "documents"), {"text": text})
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -82,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_simhash_near_dedup": op12_simhash_near_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -90,4 +111,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": oracle.rules(NGRAM_LIMITS, LINE_LIMIT),
     "op6_url_filters": oracle.URLS,
     "op8_chat_formatting": oracle.CHATS,
+    "op11_centroid_clustering": oracle.centroids(centroids.CLUSTERS, centroids.ROUNDS),
+    "op13_merkle_manifest": oracle.MANIFEST,
 }
