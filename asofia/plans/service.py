@@ -272,7 +272,7 @@ def _follows(spark, d):
 
 
 _TOPICS = ["The  and", "Tion ", "en der", "ab", "Is THE in"]
-_FOLLOWS = {
+FOLLOWS = {
     "requests": f"""select c_custkey as chat_id, case when c_custkey % 2 = 0 then ((c_custkey * 7) % (2 * (select max(doc_id) + 1 from documents)))::varchar else [{", ".join(f"'{t}'" for t in _TOPICS)}][c_custkey % {len(_TOPICS)} + 1] end as arg,
       timestamp '2024-01-01' + to_hours(c_custkey % 400) as created_at from customer""",
     "parsed": r"""select chat_id, created_at, case when regexp_full_match(t, '\d{3,6}') then 'doc' else 'topic' end as kind, case when regexp_full_match(t, '\d{3,6}') then t else lower(t) end as target
@@ -283,7 +283,7 @@ _FOLLOWS = {
 }
 
 
-def _good(spark, d):
+def good_follows(spark, d):
     docs = corpus.documents(spark, d)
     rows = alerts.parse_targets(_follows(spark, d)).select(F.col("chat_id").alias("follow_id"), "chat_id", "kind", "target", "created_at")
     known = docs.select(F.col("source_id").alias("target"), F.lit("doc").alias("kind"))
@@ -291,7 +291,7 @@ def _good(spark, d):
     return docs, topics.unionByName(rows.join(known, ["kind", "target"], "left_semi").select(topics.columns))
 
 
-@query(sql("select distinct chat_id, kind, target from good where not (chat_id % 10 = 0)", "docs", "edges", **_FOLLOWS))
+@query(sql("select distinct chat_id, kind, target from good where not (chat_id % 10 = 0)", "docs", "edges", **FOLLOWS))
 def follow_upsert(spark: SparkSession, d: str) -> DataFrame:
     """New follows: every tenth customer has followed before."""
     requests, docs = _follows(spark, d), corpus.documents(spark, d)
@@ -299,36 +299,36 @@ def follow_upsert(spark: SparkSession, d: str) -> DataFrame:
     return alerts.follow(requests, stored, docs)[0]
 
 
-@query(sql("select chat_id, kind, target from parsed except select chat_id, kind, target from good", "docs", "edges", **_FOLLOWS))
+@query(sql("select chat_id, kind, target from parsed except select chat_id, kind, target from good", "docs", "edges", **FOLLOWS))
 def follow_rejected(spark: SparkSession, d: str) -> DataFrame:
     stored = alerts.parse_targets(_follows(spark, d).limit(0))
     return alerts.follow(_follows(spark, d), stored, corpus.documents(spark, d))[1].select("chat_id", "kind", "target")
 
 
-@query(sql("select chat_id, kind, target, row_number() over (partition by chat_id order by chat_id) as place from good where chat_id % 3 = 0 and not (kind = 'doc' and chat_id % 4 = 0)", "docs", "edges", **_FOLLOWS))
+@query(sql("select chat_id, kind, target, row_number() over (partition by chat_id order by chat_id) as place from good where chat_id % 3 = 0 and not (kind = 'doc' and chat_id % 4 = 0)", "docs", "edges", **FOLLOWS))
 def follow_list(spark: SparkSession, d: str) -> DataFrame:
     """What every third customer follows after those with a number divisible by four have left their documents."""
-    stored = _good(spark, d)[1]
+    stored = good_follows(spark, d)[1]
     stays, _ = alerts.unfollow(stored, stored.filter("kind = 'doc' and chat_id % 4 = 0"))
     return alerts.following(stays, stored.filter("chat_id % 3 = 0")).select("chat_id", "kind", "target", "place")
 
 
-@query(sql("select kind, count(*) as removed from good where chat_id % 4 = 0 group by kind", "docs", "edges", **_FOLLOWS))
+@query(sql("select kind, count(*) as removed from good where chat_id % 4 = 0 group by kind", "docs", "edges", **FOLLOWS))
 def unfollow(spark: SparkSession, d: str) -> DataFrame:
     """Follows that were removed, counted by kind."""
-    stored = _good(spark, d)[1]
+    stored = good_follows(spark, d)[1]
     return alerts.unfollow(stored, stored.filter("chat_id % 4 = 0"))[1].groupBy("kind").agg(F.count(F.lit(1)).alias("removed"))
 
 
-@query(sql("select * from da", "docs", "edges", **_FOLLOWS))
+@query(sql("select * from da", "docs", "edges", **FOLLOWS))
 def alerts_doc(spark: SparkSession, d: str) -> DataFrame:
-    docs, follows = _good(spark, d)
+    docs, follows = good_follows(spark, d)
     return alerts.document_alerts(follows, corpus.relations(spark, d), docs)
 
 
-@query(sql("select * from ta", "docs", "edges", **_FOLLOWS))
+@query(sql("select * from ta", "docs", "edges", **FOLLOWS))
 def alerts_topic(spark: SparkSession, d: str) -> DataFrame:
-    docs, follows = _good(spark, d)
+    docs, follows = good_follows(spark, d)
     return alerts.topic_alerts(follows, docs)
 
 
@@ -336,24 +336,24 @@ _ONCE = """select follow_id, doc_id, type, row_number() over (partition by follo
 
 
 def _once(spark, d):
-    docs, follows = _good(spark, d)
+    docs, follows = good_follows(spark, d)
     rows = alerts.document_alerts(follows, corpus.relations(spark, d), docs)
     ledger = rows.filter("(follow_id + doc_id) % 3 = 0").select("follow_id", "doc_id").distinct()
     return docs, ledger, alerts.once(rows, ledger, docs)
 
 
-@query(sql(_ONCE, "docs", "edges", **_FOLLOWS))
+@query(sql(_ONCE, "docs", "edges", **FOLLOWS))
 def alerts_once(spark: SparkSession, d: str) -> DataFrame:
     return _once(spark, d)[2].select("follow_id", "doc_id", "type", "place")
 
 
-@query(sql("select follow_id, doc_id, replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') || ' (' || strftime(issued_date, '%d %b %Y') || ') ' || type as message from o join docs using (doc_id)", "docs", "edges", **_FOLLOWS, o=_ONCE))
+@query(sql("select follow_id, doc_id, replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') || ' (' || strftime(issued_date, '%d %b %Y') || ') ' || type as message from o join docs using (doc_id)", "docs", "edges", **FOLLOWS, o=_ONCE))
 def alerts_render(spark: SparkSession, d: str) -> DataFrame:
     docs, _, rows = _once(spark, d)
     return alerts.render(rows, docs)
 
 
-@query(sql("select distinct follow_id, doc_id from da where (follow_id + doc_id) % 3 = 0 or doc_id % 2 = 0", "docs", "edges", **_FOLLOWS))
+@query(sql("select distinct follow_id, doc_id from da where (follow_id + doc_id) % 3 = 0 or doc_id % 2 = 0", "docs", "edges", **FOLLOWS))
 def alerts_delivered(spark: SparkSession, d: str) -> DataFrame:
     _, ledger, rows = _once(spark, d)
     status = rows.select("follow_id", "doc_id", (F.col("doc_id") % 2 == 0).alias("delivered"))

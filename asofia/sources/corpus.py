@@ -17,7 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(
+    return documents_of(table(spark, sf_dir, "documents"))
+
+
+def documents_of(docs: DataFrame) -> DataFrame:
+    """Rows of the table of documents, also as a stream, with the fields that the table lacks."""
+    return docs.sparkSession.sql(
         r"""
         select *, date_add(issued_date, if(doc_id % 7 = 0, 30, 0)) as valid_from,
           if(doc_id % 4 = 0, date_add(issued_date, int(if(doc_id % 7 = 0, 30, 0) + 200 + (doc_id * 13) % 700)), null) as valid_to,
@@ -29,7 +34,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             timestamp'2024-01-01 00:00:00' + make_dt_interval(0, doc_id) as created_at, text
           from {docs}
         )""",
-        docs=table(spark, sf_dir, "documents"),
+        docs=docs,
     )
 
 
@@ -42,10 +47,15 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges between documents: the order lines' keys fold into document ids."""
-    return spark.sql(
+    return relations_of(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "documents")).distinct()
+
+
+def relations_of(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """The edge that each order line, also of a stream, stands for; repeats are kept."""
+    return lines.sparkSession.sql(
         """
-        select distinct l_orderkey % n as src, l_partkey % n as dst, element_at(array('amends', 'supersedes', 'repeals', 'refers'), l_linenumber % 4 + 1) as type,
+        select l_orderkey % n as src, l_partkey % n as dst, element_at(array('amends', 'supersedes', 'repeals', 'refers'), l_linenumber % 4 + 1) as type,
           if(l_linenumber % 2 = 0, 'link', 'regex') as method
         from {lines}, (select max(doc_id) + 1 as n from {docs}) where l_orderkey % n <> l_partkey % n""",
-        lines=table(spark, sf_dir, "lineitem"), docs=table(spark, sf_dir, "documents"),
+        lines=lines, docs=docs,
     )
