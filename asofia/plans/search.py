@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from asofia.functions import temporal, text
-from asofia.operators import keyword, vectors
+from asofia.operators import keyword, neighbours, vectors, windows
 from asofia.plans.registry import registry
 from asofia.plans.views import STOP, sql, stem
 from asofia.sources import corpus, folders
@@ -167,6 +167,56 @@ def ann_figures(spark: SparkSession, d: str) -> DataFrame:
     return _recall(spark, d)
 
 
+def _dated_vectors(spark, d):
+    """Vectors with the windows of the documents of their ids, and a twentieth of them as queries of three days."""
+    queries, table = _vectors(spark, d)
+    days = F.element_at(F.array(*(F.unix_date(F.lit(x).cast("date")) for x in ("2019-01-01", "2022-01-01", TODAY))), (F.col("qid") % 3).cast("int") + 1)
+    return queries.withColumn("as_of", days), windows.with_window(table, corpus.documents(spark, d), "vec_id")
+
+
+_DATED = {"asked": "select vec_id as qid, [date '2019-01-01', date '2022-01-01', date '2026-10-04'][vec_id % 3 + 1] as as_of from embeddings where vec_id % 20 = 0"}
+
+
+@query(sql(f"select qid, vec_id, cosine, row_number() over (partition by qid order by cosine desc, vec_id) as rank from near join asked using (qid) join docs on doc_id = vec_id where cosine is not null and {_IN_FORCE} qualify rank <= 50", "docs", "vectors", **_DATED))
+def vector_in_force(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest vectors in force on each query's day."""
+    queries, table = _dated_vectors(spark, d)
+    index = folders.written(neighbours.neighbour_index(table, attributes=windows.WINDOW), "vectors")
+    return neighbours.graph_nearest(queries, index, vectors.CANDIDATES, windows.in_force(windows.day(TODAY)), ("as_of",), exact=True).select("qid", "vec_id", "cosine", "rank")
+
+
+#: Of a hundred vectors, how many a filter lets pass.
+_KEPT = (1, 10, 100)
+
+
+@query("select vec_id as qid, keeps, true as good from embeddings, (select unnest([1, 10, 100]) as keeps) where vec_id % 20 = 0 and embedding is not null")
+def ann_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """Per query and filter, whether the graphs as a whole find nine in ten of the true ten nearest that the filter lets pass."""
+    return _filtered_recall(spark, d).select("qid", "keeps", (F.avg("recall").over(Window.partitionBy("keeps")) >= 0.9).alias("good"))
+
+
+@query()
+def ann_filtered_figures(spark: SparkSession, d: str) -> DataFrame:
+    """Recall and share of vectors compared, by query and filter."""
+    return _filtered_recall(spark, d)
+
+
+def _filtered_recall(spark, d):
+    queries, table = _vectors(spark, d)
+    slots = F.pmod(F.xxhash64("vec_id"), F.lit(100))
+    index = folders.written(neighbours.neighbour_index(table.withColumn("slot", slots), attributes=("slot",)), "vectors")
+    asked = queries.crossJoin(F.broadcast(spark.createDataFrame([(k,) for k in _KEPT], "keeps long")))  # three rows
+    # a query's filters are told apart by its number
+    asked = asked.withColumn("of", F.col("qid")).withColumn("qid", F.col("qid") * 1000 + F.col("keeps"))
+    allow = lambda q, block: (block["slot"] < q["keeps"]) & (block["id"] != q["of"])
+    near = neighbours.graph_nearest(asked, index, 10, allow, ("keeps", "of"))
+    true = neighbours.graph_nearest(asked, index, 10, allow, ("keeps", "of"), exact=True).select("qid", "vec_id")
+    every = F.broadcast(table.filter("embedding is not null").agg(F.count(F.lit(1)).alias("every")))  # one row
+    found = true.join(near.select("qid", "vec_id", "compared"), ["qid", "vec_id"], "left").groupBy("qid").agg((F.count("compared") / F.count(F.lit(1))).alias("recall"), F.max("compared").alias("compared"))
+    rows = asked.select("qid", "of", "keeps").join(found, "qid", "left").join(every)
+    return rows.select(F.col("of").alias("qid"), "keeps", F.coalesce("recall", F.lit(1.0)).alias("recall"), (F.coalesce("compared", F.lit(0)) / F.col("every")).alias("share"))
+
+
 _EMBED = """
   select id, bucket, n / sqrt(sum(n * n) over (partition by id)) as value from (
     select {id} as id, ('0x' || substr(md5(term), 1, 8))::bigint % 384 as bucket, count(*)::double as n from {table} group by all
