@@ -20,10 +20,6 @@ STOPWORDS = (
     "after above below to from up down in out on off over under again further then once here there when where why how all any both each "
     "few more most other some such no nor not only own same so than too very s t can will just don should now"
 ).split()
-#: What the light stemmer replaces, in this order: plurals, -ed, -ing and a final e. Short stems stay whole.
-ENDINGS = [
-    ("(ss|x|ch|sh)es$", 1, ""), ("([a-z]{2})ies$", 1, "y"), ("([a-z]{2}[^su])s$", 1, ""), ("([a-z]*[aeiouy][a-z]*[^aeiou])(?:ing|ed)$", 1, ""), ("([a-z]{3})e$", 1, ""),
-]
 
 
 def tokens(text: Column) -> Column:
@@ -43,13 +39,6 @@ def word_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)))
 
 
-def stem(word: Column) -> Column:
-    """A light English stemmer, meant for the distinct vocabulary."""
-    for pattern, group, tail in ENDINGS:
-        word = F.regexp_replace(word, pattern, f"${group}{tail}")
-    return word
-
-
 def date_of(month: Column, day: Column, year: Column) -> Column:
     """A date from an English month, day and year in text; null if there is no such day."""
     at = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(month, 1, 3)))

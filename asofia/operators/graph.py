@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,16 +33,17 @@ def best_passages(wanted: DataFrame, passages: DataFrame, scores: DataFrame) ->
     return rows.withColumn("k", F.row_number().over(order)).filter("k = 1").drop("k")
 
 
-def expand_with_amendments(hits: DataFrame, edges: DataFrame, docs: DataFrame, passages: DataFrame, scores: DataFrame, today: str, limit: int = AMENDERS) -> DataFrame:
+def expand_with_amendments(hits: DataFrame, edges: DataFrame, docs: DataFrame, passages: DataFrame, scores: Callable[[DataFrame], DataFrame], today: str, limit: int = AMENDERS) -> DataFrame:
     """Hits (``qid, doc_id, chunk_id, as_of, score``) and the best passage of the newest amenders, with score 0.
 
-    The limit counts amenders before those without passages fall out.
+    ``scores`` gives the scores of passages of the documents it is given (``qid, doc_id``). The limit counts amenders before those without passages
+    fall out.
     """
     given = hits.select("qid", "doc_id", "as_of").distinct()
     amenders = amendments_in_force(given, edges, docs, today)
     newest = Window.partitionBy("qid").orderBy(F.desc("issued_date"), "doc_id")
     amenders = amenders.withColumn("k", F.row_number().over(newest)).filter(F.col("k") <= limit).select("qid", "doc_id")
-    added = best_passages(amenders, passages, scores).select("qid", "doc_id", "chunk_id", F.lit(0.0).alias("score"), F.lit(True).alias("added"))
+    added = best_passages(amenders, passages, scores(amenders)).select("qid", "doc_id", "chunk_id", F.lit(0.0).alias("score"), F.lit(True).alias("added"))
     return hits.select("qid", "doc_id", "chunk_id", "score", F.lit(False).alias("added")).unionByName(added)
 
 

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from asofia.functions import temporal, text
+from asofia.functions import text
+from asofia.functions.stemmer import stem as stemmed
+from asofia.operators import windows, wordblocks
+from asofia.sources import folders
 
 WEIGHTS = {"title": 1.0, "body": 0.4}
 #: Rows of questions' terms that are broadcast at most, some 40 bytes each.
@@ -31,11 +34,14 @@ def question_words(questions: DataFrame) -> DataFrame:
 def matching_terms(words: DataFrame, rows: DataFrame) -> DataFrame:
     """``qid, stem, term``: every term of the index that has the stem of one of a question's words.
 
-    Stems are taken of the distinct vocabulary only, so postings are searched as they are. Function words have no stem here.
+    Stems are taken of the distinct vocabulary only (``rows`` are postings or an index's ``vocabulary``), so documents are searched as they are. Function words have no stem here.
     """
-    stem = text.stem(F.col("term"))
-    vocabulary = rows.select("term").distinct().filter(~F.col("term").isin(text.STOPWORDS)).select(stem.alias("stem"), "term")
-    return words.select("qid", stem.alias("stem")).distinct().join(vocabulary, "stem").select("qid", "stem", "term")
+    stem = stemmed("term")
+    vocabulary = rows.select("term").distinct().filter(~F.col("term").isin(text.STOPWORDS))
+    # stems cost more than their few bytes say, so they are dealt to all tasks, and written lest the join asks for them twice
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stems = folders.written(vocabulary.repartition(parts).select(stem.alias("stem"), "term"), "stems")
+    return words.select("qid", stem.alias("stem")).distinct().join(stems, "stem").select("qid", "stem", "term")
 
 
 def rarest(terms: DataFrame, rows: DataFrame, n: int = 1) -> DataFrame:
@@ -46,14 +52,16 @@ def rarest(terms: DataFrame, rows: DataFrame, n: int = 1) -> DataFrame:
     return terms.select("qid", "term").distinct().join(df, "term").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= n).select("qid", "term")
 
 
-def scores(terms: DataFrame, rows: DataFrame) -> DataFrame:
-    """Cover-density score of every document with any of a question's terms.
+def scores(terms: DataFrame, rows: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Cover-density score of every document with any of a question's terms, or of ``pairs`` (``qid, id``) only. For the best ones alone see ``wordblocks.top_matches``.
 
     A query for any term is covered by each single match, so every match is an extent of its own: the sum of weights, over the log of the length
     plus one, over the harmonic mean of the distances between consecutive extents.
     """
     terms = terms.select("qid", "term")
-    if terms.count() <= BROADCAST_TERMS:
+    if pairs is not None:
+        hits = rows.join(pairs, "id").join(terms, ["qid", "term"])
+    elif terms.count() <= BROADCAST_TERMS:
         # postings are dealt by document once; their matches, which are many more, then stay where they are
         hits = rows.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").repartition("id").join(F.broadcast(terms), "term")
     else:
@@ -107,12 +115,19 @@ def top(ranked: DataFrame, k: int, *order: Column) -> DataFrame:
     return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order)).cast("long")).filter(F.col("rank") <= k)
 
 
-def search(questions: DataFrame, terms: DataFrame, rows: DataFrame, docs: DataFrame, today: str, k: int = 10) -> DataFrame:
-    """Top documents in force on each question's day: by score, then newest, then id."""
-    found = scores(terms, rows).join(questions.select("qid", "as_of"), "qid")
-    dated = found.join(docs.select(F.col("doc_id").alias("id"), "valid_from", "valid_to", "is_withdrawn", "issued_date"), "id")
-    dated = dated.filter(temporal.searchable(F.col("valid_from"), F.col("valid_to"), F.col("is_withdrawn"), F.col("as_of"), F.lit(today).cast("date")))
-    return top(dated, k, F.desc("score"), F.desc("issued_date"), F.asc("id")).select("qid", F.col("id").alias("doc_id"), "score", "rank")
+def search_index(docs: DataFrame, **columns: str) -> DataFrame:
+    """``wordblocks.word_index`` of documents with their windows, the last issued first among equals."""
+    dated = docs.withColumn("newest", F.unix_date("issued_date"))
+    for name in windows.WINDOW[:2]:
+        dated = dated.withColumn(name, F.unix_date(name))
+    return wordblocks.word_index(dated.withColumn("is_withdrawn", F.col("is_withdrawn").cast("int")), newest="newest", attributes=windows.WINDOW, **columns)
+
+
+def search(questions: DataFrame, terms: DataFrame, index: DataFrame, today: str, k: int = 10, newest_first: bool = True) -> DataFrame:
+    """Top documents in force on each question's day: by score, then newest, then id. ``index`` comes from ``search_index``."""
+    days = questions.select("qid", F.unix_date("as_of").alias("as_of"))
+    found = wordblocks.top_matches(terms, days, index, k, windows.in_force(windows.day(today)), ("as_of",), newest_first)
+    return found.select("qid", F.col("id").alias("doc_id"), "score", "rank")
 
 
 def parse_web_query(queries: DataFrame) -> DataFrame:
@@ -133,7 +148,7 @@ def parse_web_query(queries: DataFrame) -> DataFrame:
 
 def match_all(parsed: DataFrame, rows: DataFrame) -> DataFrame:
     """``qid, id`` of the documents that hold every required word and phrase (of parts joined by ``or`` one), by stems, and none of the excluded ones."""
-    stem = text.stem(F.col("term"))
+    stem = stemmed("term")
     vocabulary = rows.select("term").distinct().select(stem.alias("stem"), "term")
     asked = parsed.withColumn("stem", stem).drop("term").join(vocabulary, "stem")
     hits = asked.join(rows.select("id", "term", "pos"), "term").withColumn("start", F.col("pos") - F.col("at"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from asofia.operators.extract import detail_url
+from asofia.operators.windows import Allow
 
 RRF_K = 60
 LIST_WEIGHTS = {"keyword": 0.3, "vector": 1.0}
@@ -57,7 +58,7 @@ def blocks(rows: DataFrame, id_col: str, *keys: str, vector: str = "embedding",
 
 def _read(ids: bytes, matrix: bytes) -> tuple[np.ndarray, np.ndarray]:
     names = np.frombuffer(ids, dtype=np.int64)
-    return names, np.frombuffer(matrix, dtype=np.float64).reshape(len(names), -1)
+    return names, np.frombuffer(matrix, dtype=np.float64).reshape(len(names), -1 if len(names) else 0)
 
 
 def _leading(score: np.ndarray, names: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,39 +165,21 @@ def hashed_embedding(rows: DataFrame, id_col: str = "id", term_col: str = "term"
     return counts.join(norm, "id").select("id", "bucket", (F.col("n") / F.col("norm")).alias("value"))
 
 
-def _sparse_blocks(rows: DataFrame) -> DataFrame:
-    """Sparse vectors (``id, bucket, value``) as dense blocks ``ids, matrix``."""
-    lists = rows.filter("id is not null").groupBy(F.col("id").cast("long").alias("id")).agg(F.collect_list(F.struct("bucket", "value")).alias("m")).select("id", F.col("m.bucket").alias("b"), F.col("m.value").alias("v"))
+def nearest_rows(n: int, allow: Allow | None = None, filters: tuple[str, ...] = (), attributes: tuple[str, ...] = ()):
+    """The n nearest of each query in pairs of blocks, among those that it may find and that have anything in common with it."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(low, BLOCK)
-                bucket, value = part.column(1), part.column(2)
-                matrix = np.zeros((part.num_rows, BUCKETS))
-                row = np.repeat(np.arange(part.num_rows), np.diff(bucket.offsets.to_numpy()))
-                matrix[row, bucket.flatten().to_numpy(zero_copy_only=False)] = value.flatten().to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()]), pa.array([matrix.tobytes()])], names=["ids", "matrix"])
-
-    return lists.mapInArrow(run, "ids binary, matrix binary")
-
-
-def sparse_nearest(queries: DataFrame, vectors: DataFrame, n: int = CANDIDATES) -> DataFrame:
-    """``qid, id, cosine, rank`` from two sparse tables (``id, bucket, value``), made dense and compared in blocks. Pairs without a common bucket don't count."""
-    left = _sparse_blocks(queries).select(F.col("ids").alias("qids"), F.col("matrix").alias("q"))
-    if queries.select("id").distinct().count() <= BROADCAST_QUERIES:
-        left = F.broadcast(left)
-    near = _sparse_blocks(vectors).crossJoin(left).mapInPandas(_nearest_documents(n), "qid long, id long, cosine double")
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("cosine"), "id")).cast("long")).filter(F.col("rank") <= n)
-
-
-def _nearest_documents(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for ids, matrix, qids, q in zip(batch["ids"], batch["matrix"], batch["qids"], batch["q"], strict=True):
-                (names, right), (asked, left) = _read(ids, matrix), _read(qids, q)
+            for r in batch.to_dict("records"):
+                (names, right), (asked, left) = _read(r["ids"], r["matrix"]), _read(r["qids"], r["q"])
+                if not len(names) or not len(asked):
+                    continue
                 score = np.round(left @ right.T, 6)
                 score[score == 0] = -np.inf
+                if allow:
+                    block = {c: np.frombuffer(r[c], np.int64) for c in filters} | {"id": names}
+                    for i in range(len(asked)):
+                        score[i, ~allow({a: int(np.frombuffer(r[f"q_{a}"], np.int64)[i]) for a in attributes}, block)] = -np.inf
                 row, column = _leading(score, names, n)
                 yield pd.DataFrame({"qid": asked[row], "id": names[column], "cosine": score[row, column]})
 

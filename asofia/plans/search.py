@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from asofia.functions import temporal, text
-from asofia.operators import keyword, neighbours, vectors, windows
+from asofia.functions.stemmer import stem as stemmed
+from asofia.functions.stemmer import stem_expr
+from asofia.operators import keyword, neighbours, vectors, windows, wordblocks
 from asofia.plans.registry import registry
 from asofia.plans.views import STOP, sql, stem
 from asofia.sources import corpus, folders
@@ -22,9 +24,10 @@ def _rows(spark, d):
 
 
 def _parts(spark, d):
-    docs, rows = _rows(spark, d)
-    questions = corpus.questions(spark, d)
-    return docs, rows, questions, folders.written(keyword.matching_terms(keyword.question_words(questions), rows), "terms")
+    """Documents, their word index, questions, and the index's terms that these ask for."""
+    docs, questions = corpus.documents(spark, d), corpus.questions(spark, d)
+    index = folders.written(keyword.search_index(docs), "words")
+    return docs, index, questions, folders.written(keyword.matching_terms(keyword.question_words(questions), wordblocks.vocabulary(index)), "terms")
 
 
 _IN_FORCE = "valid_from <= as_of and (valid_to is null or valid_to > as_of) and (as_of < date '2026-10-04' or not is_withdrawn)"
@@ -46,8 +49,8 @@ _TOP_DOCS = f"""
 
 @query(sql(_TOP_DOCS, "scored"))
 def keyword_search_docs(spark: SparkSession, d: str) -> DataFrame:
-    docs, rows, questions, terms = _parts(spark, d)
-    return keyword.search(questions, terms, rows, docs, TODAY)
+    _, index, questions, terms = _parts(spark, d)
+    return keyword.search(questions, terms, index, TODAY)
 
 
 _ALL = {
@@ -75,9 +78,9 @@ def keyword_all_ranked(spark: SparkSession, d: str) -> DataFrame:
     """Documents with the first three stems of a question, by cover density."""
     _, rows = _rows(spark, d)
     words = F.filter(text.tokens(F.col("question")), lambda t: ~t.isin(text.STOPWORDS))
-    first = F.slice(F.array_distinct(F.transform(words, text.stem)), 1, 3)
-    asked = corpus.questions(spark, d).select("qid", F.explode(first).alias("stem"))
-    vocabulary = rows.select("term").distinct().filter(~F.col("term").isin(text.STOPWORDS)).withColumn("stem", text.stem(F.col("term")))
+    first = F.slice(F.array_distinct(F.expr(f"transform(words, t -> {stem_expr('t')})")), 1, 3)
+    asked = corpus.questions(spark, d).withColumn("words", words).select("qid", F.explode(first).alias("stem"))
+    vocabulary = rows.select("term").distinct().filter(~F.col("term").isin(text.STOPWORDS)).withColumn("stem", stemmed("term"))
     terms = folders.written(asked.join(vocabulary, "stem"), "terms")
     return keyword.all_scores(asked, terms, rows).select("qid", F.col("id").alias("doc_id"), "extents", "score")
 
@@ -230,12 +233,12 @@ def hash_embed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lists(spark, d, parts=None):
-    docs, rows, questions, terms = parts or _parts(spark, d)
-    words = keyword.top(keyword.scores(terms, rows), 50, F.desc("score"), F.asc("id")).select("qid", "id", F.lit("keyword").alias("list"), "rank")
-    asked = questions.select("qid", F.explode(text.tokens(F.col("question"))).alias("term"))
-    near = vectors.sparse_nearest(vectors.hashed_embedding(asked, "qid"), vectors.hashed_embedding(rows), 50)
-    near = folders.written(near, "near")
-    return docs, words.union(near.select("qid", "id", F.lit("vector").alias("list"), "rank"))
+    """The candidates of both searches, of documents in force on each question's day."""
+    docs, index, questions, terms = parts or _parts(spark, d)
+    words = keyword.search(questions, terms, index, TODAY, 50, newest_first=False)
+    days = questions.select("qid", "question", F.unix_date("as_of").alias("as_of"))
+    near = folders.written(wordblocks.nearest_documents(days, index, 50, windows.in_force(windows.day(TODAY)), ("as_of",)), "near")
+    return docs, words.select("qid", F.col("doc_id").alias("id"), F.lit("keyword").alias("list"), "rank").union(near.select("qid", "id", F.lit("vector").alias("list"), "rank"))
 
 
 _LISTS = {
@@ -243,9 +246,11 @@ _LISTS = {
     "asked": "select qid, unnest(regexp_extract_all(lower(question), '[a-z0-9]+')) as term from questions",
     "qv": _EMBED.format(id="qid", table="asked"),
     "cos": "select qv.id as qid, dv.id, round(sum(qv.value * dv.value), 6) as cosine from qv join dv using (bucket) group by all",
-    "lists": """
-      select qid, doc_id as id, 'keyword' as list, row_number() over (partition by qid order by score desc, doc_id) as rank from scored qualify rank <= 50
-      union all select qid, id, 'vector', row_number() over (partition by qid order by cosine desc, id) as rank from cos qualify rank <= 50""",
+    "lists": f"""
+      select qid, doc_id as id, 'keyword' as list, row_number() over (partition by qid order by score desc, doc_id) as rank
+      from scored join docs using (doc_id) join questions using (qid) where {_IN_FORCE} qualify rank <= 50
+      union all select qid, id, 'vector', row_number() over (partition by qid order by cosine desc, id) as rank
+      from cos join docs on doc_id = id join questions using (qid) where {_IN_FORCE} qualify rank <= 50""",
     "fused": """
       select qid, id, round(sum((case list when 'keyword' then 0.3::double else 1.0::double end) / (60 + rank)), 12) as score,
         max(case when list = 'keyword' then rank end) as keyword_rank, max(case when list = 'vector' then rank end) as vector_rank
@@ -312,8 +317,8 @@ _SNIPPETS = {
 
 @query(sql("select qid, doc_id, rank, coalesce(snippet, '') as snippet from top left join sf using (qid, doc_id)", "scored", **_SNIPPETS))
 def snippets(spark: SparkSession, d: str) -> DataFrame:
-    docs, rows, questions, terms = _parts(spark, d)
-    return keyword.snippets(keyword.search(questions, terms, rows, docs, TODAY), docs, terms)
+    docs, index, questions, terms = _parts(spark, d)
+    return keyword.snippets(keyword.search(questions, terms, index, TODAY), docs, terms)
 
 
 @query(sql("select qid, id as doc_id, title, issued_date, 'https://www.rbi.org.in/Scripts/NotificationUser.aspx?Id=' || source_id || '&Mode=0' as url, rank from top20 join docs on id = doc_id where rank <= 20", "scored", **_LISTS,
@@ -335,7 +340,7 @@ _PLURAL = {
 @query(sql(_TOP_DOCS.replace("from scored", "from pscored"), "terms", **_PLURAL))
 def keyword_search_stemmed(spark: SparkSession, d: str) -> DataFrame:
     """The keyword search with every longer word of the questions in the plural."""
-    docs, rows = _rows(spark, d)
+    index = folders.written(keyword.search_index(corpus.documents(spark, d)), "words")
     questions = corpus.questions(spark, d).withColumn("question", F.regexp_replace(F.lower("question"), "([a-z]{4,})", "$1s"))
-    terms = folders.written(keyword.matching_terms(keyword.question_words(questions), rows), "terms")
-    return keyword.search(questions, terms, rows, docs, TODAY)
+    terms = folders.written(keyword.matching_terms(keyword.question_words(questions), wordblocks.vocabulary(index)), "terms")
+    return keyword.search(questions, terms, index, TODAY)

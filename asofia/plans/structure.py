@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from asofia.functions import temporal
-from asofia.operators import chunking, evaluation, graph, keyword, vectors
+from asofia.operators import chunking, evaluation, graph, keyword, vectors, wordblocks
 from asofia.plans import search
 from asofia.plans.registry import registry
 from asofia.plans.views import STOP, sql, stem
@@ -84,22 +84,31 @@ _LINE_SCORES = _LINES | {
 }
 
 
-def _line_scores(spark, d):
-    lines = _lines(spark, d)
-    rows = folders.written(keyword.postings(lines.withColumn("none", F.lit("")), "chunk_id", "none", "block"), "postings")
-    questions = corpus.questions(spark, d)
-    terms = folders.written(keyword.matching_terms(keyword.question_words(questions), rows), "terms")
-    return lines, questions, folders.written(keyword.scores(terms, rows), "scores")
+def _line_index(spark, d):
+    """Lines with their documents' windows, a word index of them, questions and their terms."""
+    lines, questions = _lines(spark, d), corpus.questions(spark, d)
+    dated = lines.join(corpus.documents(spark, d).select("doc_id", "valid_from", "valid_to", "is_withdrawn"), "doc_id").withColumn("none", F.lit("")).withColumn("issued_date", F.lit("2000-01-01").cast("date"))
+    index = folders.written(keyword.search_index(dated, id_col="chunk_id", title="none", body="block"), "words")
+    return lines, questions, index, folders.written(keyword.matching_terms(keyword.question_words(questions), wordblocks.vocabulary(index)), "terms")
+
+
+def _scores_within(lines, terms):
+    """The scores of the lines of given documents (``qid, doc_id``); only these are taken apart."""
+
+    def scores(wanted: DataFrame) -> DataFrame:
+        wanted = folders.written(wanted.select("qid", "doc_id"), "wanted")
+        some = lines.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("none", F.lit(""))
+        pairs = wanted.join(some.select("doc_id", F.col("chunk_id").alias("id")), "doc_id").select("qid", "id")
+        return keyword.scores(terms, keyword.postings(some, "chunk_id", "none", "block"), pairs)
+
+    return scores
 
 
 @query(sql(f"select qid, chunk_id, score, row_number() over (partition by qid order by score desc, chunk_id) as rank from ls join docs using (doc_id) join questions using (qid) where {_FORCE} qualify rank <= 50", "docs", "questions", **_LINE_SCORES))
 def keyword_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Passage candidates: the window is filtered on the copy that passages carry."""
-    lines, questions, scores = _line_scores(spark, d)
-    docs = corpus.documents(spark, d).select("doc_id", "valid_from", "valid_to", "is_withdrawn")
-    found = scores.join(lines.select(F.col("chunk_id").alias("id"), "doc_id"), "id").join(docs, "doc_id").join(questions.select("qid", "as_of"), "qid")
-    ok = temporal.searchable(F.col("valid_from"), F.col("valid_to"), F.col("is_withdrawn"), F.col("as_of"), F.lit(TODAY).cast("date"))
-    return keyword.top(found.filter(ok), 50, F.desc("score"), F.asc("id")).select("qid", F.col("id").alias("chunk_id"), "score", "rank")
+    _, questions, index, terms = _line_index(spark, d)
+    return keyword.search(questions, terms, index, TODAY, 50).withColumnRenamed("doc_id", "chunk_id")
 
 
 _BEST = "select qid, doc_id, chunk_id, ord, score from (select w.qid, w.doc_id, l.chunk_id, l.ord, coalesce(s.score, 0) as score from w join lines l using (doc_id) left join ls s on s.qid = w.qid and s.chunk_id = l.chunk_id) qualify row_number() over (partition by qid, doc_id order by score desc, ord) = 1"
@@ -107,9 +116,9 @@ _BEST = "select qid, doc_id, chunk_id, ord, score from (select w.qid, w.doc_id,
 
 @query(sql(_BEST, "docs", "questions", **_LINE_SCORES, w="select qid, doc_id from questions join documents on doc_id % 40 = qid"))
 def best_passage(spark: SparkSession, d: str) -> DataFrame:
-    lines, questions, scores = _line_scores(spark, d)
+    lines, questions, _, terms = _line_index(spark, d)
     wanted = corpus.documents(spark, d).select("doc_id", (F.col("doc_id") % 40).alias("qid")).join(questions.select("qid"), "qid")
-    return graph.best_passages(wanted, lines, scores).select("qid", "doc_id", "chunk_id", "ord", "score")
+    return graph.best_passages(wanted, lines, _scores_within(lines, terms)(wanted)).select("qid", "doc_id", "chunk_id", "ord", "score")
 
 
 _EXPAND = _LINE_SCORES | {
@@ -123,9 +132,9 @@ _EXPAND = _LINE_SCORES | {
 
 @query(sql("select qid, doc_id, chunk_id, score, false as added from top union all select qid, doc_id, chunk_id, 0, true from best", "docs", "questions", "edges", **_EXPAND))
 def expand_amendments(spark: SparkSession, d: str) -> DataFrame:
-    lines, questions, scores = _line_scores(spark, d)
-    hits = keyword.top(scores, 5, F.desc("score"), F.asc("id")).withColumnRenamed("id", "chunk_id").join(lines.select("chunk_id", "doc_id"), "chunk_id").join(questions.select("qid", "as_of"), "qid")
-    return graph.expand_with_amendments(hits, corpus.relations(spark, d), corpus.documents(spark, d), lines, scores, TODAY)
+    lines, questions, index, terms = _line_index(spark, d)
+    hits = wordblocks.top_matches(terms, questions.select("qid"), index, 5).withColumnRenamed("id", "chunk_id").join(lines.select("chunk_id", "doc_id"), "chunk_id").join(questions.select("qid", "as_of"), "qid")
+    return graph.expand_with_amendments(hits, corpus.relations(spark, d), corpus.documents(spark, d), lines, _scores_within(lines, terms), TODAY)
 
 
 _BLOCKS = {"b0": "select doc_id, unnest(string_split(text, chr(10))) as block, unnest(range(len(string_split(text, chr(10))))) as ord from documents",
@@ -191,11 +200,13 @@ _EVAL = {
 
 
 def _judged(spark, d, parts=None):
-    docs, rows, questions, terms = parts or search._parts(spark, d)
-    rare = keyword.rarest(keyword.question_words(questions), rows)
-    holders = rare.join(rows.select("term", F.col("id").alias("doc_id")).distinct(), "term").join(docs.select("doc_id", "text"), "doc_id")
+    docs, index, questions, terms = parts or search._parts(spark, d)
+    words = keyword.question_words(questions)
+    held = folders.written(wordblocks.holders(words, index), "holders")
+    rare = keyword.rarest(words, held)
+    holders = rare.join(held.withColumnRenamed("id", "doc_id"), "term").join(docs.select("doc_id", "text"), "doc_id")
     relevant = holders.join(questions.select("qid", "question"), "qid").filter(F.contains("text", "question")).select("qid", "doc_id").distinct()
-    ranked = folders.written(keyword.top(keyword.scores(terms, rows), 10, F.desc("score"), F.asc("id")).select("qid", F.col("id").alias("doc_id"), "rank"), "ranked")
+    ranked = folders.written(wordblocks.top_matches(terms, questions.select("qid"), index, 10, newest_first=False).select("qid", F.col("id").alias("doc_id"), "rank"), "ranked")
     return docs, questions, folders.written(relevant, "relevant"), ranked
 
 
@@ -273,8 +284,8 @@ def eval_retrievers(spark: SparkSession, d: str) -> DataFrame:
     _, _, relevant, ranked = _judged(spark, d, shared)
     lists = folders.written(search._lists(spark, d, shared)[1], "lists")
     near = lists.filter("list = 'vector' and rank <= 10")
-    lines, _, line_scores = _line_scores(spark, d)
-    hits = keyword.top(line_scores, vectors.CANDIDATES, F.desc("score"), F.asc("id")).join(lines.select(F.col("chunk_id").alias("id"), F.col("doc_id").alias("source_id")), "id")
+    lines, questions, index, terms = _line_index(spark, d)
+    hits = wordblocks.top_matches(terms, questions.select("qid"), index, vectors.CANDIDATES).join(lines.select(F.col("chunk_id").alias("id"), F.col("doc_id").alias("source_id")), "id")
     rolled = vectors.rank_documents(hits).filter("rank <= 10").withColumnRenamed("source_id", "doc_id")
     parts = {"keyword": ranked, "passages": rolled, "vector": near.withColumnRenamed("id", "doc_id"), "hybrid": vectors.fuse(lists).withColumnRenamed("id", "doc_id")}
     out = None

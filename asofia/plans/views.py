@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from asofia.functions.text import ENDINGS, STOPWORDS
+from asofia.functions.stemmer import stem_sql as stem
+from asofia.functions.text import STOPWORDS
 
 STOP = "(" + ", ".join(f"'{w}'" for w in STOPWORDS) + ")"
 
 
-def stem(word: str) -> str:
-    for pattern, group, tail in ENDINGS:
-        word = f"regexp_replace({word}, '{pattern}', '\\{group}{tail}')"
-    return word
-
-
 VIEWS = {
     "docs": r"""
       docs0 as (
