@@ -53,14 +53,14 @@ def first_date(text: Column) -> Column:
 
 
 def normalised_reference(text: Column) -> Column:
-    """Reference numbers compare equal without case, dashes of other kinds, "no.", spaces and commas."""
+    """Reference numbers compare equal without case, dashes of other kinds, "no.", spaces and commas. The patterns are fixed values."""
     t = F.regexp_replace(F.lower(text), "[–—]", "-")
     t = F.regexp_replace(t, r"\bnos?\b\.?", "")
     return F.trim(F.regexp_replace(t, r"[\s,]+", ""), F.lit("."))
 
 
 def subject(title: Column) -> Column:
-    """The first bracketed part of a title with eight characters or more, normalised; null without one."""
+    """The first bracketed part of a title with eight characters or more, normalised; null without one. The patterns are fixed values."""
     t = F.nullif(F.regexp_extract(title, r"\(([^()]{8,})\)", 1), F.lit(""))
     t = F.regexp_replace(F.regexp_replace(F.lower(t), "[–—]", "-"), r"\s+", " ")
     return F.trim(F.regexp_replace(t, r"\s*-\s*", "-"))

@@ -20,6 +20,7 @@ HEADING_WORDS, SENTENCE_WORDS = 14, 3
 # Fixed patterns: what the regulator's headings look like.
 CHAPTER = r"(?i)^(chapter|part|annex(ure)?|appendix|schedule)\b"
 SECTION = r"^(\d{1,3}[A-Z]?\.|[A-Z]\.)\s+\S"
+# Fixed pattern: where a long block may be cut.
 SENTENCE = re.compile(r"[^.;\n]+(?:[.;\n]+|$)")
 
 
@@ -65,58 +66,70 @@ def _cut(block: str, start: int, most: int) -> list[tuple[int, int]]:
     return [(start + b - len(block[a:b].lstrip()), start + a + len(block[a:b].rstrip())) for a, b in inner]
 
 
-def pack(rows: list[tuple[str, int, int, str | None, int, str | None]], most: int = MAX_WORDS, least: int = MIN_WORDS) -> list[tuple[int, int, str | None]]:
-    """Spans of one document's passages from its blocks (text, start, end, kind, words, heading), in order."""
-    spans: list[list] = []  # start, end, heading, words
-    room = -1  # words that the open span still takes; none is open below zero
+def _pieces(rows: Iterator[tuple[str, int, int, str | None, int, str | None]], most: int) -> Iterator[tuple[int, int, str | None, int, bool, bool]]:
+    """Start, end, heading and words of what is packed, whether it has to open a passage, and whether nothing may follow in that passage."""
     for block, start, end, kind, words, heading in rows:
-        if not block.strip():
-            continue
         if words > most:
-            spans += [[a, b, heading, len(block[a - start : b - start].split())] for a, b in _cut(block, start, most)]
-            room = -1
-        elif kind or words > room or room < 0:
-            spans.append([start, end, heading, words])
-            room = most - words
-        else:
-            spans[-1][1], spans[-1][3] = end, spans[-1][3] + words
-            room -= words
-    # a tiny span opens the one after it, whose heading counts
-    joined: list[list] = []
-    opened: list | None = None
-    for i, span in enumerate(spans):
-        if opened:
-            span = [opened[0], span[1], span[2], opened[3] + span[3]]
-            opened = None
-        if span[3] < least and i < len(spans) - 1:
-            opened = span
-        else:
-            joined.append(span)
-    # what is tiny still closes the one before it
-    out: list[list] = []
-    for span in joined:
-        if out and span[3] < least and out[-1][3] + span[3] <= int(most * GROWTH):
-            out[-1][1], out[-1][3] = span[1], out[-1][3] + span[3]
-        else:
-            out.append(span)
-    return [(a, b, h) for a, b, h, _ in out]
+            for a, b in _cut(block, start, most):
+                yield a, b, heading, len(block[a - start : b - start].split()), True, True
+        elif block.strip():
+            yield start, end, heading, words, kind is not None, False
+
+
+def pack(rows: Iterator[tuple[str, int, int, str | None, int, str | None]], most: int = MAX_WORDS, least: int = MIN_WORDS) -> Iterator[tuple[int, int, str | None]]:
+    """Spans of one document's passages from its blocks (text, start, end, kind, words, heading), in order, in one go.
+
+    The open passage takes pieces up to ``most`` words. One with fewer than ``least`` isn't let go: the next begins where it does, with its own
+    heading and its own room. Only the last can be that short, and goes into the one before it if that doesn't grow too much.
+    """
+    ready = begin = finish = title = None
+    total, room = 0, -1
+    for start, end, heading, words, opens, shut in _pieces(rows, most):
+        if not opens and words <= room:
+            finish, total, room = end, total + words, room - words
+            continue
+        if begin is None or total >= least:
+            if begin is not None:
+                if ready:
+                    yield ready[:3]
+                ready = (begin, finish, title, total)
+            begin, total = start, 0
+        finish, title, total, room = end, heading, total + words, -1 if shut else most - words
+    if begin is None:
+        return
+    if ready and total < least and ready[3] + total <= int(most * GROWTH):
+        yield ready[0], finish, ready[2]
+        return
+    if ready:
+        yield ready[:3]
+    yield begin, finish, title
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "raw_text", most: int = MAX_WORDS, least: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, ord, text, char_start, char_end, heading``. Packing is sequential within a document, so each document is one group of blocks."""
-    rows = headings(blocks(docs, id_col, text_col))
-    lists = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "block", "char_start", "char_end", "kind", "words", "heading"))).alias("rows"))
+    """``doc_id, ord, text, char_start, char_end, heading``. A document's blocks stay in its row, so nothing is shuffled; a null text has no passages."""
+    found = lambda b: F.struct(b.alias("block"), F.when(F.trim(b) != "", heading_kind(b)).alias("kind"), text.word_count(b).alias("words"), text.first_line(b).alias("line"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.transform(F.split(text_col, SEPARATOR), found).alias("rows")).filter("rows is not null")
+
+    def headed(blocks: list) -> Iterator[tuple[str, int, int, str | None, int, str | None]]:
+        chapter = section = None
+        start = 0
+        for r in blocks:
+            if r["kind"] == "chapter":
+                chapter, section = r["line"], None
+            elif r["kind"] == "section":
+                section = r["line"]
+            end = start + len(r["block"])
+            yield r["block"], start, end, r["kind"], r["words"], " > ".join(h for h in (chapter, section) if h is not None) or None
+            start = end + len(SEPARATOR)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for doc, found in zip(batch["doc_id"], batch["rows"], strict=True):
-                body = SEPARATOR.join(r["block"] for r in found)
-                spans = pack([(r["block"], r["char_start"], r["char_end"], r["kind"], r["words"], r["heading"]) for r in found], most, least)
-                out += [(doc, i, body[a:b], a, b, h) for i, (a, b, h) in enumerate(spans)]
-            yield pd.DataFrame(out, columns=["doc_id", "ord", "text", "char_start", "char_end", "heading"])
-
-    return lists.mapInPandas(run, "doc_id long, ord long, text string, char_start long, char_end long, heading string")
+            for doc, blocks in zip(batch["doc_id"], batch["rows"], strict=True):
+                body = SEPARATOR.join(r["block"] for r in blocks)
+                out = [(doc, i, body[a:b], a, b, h) for i, (a, b, h) in enumerate(pack(headed(blocks), most, least))]
+                yield pd.DataFrame(out, columns=["doc_id", "ord", "text", "char_start", "char_end", "heading"])
+
+    return rows.mapInPandas(run, "doc_id long, ord long, text string, char_start long, char_end long, heading string")
 
 
 def with_context(chunks: DataFrame, docs: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ MONTH = r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(
 YEAR = r"((?:19|20)\d{2})(?!\d|-\d)"
 DAY = r"(\d{1,2})(?:st|nd|rd|th)?"
 BEFORE = ("before", "until", "till", "by")
-#: Patterns, the most telling first, with the groups that hold year, month and day.
+# Fixed patterns of dates in questions.
+#: The most telling first, with the groups that hold year, month and day.
 PATTERNS = [
     (rf"\b{CUE}\s+{DAY}\s+{MONTH},?\s+{YEAR}", 4, 3, 2),
     (rf"\b{CUE}\s+{MONTH}\s+{DAY},?\s+{YEAR}", 4, 2, 3),

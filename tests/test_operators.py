@@ -112,7 +112,7 @@ def test_passages_slice_back(parts):
         chapter, section = (b, None) if kind == "chapter" else (chapter, b if kind == "section" else section)
         rows.append((b, at, at + len(b), kind, len(b.split()), " > ".join(x for x in (chapter, section) if x) or None))
         at += len(b) + 2
-    spans = chunking.pack(rows)
+    spans = list(chunking.pack(rows))
     assert " ".join(body[a:b] for a, b, _ in spans).split() == body.split()
     assert all(len(body[a:b].split()) <= 275 for a, b, _ in spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
 
@@ -126,6 +126,17 @@ def test_passages(spark):
     assert rows[0].heading == "Chapter I > 1. Scope" and rows[-1].text.endswith("tiny")
 
 
+def test_passages_row_by_row(spark):
+    """Room, a section with too few words, a long block, its short rest, and a last passage that is too short."""
+    body = "Chapter I\n\na b c d e\n\nf g h i j k\n\n1. Scope\n\nl m n o p q r s t u v w. x y z.\n\ntail"
+    docs = spark.createDataFrame([(1, body), (2, "a b c d e f\n\n \n\nAnnex\n\ng h"), (3, "a b c d e f g h i\n\nAnnex\n\ng h"), (4, "one\n\nPart 2"), (5, "\n\n \n\n")], "doc_id long, raw_text string")
+    got = [(r.doc_id, r.ord, r.text, r.heading) for r in chunking.passages(docs, most=10, least=4).orderBy("doc_id", "ord").collect()]
+    assert got == [
+        (1, 0, "Chapter I\n\na b c d e", "Chapter I"), (1, 1, "f g h i j k", "Chapter I"), (1, 2, "1. Scope\n\nl m n o p q r s t u v w.", "Chapter I > 1. Scope"),
+        (1, 3, "x y z.\n\ntail", "Chapter I > 1. Scope"), (2, 0, "a b c d e f\n\n \n\nAnnex\n\ng h", None), (3, 0, "a b c d e f g h i\n\nAnnex\n\ng h", None), (4, 0, "one\n\nPart 2", "Part 2"),
+    ]
+
+
 def test_ingest_outcomes(spark):
     fields = "source_id string, raw_text string, title string, status string, seq long, issued_date date"
     more = lambda df: ingest.validity(df.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("listed_date", "date"), ("effective_from", "date"), ("withdrawn_on", "date"), ("version_of", "date"), ("updated_on", "date")))))
