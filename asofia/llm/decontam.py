@@ -142,10 +142,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """Pairs of a document and a benchmark item that one of its passages copies, with edits or without.
 
     Returns the id, ``item_id``, ``score`` and ``end_word`` (the passage's last word, counted from 1) of the best passage. The score
-    is the Smith-Waterman score over words (match 2, mismatch and gap -1) as a share of the item's score with itself; pairs
-    from ``accept`` on are returned. A pair's verdict does not depend on the other rows. Documents without such a passage have no row. Every three-word gram of an item is a
-    seed, and one makes a candidate, however frequent it is; of a candidate only passages that have enough of the item's words are aligned. Items and texts that are null, empty or have fewer than three words match nothing, as do rows with
-    a null id. For an id that repeats the best of its texts counts. Other columns are ignored; empty tables give an empty one.
+    is the Smith-Waterman score over words (match 2, mismatch and gap -1) as a share of the item's score with itself. Pairs that score
+    ``accept`` or more and have three words of the item in a row somewhere are returned; a copy that is edited so evenly that no such gram is
+    left (every third word changed, say) isn't found, whatever its score. A pair's verdict does not depend on the other rows. Documents without such a passage have no row.
+
+    Every three-word gram of an item is a seed, and one makes a candidate, however frequent it is; of a candidate only passages that have enough of the item's words
+    are aligned. Items and texts that are null, empty or have fewer than three words match nothing, as do rows with a null id. For an id that repeats the best of
+    its texts counts. Other columns are ignored; empty tables give an empty one.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontamination")

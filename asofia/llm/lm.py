@@ -28,10 +28,10 @@ WIDTH = 16
 OFFSETS = (-2, -1, 1, 2)
 #: Positions of a step, and the first round's pace; the pace falls evenly to a ROUNDSth part.
 BATCH, RATE = 8192, 0.05
-#: A table is trained on in so many rounds, each on another share of its texts.
-ROUNDS = 4
-#: Small files are read together, so that a copy of the network sees so many words; a smaller table is gone over again, PASSES times at most.
-COPY_WORDS, PASSES = 1_000_000, 8
+#: A pass over a table is so many rounds, each on another share of its texts; every table is gone over PASSES times.
+ROUNDS, PASSES = 4, 2
+#: Small files are read together, so that a copy of the network sees so many words.
+COPY_WORDS = 1_000_000
 #: Entries that a counting task brings together before it sends them (16 bytes each).
 COUNT_ROWS = 2_000_000
 #: Counts of words that are broadcast at most (12 bytes each); beyond that, texts' words and their counts meet in a join.
@@ -324,8 +324,10 @@ def _round(net: Network, own: np.ndarray, docs: DataFrame, rate: float) -> Netwo
     return net if rows.empty else Network.of(np.concatenate([np.frombuffer(x, np.float32) for x in rows["weights"]]))
 
 
-def train(docs: DataFrame, text_col: str = "text") -> Network:
-    """Count and train on every word of every text, in a fixed number of rounds, the same for all tables of COPY_WORDS words or more.
+def train(docs: DataFrame, text_col: str = "text", passes: int = PASSES) -> Network:
+    """Count, and train on every word of every text, ``passes`` times over in ROUNDS rounds each, whatever the table's size.
+
+    There is a copy of the network for every COPY_WORDS words, so that a larger table is trained by more tasks.
 
     What reaches the driver is the counts and, each round, one network of about 0.7 MB. Equal tables in equal partitions give equal networks;
     other partitions give slightly different ones, as a copy sees other texts.
@@ -333,7 +335,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Network:
     words = count_words(docs, text_col)
     copies = max(1, words.seen // COPY_WORDS)
     docs = docs.select(F.col(text_col).alias("body")).coalesce(copies)
-    rounds = ROUNDS * min(PASSES, max(1, COPY_WORDS // max(words.seen, 1)))
+    rounds = ROUNDS * passes
     share = F.pmod(F.xxhash64("body"), F.lit(ROUNDS))
     net = Network.start(words.slot_n)
     for n in range(rounds if words.seen else 0):

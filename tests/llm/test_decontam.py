@@ -88,3 +88,21 @@ def test_odd_rows(spark):
     rows = decontam.contaminated(df, items.filter("item_id in (1, 4, 5, 7)")).collect()
     assert {r.doc_id for r in rows if r.item_id == 1} >= {1, 2, 3, 10}
     assert decontam.contaminated(df.limit(0), items).count() == 0 == decontam.contaminated(df, items.limit(0)).count()
+
+
+def test_recall_on_edited_copies(spark):
+    """Of copies with a share of their words changed, dropped or added that still score enough, nine in ten or more are found."""
+    rng = np.random.default_rng(9)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 400, 12 + i % 30))) for i in range(60)]
+    docs, want = [], set()
+    for rate in (0.05, 0.1, 0.2, 0.3):
+        for i, text in items:
+            words = []
+            for w in text.split():
+                kind = rng.integers(3) if rng.random() < rate else -1
+                words += {-1: [w], 0: [f"x{rng.integers(1000)}"], 1: [], 2: [w, f"x{rng.integers(1000)}"]}[int(kind)]
+            docs.append((len(docs), " ".join([f"u{x}" for x in rng.integers(0, 9999, 20)] + words + ["v", "v"])))
+            if smith_waterman(text.split(), docs[-1][1].split()) >= decontam.ACCEPT * 2 * len(text.split()):
+                want.add((len(docs) - 1, i))
+    found = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) > 150 and len(found & want) >= 0.9 * len(want)

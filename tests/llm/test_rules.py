@@ -1,6 +1,7 @@
 from collections import Counter
 
 from asofia.llm import rules
+from asofia.llm.jaccard import jaccard_components
 from helpers import DATA, odd_documents, words
 
 
@@ -45,3 +46,19 @@ def test_odd_rows(spark):
     df, _ = odd_documents(spark)
     check(df)
     check(df.limit(0))
+
+
+def thue_morse(n):
+    """A word over a and b of 2**n letters, and the one with both letters swapped: any polynomial hash modulo a power of two gives them one value."""
+    x, y = "a", "b"
+    for _ in range(n):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_lines_and_words_that_polynomials_confuse(spark):
+    for n in (10, 11, 12):
+        x, y = thue_morse(n)
+        docs = spark.createDataFrame([(1, f"{x}\n{y}"), (2, x), (3, y), (4, f"{x}\n{x}")], "doc_id long, text string")
+        assert {r.doc_id: r.n_dup_lines for r in rules.quality_rules(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 1}
+        assert {r.doc_id: r.component_id for r in jaccard_components(docs.filter("doc_id < 4")).collect()} == {1: 1, 2: 2, 3: 3}
