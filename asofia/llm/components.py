@@ -12,20 +12,23 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Label each node that has an edge with the smallest node of its component.
 
     ``edges`` has two long columns ``a`` and ``b``; direction, repeats and loops don't matter, rows with a null
-    end are ignored. Returns ``node`` and ``component``; no edges give an empty table. Each round takes the smallest label among the
-    neighbours and then the label's own label, so the number of rounds grows with the logarithm of the longest
-    chain in practice. Every round is written to the scratch folder; no label ever reaches the driver.
+    end are ignored. Returns ``node`` and ``component``; no edges give an empty table. A round hangs each node below its smallest neighbour, follows these
+    steps down to the end by pointer jumping, and draws the edges anew between ends, where most become loops and go, so that later rounds
+    have few edges. Every step is written to the scratch folder; no label ever reaches the driver.
     """
-    edges = edges.filter("a is not null and b is not null")
-    both = edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(edges.select("b", "a")).distinct()
-    both = scratch.table(both, "edges")
-    labels = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low")).select("node", F.least("node", "low").alias("component"))
-    labels = scratch.table(labels.withColumn("moved", F.lit(True)), "labels")
-    while not labels.filter("moved").isEmpty():
-        near = both.join(labels.select(F.col("node").alias("dst"), F.col("component").alias("near")), "dst")
-        near = near.groupBy(F.col("src").alias("node")).agg(F.min("near").alias("near"))
-        step = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("to"))
-        jump = labels.select(F.col("node").alias("to"), F.col("component").alias("further"))
-        step = step.join(jump, "to", "left").select("node", F.col("component").alias("old"), F.least("to", F.coalesce("further", "to")).alias("component"))
-        labels = scratch.table(step.select("node", "component", (F.col("component") < F.col("old")).alias("moved")), "labels")
+    ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    edges = scratch.table(edges.filter("a is not null and b is not null").select(*ordered("a", "b")).distinct(), "edges")
+    labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("component", F.col("node"))
+    edges = edges.filter("a < b")
+    while not edges.isEmpty():
+        up = scratch.table(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("end")), "up")
+        while True:
+            further = up.select(F.col("node").alias("end"), F.col("end").alias("further"))
+            up = scratch.table(up.join(further, "end", "left").select("node", F.coalesce("further", "end").alias("end"), F.col("further").isNotNull().alias("moved")), "up")
+            if up.filter("moved").isEmpty():
+                break
+        end = lambda c: up.select(F.col("node").alias(c), F.col("end").alias(f"end_{c}"))  # noqa: E731, B023
+        edges = edges.join(end("b"), "b").filter("a <> end_b").join(end("a"), "a", "left").select(*ordered(F.coalesce("end_a", "a"), "end_b"))
+        edges = scratch.table(edges.filter("a < b").distinct(), "edges")
+        labels = scratch.table(labels.join(end("component"), "component", "left").select("node", F.coalesce("end_component", "component").alias("component")), "labels")
     return labels.select("node", "component")
