@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import pairwise
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +9,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from asofia.functions import temporal, text
+from asofia.operators import alignment
 
 MIN_QUOTE, VERIFIED = 12, 90.0
 MAX_REWRITES, GRADE_TEXT = 2, 1500
@@ -89,63 +87,23 @@ def _normalised(quote: Column) -> Column:
     return F.trim(F.regexp_replace(q, r"(?U)\s+", " "))
 
 
-def best_window(quote: str, passage: str, least: float = VERIFIED) -> tuple[float, int]:
-    """The stretch of the quote's length, or a shorter one at either end of the passage, that is most like the quote: similarity 0 to 100
-    (twice the longest common subsequence over both lengths) and start; of equal ones the first. Without one of ``least`` the score is 0.
-
-    A stretch of ``least`` or more differs in few characters, so of that many parts of the quote and one more, one is in it unchanged and
-    near its own place. Only stretches around such parts are compared.
-    """
-    m = len(quote)
-    breaks = int(2 * m * (1 - least / 100) + 1e-9)
-    edges = [m * k // (breaks + 1) for k in range(breaks + 2)]
-    starts: set[int] = set()
-    for a, b in pairwise(edges):
-        at = passage.find(quote[a:b]) if b > a else -1
-        while at >= 0:
-            starts.update(range(at - a - breaks, at - a + breaks + 1))
-            at = passage.find(quote[a:b], at + 1)
-    at = np.array(sorted(s for s in starts if -m < s < len(passage)), dtype=np.int64)
-    left, right = np.array([ord(c) for c in quote]), np.array([ord(c) for c in passage])
-    low, high = np.maximum(at, 0), np.minimum(at + m, len(right))
-    # the letters that a stretch shares with the quote bound its score; the most promising go first, and the rest is left when it can't win
-    shared = np.zeros(len(at), dtype=np.int64)
-    for letter, times in zip(*np.unique(left, return_counts=True), strict=True):
-        seen = np.concatenate([[0], np.cumsum(right == letter)])
-        shared += np.minimum(seen[high] - seen[low], times)
-    bound = 200.0 * shared / (m + high - low)
-    order = np.lexsort((at, -bound))
-    best, start = least, None
-    for k in range(0, len(order), 256):
-        some = order[k : k + 256]
-        if bound[some[0]] < best:
-            break
-        place = at[some][:, None] + np.arange(m)
-        windows = np.where((place >= 0) & (place < len(right)), right[np.clip(place, 0, len(right) - 1)], -1)
-        row = np.zeros((len(some), m + 1), dtype=np.int32)
-        for letter in left:
-            row[:, 1:] = np.maximum.accumulate(np.maximum(row[:, 1:], row[:, :-1] + (windows == letter)), axis=1)
-        score = 200.0 * row[:, -1] / (m + high[some] - low[some])
-        top = score.max()
-        if top > best or (top == best and (start is None or low[some[score == top]].min() < start)):
-            best, start = top, int(low[some[score == top]].min())
-    return (0.0, 0) if start is None else (float(best), start)
-
-
-@F.pandas_udf(StructType([StructField("score", DoubleType()), StructField("start", LongType())]))
+@F.pandas_udf(StructType([StructField("score", DoubleType()), StructField("start", LongType()), StructField("stop", LongType())]))
 def _fuzzy(quote: pd.Series, passage: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([best_window(q, p) if q and p else (0.0, 0) for q, p in zip(quote, passage, strict=True)], columns=["score", "start"])
+    return pd.DataFrame(alignment.best_stretches(list(quote), list(passage)), columns=["score", "start", "stop"])
 
 
 def locate(rows: DataFrame, quote: str = "quote", passage: str = "text") -> DataFrame:
-    """Adds ``score, start, stop`` (0-based, end open) of a quote in its passage. Only quotes that aren't found literally, as they are or normalised, are aligned in Python."""
+    """Adds ``score, start, stop`` (0-based, end open) of a quote in its passage, however low the score. Only quotes that aren't found literally, as they are or
+    normalised, are aligned in Python. A quote of under 12 characters or without a passage has score 0, and at score 0 there is no span."""
     q = _normalised(F.col(quote))
     exact = F.coalesce(F.nullif(F.instr(passage, F.col(quote)), F.lit(0)), F.nullif(F.instr(F.col(passage), q), F.lit(0)))
     rows = rows.withColumn("_q", q).withColumn("_at", F.when(F.length("_q") >= MIN_QUOTE, exact - 1))
     literal = rows.filter("_at is not null").withColumn("score", F.lit(100.0)).withColumn("start", F.col("_at").cast("long")).withColumn("stop", F.col("start") + F.when(F.contains(passage, F.col(quote)), F.length(quote)).otherwise(F.length("_q")))
     short = (F.coalesce(F.length("_q"), F.lit(0)) < MIN_QUOTE) | F.col(passage).isNull()
     rest = rows.filter("_at is null").withColumn("_f", F.when(~short, _fuzzy("_q", passage)))
-    rest = rest.withColumn("score", F.coalesce("_f.score", F.lit(0.0))).withColumn("start", F.when(F.col("score") > 0, F.col("_f.start"))).withColumn("stop", F.col("start") + F.length("_q"))
+    rest = rest.withColumn("score", F.coalesce("_f.score", F.lit(0.0)))
+    for end in ("start", "stop"):
+        rest = rest.withColumn(end, F.when(F.col("score") > 0, F.col(f"_f.{end}")))
     return literal.drop("_q", "_at").unionByName(rest.drop("_q", "_at", "_f"))
 
 

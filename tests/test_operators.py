@@ -171,29 +171,6 @@ def test_quotes(spark):
     assert got["for small loans  is “five"].score >= 90 and got["an invented quote of some length"].score < 90 and got["loans"].score == 0 and got["x" * 20].score == 0
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.text("abc ", min_size=1, max_size=8), st.text("abc ", min_size=0, max_size=20))
-def test_alignment_matches_brute_force(quote, passage):
-    def lcs(a, b):
-        row = [0] * (len(b) + 1)
-        for x in a:
-            row = _step(row, x, b)
-        return row[-1]
-
-    m = len(quote)
-    stretches = {passage[max(i, 0) : i + m] for i in range(1 - m, len(passage))}
-    for least in (60, 90):
-        best = max([200 * lcs(quote, w) / (m + len(w)) for w in stretches], default=0)
-        assert answers.best_window(quote, passage, least)[0] == pytest.approx(best if best >= least else 0)
-
-
-def _step(row, x, b):
-    out = [0]
-    for j, y in enumerate(b):
-        out.append(row[j] + 1 if x == y else max(row[j + 1], out[-1]))
-    return out
-
-
 def test_cache(spark):
     q = spark.createDataFrame([(1, "What is  the LIMIT ?"), (2, "what is the limit")], "qid long, question string")
     keys = {r.k for r in q.select(cache.key(F.col("question"), F.lit(DAY(2024, 1, 1)), F.lit("5:x")).alias("k")).collect()}
