@@ -61,10 +61,14 @@ class _Pairs:
             code = np.where(letters[np.minimum(code, len(letters) - 1)] == b, code + 1, 0)
             # stretches begin up to m - 1 places before the longer text and end up to as many after it
             low, high = self.edges(i, np.arange(1 - len(a), len(b)))
-            shared = np.zeros(len(low), dtype=np.int64)
+            # the letters that a stretch shares with the shorter text bound its score; places outside count as no letter, so all stretches are m long here
+            around = np.zeros(len(b) + 2 * len(a) - 2, dtype=np.int32)
+            around[len(a) - 1 : len(a) - 1 + len(b)] = code
+            shared = np.zeros(len(low), dtype=np.int32)
+            seen = np.zeros(len(around) + 1, dtype=np.int32)
             for letter, most in enumerate(times):
-                seen = np.concatenate([[0], np.cumsum(code == letter + 1)])
-                shared += np.minimum(seen[high] - seen[low], most)
+                np.cumsum(around == letter + 1, out=seen[1:])
+                shared += np.minimum(seen[len(a) :] - seen[: -len(a)], np.int32(most))
             self.bound.append(200.0 * shared / (len(a) + high - low))
             codes.append((code + base[i]).astype(np.int64))
             offset.append(held)
@@ -85,7 +89,7 @@ class _Pairs:
 
     def best(self) -> list[tuple[float, int, int]]:
         """Score, start and end of each pair's best stretch."""
-        top = [np.argsort(-b, kind="stable")[:FIRST] for b in self.bound]
+        top = [np.argpartition(-b, FIRST)[:FIRST] if len(b) > FIRST else np.arange(len(b)) for b in self.bound]
         best = self._reduced(top, [(-1.0, 0, 0)] * len(top))
         # what can't beat the best so far, or equal it from an earlier place, is left
         rest = []

@@ -160,15 +160,45 @@ def match_all(parsed: DataFrame, rows: DataFrame) -> DataFrame:
     return found.select("qid", "id").join(whole.filter("kind = 'not'").select("qid", "id"), ["qid", "id"], "left_anti")
 
 
-def snippets(top_rows: DataFrame, docs: DataFrame, terms: DataFrame, width: int = 30, fragments: int = 2) -> DataFrame:
-    """Up to two windows of a found document with the most hits, the hits in « », joined by " … ". Only found rows are read."""
-    wanted = terms.groupBy("qid").agg(F.collect_set("term").alias("terms"))
-    rows = top_rows.join(wanted, "qid").join(docs.select("doc_id", "text"), "doc_id")
-    words = F.split(text.squeeze(F.col("text")), " ")
-    rows = rows.withColumn("w", F.transform(words, lambda w: F.struct(w.alias("t"), F.arrays_overlap(text.tokens(w), F.col("terms")).alias("hit"))))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(width))
-    windows = F.transform(starts, lambda s: F.struct((-F.size(F.filter(F.slice("w", s + 1, width), lambda x: x["hit"]))).alias("n"), s.alias("s")))
-    best = F.filter(F.slice(F.array_sort(windows), 1, fragments), lambda x: x["n"] < 0)
-    marked = lambda x: F.when(x["hit"], F.concat(F.lit("«"), x["t"], F.lit("»"))).otherwise(x["t"])
-    shown = F.transform(best, lambda b: F.array_join(F.transform(F.slice("w", b["s"] + 1, width), marked), " "))
-    return rows.select("qid", "doc_id", "rank", F.array_join(shown, " … ").alias("snippet"))
+def _best_cover(hits: Column, width: int) -> Column:
+    """The best stretch of ``hits`` (``side, i, stems``) of at most ``width`` words that begins and ends with a hit and lies on one side: ``a, b``, its first and last word. Null without hits.
+
+    Most different stems first, then most hits, then the fewest words, then the first. As one word is at most one hit, a stretch is among ``width`` hits in a row.
+    """
+    near = lambda x, j: F.filter(F.slice(hits, j + 1, width), lambda y: (y["i"] < x["i"] + width) & (y["side"] == x["side"]))
+    last = lambda w: F.element_at(w, -1)["i"]
+    cover = lambda w: F.struct((-F.size(F.array_distinct(F.flatten(F.transform(w, lambda x: x["stems"]))))).alias("stems"), (-F.size(w)).alias("n"), (last(w) - w[0]["i"]).alias("words"), w[0]["i"].alias("a"), last(w).alias("b"))
+    return F.array_min(F.transform(F.transform(hits, near), cover))
+
+
+def snippets(top_rows: DataFrame, docs: DataFrame, terms: DataFrame, width: int = 30) -> DataFrame:
+    """``qid, doc_id, rank, snippet``: up to two fragments of a found document around its best covers, the hits in « », in the text's order, joined by " … ".
+
+    ``terms`` has ``qid, stem, term``. The first fragment is the best cover of the whole text, the second the best one of what is left on either side; each is filled
+    up with words on both sides to ``width``, or fewer where the text or the other fragment ends. Without a hit the snippet is empty. Only found rows are read.
+    """
+    stems = F.map_from_entries(F.collect_list(F.struct("term", "stem")))
+    wanted = terms.select("qid", "term", "stem").distinct().groupBy("qid").agg(stems.alias("stems"))
+    rows = top_rows.select("qid", "doc_id", "rank").join(wanted, "qid").join(docs.select("doc_id", "text"), "doc_id")
+    rows = rows.withColumn("w", F.split(text.squeeze(F.col("text")), " ")).drop("text")
+    known = lambda w: F.array_compact(F.transform(text.tokens(w), lambda t: F.try_element_at("stems", t)))
+    found = F.transform("w", lambda w, i: F.struct(F.lit(0).alias("side"), i.alias("i"), known(w).alias("stems")))
+    rows = rows.withColumn("hits", F.filter(found, lambda x: F.size(x["stems"]) > 0)).withColumn("n", F.size("w"))
+
+    def filled(cover: str, low: Column, high: Column) -> Column:
+        """A cover's fragment between two words: from ``a`` on, before ``b``."""
+        before = F.floor((F.lit(width) - 1 - F.col(f"{cover}.words")) / 2).cast("int")
+        start = F.greatest(low, F.least(F.col(f"{cover}.a") - before, high - width))
+        return F.when(F.col(cover).isNotNull(), F.struct(start.alias("a"), F.least(start + width, high).alias("b")))
+
+    rows = rows.withColumn("cover", _best_cover(F.col("hits"), width))
+    rows = rows.withColumn("first", filled("cover", F.lit(0), F.col("n")))
+    side = lambda x: F.when(x["i"] < F.col("first.a"), -1).when(x["i"] >= F.col("first.b"), 1).otherwise(0)
+    sided = F.transform("hits", lambda x: F.struct(side(x).alias("side"), x["i"].alias("i"), x["stems"].alias("stems")))
+    rows = rows.withColumn("rest", F.filter(sided, lambda x: x["side"] != 0))
+    rows = rows.withColumn("cover", _best_cover(F.col("rest"), width))
+    behind = F.col("cover.a") >= F.col("first.b")
+    rows = rows.withColumn("second", filled("cover", F.when(behind, F.col("first.b")).otherwise(0), F.when(behind, F.col("n")).otherwise(F.col("first.a"))))
+    marked = F.transform("w", lambda w: F.when(F.size(known(w)) > 0, F.concat(F.lit("«"), w, F.lit("»"))).otherwise(w))
+    shown = F.transform(F.array_sort(F.array_compact(F.array("first", "second"))), lambda f: F.array_join(F.slice("marked", f["a"] + 1, f["b"] - f["a"]), " "))
+    return rows.withColumn("marked", marked).select("qid", "doc_id", "rank", F.array_join(shown, " … ").alias("snippet"))

@@ -307,15 +307,22 @@ def websearch_all(spark: SparkSession, d: str) -> DataFrame:
 _SNIPPETS = {
     "top": _TOP_DOCS,
     "sw": r"select qid, doc_id, rank, unnest(w) as word, unnest(range(len(w))) as i from (select *, string_split(trim(regexp_replace(text, '[\s\x{00a0}\x0b]+', ' ', 'g')), ' ') as w from top join documents using (doc_id))",
-    "st": "select qid, list(distinct term) as ts from terms group by qid",
-    "sh": "select *, list_has_any(regexp_extract_all(lower(word), '[a-z0-9]+'), ts) as hit, i // 30 as part from sw join st using (qid)",
-    "sp": "select qid, doc_id, rank, part, count(case when hit then 1 end) as n, string_agg(case when hit then '«' || word || '»' else word end, ' ' order by i) as shown from sh group by all",
-    "sb": "select *, row_number() over (partition by qid, doc_id order by n desc, part) as k from sp",
-    "sf": "select qid, doc_id, string_agg(shown, ' … ' order by k) as snippet from sb where k <= 2 and n > 0 group by qid, doc_id",
+    "sk": "select distinct qid, term, stem from terms",
+    "sh": "select qid, doc_id, i, stem from (select qid, doc_id, i, unnest(regexp_extract_all(lower(word), '[a-z0-9]+')) as term from sw) join sk using (qid, term)",
+    "sn": "select qid, doc_id, rank, count(*) as n from sw group by all",
+    "sc": "select x.qid, x.doc_id, x.i as a, max(y.i) as b, count(distinct y.stem) as stems, count(distinct y.i) as hits from (select distinct qid, doc_id, i from sh) x join sh y on y.qid = x.qid and y.doc_id = x.doc_id and y.i between x.i and x.i + 29 group by all",
+    "sf": "select *, greatest(0, least(a - (29 - (b - a)) // 2, n - 30)) as low from (select *, row_number() over (partition by qid, doc_id order by stems desc, hits desc, b - a, a) as k from sc) join sn using (qid, doc_id) where k = 1",
+    "sr": "select sh.*, sh.i >= low + 30 as behind, low, n from sh join sf using (qid, doc_id) where sh.i < low or sh.i >= low + 30",
+    "sd": "select x.qid, x.doc_id, x.i as a, x.behind, x.low as f, x.n, max(y.i) as b, count(distinct y.stem) as stems, count(distinct y.i) as hits from (select distinct qid, doc_id, i, behind, low, n from sr) x join sr y on y.qid = x.qid and y.doc_id = x.doc_id and y.behind = x.behind and y.i between x.i and x.i + 29 group by all",
+    "sg": "select *, case when behind then greatest(f + 30, least(a - (29 - (b - a)) // 2, n - 30)) else greatest(0, least(a - (29 - (b - a)) // 2, f - 30)) end as low, case when behind then n else f end as high from (select *, row_number() over (partition by qid, doc_id order by stems desc, hits desc, b - a, a) as k from sd) where k = 1",
+    "sp": "select qid, doc_id, low, least(low + 30, n) as high from sf union all select qid, doc_id, low, least(low + 30, high) from sg",
+    "sm": "select sw.qid, sw.doc_id, i, case when exists (select 1 from sh where sh.qid = sw.qid and sh.doc_id = sw.doc_id and sh.i = sw.i) then '«' || word || '»' else word end as word from sw",
+    "ss": "select sm.qid, sm.doc_id, low, string_agg(word, ' ' order by i) as shown from sm join sp on sp.qid = sm.qid and sp.doc_id = sm.doc_id and i >= low and i < high group by all",
+    "so": "select qid, doc_id, string_agg(shown, ' … ' order by low) as snippet from ss group by all",
 }
 
 
-@query(sql("select qid, doc_id, rank, coalesce(snippet, '') as snippet from top left join sf using (qid, doc_id)", "scored", **_SNIPPETS))
+@query(sql("select qid, doc_id, rank, coalesce(snippet, '') as snippet from top left join so using (qid, doc_id)", "scored", **_SNIPPETS))
 def snippets(spark: SparkSession, d: str) -> DataFrame:
     docs, index, questions, terms = _parts(spark, d)
     return keyword.snippets(keyword.search(questions, terms, index, TODAY), docs, terms)
