@@ -199,6 +199,6 @@ def snippets(top_rows: DataFrame, docs: DataFrame, terms: DataFrame, width: int
     rows = rows.withColumn("cover", _best_cover(F.col("rest"), width))
     behind = F.col("cover.a") >= F.col("first.b")
     rows = rows.withColumn("second", filled("cover", F.when(behind, F.col("first.b")).otherwise(0), F.when(behind, F.col("n")).otherwise(F.col("first.a"))))
-    marked = F.transform("w", lambda w: F.when(F.size(known(w)) > 0, F.concat(F.lit("«"), w, F.lit("»"))).otherwise(w))
-    shown = F.transform(F.array_sort(F.array_compact(F.array("first", "second"))), lambda f: F.array_join(F.slice("marked", f["a"] + 1, f["b"] - f["a"]), " "))
-    return rows.withColumn("marked", marked).select("qid", "doc_id", "rank", F.array_join(shown, " … ").alias("snippet"))
+    marked = lambda w: F.when(F.size(known(w)) > 0, F.concat(F.lit("«"), w, F.lit("»"))).otherwise(w)
+    shown = F.transform(F.array_sort(F.array_compact(F.array("first", "second"))), lambda f: F.array_join(F.transform(F.slice("w", f["a"] + 1, f["b"] - f["a"]), marked), " "))
+    return rows.select("qid", "doc_id", "rank", F.array_join(shown, " … ").alias("snippet"))
