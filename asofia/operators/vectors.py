@@ -102,20 +102,6 @@ def _nearest(n: int):
     return run
 
 
-def near_pairs(most: float):
-    """Pairs of two blocks within a cosine distance."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for ids, matrix, qids, q in zip(batch["ids"], batch["matrix"], batch["qids"], batch["q"], strict=True):
-                (names, right), (asked, left) = _read(ids, matrix), _read(qids, q)
-                distance = np.round(1 - left @ right.T, 6)
-                row, column = np.nonzero(distance <= most)
-                yield pd.DataFrame({"qid": asked[row], "kept_id": names[column], "distance": distance[row, column]})
-
-    return run
-
-
 def centres(vectors: DataFrame, lists: int, sample: int = 20_000, rounds: int = 8, seed: int = 11) -> np.ndarray:
     """Unit centres of ``lists`` clusters, by k-means on at most ``sample`` vectors, those with the smallest hashes of their ids."""
     rows = vectors.filter("embedding is not null").orderBy(F.xxhash64("vec_id")).limit(sample).select("embedding").toPandas()

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from asofia.functions import temporal, text
 from asofia.functions.stemmer import stem as stemmed
 from asofia.functions.stemmer import stem_expr
-from asofia.operators import keyword, neighbours, vectors, windows, wordblocks
+from asofia.operators import embedding, intervals, keyword, neighbours, vectors, windows, wordblocks
 from asofia.plans.registry import registry
 from asofia.plans.views import STOP, sql, stem
 from asofia.sources import corpus, folders
@@ -109,16 +109,36 @@ def filters_combined(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql(f"select qid, count(*) as n, min(doc_id) as first, sum(doc_id)::bigint as ids from docs, questions where {_IN_FORCE} group by qid", "docs", "questions"))
 def asof_join_questions(spark: SparkSession, d: str) -> DataFrame:
-    """The interval join of questions and documents. Each year of a window is a key, so it is an equi-join with a residual, not a nested loop."""
-    docs = corpus.documents(spark, d).select("doc_id", "valid_from", "valid_to", "is_withdrawn").filter("valid_from is not null")
-    last = F.coalesce(F.year("valid_to"), F.lit(9999))
-    days = corpus.questions(spark, d).select("qid", "as_of", F.year("as_of").alias("year"))
-    reach = days.agg(F.min("year").alias("lo"), F.max("year").alias("hi"))
-    lo, hi = reach.first()
-    spread = F.filter(F.sequence(F.lit(lo), F.lit(hi)), lambda y: (y >= F.year("valid_from")) & (y <= last))
-    dated = docs.withColumn("year", F.explode(spread))
-    ok = temporal.searchable(F.col("valid_from"), F.col("valid_to"), F.col("is_withdrawn"), F.col("as_of"), F.lit(TODAY).cast("date"))
-    return dated.join(days, "year").filter(ok).groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.sum("doc_id").alias("ids"))
+    """The interval join of questions and documents, aggregated: windows add up by nodes of the calendar, and each day reads its nodes."""
+    days, windowed = _windows(spark, d)
+    found = intervals.on_day(days, windowed, "as_of", "valid_from", "until", {"n": ("count", F.col("doc_id")), "first": ("min", F.col("doc_id")), "ids": ("sum", F.col("doc_id"))})
+    return found.filter("n > 0").select("qid", "n", "first", "ids")
+
+
+@query(sql(f"select qid, doc_id from docs, questions where {_IN_FORCE}", "docs", "questions"))
+def asof_join_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The interval join itself: each question with each document in force on its day."""
+    return intervals.day_pairs(*_windows(spark, d), "as_of", "valid_from", "until", "qid", "doc_id")
+
+
+def _windows(spark, d):
+    """Questions' days, and documents' windows that end where a withdrawal ends them."""
+    until = intervals.effective_end(F.col("valid_to"), F.col("is_withdrawn"), F.lit(TODAY).cast("date"))
+    return corpus.questions(spark, d).select("qid", "as_of"), corpus.documents(spark, d).select("doc_id", "valid_from", until.alias("until"))
+
+
+_LINE_DAY = "date '1995-01-01' + cast(p_partkey % 1500 as integer)"
+
+
+@query(f"select p_partkey as part, count(*) as n, min(l_orderkey) as first, max(l_quantity) as most from part join lineitem on l_shipdate::date <= {_LINE_DAY} and l_shipdate::date + 10 * l_linenumber::integer > {_LINE_DAY} group by p_partkey")
+def asof_join_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The interval join of two tables that grow: order lines on their way (ten days for each line number) on a day of each part."""
+    day = F.date_add(F.lit("1995-01-01").cast("date"), (F.col("p_partkey") % 1500).cast("int"))
+    days = corpus.table(spark, d, "part").select(F.col("p_partkey").alias("part"), day.alias("day"))
+    shipped = F.col("l_shipdate").cast("date")
+    lines = corpus.table(spark, d, "lineitem").select(shipped.alias("start"), F.date_add(shipped, (F.col("l_linenumber") * 10).cast("int")).alias("end"), "l_orderkey", "l_quantity")
+    found = intervals.on_day(days, lines, "day", "start", "end", {"n": ("count", F.lit(1)), "first": ("min", F.col("l_orderkey")), "most": ("max", F.col("l_quantity"))})
+    return found.filter("n > 0").select("part", "n", "first", "most")
 
 
 @query(
@@ -232,6 +252,15 @@ def hash_embed(spark: SparkSession, d: str) -> DataFrame:
     return sparse.groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("buckets"), F.round(F.sum(F.col("value") * F.col("value")), 6).alias("norm"), F.round(F.max("value"), 6).alias("top"))
 
 
+@query(sql("select id as doc_id, 384 as dims, count(*) as buckets, round(max(value::float)::double, 6) as top from e group by id", "postings", e=_EMBED.format(id="doc_id", table="postings")))
+def model_embed(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents through a model's interface; the model is the test double."""
+    rows = corpus.documents(spark, d).select("doc_id", F.concat_ws(" ", "title", "text").alias("embed_text"))
+    made = embedding.embedded(rows, embedding.HashedWords, "hashed-words-384", "doc_id")
+    top = F.round(F.array_max("embedding").cast("double"), 6)
+    return made.select("doc_id", F.size("embedding").alias("dims"), F.size(F.filter("embedding", lambda x: x > 0)).cast("long").alias("buckets"), top.alias("top")).filter("buckets > 0")
+
+
 def _lists(spark, d, parts=None):
     """The candidates of both searches, of documents in force on each question's day."""
     docs, index, questions, terms = parts or _parts(spark, d)

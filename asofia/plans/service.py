@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asofia.operators import alerts, answers, cache, graph
+from asofia.operators import alerts, answers, cache, embedding, graph
 from asofia.plans.registry import registry
 from asofia.plans.views import sql
 from asofia.sources import corpus
+from asofia.sources.folders import written
 
 QUERIES, ORACLE, query = registry()
 
@@ -262,6 +263,23 @@ def cache_semantic(spark: SparkSession, d: str) -> DataFrame:
     return cache.semantic(asked, kept, 0.6).select("qid", F.col("answer_json").cast("long").alias("vec_id"), "distance")
 
 
+@query(
+    sql(
+        "select qid, key_hash, distance from near qualify row_number() over (partition by qid order by distance, key_hash) = 1",
+        words="select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from documents",
+        counted="select doc_id, ('0x' || substr(md5(term), 1, 8))::bigint % 384 as bucket, count(*)::double as n from words group by all",
+        vecs="select doc_id, bucket, (n / sqrt(sum(n * n) over (partition by doc_id)))::float::double as value from counted",
+        near="select q.doc_id as qid, lpad(k.doc_id::varchar, 12, '0') as key_hash, round(1 - sum(q.value * k.value), 6) as distance from vecs q join vecs k on q.doc_id % 2 = 1 and k.doc_id % 2 = 0 and q.bucket = k.bucket group by all having distance <= 0.05",
+    )
+)
+def cache_near_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with odd ids as questions, the others as kept ones: the nearest in words, at the cache's own distance."""
+    docs = corpus.table(spark, d, "documents").select("doc_id", "text", F.lit("2026-01-01").cast("date").alias("as_of"), F.lit("-").alias("version"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("key_hash"))
+    made = written(docs.join(embedding.embedded(docs, embedding.HashedWords, "hashed-words-384", "doc_id", "text"), "doc_id").drop("text"), "made")
+    kept = made.filter("doc_id % 2 = 0").withColumn("answer_json", F.col("key_hash"))
+    return cache.semantic(made.filter("doc_id % 2 = 1").withColumnRenamed("doc_id", "qid"), kept).select("qid", F.col("answer_json").alias("key_hash"), "distance")
+
+
 # --- alerts: customers follow documents and topics ---
 
 
