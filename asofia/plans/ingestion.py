@@ -142,7 +142,7 @@ def question_dates(spark: SparkSession, d: str) -> DataFrame:
 # --- ingest: a stored snapshot (nine of ten documents, some with another text) meets the whole table ---
 
 
-def _snapshots(spark, d):
+def snapshots(spark, d):
     docs = corpus.documents(spark, d)
     base = docs.select("doc_id", "source_id", "title", "department", "doc_type", "issued_date", F.lit(None).cast("date").alias("effective_from"), F.lit(None).cast("date").alias("updated_on"), "is_withdrawn", F.col("valid_to").alias("withdrawn_on"), F.lit(None).cast("string").alias("pdf_url"), "text")
     old_text = F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit(" old"))).otherwise(F.col("text"))
@@ -155,7 +155,7 @@ def _snapshots(spark, d):
     return ingest.validity(stored), ingest.validity(incoming)
 
 
-_JUDGED = {
+JUDGED = {
     "inc": "select doc_id, source_id, sha256(text) as h, case when doc_id % 97 = 1 then 'missing' when doc_id % 89 = 2 then 'failed' else 'ok' end as status, title, issued_date, valid_to from docs",
     "st": "select doc_id, source_id, sha256(case when doc_id % 9 = 0 then text || ' old' else text end) as h, case when doc_id % 11 = 0 then title || '?' else title end as title from docs where doc_id % 10 <> 0",
     "own": "select h, min(source_id) as owner from st group by h",
@@ -167,16 +167,16 @@ _JUDGED = {
 
 
 def _outcomes(spark, d):
-    stored, incoming = _snapshots(spark, d)
+    stored, incoming = snapshots(spark, d)
     return stored, ingest.outcomes(incoming, stored)
 
 
-@query(sql("select source_id, outcome from judged", "docs", **_JUDGED))
+@query(sql("select source_id, outcome from judged", "docs", **JUDGED))
 def ingest_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return _outcomes(spark, d)[1].select("source_id", "outcome")
 
 
-@query(sql("select " + ", ".join(f"count(case when outcome = '{o}' then 1 end) as {o}" for o in ingest.OUTCOMES) + " from judged", "docs", **_JUDGED))
+@query(sql("select " + ", ".join(f"count(case when outcome = '{o}' then 1 end) as {o}" for o in ingest.OUTCOMES) + " from judged", "docs", **JUDGED))
 def ingest_stats(spark: SparkSession, d: str) -> DataFrame:
     return ingest.statistics(_outcomes(spark, d)[1])
 
@@ -185,7 +185,7 @@ def ingest_stats(spark: SparkSession, d: str) -> DataFrame:
     sql(
         """select source_id, h as content_hash, title from st where not exists (select 1 from judged j where j.source_id = st.source_id and outcome in ('new', 'updated'))
         union all select j.source_id, j.h, title from judged j join inc using (doc_id) where outcome in ('new', 'updated')""",
-        "docs", **_JUDGED,
+        "docs", **JUDGED,
     )
 )
 def ingest_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -193,32 +193,32 @@ def ingest_merge(spark: SparkSession, d: str) -> DataFrame:
     return ingest.merged(stored, judged).select("source_id", "content_hash", "title")
 
 
-@query(sql("select source_id, h as content_hash from judged where outcome = 'duplicate'", "docs", **_JUDGED))
+@query(sql("select source_id, h as content_hash from judged where outcome = 'duplicate'", "docs", **JUDGED))
 def duplicate_text(spark: SparkSession, d: str) -> DataFrame:
     return _outcomes(spark, d)[1].filter("outcome = 'duplicate'").select("source_id", "content_hash")
 
 
 @query(sql("select source_id, status, issued_date, coalesce(issued_date, date '1900-01-01') as valid_from, coalesce(valid_to, date '1900-01-01') as valid_to, sha256(text) as content_hash from (select source_id, text, valid_to, case when doc_id % 97 = 1 then 'missing' when doc_id % 89 = 2 then 'failed' else 'ok' end as status, case when doc_id % 89 = 2 then null else issued_date end as issued_date from docs)", "docs"))
 def validity_derive(spark: SparkSession, d: str) -> DataFrame:
-    rows = _snapshots(spark, d)[1]
+    rows = snapshots(spark, d)[1]
     none = F.lit("1900-01-01").cast("date")
     return rows.select("source_id", "status", "issued_date", F.coalesce("valid_from", none).alias("valid_from"), F.coalesce("valid_to", none).alias("valid_to"), "content_hash")
 
 
-@query(sql("select source_id, doc_id % 3 as ord from st where not exists (select 1 from judged j where j.source_id = st.source_id and outcome = 'updated' and changed)", "docs", **_JUDGED))
+@query(sql("select source_id, doc_id % 3 as ord from st where not exists (select 1 from judged j where j.source_id = st.source_id and outcome = 'updated' and changed)", "docs", **JUDGED))
 def chunk_invalidation(spark: SparkSession, d: str) -> DataFrame:
     stored, judged = _outcomes(spark, d)
     return ingest.invalidated(stored.select("source_id", (F.col("doc_id") % 3).alias("ord")), judged)
 
 
-@query(sql("select st.source_id, case when outcome = 'updated' and not changed then issued_date else date '2000-01-01' end as valid_from from st join judged using (source_id) join docs on docs.source_id = st.source_id", "docs", **_JUDGED))
+@query(sql("select st.source_id, case when outcome = 'updated' and not changed then issued_date else date '2000-01-01' end as valid_from from st join judged using (source_id) join docs on docs.source_id = st.source_id", "docs", **JUDGED))
 def validity_propagate(spark: SparkSession, d: str) -> DataFrame:
     stored, judged = _outcomes(spark, d)
     chunks = stored.select("source_id", F.lit("2000-01-01").cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
     return ingest.propagated(chunks, judged).select("source_id", "valid_from")
 
 
-@query(sql("select source_id, source_id || '-' || substr(sha256(html), 1, 12) as archived_as from judged join pages on page_id = doc_id where outcome = 'updated'", "docs", **_JUDGED))
+@query(sql("select source_id, source_id || '-' || substr(sha256(html), 1, 12) as archived_as from judged join pages on page_id = doc_id where outcome = 'updated'", "docs", **JUDGED))
 def archive_history(spark: SparkSession, d: str) -> DataFrame:
     pages = corpus.table(spark, d, "pages").withColumn("source_id", F.col("page_id").cast("string"))
     return ingest.history(_outcomes(spark, d)[1], pages).select("source_id", "archived_as")
