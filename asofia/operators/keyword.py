@@ -36,12 +36,17 @@ def matching_terms(words: DataFrame, rows: DataFrame) -> DataFrame:
 
     Stems are taken of the distinct vocabulary only (``rows`` are postings or an index's ``vocabulary``), so documents are searched as they are. Function words have no stem here.
     """
-    stem = stemmed("term")
-    vocabulary = rows.select("term").distinct().filter(~F.col("term").isin(text.STOPWORDS))
-    # stems cost more than their few bytes say, so they are dealt to all tasks, and written lest the join asks for them twice
+    stems = term_stems(rows.filter(~F.col("term").isin(text.STOPWORDS)))
+    return words.select("qid", stemmed("term").alias("stem")).distinct().join(stems, "stem").select("qid", "stem", "term")
+
+
+def term_stems(rows: DataFrame) -> DataFrame:
+    """``stem, term`` of the distinct ``term``s, as a table.
+
+    Stems cost more than their few bytes say, so they are dealt to all tasks, and written lest a join asks for them twice, or for each row.
+    """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stems = folders.written(vocabulary.repartition(parts).select(stem.alias("stem"), "term"), "stems")
-    return words.select("qid", stem.alias("stem")).distinct().join(stems, "stem").select("qid", "stem", "term")
+    return folders.written(rows.select("term").distinct().repartition(parts).select(stemmed("term").alias("stem"), "term"), "stems")
 
 
 def rarest(terms: DataFrame, rows: DataFrame, n: int = 1) -> DataFrame:
@@ -146,11 +151,14 @@ def parse_web_query(queries: DataFrame) -> DataFrame:
     return terms.filter(~F.col("term").isin(text.STOPWORDS))
 
 
+def web_terms(parsed: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of a parsed query with every term of the index (postings, or a ``vocabulary``) that has their stem."""
+    return parsed.withColumn("stem", stemmed("term")).drop("term").join(term_stems(rows), "stem")
+
+
 def match_all(parsed: DataFrame, rows: DataFrame) -> DataFrame:
     """``qid, id`` of the documents that hold every required word and phrase (of parts joined by ``or`` one), by stems, and none of the excluded ones."""
-    stem = stemmed("term")
-    vocabulary = rows.select("term").distinct().select(stem.alias("stem"), "term")
-    asked = parsed.withColumn("stem", stem).drop("term").join(vocabulary, "stem")
+    asked = web_terms(parsed, rows)
     hits = asked.join(rows.select("id", "term", "pos"), "term").withColumn("start", F.col("pos") - F.col("at"))
     size = parsed.groupBy("qid", "choice").agg(F.count(F.lit(1)).alias("terms"))
     whole = hits.groupBy("qid", "kind", "part", "choice", "id", "start").agg(F.count_distinct("at").alias("n")).join(size, ["qid", "choice"]).filter("n = terms")

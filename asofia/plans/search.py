@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from asofia.functions import temporal, text
-from asofia.functions.stemmer import stem as stemmed
 from asofia.functions.stemmer import stem_expr
 from asofia.operators import embedding, intervals, keyword, neighbours, vectors, windows, wordblocks
 from asofia.plans.registry import registry
@@ -18,11 +17,6 @@ from asofia.sources.corpus import TODAY
 QUERIES, ORACLE, query = registry()
 
 
-def _rows(spark, d):
-    docs = corpus.documents(spark, d)
-    return docs, folders.written(keyword.postings(docs), "postings")
-
-
 def _parts(spark, d):
     """Documents, their word index, questions, and the index's terms that these ask for."""
     docs, questions = corpus.documents(spark, d), corpus.questions(spark, d)
@@ -76,13 +70,13 @@ _ALL = {
 )
 def keyword_all_ranked(spark: SparkSession, d: str) -> DataFrame:
     """Documents with the first three stems of a question, by cover density."""
-    _, rows = _rows(spark, d)
+    index = folders.written(wordblocks.word_index(corpus.documents(spark, d)), "words")
     words = F.filter(text.tokens(F.col("question")), lambda t: ~t.isin(text.STOPWORDS))
     first = F.slice(F.array_distinct(F.expr(f"transform(words, t -> {stem_expr('t')})")), 1, 3)
     asked = corpus.questions(spark, d).withColumn("words", words).select("qid", F.explode(first).alias("stem"))
-    vocabulary = rows.select("term").distinct().filter(~F.col("term").isin(text.STOPWORDS)).withColumn("stem", stemmed("term"))
-    terms = folders.written(asked.join(vocabulary, "stem"), "terms")
-    return keyword.all_scores(asked, terms, rows).select("qid", F.col("id").alias("doc_id"), "extents", "score")
+    stems = keyword.term_stems(wordblocks.vocabulary(index).filter(~F.col("term").isin(text.STOPWORDS)))
+    terms = folders.written(asked.join(stems, "stem"), "terms")
+    return wordblocks.all_matches(asked, terms, index).select("qid", F.col("id").alias("doc_id"), "extents", "score")
 
 
 @query(sql("select * from terms", "terms"))
@@ -327,10 +321,12 @@ _WEB = {
 )
 def websearch_all(spark: SparkSession, d: str) -> DataFrame:
     """A required word, one of two words, a phrase and an excluded word of each question."""
-    _, rows = _rows(spark, d)
+    index = folders.written(wordblocks.word_index(corpus.documents(spark, d)), "words")
     t = F.regexp_extract_all(F.lower("question"), F.lit("[a-z0-9]+"), F.lit(0))
     queries = corpus.questions(spark, d).select("qid", F.concat(t[0], F.lit(" "), t[1], F.lit(" or "), t[4], F.lit(' "'), t[2], F.lit(" "), t[3], F.lit('" -'), t[5]).alias("query"))
-    return keyword.match_all(keyword.parse_web_query(queries), rows).select("qid", F.col("id").alias("doc_id"))
+    parsed = folders.written(keyword.parse_web_query(queries), "parsed")
+    terms = folders.written(keyword.web_terms(parsed, wordblocks.vocabulary(index)), "terms")
+    return wordblocks.web_matches(terms, parsed, index).select("qid", F.col("id").alias("doc_id"))
 
 
 _SNIPPETS = {
