@@ -7,7 +7,10 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate, pairwise
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +20,8 @@ from asofia.functions import text
 SEPARATOR = "\n\n"
 MAX_WORDS, MIN_WORDS, GROWTH = 220, 40, 1.25
 HEADING_WORDS, SENTENCE_WORDS = 14, 3
+#: Documents that are taken apart at once.
+DOCUMENTS = 512
 # Fixed patterns: what the regulator's headings look like.
 CHAPTER = r"(?i)^(chapter|part|annex(ure)?|appendix|schedule)\b"
 SECTION = r"^(\d{1,3}[A-Z]?\.|[A-Z]\.)\s+\S"
@@ -24,12 +29,35 @@ SECTION = r"^(\d{1,3}[A-Z]?\.|[A-Z]\.)\s+\S"
 SENTENCE = re.compile(r"[^.;\n]+(?:[.;\n]+|$)")
 
 
-def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "raw_text") -> DataFrame:
-    """``doc_id, ord, block, char_start, char_end``: offsets count characters of the text and slice back to the block."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, SEPARATOR)).alias("ord", "block"))
-    before = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("block") + len(SEPARATOR)).over(before), F.lit(0))
-    return rows.withColumn("char_start", start).withColumn("char_end", F.col("char_start") + F.length("block")).withColumn("ord", F.col("ord").cast("long"))
+def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "raw_text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, ord, block, char_start, char_end``: offsets count characters of the text and slice back to the block. Columns that are ``carried`` come along.
+
+    A document's blocks are placed in its row, batch by batch, so nothing is shuffled or joined; a null text has none.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.split(text_col, SEPARATOR).alias("rows"), *carried).filter("rows is not null")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    kinds = {"doc_id": kinds["doc_id"], "ord": "long", "block": "string", "char_start": "long", "char_end": "long"} | {c: kinds[c] for c in carried}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, DOCUMENTS):
+                part = batch.slice(low, DOCUMENTS)
+                lists, block = part.column(1), part.column(1).flatten()
+                size = pc.list_value_length(lists).to_numpy().astype(np.int64)
+                first = np.repeat(np.cumsum(size) - size, size)
+                length = pc.utf8_length(block).to_numpy().astype(np.int64)
+                upto = np.concatenate([[0], np.cumsum(length + len(SEPARATOR))])
+                start, doc = upto[:-1] - upto[first], pa.array(np.repeat(np.arange(len(size)), size))
+                columns = [part.column(0).take(doc), pa.array(np.arange(len(first)) - first), block, pa.array(start), pa.array(start + length), *(part.column(2 + i).take(doc) for i in range(len(carried)))]
+                yield pa.RecordBatch.from_arrays(columns, names=list(kinds))
+
+    return rows.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in kinds.items()))
+
+
+def split(docs: DataFrame, id_col: str = "doc_id", text_col: str = "raw_text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, ord, block`` and what is ``carried``: blocks without their offsets."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), *carried, F.posexplode(F.split(text_col, SEPARATOR)).alias("ord", "block"))
+    return rows.select("doc_id", F.col("ord").cast("long").alias("ord"), "block", *carried)
 
 
 def heading_kind(block: Column) -> Column:

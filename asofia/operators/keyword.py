@@ -16,13 +16,13 @@ WEIGHTS = {"title": 1.0, "body": 0.4}
 BROADCAST_TERMS = 1_000_000
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", title: str = "title", body: str = "text") -> DataFrame:
-    """One row per token: ``id, term, weight, pos, length``. Title positions come first; ``length`` is the document's number of tokens."""
-    both = docs.select(F.col(id_col).alias("id"), text.tokens(F.coalesce(F.col(title), F.lit(""))).alias("a"), text.tokens(F.coalesce(F.col(body), F.lit(""))).alias("b"))
+def postings(docs: DataFrame, id_col: str = "doc_id", title: str = "title", body: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """One row per token: ``id, term, weight, pos, length`` and what is ``carried``. Title positions come first; ``length`` is the document's number of tokens."""
+    both = docs.select(F.col(id_col).alias("id"), text.tokens(F.coalesce(F.col(title), F.lit(""))).alias("a"), text.tokens(F.coalesce(F.col(body), F.lit(""))).alias("b"), *carried)
     tagged = lambda c, w: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(w).alias("weight")))
-    both = both.select("id", F.concat(tagged("a", WEIGHTS["title"]), tagged("b", WEIGHTS["body"])).alias("all"))
-    rows = both.select("id", F.size("all").alias("length"), F.posexplode("all").alias("at", "token"))
-    return rows.select("id", "token.term", "token.weight", (F.col("at") + 1).alias("pos"), "length")
+    both = both.select("id", F.concat(tagged("a", WEIGHTS["title"]), tagged("b", WEIGHTS["body"])).alias("all"), *carried)
+    rows = both.select("id", F.size("all").alias("length"), F.posexplode("all").alias("at", "token"), *carried)
+    return rows.select("id", "token.term", "token.weight", (F.col("at") + 1).alias("pos"), "length", *carried)
 
 
 def question_words(questions: DataFrame) -> DataFrame:
@@ -53,18 +53,25 @@ def rarest(terms: DataFrame, rows: DataFrame, n: int = 1) -> DataFrame:
     """Of ``qid, term`` the n terms of each question that the fewest documents hold."""
     # only the questions' own terms are counted, and each document once per term
     df = rows.join(terms.select("term").distinct(), "term", "left_semi").select("term", "id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return rarest_by(terms, df, n)
+
+
+def rarest_by(terms: DataFrame, df: DataFrame, n: int = 1) -> DataFrame:
+    """``rarest`` by known counts (``term, df``)."""
     order = Window.partitionBy("qid").orderBy("df", "term")
     return terms.select("qid", "term").distinct().join(df, "term").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= n).select("qid", "term")
 
 
 def scores(terms: DataFrame, rows: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """Cover-density score of every document with any of a question's terms, or of ``pairs`` (``qid, id``) only. For the best ones alone see ``wordblocks.top_matches``.
+    """Cover-density score of every document with any of a question's terms, or of ``pairs`` (``qid, id``) only; rows with a ``qid`` of their own are scored for that. For the best ones alone see ``wordblocks.top_matches``.
 
     A query for any term is covered by each single match, so every match is an extent of its own: the sum of weights, over the log of the length
     plus one, over the harmonic mean of the distances between consecutive extents.
     """
     terms = terms.select("qid", "term")
-    if pairs is not None:
+    if "qid" in rows.columns:  # matches are few among the tokens, which stay where they are
+        hits = rows.join(F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms, ["qid", "term"])
+    elif pairs is not None:
         hits = rows.join(pairs, "id").join(terms, ["qid", "term"])
     elif terms.count() <= BROADCAST_TERMS:
         # postings are dealt by document once; their matches, which are many more, then stay where they are

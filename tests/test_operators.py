@@ -273,3 +273,19 @@ def test_date_parse_and_dept_from_ref_read_whole_texts(spark, tmp_path):
     days = {r.doc_id: str(r.day) for r in extraction.date_parse(spark, str(tmp_path)).collect()}
     assert days[3] == "2022-05-07"
     assert extraction.dept_from_ref(spark, str(tmp_path)).filter("doc_id = 4").first().department == "Department of Regulation"
+
+
+def test_blocks_without_a_shuffle(spark):
+    from asofia.operators import chunking
+
+    texts = ["a\n\nbü\n\n", None, "", "x"] * 400
+    docs = spark.createDataFrame([(i, t, i % 7) for i, t in enumerate(texts)], "doc_id long, raw_text string, more int").repartition(2)
+    rows = chunking.blocks(docs, carried=("more",))
+    assert "Exchange hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for i, t in enumerate(texts):
+        at = 0
+        for n, block in enumerate((t.split("\n\n")) if t is not None else []):
+            want.append((i, n, block, at, at + len(block), i % 7))
+            at += len(block) + 2
+    assert sorted(map(tuple, rows.collect())) == want
