@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from asofia.operators.vectors import BROADCAST_QUERIES
+from asofia.operators.vectors import BROADCAST_QUERIES, rows_of
 from asofia.operators.windows import NULL, Allow
 
 #: Vectors of a graph; the nearest that each is linked with, and links to any others; entries that every query is compared with.
@@ -20,6 +19,8 @@ BLOCK, NEAR, FAR, ENTRIES = 4096, 12, 3, 24
 BEAM, LEAST_BEAM, WALK, STEP = 4, 100, 256, 4
 #: Where a filter lets no more than this share of a block pass, what passes is compared as a whole.
 FEW = 0.15
+#: Vectors of a block that are compared with the others at once.
+PRODUCT = 256
 
 
 def linked(x: np.ndarray) -> np.ndarray:
@@ -29,10 +30,10 @@ def linked(x: np.ndarray) -> np.ndarray:
     """
     m, near = len(x), min(NEAR, len(x) - 1)
     found = np.zeros((m, near), dtype=np.int32)
-    for low in range(0, m if near else 0, 1024):
-        score = x[low : low + 1024] @ x.T
+    for low in range(0, m if near else 0, PRODUCT):
+        score = x[low : low + PRODUCT] @ x.T
         score[np.arange(len(score)), np.arange(low, low + len(score))] = -np.inf
-        found[low : low + 1024] = np.argpartition(score, m - near, axis=1)[:, m - near :]
+        found[low : low + PRODUCT] = np.argpartition(score, m - near, axis=1)[:, m - near :]
     return np.concatenate([found, np.random.default_rng(7).integers(0, m, (m, FAR), dtype=np.int32)], axis=1)
 
 
@@ -150,23 +151,22 @@ def graph_nearest(queries: DataFrame, index: DataFrame, n: int = 10, allow: Allo
     if queries.count() <= BROADCAST_QUERIES:
         asked = F.broadcast(asked)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = lambda raw: np.frombuffer(raw, np.int64)
-        for batch in batches:
-            for r in batch.to_dict("records"):
-                ids, qids = whole(r["ids"]), whole(r["qids"])
-                x, q = (np.frombuffer(r[c], np.float32).reshape(len(names), -1) for c, names in (("matrix", ids), ("q", qids)))
-                allowed = qids[:, None] != ids[None, :]
-                if allow:
-                    block = {c: whole(r[c]) for c in kept} | {"id": ids}
-                    for i in range(len(qids)):
-                        allowed[i] &= allow({a: int(whole(r[f"q_{a}"])[i]) for a in attributes}, block)
-                row, column, compared = search_block(q, x, np.frombuffer(r["graph"], np.int32).reshape(len(ids), -1), allowed, n, ids, 1.0 if exact else FEW)
-                cosine = np.round(np.einsum("ij,ij->i", q[row].astype(float), x[column].astype(float)), 6)
-                yield pd.DataFrame({"qid": qids[row], "vec_id": ids[column], "cosine": cosine, "compared": 0})
-                yield pd.DataFrame({"qid": qids, "vec_id": -1, "cosine": -np.inf, "compared": compared})
-
-    found = index.crossJoin(asked).mapInPandas(run, "qid long, vec_id long, cosine double, compared long")
+        for r in rows_of(batches):
+            ids, qids = whole(r["ids"]), whole(r["qids"])
+            x, q = (np.frombuffer(r[c], np.float32).reshape(len(names), -1) for c, names in (("matrix", ids), ("q", qids)))
+            allowed = qids[:, None] != ids[None, :]
+            if allow:
+                block = {c: whole(r[c]) for c in kept} | {"id": ids}
+                for i in range(len(qids)):
+                    allowed[i] &= allow({a: int(whole(r[f"q_{a}"])[i]) for a in attributes}, block)
+            row, column, compared = search_block(q, x, np.frombuffer(r["graph"], np.int32).reshape(len(ids), -1), allowed, n, ids, 1.0 if exact else FEW)
+            cosine = np.round(np.einsum("ij,ij->i", q[row].astype(float), x[column].astype(float)), 6)
+            yield pa.RecordBatch.from_pydict({"qid": qids[row], "vec_id": ids[column], "cosine": cosine, "compared": np.zeros(len(row), np.int64)})
+            yield pa.RecordBatch.from_pydict({"qid": qids, "vec_id": np.full(len(qids), -1), "cosine": np.full(len(qids), -np.inf), "compared": compared})
+
+    found = index.crossJoin(asked).mapInArrow(run, "qid long, vec_id long, cosine double, compared long")
     mine = Window.partitionBy("qid")
     ranked = found.withColumn("rank", F.row_number().over(mine.orderBy(F.desc("cosine"), "vec_id")).cast("long")).withColumn("compared", F.sum("compared").over(mine))
     return ranked.filter(F.col("rank") <= n).filter(F.col("cosine") > float("-inf")).select("qid", "vec_id", "cosine", "rank", "compared")

@@ -21,6 +21,8 @@ CANDIDATES = 50
 BUCKETS = 384
 #: Vectors of a block, and queries that are broadcast as blocks at most (3 kB each at 384 dimensions).
 BLOCK, BROADCAST_QUERIES = 2048, 20_000
+#: Queries of a block whose scores are held at once.
+SCORED = 256
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -56,6 +58,14 @@ def blocks(rows: DataFrame, id_col: str, *keys: str, vector: str = "embedding",
     return rows.mapInArrow(run, (kinds + ", " if kinds else "") + "ids binary, matrix binary")
 
 
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Buffer]]:
+    """Rows of binary columns one by one, where they lie: a batch isn't copied."""
+    for batch in batches:
+        columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+        for i in range(batch.num_rows):
+            yield {name: column[i].as_buffer() for name, column in columns.items()}
+
+
 def _read(ids: bytes, matrix: bytes) -> tuple[np.ndarray, np.ndarray]:
     names = np.frombuffer(ids, dtype=np.int64)
     return names, np.frombuffer(matrix, dtype=np.float64).reshape(len(names), -1 if len(names) else 0)
@@ -84,20 +94,21 @@ def exact_nearest(queries: DataFrame, vectors: DataFrame, n: int = CANDIDATES) -
     left = blocks(queries, "qid").select(F.col("ids").alias("qids"), F.col("matrix").alias("q"))
     if queries.count() <= BROADCAST_QUERIES:
         left = F.broadcast(left)
-    near = blocks(vectors, "vec_id").crossJoin(left).mapInPandas(_nearest(n), "qid long, vec_id long, cosine double")
+    near = blocks(vectors, "vec_id").crossJoin(left).mapInArrow(_nearest(n), "qid long, vec_id long, cosine double")
     order = Window.partitionBy("qid").orderBy(F.desc("cosine"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= n)
 
 
 def _nearest(n: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for ids, matrix, qids, q in zip(batch["ids"], batch["matrix"], batch["qids"], batch["q"], strict=True):
-                (names, right), (asked, left) = _read(ids, matrix), _read(qids, q)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in rows_of(batches):
+            (names, right), (every, rows) = _read(r["ids"], r["matrix"]), _read(r["qids"], r["q"])
+            for low in range(0, len(every), SCORED):
+                asked, left = every[low : low + SCORED], rows[low : low + SCORED]
                 score = np.round(left @ right.T, 6)
                 score[asked[:, None] == names[None, :]] = -np.inf
                 row, column = _leading(score, names, n)
-                yield pd.DataFrame({"qid": asked[row], "vec_id": names[column], "cosine": score[row, column]})
+                yield pa.RecordBatch.from_pydict({"qid": asked[row], "vec_id": names[column], "cosine": score[row, column]})
 
     return run
 
@@ -135,7 +146,7 @@ def clustered_nearest(queries: DataFrame, vectors: DataFrame, n: int = 10, lists
     left = blocks(asked.repartition("list"), "qid", "list").select("list", F.col("ids").alias("qids"), F.col("matrix").alias("q"))
     sizes = index.select("list", F.octet_length("ids").alias("bytes")).groupBy("list").agg((F.sum("bytes") / 8).cast("long").alias("size"))
     compared = asked.select("qid", "list").join(sizes, "list").groupBy("qid").agg(F.sum("size").alias("compared"))
-    near = index.join(left, "list").select("ids", "matrix", "qids", "q").mapInPandas(_nearest(n), "qid long, vec_id long, cosine double")
+    near = index.join(left, "list").select("ids", "matrix", "qids", "q").mapInArrow(_nearest(n), "qid long, vec_id long, cosine double")
     order = Window.partitionBy("qid").orderBy(F.desc("cosine"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= n).join(compared, "qid")
 
@@ -154,20 +165,19 @@ def hashed_embedding(rows: DataFrame, id_col: str = "id", term_col: str = "term"
 def nearest_rows(n: int, allow: Allow | None = None, filters: tuple[str, ...] = (), attributes: tuple[str, ...] = ()):
     """The n nearest of each query in pairs of blocks, among those that it may find and that have anything in common with it."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.to_dict("records"):
-                (names, right), (asked, left) = _read(r["ids"], r["matrix"]), _read(r["qids"], r["q"])
-                if not len(names) or not len(asked):
-                    continue
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in rows_of(batches):
+            (names, right), (every, rows) = _read(r["ids"], r["matrix"]), _read(r["qids"], r["q"])
+            for low in range(0, len(every) if len(names) else 0, SCORED):
+                asked, left = every[low : low + SCORED], rows[low : low + SCORED]
                 score = np.round(left @ right.T, 6)
                 score[score == 0] = -np.inf
                 if allow:
                     block = {c: np.frombuffer(r[c], np.int64) for c in filters} | {"id": names}
                     for i in range(len(asked)):
-                        score[i, ~allow({a: int(np.frombuffer(r[f"q_{a}"], np.int64)[i]) for a in attributes}, block)] = -np.inf
+                        score[i, ~allow({a: int(np.frombuffer(r[f"q_{a}"], np.int64)[low + i]) for a in attributes}, block)] = -np.inf
                 row, column = _leading(score, names, n)
-                yield pd.DataFrame({"qid": asked[row], "id": names[column], "cosine": score[row, column]})
+                yield pa.RecordBatch.from_pydict({"qid": asked[row], "id": names[column], "cosine": score[row, column]})
 
     return run
 

@@ -1,6 +1,7 @@
 """Filtered search over neighbour graphs against comparing everything."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from asofia.operators import neighbours as nb
@@ -71,3 +72,18 @@ def test_a_table_in_many_blocks_with_odd_rows(spark):
     near = nb.graph_nearest(asked, index, 5, windows.in_force(30), ("as_of",)).select("qid", "vec_id").collect()
     assert len(set(near) & {(r.qid, r.vec_id) for r in got}) >= 0.9 * len(got)
     assert nb.graph_nearest(asked, index.limit(0), 5).count() == 0 and nb.graph_nearest(asked.limit(0), index, 5).count() == 0
+
+
+def test_scores_are_held_for_some_queries_at_once(monkeypatch):
+    from asofia.operators import vectors
+
+    sizes, leading = [], vectors._leading
+    monkeypatch.setattr(vectors, "_leading", lambda score, names, n: sizes.append(score.shape) or leading(score, names, n))
+    x = np.random.default_rng(1).normal(size=(700, 8))
+    block = {"ids": np.arange(700).tobytes(), "matrix": x.tobytes(), "qids": np.arange(700).tobytes(), "q": x.tobytes()}
+    out = list(vectors._nearest(3)(iter([pa.RecordBatch.from_pydict({k: [v] for k, v in block.items()})])))
+    score = np.round(x @ x.T, 6)
+    np.fill_diagonal(score, -np.inf)
+    assert max(s[0] for s in sizes) <= 256 and sum(s[0] for s in sizes) == 700
+    found = [i for b in out for i in b.column(1).to_pylist()]
+    assert found == np.argsort(-score, axis=1, kind="stable")[:, :3].ravel().tolist()
