@@ -167,13 +167,15 @@ def with_context(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.withColumn("embed_text", F.concat_ws(SEPARATOR, "context", "text")).drop("title")
 
 
-def pending_documents(docs: DataFrame, chunks: DataFrame, limit: int | None = None) -> DataFrame:
-    """Documents with text and no passages yet, newest first."""
-    rows = docs.filter("text is not null and text <> ''").join(chunks.select("doc_id").distinct(), "doc_id", "left_anti").orderBy(F.desc("issued_date"), "doc_id")
+def pending_documents(docs: DataFrame, chunks: DataFrame, limit: int | None = None, ordered: bool = True) -> DataFrame:
+    """Documents with text and no passages yet, newest first, or in any order where all are taken."""
+    rows = docs.filter("text is not null and text <> ''").join(chunks.select("doc_id").distinct(), "doc_id", "left_anti")
+    rows = rows.orderBy(F.desc("issued_date"), "doc_id") if ordered or limit else rows
     return rows.limit(limit) if limit else rows
 
 
-def pending_embeddings(chunks: DataFrame, docs: DataFrame, limit: int | None = None) -> DataFrame:
-    """Passages without a vector, in the order in which they are embedded; running it again goes on where the last run ended."""
-    rows = chunks.filter("embedding is null").join(docs.select("doc_id", "issued_date"), "doc_id").orderBy(F.desc("issued_date"), "doc_id", "ord")
+def pending_embeddings(chunks: DataFrame, docs: DataFrame, limit: int | None = None, ordered: bool = True) -> DataFrame:
+    """Passages without a vector, in the order in which they are embedded, or in any where all are taken; running it again goes on where the last run ended."""
+    rows = chunks.filter("embedding is null").join(docs.select("doc_id", "issued_date"), "doc_id")
+    rows = rows.orderBy(F.desc("issued_date"), "doc_id", "ord") if ordered or limit else rows
     return rows.limit(limit) if limit else rows

@@ -289,3 +289,11 @@ def test_blocks_without_a_shuffle(spark):
             want.append((i, n, block, at, at + len(block), i % 7))
             at += len(block) + 2
     assert sorted(map(tuple, rows.collect())) == want
+
+
+def test_embedded_passages_are_counted_without_a_shuffle_of_words(spark):
+    from asofia.plans.structure import _embedded
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["one two", "", None, "Ü!", "x1"] * 300)], "chunk_id long, block string")
+    found = _embedded(rows, "block")
+    assert found.first()[0] == 600 and "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
