@@ -8,7 +8,6 @@ from collections.abc import Iterator
 from itertools import accumulate, pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -133,36 +132,54 @@ def pack(rows: Iterator[tuple[str, int, int, str | None, int, str | None]], most
     yield begin, finish, title
 
 
-def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "raw_text", most: int = MAX_WORDS, least: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, ord, text, char_start, char_end, heading``. A document's blocks stay in its row, so nothing is shuffled; a null text has no passages."""
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "raw_text", most: int = MAX_WORDS, least: int = MIN_WORDS, carried: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, ord, text, char_start, char_end, heading`` and what is ``carried``. A document's blocks stay in its row, so nothing is shuffled; a null text has no passages.
+
+    Some documents' passages at once leave a task as one batch.
+    """
     found = lambda b: F.struct(b.alias("block"), F.when(F.trim(b) != "", heading_kind(b)).alias("kind"), text.word_count(b).alias("words"), text.first_line(b).alias("line"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.transform(F.split(text_col, SEPARATOR), found).alias("rows")).filter("rows is not null")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.transform(F.split(text_col, SEPARATOR), found).alias("rows"), *carried).filter("rows is not null")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    kinds = {"doc_id": "long", "ord": "long", "text": "string", "char_start": "long", "char_end": "long", "heading": "string"} | {c: kinds[c] for c in carried}
 
-    def headed(blocks: list) -> Iterator[tuple[str, int, int, str | None, int, str | None]]:
+    def headed(blocks: Iterator[tuple[str, str | None, int, str]]) -> Iterator[tuple[str, int, int, str | None, int, str | None]]:
         chapter = section = None
         start = 0
-        for r in blocks:
-            if r["kind"] == "chapter":
-                chapter, section = r["line"], None
-            elif r["kind"] == "section":
-                section = r["line"]
-            end = start + len(r["block"])
-            yield r["block"], start, end, r["kind"], r["words"], " > ".join(h for h in (chapter, section) if h is not None) or None
+        for block, kind, words, line in blocks:
+            if kind == "chapter":
+                chapter, section = line, None
+            elif kind == "section":
+                section = line
+            end = start + len(block)
+            yield block, start, end, kind, words, " > ".join(h for h in (chapter, section) if h is not None) or None
             start = end + len(SEPARATOR)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, blocks in zip(batch["doc_id"], batch["rows"], strict=True):
-                body = SEPARATOR.join(r["block"] for r in blocks)
-                out = [(doc, i, body[a:b], a, b, h) for i, (a, b, h) in enumerate(pack(headed(blocks), most, least))]
-                yield pd.DataFrame(out, columns=["doc_id", "ord", "text", "char_start", "char_end", "heading"])
+            for low in range(0, batch.num_rows, DOCUMENTS):
+                part = batch.slice(low, DOCUMENTS)
+                fields = [f.to_pylist() for f in part.column(1).flatten().flatten()]
+                size, out, upto = [], [], 0
+                for n in pc.list_value_length(part.column(1)).to_pylist():
+                    blocks = [f[upto : upto + n] for f in fields]
+                    body, before = SEPARATOR.join(blocks[0]), len(out)
+                    out += [(i, body[a:b], a, b, h) for i, (a, b, h) in enumerate(pack(headed(zip(*blocks, strict=True)), most, least))]
+                    size.append(len(out) - before)
+                    upto += n
+                doc = pa.array(np.repeat(np.arange(len(size)), size))
+                columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(doc), *columns, *(part.column(2 + i).take(doc) for i in range(len(carried)))], names=list(kinds))
+
+    return rows.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in kinds.items()))
+
 
-    return rows.mapInPandas(run, "doc_id long, ord long, text string, char_start long, char_end long, heading string")
+#: What ``with_context`` needs of a passage's document.
+CONTEXT = ("title", "valid_from", "valid_to")
 
 
-def with_context(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """Adds the context (title and heading), what is embedded, and the document's window."""
-    rows = chunks.join(docs.select("doc_id", "title", "valid_from", "valid_to"), "doc_id")
+def with_context(chunks: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """Adds the context (title and heading), what is embedded, and the document's window, which ``docs`` has or the passages carry (``CONTEXT``)."""
+    rows = chunks if docs is None else chunks.join(docs.select("doc_id", *CONTEXT), "doc_id")
     rows = rows.withColumn("context", F.concat_ws("\n", "title", "heading"))
     return rows.withColumn("embed_text", F.concat_ws(SEPARATOR, "context", "text")).drop("title")
 
