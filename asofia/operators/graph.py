@@ -51,24 +51,35 @@ def expand_with_amendments(hits: DataFrame, edges: DataFrame, docs: DataFrame, p
 SECTIONS = {("in", "amends"): "amended_by", ("out", "amends"): "amends", ("in", "supersedes"): "superseded_by", ("in", "repeals"): "superseded_by", ("out", "supersedes"): "supersedes"}
 
 
-def timeline(edges: DataFrame, docs: DataFrame) -> DataFrame:
-    """``doc_id, section, other, type, method, issued_date, place``: what happened to each document and what it did, newest first."""
+def _with_other(both: DataFrame, docs: DataFrame, tasks: int) -> DataFrame:
+    """Rows with what ``docs`` (``other``) says of the other document, dealt to so many tasks by ``doc_id``."""
+    return both.repartition(tasks, "other").join(docs.repartition(tasks, "other"), "other").repartition(tasks, "doc_id")
+
+
+def timeline(edges: DataFrame, docs: DataFrame, tasks: int) -> DataFrame:
+    """``doc_id, section, other, type, method, issued_date, place``: what happened to each document and what it did, newest first.
+
+    ``tasks`` share the joins and sorts; take as many as the edges ask for (``parts.tasks``).
+    """
     both = edges.select(F.col("dst").alias("doc_id"), F.col("src").alias("other"), F.lit("in").alias("way"), "type", "method")
     both = both.union(edges.select("src", "dst", F.lit("out"), "type", "method"))
     section = F.lit(None).cast("string")
     for (way, kind), name in SECTIONS.items():
         section = F.when((F.col("way") == way) & (F.col("type") == kind), name).otherwise(section)
     rows = both.withColumn("section", section).filter("section is not null")
-    rows = rows.join(docs.select(F.col("doc_id").alias("other"), "issued_date"), "other")
+    rows = _with_other(rows, docs.select(F.col("doc_id").alias("other"), "issued_date"), tasks)
     order = Window.partitionBy("doc_id", "section").orderBy(F.desc("issued_date"), "other", "type", "method")
     return rows.select("doc_id", "section", "other", "type", "method", "issued_date", F.row_number().over(order).cast("long").alias("place"))
 
 
-def amendment_chain(edges: DataFrame, docs: DataFrame) -> DataFrame:
-    """Every edge at a document but mere references, in both directions, newest other document first."""
-    strong = edges.filter("type <> 'refers'")
+def amendment_chain(edges: DataFrame, docs: DataFrame, tasks: int) -> DataFrame:
+    """Every edge at a document but mere references, in both directions, newest other document first; repeated ``edges`` count once.
+
+    ``tasks`` share the work, as in ``timeline``.
+    """
+    strong = edges.filter("type <> 'refers'").select("src", "dst", "type").repartition(tasks, "src", "dst", "type").distinct()
     both = strong.select(F.col("src").alias("doc_id"), F.col("dst").alias("other"), F.lit("out").alias("way"), "type")
-    both = both.union(strong.select("dst", "src", F.lit("in"), "type")).distinct()
-    both = both.join(docs.select(F.col("doc_id").alias("other"), "issued_date", "title"), "other")
+    both = both.union(strong.select("dst", "src", F.lit("in"), "type"))
+    both = _with_other(both, docs.select(F.col("doc_id").alias("other"), "issued_date", "title"), tasks)
     order = Window.partitionBy("doc_id").orderBy(F.desc("issued_date"), "other", "way", "type")
     return both.select("doc_id", "other", "way", "type", "issued_date", "title", F.row_number().over(order).cast("long").alias("place"))
