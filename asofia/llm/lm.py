@@ -36,6 +36,8 @@ COPY_WORDS = 1_000_000
 COUNT_ROWS = 2_000_000
 #: Counts of words that are broadcast at most (12 bytes each); beyond that, texts' words and their counts meet in a join.
 BROADCAST_WORDS = 4_000_000
+#: Positions whose places are worked out at once, so that their logits stay in the processor's cache.
+ROWS = 512
 #: Parameters that one row of the averaging holds.
 SLICE = 8192
 #: Slots; one more for what lies before a text's first and after its last word.
@@ -53,6 +55,7 @@ _SHAPES = {
     "place_bias": (CLASSES, PLACES),
 }
 SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
+_ONES = np.ones(max(BATCH, CLASSES, PLACES), dtype=np.float32)
 
 
 @dataclass
@@ -117,10 +120,12 @@ class Network:
         return np.concatenate([getattr(self, name).ravel() for name in _SHAPES])
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        total = np.broadcast_to(self.bias, (around.shape[1], WIDTH)).copy()
-        for k in range(len(OFFSETS)):
-            total += self.context[k].take(around[k], axis=0)
-        return np.tanh(total)
+        total = self.context[0].take(around[0], axis=0)
+        total += self.bias
+        more = np.empty_like(total)
+        for k in range(1, len(OFFSETS)):
+            total += self.context[k].take(around[k], axis=0, out=more, mode="clip")
+        return np.tanh(total, out=total)
 
 
 def word_ids(column: pa.Array, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -142,29 +147,41 @@ def word_ids(column: pa.Array, own: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _exp(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Exponentials in place and their sums by row. Logits stay near log-probabilities; the bound only keeps float32 from overflowing."""
-    np.minimum(logits, 60, out=logits)
+    if logits.max(initial=0) > 60:
+        np.minimum(logits, 60, out=logits)
     np.exp(logits, out=logits)
-    return logits, logits @ np.ones(logits.shape[1], dtype=np.float32)
+    return logits, logits @ _ONES[: logits.shape[1]]
+
+
+def _sorted_by_class(ids: np.ndarray) -> np.ndarray:
+    """Places of the slots in the order of their classes."""
+    return np.argsort((ids // PLACES).astype(np.uint8), kind="stable")
 
 
 def log_probs(net: Network, ids: np.ndarray, around: np.ndarray) -> np.ndarray:
     """log P(word | the words around it) of each position."""
     out = np.empty(len(ids))
-    for low in range(0, len(ids), 32768):
-        order = low + np.argsort(ids[low : low + 32768] // PLACES, kind="stable")
+    for low in range(0, len(ids), 2 * BATCH):
+        order = low + _sorted_by_class(ids[low : low + 2 * BATCH])
         kind, place = np.divmod(ids[order], PLACES)
-        h = net.hidden(around[:, order])
+        h = net.hidden(around.take(order, axis=1))
         rows = np.arange(len(order))
         logits = h @ net.class_out + net.class_bias
         found = np.minimum(logits[rows, kind], 60)
         found -= np.log(_exp(logits)[1])
+        at, total = np.empty_like(found), np.empty_like(found)
+        flat = rows * PLACES + place
         bounds = np.searchsorted(kind, np.arange(CLASSES + 1))
+        buffer = np.empty((ROWS, PLACES), dtype=np.float32)
         for c in range(CLASSES):
-            a, b = bounds[c], bounds[c + 1]
-            if b > a:
-                inner = h[a:b] @ net.place_out[c] + net.place_bias[c]
-                found[a:b] += np.minimum(inner[rows[: b - a], place[a:b]], 60)
-                found[a:b] -= np.log(_exp(inner)[1])
+            for a in range(bounds[c], bounds[c + 1], ROWS):
+                b = min(a + ROWS, bounds[c + 1])
+                inner = np.matmul(h[a:b], net.place_out[c], out=buffer[: b - a])
+                inner += net.place_bias[c]
+                inner.ravel().take(flat[a:b] - a * PLACES, out=at[a:b], mode="clip")
+                total[a:b] = _exp(inner)[1]
+        found += np.minimum(at, 60)
+        found -= np.log(total)
         out[order] = found
     return out
 
@@ -173,37 +190,55 @@ class Trainer:
     """Steps of gradient ascent on the log-probability, each parameter's pace set by its own past gradients (Adam)."""
 
     def __init__(self, net: Network):
-        self.net, self.steps = net, 0
-        self.mean, self.square = ({name: np.zeros_like(getattr(net, name)) for name in _SHAPES} for _ in range(2))
+        self.flat, self.steps = net.flat(), 0
+        self.net = Network(**self._views(self.flat), words=net.words)
+        self.mean, self.square, self.grad, self.work = (np.zeros_like(self.flat) for _ in range(4))
+        self.parts, self.logits = self._views(self.grad), np.empty((ROWS, PLACES), dtype=np.float32)
+
+    @staticmethod
+    def _views(flat: np.ndarray) -> dict[str, np.ndarray]:
+        """The parameters as parts of one array."""
+        ends = np.cumsum([int(np.prod(shape)) for shape in _SHAPES.values()])
+        return {name: part.reshape(shape) for (name, shape), part in zip(_SHAPES.items(), np.split(flat, ends[:-1]), strict=True)}
 
     @staticmethod
-    def _push(logits: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Gradient of the target's log-probability by the logits."""
+    def _push(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Gradient of the target's log-probability by the logits, in their place; ``target`` counts through all logits."""
         push, total = _exp(logits)
         push *= (-1 / total)[:, None]
-        push[rows, target] += 1
+        push.ravel()[target] += 1
         return push
 
     def gradient(self, ids: np.ndarray, around: np.ndarray) -> dict[str, np.ndarray]:
-        net = self.net
-        order = np.argsort(ids // PLACES, kind="stable")
-        ids, around = ids[order], around[:, order]
+        """Sums over the positions, in arrays that the next call overwrites."""
+        net, grad = self.net, self.parts
+        if (ids[1:] // PLACES < ids[:-1] // PLACES).any():
+            order = _sorted_by_class(ids)
+            ids, around = ids[order], around.take(order, axis=1)
         kind, place = np.divmod(ids, PLACES)
         rows, ones = np.arange(len(ids)), np.ones(len(ids), dtype=np.float32)
         h = net.hidden(around)
-        grad = {name: np.zeros(shape, dtype=np.float32) for name, shape in _SHAPES.items()}
-        push = self._push(h @ net.class_out + net.class_bias, rows, kind)
+        self.grad[:] = 0
+        logits = h @ net.class_out
+        logits += net.class_bias
+        push = self._push(logits, rows * CLASSES + kind)
         back = push @ net.class_out.T
-        grad["class_out"], grad["class_bias"] = h.T @ push, ones @ push
+        grad["class_out"][:], grad["class_bias"][:] = h.T @ push, ones @ push
         bounds = np.searchsorted(kind, np.arange(CLASSES + 1))
+        target = rows * PLACES + place
         for c in range(CLASSES):
-            a, b = bounds[c], bounds[c + 1]
-            if b > a:
-                inner = self._push(h[a:b] @ net.place_out[c] + net.place_bias[c], rows[: b - a], place[a:b])
+            for a in range(bounds[c], bounds[c + 1], ROWS):
+                b = min(a + ROWS, bounds[c + 1])
+                logits = np.matmul(h[a:b], net.place_out[c], out=self.logits[: b - a])
+                logits += net.place_bias[c]
+                inner = self._push(logits, target[a:b] - a * PLACES)
                 back[a:b] += inner @ net.place_out[c].T
-                grad["place_out"][c], grad["place_bias"][c] = h[a:b].T @ inner, ones[a:b] @ inner
-        back *= 1 - h * h
-        grad["bias"] = ones @ back
+                grad["place_out"][c] += h[a:b].T @ inner
+                grad["place_bias"][c] += ones[a:b] @ inner
+        h *= h
+        np.subtract(1, h, out=h)
+        back *= h
+        grad["bias"][:] = ones @ back
         columns = np.ascontiguousarray(back.T, dtype=np.float64)
         for k, near in enumerate(around.astype(np.int64)):
             for j in range(WIDTH):
@@ -213,21 +248,27 @@ class Trainer:
     def step(self, ids: np.ndarray, around: np.ndarray, rate: float) -> None:
         self.steps += 1
         pace = np.float32(rate * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps))
-        for name, g in self.gradient(ids, around).items():
-            g /= np.float32(BATCH)
-            mean, square = self.mean[name], self.square[name]
-            mean *= np.float32(0.9)
-            mean += np.float32(0.1) * g
-            square *= np.float32(0.99)
-            square += np.float32(0.01) * (g * g)
-            value = getattr(self.net, name)
-            value += pace * mean / (np.sqrt(square) + np.float32(1e-6))
+        self.gradient(ids, around)
+        g, mean, square, work = self.grad, self.mean, self.square, self.work
+        g *= np.float32(1 / BATCH)
+        mean *= np.float32(0.9)
+        mean += np.multiply(g, np.float32(0.1), out=work)
+        square *= np.float32(0.99)
+        np.multiply(g, g, out=work)
+        work *= np.float32(0.01)
+        square += work
+        np.sqrt(square, out=work)
+        work += np.float32(1e-6)
+        np.divide(mean, work, out=work)
+        work *= pace
+        self.flat += work
 
     def text(self, ids: np.ndarray, around: np.ndarray, rate: float) -> None:
         """Steps over all words of a stretch, each with words from all over it, which makes its gradient steadier."""
         order = np.random.default_rng(len(ids)).permutation(len(ids))
         for low in range(0, len(ids), BATCH):
             at = order[low : low + BATCH]
+            at = at[_sorted_by_class(ids[at])]
             self.step(ids[at], around.take(at, axis=1), rate)
 
 
@@ -242,7 +283,7 @@ def _train(start: Network, own: np.ndarray, rate: float):
                 trainer.text(ids, around, rate)
                 seen += len(ids)
         if seen:
-            out = trainer.net.flat()
+            out = trainer.flat
             cuts = range(0, SIZE, SLICE)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(cuts), pa.int64()), pa.array([seen] * len(cuts), pa.int64()), pa.array([out[c : c + SLICE].astype(np.float32).tobytes() for c in cuts], pa.binary())],
