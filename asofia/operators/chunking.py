@@ -21,9 +21,10 @@ MAX_WORDS, MIN_WORDS, GROWTH = 220, 40, 1.25
 HEADING_WORDS, SENTENCE_WORDS = 14, 3
 #: Documents that are taken apart at once.
 DOCUMENTS = 512
-# Fixed patterns: what the regulator's headings look like.
-CHAPTER = r"(?i)^(chapter|part|annex(ure)?|appendix|schedule)\b"
-SECTION = r"^(\d{1,3}[A-Z]?\.|[A-Z]\.)\s+\S"
+# Fixed patterns: what the regulator's headings look like. Only ASCII letters go on with a word, and only these are spaces, whatever the engine's own classes say.
+CHAPTER = r"(?i)^(chapter|part|annex(ure)?|appendix|[s\u017f]chedule)(?![A-Za-z0-9_])"
+SECTION = r"^(\d{1,3}[A-Z]?\.|[A-Z]\.)[ \t\n\f\r]+[^ \t\n\f\r]"
+WORD, SENTENCE_END = r"[^ \t\n\f\r]+", r"[.;:]\z"
 # Fixed pattern: where a long block may be cut.
 SENTENCE = re.compile(r"[^.;\n]+(?:[.;\n]+|$)")
 
@@ -62,14 +63,18 @@ def split(docs: DataFrame, id_col: str = "doc_id", text_col: str = "raw_text", c
 def heading_kind(block: Column) -> Column:
     """"chapter", "section" or null, by the block's first line; lines that read like sentences are no headings."""
     line = text.first_line(block)
-    words = text.word_count(line)
-    sentence = (words > HEADING_WORDS) | (line.rlike(r"[.;:]$") & (words > SENTENCE_WORDS))
+    words = F.size(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)))
+    sentence = (words > HEADING_WORDS) | (line.rlike(SENTENCE_END) & (words > SENTENCE_WORDS))
     return F.when(sentence, None).when(line.rlike(CHAPTER), "chapter").when(line.rlike(SECTION), "section")
 
 
-def headings(rows: DataFrame) -> DataFrame:
-    """Adds ``kind``, ``words`` and ``heading`` ("chapter > section"): both are carried forward, a new chapter ends the section."""
-    rows = rows.withColumn("kind", F.when(F.trim("block") != "", heading_kind(F.col("block")))).withColumn("line", text.first_line(F.col("block")))
+def headings(rows: DataFrame, known: Column | None = None) -> DataFrame:
+    """Adds ``kind``, ``words`` and ``heading`` ("chapter > section"): both are carried forward, a new chapter ends the section.
+
+    ``known`` is the kind of blocks that open a chapter or a section whatever their first line looks like, such as sections numbered beyond 999; null leaves it to the line.
+    """
+    kind = F.when(F.trim("block") != "", heading_kind(F.col("block")))
+    rows = rows.withColumn("kind", kind if known is None else F.coalesce(known, kind)).withColumn("line", text.first_line(F.col("block")))
     order = Window.partitionBy("doc_id").orderBy("ord")
     rows = rows.withColumn("chapter", F.last(F.when(F.col("kind") == "chapter", F.col("line")), True).over(order))
     rows = rows.withColumn("part", F.count(F.when(F.col("kind") == "chapter", 1)).over(order))
